@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,3 +80,22 @@ def join_split(left: DataFrame, right: DataFrame, key: str, n: str, total: int,
     hot = left.join(F.broadcast(heavy), key)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
     return hot.unionByName(rest.join(right.filter(F.col(n) * share < F.lit(total)), key))
+
+
+def prepare_python(spark: SparkSession, mb: int = 32) -> None:
+    """Make Python workers able to run this package's functions on long texts.
+
+    The package goes to the executors as a zip file, once per application; Arrow batches end at ``mb`` MB rather than
+    at a count of rows alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_sent", False):
+        return
+    package = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._graphloom_sent = True
