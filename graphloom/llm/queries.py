@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.bpe import encode_documents
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.mixing import mix
 from graphloom.llm.quality_rules import MAX_DOCS, MAX_PERCENT, MIN_PERCENT, MIN_WORDS, quality_rules
 from graphloom.llm.sharding import shard_documents
 from graphloom.llm.text import table
+from graphloom.llm.wacz import archive_round_trip
 
 
 def op1_line_frequency(spark, sf_dir: str) -> DataFrame:
@@ -17,6 +19,17 @@ def op1_line_frequency(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def op2_bpe(spark, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+def op3_wacz(spark, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark, table(spark, sf_dir, "pages")).drop("url")
+
+
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_hash")
 
@@ -30,7 +43,7 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op4_exact_dedup, op7_mixing, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op7_mixing, op8_sharding)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
