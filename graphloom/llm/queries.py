@@ -11,6 +11,7 @@ from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.quality_rules import MAX_DOCS, MAX_PERCENT, MIN_PERCENT, MIN_WORDS, quality_rules
 from graphloom.llm.sharding import shard_documents
+from graphloom.llm.suffix_dedup import remove_repeats
 from graphloom.llm.text import table
 from graphloom.llm.wacz import archive_round_trip
 
@@ -44,11 +45,15 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op7_mixing, op8_sharding, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op7_mixing, op8_sharding, op9_suffix_dedup, op10_near_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
