@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encode_documents
 from graphloom.llm.exact_dedup import exact_dedup
+from graphloom.llm.mil_classifier import classify, fit_sample, fold
 from graphloom.llm.mixing import mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.quality_rules import MAX_DOCS, MAX_PERCENT, MIN_PERCENT, MIN_WORDS, quality_rules
 from graphloom.llm.sharding import shard_documents
 from graphloom.llm.suffix_dedup import remove_repeats
+from graphloom.llm.suffix_tree_lm import lm_scores
 from graphloom.llm.text import table
 from graphloom.llm.wacz import archive_round_trip
 
@@ -36,6 +38,18 @@ def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("_hash")
 
 
+def op5_mil(spark, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
+    model = fit_sample(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_suffix_tree(spark, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    out = lm_scores(table(spark, sf_dir, "documents"), held_out).withColumn("held_out", held_out)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("_hash")
 
@@ -53,7 +67,7 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("_hash")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op7_mixing, op8_sharding, op9_suffix_dedup, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op5_mil, op6_suffix_tree, op7_mixing, op8_sharding, op9_suffix_dedup, op10_near_dedup)}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
