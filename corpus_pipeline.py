@@ -2,19 +2,50 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.llm.bpe import encode_documents
 from graphloom.llm.exact_dedup import drop_exact_copies
 from graphloom.llm.mixing import mixed_documents
+from graphloom.llm.near_dedup import drop_near_copies
 from graphloom.llm.quality_rules import apply_quality_rules
 from graphloom.runtime import scratch_path
 
-STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: apply_quality_rules(docs)),
-    ("exact dedup", lambda spark, docs, sf_dir: drop_exact_copies(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixed_documents(docs)),
-]
+#: The tokenizer's rank file; a parameter of the last stage.
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that too many documents of their source share."""
+    return apply_quality_rules(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by similarity of five-word shingles."""
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix."""
+    out = encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN, want_ids=True)
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("tokens", tokens)]
+
+#: Hashed sketches and the tokenizer's merges have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
