@@ -82,7 +82,7 @@ def join_split(left: DataFrame, right: DataFrame, key: str, n: str, total: int,
     return hot.unionByName(rest.join(right.filter(F.col(n) * share < F.lit(total)), key))
 
 
-def prepare_python(spark: SparkSession, mb: int = 32) -> None:
+def prepare_python(spark: SparkSession, mb: int = 16) -> None:
     """Make Python workers able to run this package's functions on long texts.
 
     The package goes to the executors as a zip file, once per application; Arrow batches end at ``mb`` MB rather than
