@@ -8,8 +8,8 @@ Values that more than LIST nodes retain are set apart, so that all pairs of the
 similarity 0.8 shares each of the union's smallest values with probability 0.8. As long as at most 60 % of a sketch are
 such frequent values, at least half of the union's other values are shared, and that none of 24 is has probability
 6e-8. Documents made of frequent values (members of large groups, or of little but a common passage) also meet in the
-lists of their frequent values: first with the most central member of each list, then, where that leaves members in
-other components, with all members, in blocks.
+lists of their frequent values: first with the most central member of each list; then members outside a list's largest
+component meet all members of other components, in blocks, on their full sets.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ LIST = 32
 #: Estimates under this share of the wanted similarity are dropped; for 24 values that is nine standard deviations.
 SLACK = 0.4
 #: Members of a block of a frequent list.
-BLOCK = 1024
+BLOCK = 512
 
 
 def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,7 +44,7 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
     d = docs.select(F.col(key).alias("id"), F.xxhash64(or_empty(text)).alias("_hash"), or_empty(text).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             sets = shingle_sets(texts, words)
             yield pa.RecordBatch.from_arrays([
@@ -60,7 +60,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``texts``: (rid, text)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             sets = [shingle_sets([t.encode() for t in batch.column(c).to_pylist()], words) for c in ("ta", "tb")]
             good = []
             for x, y in zip(*sets):
@@ -86,39 +86,44 @@ def _ordinary_pairs(lists: DataFrame, share: float) -> DataFrame:
     return met.withColumn("est", inside / F.col("k")).filter(F.col("est") >= share).select("a", "b", "est")
 
 
-def _block_pairs(odd: DataFrame, members: DataFrame, share: float) -> DataFrame:
-    """Candidates (a, b) of each list's ``odd`` members with all its ``members`` (both v, rid, sketch), in blocks."""
+def _block_links(odd: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of each list's ``odd`` members with its ``members`` of other components (v, rid, label, text).
+
+    Blocks meet blocks, and full sets are compared within a task, so that only links leave it: for each odd member and
+    each component that it is linked with, one.
+    """
     blocks = members.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    held = F.collect_list(F.struct("rid", "sketch"))
+    held = F.collect_list(F.struct("rid", "label", "text"))
 
     def packed(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.join(blocks, "v").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")))
         return rows.groupBy("v", "block").agg(held.alias(name)).withColumnRenamed("block", f"{name}_block")
 
+    def side(rows: list[dict]):
+        sets = shingle_sets([r["text"].encode() for r in rows], words)
+        return np.array([r["rid"] for r in rows]), np.array([r["label"] for r in rows]), sets
+
+    def incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(sets), len(common)), "float32")
+        for i, s in enumerate(sets):
+            at = np.searchsorted(common, s)
+            at = at[at < len(common)]
+            out[i, at[np.isin(common[at], s, assume_unique=False)]] = 1
+        return out
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (r for lo in range(batch.num_rows) for r in batch.slice(lo, 1).to_pylist()):
-                a, b = row["a"], row["b"]
-                xs = np.concatenate([np.array(m["sketch"]) for m in a])
-                ys = np.concatenate([np.array(m["sketch"]) for m in b])
-                common = np.intersect1d(xs, ys)
-                hold = []
-                for side, vals in ((a, xs), (b, ys)):
-                    at = np.repeat(np.arange(len(side)), [len(m["sketch"]) for m in side])
-                    place = np.minimum(np.searchsorted(common, vals), len(common) - 1)
-                    ok = common[place] == vals
-                    m = np.zeros((len(side), len(common)), "float32")
-                    m[at[ok], place[ok]] = 1
-                    hold.append(m)
-                overlap = hold[0] @ hold[1].T
-                least = np.minimum.outer([len(m["sketch"]) for m in a], [len(m["sketch"]) for m in b])
-                i, j = np.nonzero(overlap >= share * least)
-                ra, rb = np.array([m["rid"] for m in a]), np.array([m["rid"] for m in b])
-                lo, hi = np.minimum(ra[i], rb[j]), np.maximum(ra[i], rb[j])
-                yield pa.RecordBatch.from_pydict({"a": lo[lo < hi], "b": hi[lo < hi]})
+        for row in (r for batch in batches for lo in range(batch.num_rows) for r in batch.slice(lo, 1).to_pylist()):
+            (ra, la, sa), (rb, lb, sb) = side(row["a"]), side(row["b"])
+            common = np.intersect1d(np.concatenate(sa), np.concatenate(sb))
+            both = incidence(sa, common) @ incidence(sb, common).T
+            either = np.add.outer([len(x) for x in sa], [len(x) for x in sb]) - both
+            i, j = np.nonzero((100 * both >= percent * either) & (la[:, None] != lb[None, :]))
+            pick = np.unique(np.stack([i, lb[j]]), axis=1, return_index=True)[1]
+            x, y = ra[i[pick]], rb[j[pick]]
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     met = packed(odd, "a").join(packed(members, "b"), "v").repartition("v", "a_block", "b_block")
-    return met.select("a", "b").mapInArrow(compare, "a long, b long").distinct()
+    return met.select("a", "b").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -180,13 +185,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     if not common.isEmpty():
         seen = common.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         largest = seen.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "label")).alias("top"))
-        odd = seen.join(largest, "v").filter("label <> top.label").select("v", "rid")
-        odd = stage(odd, "odd")
+        odd = stage(seen.join(largest, "v").filter("label <> top.label").select("v", "rid", "label"), "odd")
         if not odd.isEmpty():
-            with_sketch = lambda x: x.join(nodes.select("rid", "sketch"), "rid")
-            members = common.join(odd.select("v").distinct(), "v", "left_semi").select("v", "rid")
-            more = _across(_block_pairs(with_sketch(odd), with_sketch(members), share), labels)
-            links = links.unionByName(verify(stage(more, "more"), texts, words, percent))
+            with_text = lambda x: x.select("v", "rid", "label").join(texts, "rid")
+            members = with_text(seen.join(odd.select("v").distinct(), "v", "left_semi"))
+            links = links.unionByName(stage(_block_links(with_text(odd), members, words, percent), "more"))
             labels = components(links)
 
     named = nodes.select("rid", "sig", "least", "rows").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
