@@ -28,7 +28,9 @@ from graphloom.runtime import broadcast_if_few, prepare_python, stage
 SIZE = 200
 GRAM = 32
 #: Segments of an anchor that are sorted in one block.
-BLOCK = 512
+BLOCK = 3000
+#: Distances that are grouped together.
+STEP = 16
 #: Bytes of a text that are hashed at once, and low bits of an ordering value that hold the place.
 PIECE, PLACE_BITS = 2 << 20, 24
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
@@ -147,10 +149,15 @@ def _sorted_classes(rows: dict[str, np.ndarray], bytes_of: list[bytes], size: in
     offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
     distance = rows["rel"][seg] - offset
     key = rows["group"][seg] * (2 * size) + distance
-    pre = np.argsort(key, kind="stable")
-    seg, offset, key = seg[pre], offset[pre], key[pre]
     at = begin[seg] + offset
     s = _Suffixes(data, size)
+    # Windows whose distances fall in one run of STEP share the bytes between the run's ends: only where these are
+    # equal too can windows be, so suffixes meet in small groups.
+    core = at + distance % STEP
+    inner = rolling.range_hash(s.prefix, core, core + size - (STEP - 1))
+    pre = np.lexsort((inner, key))
+    seg, offset, key, at, inner = seg[pre], offset[pre], key[pre], at[pre], inner[pre]
+    key = np.cumsum(np.concatenate((np.zeros(min(1, len(key)), bool), (key[1:] != key[:-1]) | (inner[1:] != inner[:-1]))))
     order = s.sort(at, key)
     same = s.equal_neighbours(order, at, key)
     cls = np.cumsum(~same) - 1
