@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from graphloom.queries import runs  # noqa: F401
+from graphloom.queries.registry import QUERIES, SQL
+
+FLAGSHIP = "kpi_scorecard"
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

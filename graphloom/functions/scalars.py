@@ -240,11 +240,15 @@ def lcs_length(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
-def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def lcs_similarity(a: Column, b: Column) -> Column:
     """2 * longest common subsequence / total length; 1 for two empty strings."""
-    f = lambda x, y: None if x is None or y is None else (2 * lcs_length(list(x), list(y)) / (len(x) + len(y)) if x or y else 1.0)
-    return pd.Series([f(x, y) for x, y in zip(a, b)])
+
+    @F.pandas_udf("double")
+    def f(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        one = lambda x, y: None if x is None or y is None else (2 * lcs_length(list(x), list(y)) / (len(x) + len(y)) if x or y else 1.0)
+        return pd.Series([one(x, y) for x, y in zip(xs, ys)])
+
+    return f(a, b)
 
 
 def line_diff(old: str, new: str) -> list[dict]:

@@ -35,18 +35,22 @@ class Limits:
 
 
 SEVERITIES = ("critical", "error", "warning", "info")
-_NONE = F.expr("cast(array() as array<string>)")
+
+
+def _none() -> Column:
+    return F.expr("cast(array() as array<string>)")
 
 
 def _finding(df: DataFrame, type_: str, category: str, severity: Column, value: Column, threshold: Column, nodes: Column | None = None, edges: Column | None = None) -> DataFrame:
     return df.select(
         "graph_id", F.lit(type_).alias("type"), F.lit(category).alias("category"), severity.alias("severity"),
-        F.array_sort(nodes if nodes is not None else _NONE).alias("node_ids"), F.array_sort(edges if edges is not None else _NONE).alias("edge_ids"),
+        F.array_sort(nodes if nodes is not None else _none()).alias("node_ids"), F.array_sort(edges if edges is not None else _none()).alias("edge_ids"),
         value.cast("double").alias("value"), threshold.cast("double").alias("threshold"), F.lit(type_.replace("_", " ")).alias("title"),
     )
 
 
-_me = F.array("id")
+def _me() -> Column:
+    return F.array("id")
 
 
 def retry_loops(g: GraphFrames, x: Limits) -> DataFrame:
@@ -56,14 +60,14 @@ def retry_loops(g: GraphFrames, x: Limits) -> DataFrame:
     tries = F.greatest(F.coalesce(M.m["retries"], F.lit(0.0)), rejected.cast("double"), attempts.cast("double"))
     n = g.nodes.select("graph_id", "id", tries.alias("tries"), F.coalesce(M.m["repair_rounds"], F.lit(0.0)).alias("rounds")).filter("tries > 0 or rounds > 0")
     severity = F.when((F.col("tries") >= 2 * x.retries) | (F.col("rounds") >= 2 * x.repairs), "critical").when((F.col("tries") >= x.retries) | (F.col("rounds") >= x.repairs), "error").otherwise("warning")
-    return _finding(n, "runaway_retry_loop", "reliability", severity, F.greatest("tries", "rounds"), F.lit(x.retries), _me)
+    return _finding(n, "runaway_retry_loop", "reliability", severity, F.greatest("tries", "rounds"), F.lit(x.retries), _me())
 
 
 def rejection_loops(g: GraphFrames, x: Limits) -> DataFrame:
     """Loop and pushback edges that carry as many rejections as repairs are allowed."""
     n = F.coalesce(F.size(F.filter("exchanges", lambda e: (e["verdict"] == "rejected") | (e["type"] == "rejection") | (e["status"] == "rejected"))), F.lit(0))
     e = g.edges.filter(F.col("kind").isin("loop", "pushback")).select("graph_id", "id", "source", "target", n.alias("n")).filter(F.col("n") >= x.repairs)
-    return _finding(e, "rejection_loop", "reliability", F.lit("error"), F.col("n"), F.lit(x.repairs), F.array("source", "target"), _me)
+    return _finding(e, "rejection_loop", "reliability", F.lit("error"), F.col("n"), F.lit(x.repairs), F.array("source", "target"), _me())
 
 
 def token_spikes(g: GraphFrames, x: Limits) -> DataFrame:
@@ -74,12 +78,12 @@ def token_spikes(g: GraphFrames, x: Limits) -> DataFrame:
     odd = (F.col("k") >= x.samples) & (F.col("dev") > 0) & (F.col("tok") > F.col("mean") + x.sigma * F.col("dev"))
     n = n.filter((F.col("tok") >= x.tokens) | odd)
     limit = F.when(F.col("tok") >= x.tokens, F.lit(x.tokens)).otherwise(F.col("mean") + x.sigma * F.col("dev"))
-    return _finding(n, "token_spike", "cost", F.when(F.col("tok") >= 2 * x.tokens, "critical").when(F.col("tok") >= x.tokens, "error").otherwise("warning"), F.col("tok"), limit, _me)
+    return _finding(n, "token_spike", "cost", F.when(F.col("tok") >= 2 * x.tokens, "critical").when(F.col("tok") >= x.tokens, "error").otherwise("warning"), F.col("tok"), limit, _me())
 
 
 def reasoning_share(g: GraphFrames, x: Limits) -> DataFrame:
-    n = g.nodes.select("graph_id", "id", M.REASONING.alias("r"), M.TOKENS["tok_anomaly"].alias("tok")).filter(f"tok > 10000 and r / tok >= {x.cognitive}")
-    return _finding(n, "reasoning_overload", "cost", F.lit("warning"), F.col("r") / F.col("tok"), F.lit(x.cognitive), _me)
+    n = g.nodes.select("graph_id", "id", M.REASONING.alias("r"), M.TOKENS["tok_anomaly"].alias("tok")).filter(f"tok > 10000 and try_divide(r, tok) >= {x.cognitive}")
+    return _finding(n, "reasoning_overload", "cost", F.lit("warning"), F.try_divide("r", "tok"), F.lit(x.cognitive), _me())
 
 
 def unbounded_growth(g: GraphFrames, x: Limits, factor: float = 3, least: float = 25_000) -> DataFrame:
@@ -100,40 +104,40 @@ def stranded_locks(g: GraphFrames, x: Limits, as_of: Column, lease_ms: float = 6
     zombie = n.filter(F.col("status").isin("success", "error", "skipped", "cached"))
     near = n.filter(running & (F.col("now") <= F.col("until")) & (F.col("now") - F.col("since") >= 0.8 * (F.col("until") - F.col("since"))))
     return (
-        _finding(late, "stranded_lock", "concurrency", F.lit("error"), F.col("now") - F.col("until"), F.lit(0), _me)
-        .unionByName(_finding(zombie, "zombie_lease", "concurrency", F.lit("warning"), F.lit(1), F.lit(0), _me))
-        .unionByName(_finding(near, "lease_near_timeout", "concurrency", F.lit("warning"), F.col("now") - F.col("since"), 0.8 * (F.col("until") - F.col("since")), _me))
+        _finding(late, "stranded_lock", "concurrency", F.lit("error"), F.col("now") - F.col("until"), F.lit(0), _me())
+        .unionByName(_finding(zombie, "zombie_lease", "concurrency", F.lit("warning"), F.lit(1), F.lit(0), _me()))
+        .unionByName(_finding(near, "lease_near_timeout", "concurrency", F.lit("warning"), F.col("now") - F.col("since"), 0.8 * (F.col("until") - F.col("since")), _me()))
     )
 
 
 def structure(g: GraphFrames, x: Limits) -> DataFrame:
     """Dangling edges, cycles (a warning where an edge declares the loop), joins that can't happen, orphans."""
-    lost = _finding(traverse.dangling_edges(g), "dangling_edge", "structure", F.lit("error"), F.lit(1), F.lit(0), None, _me)
+    lost = _finding(traverse.dangling_edges(g), "dangling_edge", "structure", F.lit("error"), F.lit(1), F.lit(0), None, _me())
     declared = g.edges.filter("is_cycle or kind = 'loop'").select("graph_id", F.lit(True).alias("declared")).distinct()
     rings = paths.cycles(g).join(declared, "graph_id", "left")
     rings = _finding(rings, "cycle", "structure", F.when(F.col("declared"), "warning").otherwise("critical"), F.size("ids"), F.lit(0), F.col("ids"))
     e = g.valid_edges().join(g.nodes.select("graph_id", F.col("id").alias("source"), F.col("status").alias("up")), ["graph_id", "source"])
     joins = e.groupBy("graph_id", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("ways"), F.count_if(F.col("up").isin("error", "skipped")).alias("lost"), F.array_sort(F.collect_set("source")).alias("from"))
     joins = joins.join(g.nodes.filter("status = 'pending'").select("graph_id", "id"), ["graph_id", "id"], "left_semi").filter("ways > 1 and lost > 0")
-    joins = _finding(joins, "join_deadlock", "structure", F.lit("critical"), F.col("lost"), F.lit(0), F.concat(_me, F.col("from")))
+    joins = _finding(joins, "join_deadlock", "structure", F.lit("critical"), F.col("lost"), F.lit(0), F.concat(_me(), F.col("from")))
     alone = traverse.orphans(g).join(g.nodes.groupBy("graph_id").count().filter("count > 1").select("graph_id"), "graph_id", "left_semi")
-    return lost.unionByName(rings).unionByName(joins).unionByName(_finding(alone, "orphan", "structure", F.lit("info"), F.lit(0), F.lit(1), _me))
+    return lost.unionByName(rings).unionByName(joins).unionByName(_finding(alone, "orphan", "structure", F.lit("info"), F.lit(0), F.lit(1), _me()))
 
 
 def latency(g: GraphFrames, x: Limits, with_path: bool = True) -> DataFrame:
     """Hogs of the critical path, stalls in thought, hanging commands, outliers, slow edges."""
     t = F.coalesce(M.m["timing_breakdown"], M.m["timing"])
     n = g.nodes.select("graph_id", "id", M.DURATIONS["dur_anomaly"].alias("ms"), F.coalesce(t["think"], t["cognitive"]).alias("think"), "commands", "status")
-    stall = _finding(n.filter(f"ms >= {x.latency_ms} and think / ms >= {x.cognitive}"), "cognitive_stall", "latency", F.lit("warning"), F.col("think") / F.col("ms"), F.lit(x.cognitive), _me)
+    stall = _finding(n.filter(f"ms >= {x.latency_ms} and try_divide(think, ms) >= {x.cognitive}"), "cognitive_stall", "latency", F.lit("warning"), F.try_divide("think", "ms"), F.lit(x.cognitive), _me())
     hang = n.withColumn("slow", F.array_max(F.transform("commands", lambda c: c["duration_ms"]))).filter(f"slow >= {x.latency_ms}")
-    hang = _finding(hang, "command_hang", "latency", F.lit("error"), F.col("slow"), F.lit(x.latency_ms), _me)
-    odd = _finding(outliers(g, x.sigma, x.samples), "latency_outlier", "latency", F.lit("warning"), F.col("ms"), F.col("mean") + x.sigma * F.col("deviation"), _me)
+    hang = _finding(hang, "command_hang", "latency", F.lit("error"), F.col("slow"), F.lit(x.latency_ms), _me())
+    odd = _finding(outliers(g, x.sigma, x.samples), "latency_outlier", "latency", F.lit("warning"), F.col("ms"), F.col("mean") + x.sigma * F.col("deviation"), _me())
     slow = g.edges.select("graph_id", "id", F.col("traffic.avg_latency_ms").alias("ms")).filter(F.col("ms") >= x.edge_latency_ms)
-    slow = _finding(slow, "edge_latency", "latency", F.lit("warning"), F.col("ms"), F.lit(x.edge_latency_ms), None, _me)
+    slow = _finding(slow, "edge_latency", "latency", F.lit("warning"), F.col("ms"), F.lit(x.edge_latency_ms), None, _me())
     out = stall.unionByName(hang).unionByName(odd).unionByName(slow)
     if with_path:
         hog = paths.critical_path(g, "anomaly").filter((F.col("share") >= 100 * x.path_share) & (F.col("ms") >= x.latency_ms))
-        out = out.unionByName(_finding(hog, "critical_path_hog", "latency", F.lit("error"), F.col("share") / 100, F.lit(x.path_share), _me))
+        out = out.unionByName(_finding(hog, "critical_path_hog", "latency", F.lit("error"), F.col("share") / 100, F.lit(x.path_share), _me()))
     return out
 
 
@@ -153,7 +157,7 @@ def contract_violations(g: GraphFrames, x: Limits) -> DataFrame:
     open_ = F.coalesce(F.size(F.filter("findings", lambda f: (f["severity"] == "critical") & ~F.coalesce(f["status"], F.lit("open")).isin("resolved", "repaired"))), F.lit(0))
     a = ok.withColumn("k", failed).filter("k > 0")
     b = ok.withColumn("k", open_).filter("k > 0")
-    return _finding(a, "success_with_failed_commands", "contract", F.lit("error"), F.col("k"), F.lit(0), _me).unionByName(_finding(b, "success_with_open_findings", "contract", F.lit("critical"), F.col("k"), F.lit(0), _me))
+    return _finding(a, "success_with_failed_commands", "contract", F.lit("error"), F.col("k"), F.lit(0), _me()).unionByName(_finding(b, "success_with_open_findings", "contract", F.lit("critical"), F.col("k"), F.lit(0), _me()))
 
 
 RULES = (retry_loops, rejection_loops, token_spikes, reasoning_share, unbounded_growth, structure, latency, error_cascades, contract_violations)

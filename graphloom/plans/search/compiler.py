@@ -7,6 +7,7 @@ over all text fields by weight.
 
 from __future__ import annotations
 
+import functools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,52 +37,59 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-m = M.m
-
-#: Field names (without case, dashes and underscores) and what they read from a node.
-NODE_FIELDS: dict[tuple[str, ...], Column] = {
-    ("id",): _col("id"),
-    ("name", "label", "title"): _col("name"),
-    ("description", "desc"): _col("description"),
-    ("type", "kind", "archetype"): _texts(_col("kind"), _col("type"), M.label(M.KIND)),
-    ("status", "state"): _texts(_col("status"), M.STATUS, M.label(M.STATUS)),
-    ("step", "stepnumber", "round"): F.coalesce(_col("step"), M.meta("round")),
-    ("steplabel",): _col("step_label"),
-    ("model", "llm", "harnessmodel"): _texts(_col("model"), _col("harness_model"), F.col("host_agent.model")),
-    ("tier",): _texts(_col("tier"), F.col("host_agent.tier")),
-    ("effort", "reasoningeffort", "thinking", "thinkinglevel"): _texts(F.col("host_agent.reasoning_effort"), F.col("host_agent.thinking_level")),
-    ("priority", "rank"): F.coalesce(_col("rank").cast("string"), _col("group")),
-    ("section", "sectionid", "group"): _texts(_col("section_id"), _col("group")),
-    ("scope", "writescope", "files", "file", "path"): F.concat(_meta_list("writeScope"), _of("files", lambda f: f["path"]), _texts(M.meta("repoPath", "string", "context"))),
-    ("tool", "tools"): _of("tools", lambda t: t["name"]),
-    ("badge", "badges"): F.concat(_texts(_col("badge_text")), _of("badges", lambda b: b["label"])),
-    ("duration", "durationms", "time", "latency"): M.DURATIONS["dur_search"],
-    ("tokens", "totaltokens", "token"): M.TOKENS["tok_search"],
-    ("tokensin", "prompttokens", "inputtokens"): F.coalesce(m["tokens_in"], m["tokens"]["prompt"]),
-    ("tokensout", "completiontokens", "outputtokens"): F.coalesce(m["tokens_out"], m["tokens"]["completion"]),
-    ("cost", "costusd"): m["cost_usd"],
-    ("retries", "repairs", "repairrounds"): F.coalesce(m["retries"], m["repair_rounds"], M.meta("repairRounds")),
-    ("actor", "actorid", "agent", "leaseagent"): _texts(M.meta("leaseAgent", "string"), F.col("host_agent.name"), M.meta("actorId", "string")),
-    ("severity",): _of("findings", lambda f: f["severity"]),
-    ("finding", "findings", "observation", "remediation"): F.concat(_of("findings", lambda f: f["observation"]), _of("findings", lambda f: f["remediation"]), _of("findings", lambda f: f["id"])),
-    ("prompt",): _col("prompt"),
-    ("output",): _col("output"),
-    ("logs", "log"): _col("logs"),
-}
-EDGE_FIELDS: dict[tuple[str, ...], Column] = {
-    ("id",): _col("id"),
-    ("source", "from"): _col("source"),
-    ("target", "to"): _col("target"),
-    ("label", "title"): _texts(_col("label"), F.col("container.title")),
-    ("description", "desc"): _col("description"),
-    ("kind", "type"): _texts(_col("kind"), F.col("container.variant")),
-    ("condition",): _col("condition"),
-    ("status",): F.col("traffic.status"),
-    ("volume", "traffic", "trafficvolume"): F.coalesce(_col("traffic_volume"), F.col("traffic.volume")),
-    ("tokens",): F.coalesce(_col("tokens"), F.col("traffic.tokens")),
-    ("bytes",): F.col("traffic.bytes"),
-    ("severity",): _of("exchanges", lambda x: x["severity"]),
-}
+@functools.lru_cache
+def node_fields() -> dict[tuple[str, ...], Column]:
+    """Field names (without case, dashes and underscores) and what they read from a node."""
+    m = M.m
+    return {
+        ("id",): _col("id"),
+        ("name", "label", "title"): _col("name"),
+        ("description", "desc"): _col("description"),
+        ("type", "kind", "archetype"): _texts(_col("kind"), _col("type"), M.label(M.KIND)),
+        ("status", "state"): _texts(_col("status"), M.STATUS, M.label(M.STATUS)),
+        ("step", "stepnumber", "round"): F.coalesce(_col("step"), M.meta("round")),
+        ("steplabel",): _col("step_label"),
+        ("model", "llm", "harnessmodel"): _texts(_col("model"), _col("harness_model"), F.col("host_agent.model")),
+        ("tier",): _texts(_col("tier"), F.col("host_agent.tier")),
+        ("effort", "reasoningeffort", "thinking", "thinkinglevel"): _texts(F.col("host_agent.reasoning_effort"), F.col("host_agent.thinking_level")),
+        ("priority", "rank"): F.coalesce(_col("rank").cast("string"), _col("group")),
+        ("section", "sectionid", "group"): _texts(_col("section_id"), _col("group")),
+        ("scope", "writescope", "files", "file", "path"): F.concat(_meta_list("writeScope"), _of("files", lambda f: f["path"]), _texts(M.meta("repoPath", "string", "context"))),
+        ("tool", "tools"): _of("tools", lambda t: t["name"]),
+        ("badge", "badges"): F.concat(_texts(_col("badge_text")), _of("badges", lambda b: b["label"])),
+        ("duration", "durationms", "time", "latency"): M.DURATIONS["dur_search"],
+        ("tokens", "totaltokens", "token"): M.TOKENS["tok_search"],
+        ("tokensin", "prompttokens", "inputtokens"): F.coalesce(m["tokens_in"], m["tokens"]["prompt"]),
+        ("tokensout", "completiontokens", "outputtokens"): F.coalesce(m["tokens_out"], m["tokens"]["completion"]),
+        ("cost", "costusd"): m["cost_usd"],
+        ("retries", "repairs", "repairrounds"): F.coalesce(m["retries"], m["repair_rounds"], M.meta("repairRounds")),
+        ("actor", "actorid", "agent", "leaseagent"): _texts(M.meta("leaseAgent", "string"), F.col("host_agent.name"), M.meta("actorId", "string")),
+        ("severity",): _of("findings", lambda f: f["severity"]),
+        ("finding", "findings", "observation", "remediation"): F.concat(_of("findings", lambda f: f["observation"]), _of("findings", lambda f: f["remediation"]), _of("findings", lambda f: f["id"])),
+        ("prompt",): _col("prompt"),
+        ("output",): _col("output"),
+        ("logs", "log"): _col("logs"),
+    }
+
+
+@functools.lru_cache
+def edge_fields() -> dict[tuple[str, ...], Column]:
+    return {
+        ("id",): _col("id"),
+        ("source", "from"): _col("source"),
+        ("target", "to"): _col("target"),
+        ("label", "title"): _texts(_col("label"), F.col("container.title")),
+        ("description", "desc"): _col("description"),
+        ("kind", "type"): _texts(_col("kind"), F.col("container.variant")),
+        ("condition",): _col("condition"),
+        ("status",): F.col("traffic.status"),
+        ("volume", "traffic", "trafficvolume"): F.coalesce(_col("traffic_volume"), F.col("traffic.volume")),
+        ("tokens",): F.coalesce(_col("tokens"), F.col("traffic.tokens")),
+        ("bytes",): F.col("traffic.bytes"),
+        ("severity",): _of("exchanges", lambda x: x["severity"]),
+    }
+
+
 #: Fields with numbers; all others are texts.
 NUMERIC = {"step", "stepnumber", "round", "duration", "durationms", "time", "latency", "tokens", "totaltokens", "token", "tokensin", "prompttokens", "inputtokens", "tokensout", "completiontokens", "outputtokens", "cost", "costusd", "retries", "repairs", "repairrounds", "volume", "traffic", "trafficvolume", "bytes"}
 ARRAYS = {"type", "kind", "archetype", "status", "state", "model", "llm", "harnessmodel", "tier", "effort", "reasoningeffort", "thinking", "thinkinglevel", "section", "sectionid", "group", "scope", "writescope", "files", "file", "path", "tool", "tools", "badge", "badges", "actor", "actorid", "agent", "leaseagent", "severity", "finding", "findings", "observation", "remediation"}
@@ -101,7 +109,7 @@ class Compiler:
 
     def __init__(self, entity: str, threshold: float = 0.75, case_sensitive: bool = False, custom: dict[str, Column] | None = None, empty_matches: bool = True):
         self.node = entity == "node"
-        self.fields = _lookup(NODE_FIELDS if self.node else EDGE_FIELDS)
+        self.fields = _lookup(node_fields() if self.node else edge_fields())
         if self.node:
             self.fields |= {"writescope_only": _meta_list("writeScope"), "files_only": _of("files", lambda f: f["path"])}
         self.arrays = (ARRAYS | {"writescope_only", "files_only"}) if self.node else EDGE_ARRAYS
@@ -257,7 +265,7 @@ OPERATOR_HINTS = (":", "=", "!=", ">", ">=", "<", "<=", "~", ":in(")
 def suggest(g: GraphFrames, text: str, limit: int = 10) -> list[tuple[str, str]]:
     """Completions (kind, text) at the end of a query: fields, operators after a field, values seen in the data."""
     word = text.split()[-1] if text and not text[-1].isspace() else ""
-    fields = sorted({names[0] for names in NODE_FIELDS} | {names[0] for names in EDGE_FIELDS})
+    fields = sorted({names[0] for names in node_fields()} | {names[0] for names in edge_fields()})
     for op in (":", "=", "~", ">", "<"):
         name, sep, begun = word.partition(op)
         if sep:
