@@ -243,8 +243,8 @@ def anomaly_health(spark, sf_dir):
 
 @query()
 def anomaly_report(spark, sf_dir):
-    """All rules over the conversation graphs, with cycles and critical paths."""
-    return anomaly.detect(graph(spark, sf_dir, "conversation"))
+    """All rules over the cyclic customer graph."""
+    return anomaly.detect(graph(spark, sf_dir, "loyal"))
 
 
 @query(f"""{S} SELECT kind, status, count(*) AS nodes, upper(kind) AS label FROM nodes GROUP BY 1, 2""")
