@@ -57,7 +57,9 @@ def first_sights(packets: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
         return rows.loc[keep, columns]
 
     p = packets.withColumn("packet_key", key()).withColumn("arrival_ms", F.unix_millis("ts"))
-    return p.groupBy("packet_key").applyInPandas(f, packets.schema)
+    p = p.withColumn("sights", F.count(F.lit(1)).over(Window.partitionBy("packet_key")))
+    again = p.filter("sights > 1").groupBy("packet_key").applyInPandas(f, packets.schema)
+    return p.filter("sights = 1").select(*columns).unionByName(again)
 
 
 def shed(batch: DataFrame, capacity: int, policy: str = "drop_low_priority") -> DataFrame:
