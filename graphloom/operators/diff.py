@@ -81,7 +81,7 @@ def finding_diff(base: GraphFrames, comp: GraphFrames, by_node: bool = True) ->
 
     def pick(g: GraphFrames) -> DataFrame:
         f = g.nodes.select("graph_id", "id", "ord", F.posexplode("findings").alias("pos", "f"))
-        f = f.select("graph_id", "id", "ord", "pos", key(F.col("f")).alias("finding"), ~F.coalesce(F.col("f.status"), F.lit("open")).isin("resolved", "repaired", "closed").alias("is_open"))
+        f = f.select("graph_id", "id", "ord", "pos", key(F.col("f")).alias("finding"), (~F.coalesce(F.col("f.status"), F.lit("open")).isin("resolved", "repaired", "closed")).alias("is_open"))
         keys = ["graph_id", "id", "finding"] if by_node else ["graph_id", "finding"]
         return f.groupBy(*keys).agg(F.max_by("is_open", F.struct("ord", "pos")).alias("is_open"))
 
