@@ -32,14 +32,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Bytes of a plan's estimated size, and rows where the caller knows a bound, that make up one scratch file.
+FILE_BYTES, FILE_ROWS = 16 << 20, 100_000
+
+
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts lineage so that lost executors cost only the tasks they held, and fixes values such as row ids.
+    Cuts lineage so that lost executors cost only the tasks they held, and fixes values such as row ids. Small tables
+    are written in few files: two for each core at most, unless their estimated size, or the bound ``rows``, needs more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if rows is None else 0
+    files = rows // FILE_ROWS + 1 if rows is not None else min(size // FILE_BYTES + 1, 1 << 30)
+    df.coalesce(max(2 * spark.sparkContext.defaultParallelism, files)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
