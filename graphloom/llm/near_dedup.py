@@ -56,8 +56,8 @@ def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text
     return d.mapInArrow(sketch, f"id {kind}, _hash long, n long, sig binary, sketch array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. ``texts``: (rid, text)."""
+def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: int) -> DataFrame:
+    """The pairs (a, b), ``most`` at most, whose full sets have 100 * intersection >= percent * union. ``texts``: (rid, text)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
@@ -70,7 +70,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
     left = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
-    return stage(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links")
+    return stage(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links", most)
 
 
 def _ordinary_pairs(lists: DataFrame, share: float) -> DataFrame:
@@ -144,12 +144,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         F.min(F.struct("id", "_hash")).alias("one"),
     )
     nodes = stage(nodes.withColumn("rid", F.monotonically_increasing_id()), "nodes")
+    count = nodes.count()
 
     lists = nodes.select("rid", F.posexplode("sketch").alias("pos", "v"))
     shared = lists.groupBy("v").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = broadcast_if_few(stage(shared, "values"))
+    shared = broadcast_if_few(stage(shared, "values", SKETCH * count))
     # Only shared values matter further on, but ranks count all values that aren't frequent.
-    postings = stage(lists.join(shared, "v"), "postings")
+    postings = stage(lists.join(shared, "v"), "postings", SKETCH * count)
     frequent = F.col("c") > LIST
     of_node = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = postings.withColumn("before", F.sum(F.when(frequent, 1).otherwise(0)).over(of_node))
@@ -157,7 +158,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     ranked = ranked.withColumn("often", F.sum(F.when(frequent, 1).otherwise(0)).over(Window.partitionBy("rid")))
     ranked = ranked.withColumn("rank", F.when(frequent, F.col("before")).otherwise(F.col("pos") + 1 - F.col("before")))
     ranked = ranked.withColumn("held", F.least(F.col("size") - F.col("often"), F.lit(RETAINED)))
-    ranked = stage(ranked.select("v", "c", "rid", "rank", "held", "often", frequent.alias("frequent")), "ranked")
+    ranked = stage(ranked.select("v", "c", "rid", "rank", "held", "often", frequent.alias("frequent")), "ranked", SKETCH * count)
 
     ordinary = ranked.filter(~F.col("frequent") & (F.col("rank") <= RETAINED)).select("v", "rid", "rank", "held")
     pairs = _ordinary_pairs(ordinary, share)
@@ -166,11 +167,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     centre = common.groupBy("v").agg(F.max(F.struct("often", (-F.col("rid")).alias("r"))).alias("top"))
     stars = common.join(centre.select("v", (-F.col("top.r")).alias("centre")), "v").filter("rid <> centre")
     stars = stars.select(F.least("rid", "centre").alias("a"), F.greatest("rid", "centre").alias("b"), F.lit(1.0).alias("est"))
-    pairs = stage(pairs.unionByName(stars.distinct()), "pairs")
+    pairs = stage(pairs.unionByName(stars.distinct()), "pairs", RETAINED * count)
 
     involved = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(common.select("rid")).distinct()
     wanted = nodes.join(involved, "rid", "left_semi").select("rid", F.col("one.id").alias("_id"), F.col("one._hash").alias("_hash"))
-    texts = join_decisions(docs, stage(wanted, "wanted"), "inner", key, text)
+    texts = join_decisions(docs, stage(wanted, "wanted", count), "inner", key, text)
     # Rows repeated with one id and text would repeat their links.
     texts = stage(texts.select("x.rid", F.coalesce(F.col(f"d.`{text}`"), F.lit("")).alias("text")), "texts")
     texts = texts if texts.count() == texts.select("rid").distinct().count() else stage(texts.groupBy("rid").agg(F.first("text").alias("text")), "texts")
@@ -178,23 +179,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # First each node's likeliest link, then whatever is left between components.
     best = Window.partitionBy("b").orderBy(F.desc("est"), "a")
     first = pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b")
-    links = verify(stage(first, "first"), texts, words, percent)
-    rest = _across(pairs.select("a", "b").exceptAll(first).distinct(), components(links))
-    links = links.unionByName(verify(stage(rest, "rest"), texts, words, percent))
-    labels = components(links)
+    links = verify(stage(first, "first", count), texts, words, percent, count)
+    rest = _across(pairs.select("a", "b").exceptAll(first).distinct(), components(links, count))
+    links = links.unionByName(verify(stage(rest, "rest", RETAINED * count), texts, words, percent, RETAINED * count))
+    labels = components(links, count)
     if not common.isEmpty():
         seen = common.join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
         largest = seen.groupBy("v", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "label")).alias("top"))
-        odd = stage(seen.join(largest, "v").filter("label <> top.label").select("v", "rid", "label"), "odd")
+        odd = stage(seen.join(largest, "v").filter("label <> top.label").select("v", "rid", "label"), "odd", FREQUENT * count)
         if not odd.isEmpty():
             with_text = lambda x: x.select("v", "rid", "label").join(texts, "rid")
             members = with_text(seen.join(odd.select("v").distinct(), "v", "left_semi"))
-            links = links.unionByName(stage(_block_links(with_text(odd), members, words, percent), "more"))
-            labels = components(links)
+            links = links.unionByName(stage(_block_links(with_text(odd), members, words, percent), "more", FREQUENT * count))
+            labels = components(links, count)
 
     named = nodes.select("rid", "sig", "least", "rows").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(smallest, "label").select("sig", "rows", "component_id"), "named")
+    named = stage(named.join(smallest, "label").select("sig", "rows", "component_id"), "named", count)
     linked = join_split(some.select("id", "_hash", "n", "sig"), named, "sig", "rows", total).select("id", "_hash", "n", "component_id")
     alone = rows.filter("n = 0").select("id", "_hash", "n", F.col("id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -175,17 +175,19 @@ def _runs(seg: np.ndarray, offset: np.ndarray, first: np.ndarray, size: int) ->
 
 def repeated_spans(docs: DataFrame, slim: DataFrame, key: str, text: str, size: int, gram: int) -> DataFrame:
     """Spans (row, lo, hi) of bytes under repeated windows; they may overlap. ``slim``: row, id, _hash, segs."""
+    windows = slim.agg(F.coalesce(F.sum(F.size("segs")), F.lit(0))).first()[0]
     segs = slim.select("row", F.explode("segs").alias("s")).select("row", "s.*")
     shared = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    segs = stage(segs.join(broadcast_if_few(stage(shared, "anchors")), "anchor"), "shared")
+    shared = stage(shared, "anchors", windows)
+    segs = stage(segs.join(broadcast_if_few(shared), "anchor"), "shared", windows)
     content = ["anchor", "whole", "rel", "n"]
     contents = segs.groupBy(*content).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo")).alias("one"))
-    contents = stage(contents, "contents")
+    contents = stage(contents, "contents", windows)
     twice = contents.filter("c > 1").select(*content)
     full = segs.join(broadcast_if_few(twice), content).select("row", "lo", (F.col("lo") + F.col("n") + (size - 1)).alias("hi"))
 
     per = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("fewest")).filter("m > 1 and fewest = 1")
-    mixed = contents.join(broadcast_if_few(stage(per.select("anchor", "m"), "mixed")), "anchor")
+    mixed = contents.join(broadcast_if_few(stage(per.select("anchor", "m"), "mixed", windows)), "anchor")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mixed = mixed.select("anchor", F.pmod(F.xxhash64("whole"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "rel", "n", "c", "one.row", "one.lo")
     lone = F.struct("anchor", "block", "blocks", "rel", "n", "c", "lo", "row")
