@@ -6,13 +6,15 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a joined side may be broadcast; callers count first and shuffle beyond it.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a joined side may be broadcast; callers measure first and shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -50,14 +52,32 @@ def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than are needed to tell."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else unchanged so that the join shuffles."""
-    return F.broadcast(df) if few(df, rows) else df
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes that a value holds, about: 8 for what is fixed, the length of texts, the elements of arrays."""
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_width(value[f.name], f.dataType) for f in kind], F.lit(8))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 8 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        fixed = kind.elementType.simpleString() in ("bigint", "int", "double")
+        each = F.lit(8) if fixed else None
+        if fixed:
+            return 8 + F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)) * each
+        return 8 + F.coalesce(F.aggregate(value, F.lit(0), lambda a, x: a + _width(x, kind.elementType).cast("int")), F.lit(0))
+    return F.lit(8)
+
+
+def few(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` holds at most ``most`` bytes, row overheads counted as 32. Of more rows than fit only so many are read."""
+    if df.limit(most // 40 + 1).count() > most // 40:
+        return False
+    size = reduce(lambda a, b: a + b, [_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema], F.lit(32))
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
+
+
+def broadcast_if_few(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``most`` bytes, else unchanged so that the join shuffles."""
+    return F.broadcast(df) if few(df, most) else df
 
 
 def let(value: Column, body) -> Column:
