@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import join_decisions, or_empty, squeeze
-from graphloom.runtime import stage
+from graphloom.runtime import broadcast_if_few, stage
 
 #: A digest is frequent if it holds at least 1/SHARE of the rows; so at most SHARE digests are broadcast.
 SHARE = 1000
@@ -71,7 +71,7 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     if same.isEmpty():
         return kept
     digest = F.sha2(squeeze(or_empty(text)), 256)
-    same = F.broadcast(same) if same.count() <= 1_000_000 else same
+    same = broadcast_if_few(same)
     on = F.col(f"k.`{key}`").eqNullSafe(F.col("s._id")) & (F.col("k._digest") == F.col("s.text_sha256"))
     k, s = kept.withColumn("_digest", digest).alias("k"), same.alias("s")
     once = k.join(s, on, "left_anti").select("k.*").drop("_digest")

@@ -94,7 +94,7 @@ def frequent_lines(stats: DataFrame, max_docs: int = MAX_DOCS, max_percent: floa
     per = s.select("host", "document", F.explode("hs").alias("h")).distinct()
     per = per.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs)
     hosts = s.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    a, b = per.alias("a"), F.broadcast(hosts).alias("b") if hosts.limit(100_001).count() <= 100_000 else hosts.alias("b")
+    a, b = per.alias("a"), broadcast_if_few(hosts).alias("b")
     hot = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host"))).filter(F.col("n_docs") * 100 > F.col("total") * max_percent)
     return hot.select("a.host", "h", "n_docs")
 

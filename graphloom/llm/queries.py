@@ -128,4 +128,26 @@ SQL = {
                (greatest(least(start + size, words) - start, 0)
                 + greatest(least(start + source_size + size, words) - start - source_size, 0))::BIGINT AS taken
         FROM p""",
+    "op3_wacz": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        q AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform(range(4), lambda k:
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || substr(x, 5 * i + 1, 5))::BIGINT >> (15 - 5 * k)) & 31) + 1]), '')), '') AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM q""",
+    "op10_near_dedup": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, k FROM (
+                SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)
+                UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3) GROUP BY 1, 2),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r(id, far) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, link.b FROM r JOIN link ON link.a = r.far),
+        c AS (SELECT id, min(far) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)""",
 }
