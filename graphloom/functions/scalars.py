@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -135,23 +136,33 @@ def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(text, r"\x1B\[[0-9;?]*[ -/]*[@-~]", "")
 
 
-# Agent roles and severities read from parts of ids and messages, in the order of their tests.
-ROLE_PARTS = {"orchestrator": "orchestrator", "coordinator": "coordinator", "critic": "critic", "validat": "validator", "review": "reviewer", "plan": "planner", "implement": "implementer", "worker": "worker", "test": "tester"}
-SEVERITY_PARTS = {"critical": "critical", "fatal": "critical", "error": "error", "fail": "error", "reject": "error", "warn": "warning"}
+# Parts of agent ids by the role they tell, in the order of their tests; severities of event types.
+ROLE_PARTS = {
+    "orchestrator": ("orchestrator", "meta", "coord", "root"), "critic": ("critic", "review", "eval"), "validator": ("validator", "val-", "-val", "val_", "audit", "check"),
+    "system": ("system", "engine", "harness"), "user": ("user",), "implementer": ("impl", "worker", "dev", "coder"),
+}
+SEVERITY_OF = {"validation_rejected": "reject", "error": "reject", "validation_approved": "approve", "critic_approved": "approve", "warn": "warn"}
 
 
-def inferred(text: Column, parts: dict[str, str], fallback: str) -> Column:
-    low, out = F.lower(text), None
-    for part, name in parts.items():
-        hit = F.contains(low, F.lit(part))
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out.otherwise(F.lit(fallback))
+def inferred_role(agent_id: Column) -> Column:
+    """The role that an agent's id tells, implementer if none."""
+    low, out = F.lower(agent_id), None
+    for role, parts in ROLE_PARTS.items():
+        hit = low.rlike("|".join(parts))
+        out = F.when(hit, F.lit(role)) if out is None else out.when(hit, F.lit(role))
+    return out.otherwise(F.lit("implementer"))
+
+
+def inferred_severity(event_type: Column) -> Column:
+    return F.coalesce(*[F.when(event_type == k, F.lit(v)) for k, v in SEVERITY_OF.items()], F.lit("info"))
 
 
-def transition_kind(frm: Column, to: Column, reason: Column) -> Column:
-    """Whether a state change is a probe, a pushback, or plain."""
-    said = F.lower(F.concat_ws(" ", to, reason))
-    return F.when(said.rlike("reject|pushback|return"), F.lit("pushback")).when(said.rlike("probe|challenge|question"), F.lit("probe")).otherwise(F.lit("plain"))
+def transition_kind(verdict: Column, finding_class: Column, to: Column) -> Column:
+    """Whether a state change is a probe (it demands proof), a pushback (it asserts a defect), or plain."""
+    said, kind = F.lower(F.coalesce(verdict, F.lit(""))), F.lower(F.coalesce(finding_class, F.lit("")))
+    probe = (said == "probe") | (kind == "probe_demand")
+    push = said.isin("reject", "fail") | (kind == "defect") | F.coalesce(to == "rejected", F.lit(False))
+    return F.when(probe, F.lit("probe")).when(push, F.lit("pushback")).otherwise(F.lit("plain"))
 
 
 # ---- geometry
@@ -200,27 +211,42 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 # ---- sequential text functions, as Arrow-batched UDFs
 
 
+def _starts_word(text: str, i: int) -> bool:
+    return i == 0 or text[i - 1] in " \t\n-_/." or text[i - 1].islower() and text[i].isupper()
+
+
 def fuzzy_score(query: str, text: str) -> float:
-    """Command-palette score, 0 if none: exact, prefix, word prefix, initials, then subsequence with bonuses for runs."""
-    q, t = query.strip().lower(), text.lower()
-    if not q:
+    """Command-palette score, 0 if none: exact, prefix, prefix of a word, initials, then subsequence with bonuses."""
+    text, q = text.strip(), query.strip().lower()
+    low, n, m = text.lower(), len(text), len(q)
+    if not q or not text:
         return 0.0
-    if q == t:
-        return 1000.0 + len(q)
-    if t.startswith(q):
-        return 800.0 - min(len(t) - len(q), 100)
-    at = next((i for i in range(1, len(t)) if not t[i - 1].isalnum() and t.startswith(q, i)), None)
-    if at is not None:
-        return 650.0 - min(at, 100)
-    initials = "".join(w[0] for w in t.replace("-", " ").replace("_", " ").split())
-    if initials.startswith(q):
-        return 550.0 + len(q)
-    score, i, last = 100.0, 0, -2
-    for j, ch in enumerate(t):
-        if i < len(q) and ch == q[i]:
-            score += 10 + (15 if j == last + 1 else 0)
-            i, last = i + 1, j
-    return max(1.0, score - len(t) * 0.5) if i == len(q) else 0.0
+    if low == q:
+        return 1000.0 + max(0, 100 - n)
+    if low.startswith(q):
+        return 800.0 - min(200, 2 * (n - m))
+    for k, word in enumerate(re.split(r"[\s\-_/.]+", low)):
+        if word.startswith(q):
+            return 650.0 - 20 * k - min(100, 2 * (len(word) - m))
+    initials = iter(c for i, c in enumerate(low) if c.isalnum() and _starts_word(text, i))
+    if m > 1 and all(c in initials for c in q):
+        return 550.0 + max(0, 50 - (n - m))
+    score, run, last, k = 100, 0, -1, 0
+    for i, c in enumerate(low):
+        if k == m:
+            break
+        if c != q[k]:
+            continue
+        score += 35 if _starts_word(text, i) else 0
+        if last >= 0 and i == last + 1:
+            run += 1
+            score += 20 * run
+        else:
+            run = 0
+            score -= min(30, 2 * (i - last - 1)) if last >= 0 else 0
+        score -= min(40, 3 * i) if k == 0 else 0
+        last, k = i, k + 1
+    return float(max(10, score + max(0, 100 - n))) if k == m else 0.0
 
 
 def fuzzy_udf(query: str):

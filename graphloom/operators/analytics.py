@@ -267,14 +267,28 @@ def heatmap(g: GraphFrames, scale: str = "linear") -> DataFrame:
     return n.select("graph_id", "id", "ms", normalised(F.col("ms"), F.col("lo"), F.col("hi"), scale, F.col("q")).alias("heat"))
 
 
-def node_risk(g: GraphFrames, limits: tuple[float, float, float] = (3, 50_000, 30_000)) -> DataFrame:
-    """Risk of six weighted factors, 0 to 100: failure, repairs, open findings, tokens, latency, fan-in and fan-out."""
-    retries, tokens, ms = limits
-    ends = g.edges.select("graph_id", F.explode(F.array("source", "target")).alias("id")).groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("degree"))
-    unit = lambda x, most: F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0)) / most)
-    failed = F.when(F.col("status") == "error", 1.0).when(F.col("status") == "warning", 0.5).otherwise(0.0)
-    open_ = F.size(F.filter("findings", lambda f: ~F.coalesce(f["status"], F.lit("open")).isin("resolved", "repaired"))).cast("double")
-    n = g.nodes.join(ends, ["graph_id", "id"], "left")
-    score = 35 * failed + 20 * unit(M.REPAIRS_RISK, retries) + 20 * unit(F.greatest(open_, F.lit(0.0)), 3) + 10 * unit(M.TOKENS["tok_lens"], tokens) + 10 * unit(_ms("dur_heatmap"), ms) + 5 * unit(F.col("degree").cast("double"), 10)
-    level = F.when(F.col("risk") >= 70, "critical").when(F.col("risk") >= 45, "high").when(F.col("risk") >= 20, "medium").otherwise("low")
-    return n.select("graph_id", "id", js_round(score, 2).alias("risk")).withColumn("level", level)
+# Weights of the risk factors.
+RISK_WEIGHTS = {"status": 0.3, "retries": 0.25, "findings": 0.2, "commands": 0.15, "complexity": 0.05, "blast": 0.05}
+
+
+def node_risk(g: GraphFrames, weights: dict[str, float] = RISK_WEIGHTS) -> DataFrame:
+    """Weighted risk of six factors in [0, 1]: status, retries, open findings, failed commands, complexity, fan-out."""
+    outs = g.edges.groupBy("graph_id", F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"))
+    n = g.nodes.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("graph_id"))).join(outs, ["graph_id", "id"], "left")
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    many = lambda a, f: F.greatest(F.coalesce(F.size(F.filter(a, f)), F.lit(0)), F.lit(0))
+    status = F.when(F.col("status") == "error", 1.0).when(F.col("status") == "warning", 0.6).when(F.col("status") == "running", 0.2).when(F.col("status") == "pending", 0.1).when(F.col("status") == "skipped", 0.05).otherwise(0.0)
+    tries = M.REPAIRS_RISK + F.coalesce(M.meta("repairRounds"), F.lit(0.0)) + many("provenance", lambda e: e["status"].isin("error", "rejected"))
+    critical, open_ = many("findings", lambda f: (f["status"] == "open") & (f["severity"] == "critical")), many("findings", lambda f: f["status"] == "open")
+    failed = many("commands", lambda c: c["exit_code"] != 0)
+    hard = F.when(F.col("telemetry.model_tier.value") == "l", 0.4).otherwise(0.0) + F.when(F.col("host_agent.reasoning_effort") == "high", 0.3).otherwise(0.0) + F.when(F.size("tools") > 4, 0.3).otherwise(0.0)
+    factors = {
+        "status": status, "retries": F.when(tries >= 3, 1.0).otherwise(unit(tries * 0.35)), "findings": unit(critical * 0.5 + (open_ - critical) * 0.2),
+        "commands": F.when(failed > 0, unit(0.5 + failed * 0.25)).otherwise(0.0), "complexity": unit(hard), "blast": unit(F.coalesce("out_degree", F.lit(0)) / F.greatest(F.lit(1.0), F.col("size") * 0.3)),
+    }
+    n = n.select("graph_id", "id", *[c.alias(f"{k}_risk") for k, c in factors.items()])
+    whole = sum(weights.values())
+    raw = sum((F.col(f"{k}_risk") * w for k, w in weights.items()), F.lit(0.0))
+    n = n.withColumn("risk", js_round(raw / whole, 4) if whole else F.lit(0.0))
+    level = F.when(F.col("risk") >= 0.75, "critical").when(F.col("risk") >= 0.5, "high").when(F.col("risk") >= 0.25, "moderate").otherwise("low")
+    return n.withColumn("level", level)

@@ -31,6 +31,7 @@ class Limits:
     latency_ms: float = 30_000
     edge_latency_ms: float = 5_000
     path_share: float = 0.35
+    lease_ms: float = 600_000
     samples: int = 3
 
 
@@ -54,36 +55,42 @@ def _me() -> Column:
 
 
 def retry_loops(g: GraphFrames, x: Limits) -> DataFrame:
-    """Any retries or repair rounds warn; at a limit they are errors, at twice the limit critical."""
+    """Any retries or repair rounds warn; at a limit they are errors; at twice a limit, or two of both, critical."""
     rejected = F.coalesce(F.size(F.filter("provenance", lambda e: F.lower(e["type"]).contains("reject"))), F.lit(0))
     attempts = F.coalesce(F.array_max(F.transform("provenance", lambda e: e["attempt"])) - 1, F.lit(0))
     tries = F.greatest(F.coalesce(M.m["retries"], F.lit(0.0)), rejected.cast("double"), attempts.cast("double"))
     n = g.nodes.select("graph_id", "id", tries.alias("tries"), F.coalesce(M.m["repair_rounds"], F.lit(0.0)).alias("rounds")).filter("tries > 0 or rounds > 0")
-    severity = F.when((F.col("tries") >= 2 * x.retries) | (F.col("rounds") >= 2 * x.repairs), "critical").when((F.col("tries") >= x.retries) | (F.col("rounds") >= x.repairs), "error").otherwise("warning")
-    return _finding(n, "runaway_retry_loop", "reliability", severity, F.greatest("tries", "rounds"), F.lit(x.retries), _me())
+    excess = (F.col("tries") >= x.retries) | (F.col("rounds") >= x.repairs)
+    twice = (F.col("tries") >= 2 * x.retries) | (F.col("rounds") >= 2 * x.repairs) | ((F.col("tries") >= 2) & (F.col("rounds") >= 2))
+    severity = F.when(excess & twice, "critical").when(excess, "error").otherwise("warning")
+    value = F.when(excess, F.col("tries") + F.col("rounds")).otherwise(F.col("tries"))
+    return _finding(n, "runaway_retry_loop", "execution", severity, value, F.lit(x.retries), _me())
 
 
 def rejection_loops(g: GraphFrames, x: Limits) -> DataFrame:
-    """Loop and pushback edges that carry as many rejections as repairs are allowed."""
-    n = F.coalesce(F.size(F.filter("exchanges", lambda e: (e["verdict"] == "rejected") | (e["type"] == "rejection") | (e["status"] == "rejected"))), F.lit(0))
-    e = g.edges.filter(F.col("kind").isin("loop", "pushback")).select("graph_id", "id", "source", "target", n.alias("n")).filter(F.col("n") >= x.repairs)
-    return _finding(e, "rejection_loop", "reliability", F.lit("error"), F.col("n"), F.lit(x.repairs), F.array("source", "target"), _me())
+    """Loop, pushback and cycle edges that carry as many rejections or repairs as repair rounds are allowed."""
+    n = F.coalesce(F.size(F.filter("exchanges", lambda e: e["type"].isin("rejection", "repair") | (e["verdict"] == "FAIL"))), F.lit(0))
+    e = g.edges.filter(F.col("kind").isin("loop", "pushback") | F.coalesce("is_cycle", F.lit(False))).select("graph_id", "id", "source", "target", n.alias("n")).filter(F.col("n") >= x.repairs)
+    return _finding(e, "runaway_retry_loop", "execution", F.when(F.col("n") >= 2 * x.repairs, "critical").otherwise("error"), F.col("n"), F.lit(x.repairs), F.array("source", "target"), _me())
 
 
 def token_spikes(g: GraphFrames, x: Limits) -> DataFrame:
-    """Too many tokens outright, or far above the graph's mean."""
+    """Too many tokens outright, or above both the mean by deviations and twice the mean."""
     w = Window.partitionBy("graph_id")
     n = g.nodes.select("graph_id", "id", M.TOKENS["tok_anomaly"].alias("tok")).filter("tok > 0")
     n = n.withColumns({"mean": F.avg("tok").over(w), "dev": F.stddev_pop("tok").over(w), "k": F.count("tok").over(w)})
-    odd = (F.col("k") >= x.samples) & (F.col("dev") > 0) & (F.col("tok") > F.col("mean") + x.sigma * F.col("dev"))
-    n = n.filter((F.col("tok") >= x.tokens) | odd)
-    limit = F.when(F.col("tok") >= x.tokens, F.lit(x.tokens)).otherwise(F.col("mean") + x.sigma * F.col("dev"))
-    return _finding(n, "token_spike", "cost", F.when(F.col("tok") >= 2 * x.tokens, "critical").when(F.col("tok") >= x.tokens, "error").otherwise("warning"), F.col("tok"), limit, _me())
+    limit = F.col("mean") + x.sigma * F.col("dev")
+    odd = (F.col("k") >= x.samples) & (F.col("tok") >= limit) & (F.col("tok") > 2 * F.col("mean"))
+    n = n.withColumn("odd", odd).filter(F.col("odd") | (F.col("tok") >= x.tokens))
+    severe = (F.col("tok") >= 2 * x.tokens) | (F.col("tok") >= 4 * F.col("mean"))
+    return _finding(n, "cognitive_token_spike", "resource", F.when(severe, "critical").otherwise("error"), F.col("tok"), js_round(F.when(F.col("odd"), limit).otherwise(F.lit(x.tokens))), _me())
 
 
 def reasoning_share(g: GraphFrames, x: Limits) -> DataFrame:
-    n = g.nodes.select("graph_id", "id", M.REASONING.alias("r"), M.TOKENS["tok_anomaly"].alias("tok")).filter(f"tok > 10000 and try_divide(r, tok) >= {x.cognitive}")
-    return _finding(n, "reasoning_overload", "cost", F.lit("warning"), F.try_divide("r", "tok"), F.lit(x.cognitive), _me())
+    """More than 10 000 reasoning tokens that are most of a node's; from 85 %, or 40 000, critical."""
+    n = g.nodes.select("graph_id", "id", M.REASONING.alias("r"), M.TOKENS["tok_anomaly"].alias("tok")).filter(f"r > 10000 and try_divide(r, tok) >= {x.cognitive}")
+    severe = (F.try_divide("r", "tok") >= 0.85) | (F.col("r") >= 40_000)
+    return _finding(n, "cognitive_token_spike", "resource", F.when(severe, "critical").otherwise("error"), F.col("r"), js_round(F.col("tok") * x.cognitive), _me())
 
 
 def unbounded_growth(g: GraphFrames, x: Limits, factor: float = 3, least: float = 25_000) -> DataFrame:
@@ -91,54 +98,70 @@ def unbounded_growth(g: GraphFrames, x: Limits, factor: float = 3, least: float
     w = Window.partitionBy("graph_id").orderBy("step", "ord")
     n = g.nodes.select("graph_id", "id", "step", "ord", M.TOKENS["tok_anomaly"].alias("tok")).filter("step is not null and tok > 0")
     n = n.withColumns({"before": F.lag("tok").over(w), "from": F.lag("id").over(w)}).filter((F.col("tok") >= factor * F.col("before")) & (F.col("tok") >= least))
-    return _finding(n, "unbounded_growth", "cost", F.lit("warning"), F.col("tok"), F.col("before") * 2, F.array("from", "id"))
-
-
-def stranded_locks(g: GraphFrames, x: Limits, as_of: Column, lease_ms: float = 60_000) -> DataFrame:
-    """Leases past their end on running nodes, leases held by settled nodes, and leases at 80 % of their time."""
-    since = F.unix_millis(F.try_to_timestamp(M.meta("leaseAcquiredAt", "string")))
-    until = F.unix_millis(F.try_to_timestamp(M.meta("leaseExpiresAt", "string")))
-    n = g.nodes.filter(M.meta("leaseAgent", "string").isNotNull()).select("graph_id", "id", "status", since.alias("since"), F.coalesce(until, since + F.lit(int(lease_ms))).alias("until"), F.unix_millis(as_of).alias("now"))
-    running = F.col("status").isin("running", "pending")
-    late = n.filter(running & (F.col("now") > F.col("until")))
-    zombie = n.filter(F.col("status").isin("success", "error", "skipped", "cached"))
-    near = n.filter(running & (F.col("now") <= F.col("until")) & (F.col("now") - F.col("since") >= 0.8 * (F.col("until") - F.col("since"))))
+    return _finding(n, "unbounded_growth", "resource", F.lit("warning"), F.col("tok"), F.col("before") * 2, F.array("from", "id"))
+
+
+def stranded_locks(g: GraphFrames, x: Limits, as_of: Column) -> DataFrame:
+    """Leases on running nodes past their end or the time limit (critical where pending nodes wait), leases kept by
+    failed and skipped nodes, and running leases over 80 % of the limit."""
+    token, agent = M.meta("leaseToken", "string"), M.meta("leaseAgent", "string")
+    until = F.unix_millis(F.try_to_timestamp(F.coalesce(M.meta("leaseExpiresAt", "string"), M.meta("expiresAt", "string"))))
+    n = g.nodes.select("graph_id", "id", "status", token.alias("token"), agent.alias("agent"), until.alias("until"), F.unix_millis(as_of).alias("now"), F.greatest(M.DURATIONS["dur_lock"], F.lit(0.0)).alias("ms"))
+    waits = g.edges.select("graph_id", F.col("source").alias("id"), F.col("target").alias("t")).join(g.nodes.filter("status = 'pending'").select("graph_id", F.col("id").alias("t")), ["graph_id", "t"]).groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("waiting"))
+    n = n.join(waits, ["graph_id", "id"], "left").filter("token is not null or agent is not null or until is not null")
+    running, over = F.col("status") == "running", (F.col("ms") > x.lease_ms) | F.coalesce(F.col("until") < F.col("now"), F.lit(False))
+    late = n.filter(running & over)
+    zombie = n.filter(F.col("status").isin("error", "skipped") & F.col("token").isNotNull())
+    near = n.filter(running & ~over & (F.col("ms") > 0.8 * x.lease_ms))
+    kind = "stranded_distributed_lock"
     return (
-        _finding(late, "stranded_lock", "concurrency", F.lit("error"), F.col("now") - F.col("until"), F.lit(0), _me())
-        .unionByName(_finding(zombie, "zombie_lease", "concurrency", F.lit("warning"), F.lit(1), F.lit(0), _me()))
-        .unionByName(_finding(near, "lease_near_timeout", "concurrency", F.lit("warning"), F.col("now") - F.col("since"), 0.8 * (F.col("until") - F.col("since")), _me()))
+        _finding(late, kind, "execution", F.when(F.col("waiting") > 0, "critical").otherwise("error"), F.col("ms"), F.lit(x.lease_ms), _me())
+        .unionByName(_finding(zombie, "zombie_lease", "execution", F.lit("error"), F.lit(1), F.lit(0), _me()))
+        .unionByName(_finding(near, kind, "execution", F.lit("warning"), F.col("ms"), F.lit(x.lease_ms), _me()))
     )
 
 
 def structure(g: GraphFrames, x: Limits) -> DataFrame:
-    """Dangling edges, cycles (a warning where an edge declares the loop), joins that can't happen, orphans."""
-    lost = _finding(traverse.dangling_edges(g), "dangling_edge", "structure", F.lit("error"), F.lit(1), F.lit(0), None, _me())
-    declared = g.edges.filter("is_cycle or kind = 'loop'").select("graph_id", F.lit(True).alias("declared")).distinct()
-    rings = paths.cycles(g).join(declared, "graph_id", "left")
-    rings = _finding(rings, "cycle", "structure", F.when(F.col("declared"), "warning").otherwise("critical"), F.size("ids"), F.lit(0), F.col("ids"))
+    """Dangling edges; cycles (a warning if an edge inside declares the loop and no node is stuck); joins that can't
+    happen; nodes without a way in that the graph's first node doesn't reach."""
+    lost = _finding(traverse.dangling_edges(g), "contract_violation", "topology", F.lit("error"), F.lit(1), F.lit(0), None, _me())
+    rings = paths.cycles(g)
+    ring = rings.select("graph_id", "nth", F.explode("ids").alias("id"))
+    declared = g.edges.filter("kind = 'loop' or is_cycle").select("graph_id", "source", "target")
+    inside = ring.withColumnRenamed("id", "source").join(declared, ["graph_id", "source"]).join(ring.withColumnRenamed("id", "target"), ["graph_id", "nth", "target"])
+    stuck = ring.join(g.nodes.filter("status in ('pending', 'running')").select("graph_id", "id"), ["graph_id", "id"], "left_semi")
+    rings = rings.join(inside.select("graph_id", "nth", F.lit(True).alias("declared")).distinct(), ["graph_id", "nth"], "left").join(stuck.select("graph_id", "nth", F.lit(True).alias("stuck")).distinct(), ["graph_id", "nth"], "left")
+    rings = _finding(rings, "circular_dependency_deadlock", "topology", F.when(F.col("declared") & F.col("stuck").isNull(), "warning").otherwise("critical"), F.size("ids"), F.lit(0), F.col("ids"))
     e = g.valid_edges().join(g.nodes.select("graph_id", F.col("id").alias("source"), F.col("status").alias("up")), ["graph_id", "source"])
     joins = e.groupBy("graph_id", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("ways"), F.count_if(F.col("up").isin("error", "skipped")).alias("lost"), F.array_sort(F.collect_set("source")).alias("from"))
-    joins = joins.join(g.nodes.filter("status = 'pending'").select("graph_id", "id"), ["graph_id", "id"], "left_semi").filter("ways > 1 and lost > 0")
-    joins = _finding(joins, "join_deadlock", "structure", F.lit("critical"), F.col("lost"), F.lit(0), F.concat(_me(), F.col("from")))
-    alone = traverse.orphans(g).join(g.nodes.groupBy("graph_id").count().filter("count > 1").select("graph_id"), "graph_id", "left_semi")
-    return lost.unionByName(rings).unionByName(joins).unionByName(_finding(alone, "orphan", "structure", F.lit("info"), F.lit(0), F.lit(1), _me()))
+    joins = joins.join(g.nodes.filter("status = 'pending' or status is null").select("graph_id", "id", "kind"), ["graph_id", "id"]).filter("(ways > 1 or kind = 'join') and lost > 0")
+    joins = _finding(joins, "diamond_join_deadlock", "topology", F.lit("critical"), F.col("lost"), F.lit(0), F.concat(_me(), F.col("from")))
+    first = g.nodes.groupBy("graph_id").agg(F.min_by("id", "ord").alias("id"), F.count(F.lit(1)).alias("size")).filter("size > 2")
+    has_in = g.edges.select("graph_id", F.col("target").alias("id")).distinct()
+    alone = g.nodes.select("graph_id", "id").join(first.select("graph_id"), "graph_id", "left_semi").join(has_in, ["graph_id", "id"], "left_anti")
+    alone = alone.join(traverse.closure(g, first, "down").select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+    return lost.unionByName(rings).unionByName(joins).unionByName(_finding(alone, "orphaned_subgraph", "topology", F.lit("warning"), F.lit(0), F.lit(1), _me()))
 
 
 def latency(g: GraphFrames, x: Limits, with_path: bool = True) -> DataFrame:
-    """Hogs of the critical path, stalls in thought, hanging commands, outliers, slow edges."""
+    """Hogs of the critical path (10 s and 35 % of it), stalls in thought (15 s and 75 %), hanging commands, slow edges,
+    and outliers among the nodes that none of these names."""
     t = F.coalesce(M.m["timing_breakdown"], M.m["timing"])
-    n = g.nodes.select("graph_id", "id", M.DURATIONS["dur_anomaly"].alias("ms"), F.coalesce(t["think"], t["cognitive"]).alias("think"), "commands", "status")
-    stall = _finding(n.filter(f"ms >= {x.latency_ms} and try_divide(think, ms) >= {x.cognitive}"), "cognitive_stall", "latency", F.lit("warning"), F.try_divide("think", "ms"), F.lit(x.cognitive), _me())
+    n = g.nodes.select("graph_id", "id", M.DURATIONS["dur_anomaly"].alias("ms"), F.coalesce(t["think"], t["cognitive"]).alias("think"), "commands")
+    kind = "latency_bottleneck"
+    stall = n.filter("think > 15000 and try_divide(think, ms) >= 0.75")
+    out = _finding(stall, kind, "performance", F.when(F.col("think") >= 45_000, "critical").otherwise("warning"), F.col("think"), F.lit(15_000), _me())
     hang = n.withColumn("slow", F.array_max(F.transform("commands", lambda c: c["duration_ms"]))).filter(f"slow >= {x.latency_ms}")
-    hang = _finding(hang, "command_hang", "latency", F.lit("error"), F.col("slow"), F.lit(x.latency_ms), _me())
-    odd = _finding(outliers(g, x.sigma, x.samples), "latency_outlier", "latency", F.lit("warning"), F.col("ms"), F.col("mean") + x.sigma * F.col("deviation"), _me())
-    slow = g.edges.select("graph_id", "id", F.col("traffic.avg_latency_ms").alias("ms")).filter(F.col("ms") >= x.edge_latency_ms)
-    slow = _finding(slow, "edge_latency", "latency", F.lit("warning"), F.col("ms"), F.lit(x.edge_latency_ms), None, _me())
-    out = stall.unionByName(hang).unionByName(odd).unionByName(slow)
+    out = out.unionByName(_finding(hang, kind, "performance", F.when(F.col("slow") >= 60_000, "critical").otherwise("error"), F.col("slow"), F.lit(x.latency_ms), _me()))
     if with_path:
-        hog = paths.critical_path(g, "anomaly").filter((F.col("share") >= 100 * x.path_share) & (F.col("ms") >= x.latency_ms))
-        out = out.unionByName(_finding(hog, "critical_path_hog", "latency", F.lit("error"), F.col("share") / 100, F.lit(x.path_share), _me()))
-    return out
+        hog = paths.critical_path(g, "anomaly").filter((F.col("share") >= 100 * x.path_share) & (F.col("ms") >= 10_000))
+        severe = (F.col("ms") >= 60_000) | (F.col("share") >= 60)
+        out = out.unionByName(_finding(hog, kind, "performance", F.when(severe, "critical").otherwise("error"), F.col("ms"), js_round(F.col("ms") / F.col("share") * 100 * x.path_share), _me()))
+    named = out.select("graph_id", F.explode("node_ids").alias("id")).distinct()
+    odd = outliers(g, x.sigma, x.samples).filter(F.col("ms") >= x.latency_ms).join(named, ["graph_id", "id"], "left_anti")
+    out = out.unionByName(_finding(odd, kind, "performance", F.when(F.col("ms") >= 2 * x.latency_ms, "critical").otherwise("error"), F.col("ms"), js_round(F.col("mean") + x.sigma * F.col("deviation")), _me()))
+    slow = g.edges.select("graph_id", "id", F.col("traffic.avg_latency_ms").alias("ms")).filter(F.col("ms") >= x.edge_latency_ms)
+    return out.unionByName(_finding(slow, kind, "performance", F.when(F.col("ms") >= 2 * x.edge_latency_ms, "error").otherwise("warning"), F.col("ms"), F.lit(x.edge_latency_ms), None, _me()))
 
 
 def error_cascades(g: GraphFrames, x: Limits) -> DataFrame:
@@ -147,17 +170,17 @@ def error_cascades(g: GraphFrames, x: Limits) -> DataFrame:
     reach = traverse.bfs(traverse.arcs(g), roots).filter("depth > 0").groupBy("graph_id", "root").agg(F.count(F.lit(1)).alias("hit"), F.collect_set("id").alias("below"))
     reach = reach.join(g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size")), "graph_id")
     severe = (F.col("hit") >= 3) | (F.col("hit") / F.col("size") >= 0.35)
-    return _finding(reach, "error_cascade", "reliability", F.when(severe, "critical").otherwise("error"), F.col("hit"), F.lit(3), F.concat(F.array("root"), F.col("below")))
+    return _finding(reach, "error_cascade", "quality", F.when(severe, "critical").otherwise("error"), F.col("hit"), F.lit(3), F.concat(F.array("root"), F.col("below")))
 
 
 def contract_violations(g: GraphFrames, x: Limits) -> DataFrame:
     """Success declared over failed commands, or over open critical findings."""
     ok = g.nodes.filter("status = 'success'")
     failed = F.coalesce(F.size(F.filter("commands", lambda c: c["exit_code"] != 0)), F.lit(0))
-    open_ = F.coalesce(F.size(F.filter("findings", lambda f: (f["severity"] == "critical") & ~F.coalesce(f["status"], F.lit("open")).isin("resolved", "repaired"))), F.lit(0))
-    a = ok.withColumn("k", failed).filter("k > 0")
-    b = ok.withColumn("k", open_).filter("k > 0")
-    return _finding(a, "success_with_failed_commands", "contract", F.lit("error"), F.col("k"), F.lit(0), _me()).unionByName(_finding(b, "success_with_open_findings", "contract", F.lit("critical"), F.col("k"), F.lit(0), _me()))
+    open_ = F.coalesce(F.size(F.filter("findings", lambda f: (f["severity"] == "critical") & (f["status"] == "open"))), F.lit(0))
+    a, b = ok.withColumn("k", failed).filter("k > 0"), ok.withColumn("k", open_).filter("k > 0")
+    say = lambda d, title: _finding(d, "contract_violation", "quality", F.lit("critical"), F.col("k"), F.lit(0), _me()).withColumn("title", F.lit(title))
+    return say(a, "success with failed commands").unionByName(say(b, "success with open critical findings"))
 
 
 RULES = (retry_loops, rejection_loops, token_spikes, reasoning_share, unbounded_growth, structure, latency, error_cascades, contract_violations)

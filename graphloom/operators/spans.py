@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from graphloom.runtime import stage
 
 # Closed vocabularies; other members become the fallback.
-TIERS, TIER = ("root", "orchestrator", "agent", "subagent", "tool"), "subagent"
-STATUSES, STATUS = ("success", "error", "running", "cached", "skipped", "pending"), "success"
-CATEGORIES, CATEGORY = ("agent_cascade", "llm", "tool", "io", "network", "compute", "wait"), "agent_cascade"
+TIERS, TIER = ("root", "coordinator", "subagent", "worker", "tool", "gate", "system"), "subagent"
+STATUSES, STATUS = ("pending", "running", "success", "error", "cancelled"), "success"
+CATEGORIES, CATEGORY = ("agent_cascade", "llm_call", "tool_execution", "task_lease", "validator_gate", "custom"), "agent_cascade"
 
 
 def normalise(spans: DataFrame) -> DataFrame:

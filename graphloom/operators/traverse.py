@@ -67,8 +67,8 @@ def degrees(g: GraphFrames) -> DataFrame:
 def blast_radius(g: GraphFrames, roots: DataFrame | None = None) -> DataFrame:
     """What a failure of each node reaches: nodes, depth, terminals, score, level; fragility is the graph's mean score.
 
-    Score: half for the reached share, 15 for depth 3 or more (8 for 2), 5 a terminal up to 15, 15 for a hub of four or
-    more direct successors, 10 for a failure on record.
+    Score: up to 50 for the reached share, 15 for depth 3 or more (8 for less), 5 a terminal up to 15, 15 for a hub (three
+    or more direct successors, or an orchestrator, router or gate), 10 for a failure or retries on record.
     """
     roots = g.nodes.select("graph_id", F.col("id").alias("root")) if roots is None else roots.select("graph_id", F.col("id").alias("root"))
     reach = bfs(arcs(g), roots).filter("depth > 0")
@@ -76,10 +76,10 @@ def blast_radius(g: GraphFrames, roots: DataFrame | None = None) -> DataFrame:
     hit = reach.join(ends, ["graph_id", "id"]).groupBy("graph_id", "root").agg(F.count(F.lit(1)).alias("reached"), F.max("depth").alias("depth"), F.count_if("is_terminal").alias("terminals"), F.count_if(F.col("depth") == 1).alias("direct"))
     out = roots.join(hit, ["graph_id", "root"], "left").fillna(0, ["reached", "depth", "terminals", "direct"]).withColumnRenamed("root", "id")
     size = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size"))
-    out = out.join(size, "graph_id").join(g.nodes.select("graph_id", "id", "status"), ["graph_id", "id"])
+    out = out.join(size, "graph_id").join(g.nodes.select("graph_id", "id", "status", "kind", F.coalesce(M.m["retries"], F.lit(0.0)).alias("retries")), ["graph_id", "id"])
     share = F.when(F.col("size") > 1, js_round(50 * F.col("reached") / (F.col("size") - 1))).otherwise(0)
-    deep = F.when(F.col("depth") >= 3, 15).when(F.col("depth") == 2, 8).otherwise(0)
-    score = share + deep + F.least(F.lit(15), 5 * F.col("terminals")) + F.when(F.col("direct") >= 4, 15).otherwise(0) + F.when(F.col("status").isin("error", "warning"), 10).otherwise(0)
+    deep = F.when(F.col("depth") >= 3, 15).when(F.col("depth") >= 1, 8).otherwise(0)
+    score = share + deep + F.least(F.lit(15), 5 * F.col("terminals")) + F.when((F.col("direct") > 2) | F.col("kind").isin("orchestrator", "router", "gate"), 15).otherwise(0) + F.when(F.col("status").isin("error", "warning") | (F.col("retries") > 0), 10).otherwise(0)
     out = out.withColumn("score", F.least(F.lit(100), score).cast("long"))
     level = F.when(F.col("score") >= 70, "critical").when(F.col("score") >= 45, "high").when(F.col("score") >= 20, "medium").otherwise("low")
     fragility = js_round(F.avg("score").over(Window.partitionBy("graph_id"))).cast("long")

@@ -42,8 +42,8 @@ def degrees(spark, sf_dir):
 _BLAST = """, step(graph_id, root, id, depth) AS (SELECT graph_id, id, id, 0 FROM nodes UNION SELECT s.graph_id, s.root, e.target, s.depth + 1 FROM step s JOIN edges e ON e.graph_id = s.graph_id AND e.source = s.id WHERE e.source <> e.target AND s.depth < 60),
     reach AS (SELECT graph_id, root, id, min(depth) AS depth FROM step GROUP BY 1, 2, 3), ends AS (SELECT n.graph_id, n.id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.source = n.id)),
     hit AS (SELECT r.graph_id, root AS id, count(*) AS reached, max(depth) AS depth, count(ends.id) AS terminals, count(*) FILTER (depth = 1) AS direct FROM reach r LEFT JOIN ends ON ends.graph_id = r.graph_id AND ends.id = r.id WHERE depth > 0 GROUP BY 1, 2),
-    s AS (SELECT n.graph_id, n.id, coalesce(reached, 0) AS reached, coalesce(depth, 0)::INTEGER AS depth, coalesce(terminals, 0) AS terminals, coalesce(direct, 0) AS direct, n.status, count(*) OVER (PARTITION BY n.graph_id) AS size FROM nodes n LEFT JOIN hit USING (graph_id, id)),
-    x AS (SELECT *, least(100, (CASE WHEN size > 1 THEN floor(50 * reached / (size - 1)::DOUBLE + 0.5) ELSE 0 END + CASE WHEN depth >= 3 THEN 15 WHEN depth = 2 THEN 8 ELSE 0 END + least(15, 5 * terminals) + CASE WHEN direct >= 4 THEN 15 ELSE 0 END + CASE WHEN status IN ('error', 'warning') THEN 10 ELSE 0 END))::BIGINT AS score FROM s)
+    s AS (SELECT n.graph_id, n.id, coalesce(reached, 0) AS reached, coalesce(depth, 0)::INTEGER AS depth, coalesce(terminals, 0) AS terminals, coalesce(direct, 0) AS direct, n.status, n.kind, count(*) OVER (PARTITION BY n.graph_id) AS size FROM nodes n LEFT JOIN hit USING (graph_id, id)),
+    x AS (SELECT *, least(100, (CASE WHEN size > 1 THEN floor(50 * reached / (size - 1)::DOUBLE + 0.5) ELSE 0 END + CASE WHEN depth >= 3 THEN 15 WHEN depth >= 1 THEN 8 ELSE 0 END + least(15, 5 * terminals) + CASE WHEN direct > 2 OR kind IN ('orchestrator', 'router', 'gate') THEN 15 ELSE 0 END + CASE WHEN status IN ('error', 'warning') THEN 10 ELSE 0 END))::BIGINT AS score FROM s)
     SELECT graph_id, id, reached, depth, terminals, direct, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level, floor(avg(score) OVER (PARTITION BY graph_id) + 0.5)::BIGINT AS fragility FROM x"""
 
 

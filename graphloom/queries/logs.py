@@ -40,7 +40,7 @@ def metric_deltas(spark, sf_dir):
 
 def _spans(d) -> str:
     return f"""SELECT CAST(user_id AS STRING) AS graph_id, CAST(row_number() OVER w AS BIGINT) AS ord, 'e' || event_id AS id, 'e' || first_value(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS parent_id,
-        event_type AS name, 'a' || (event_id % 5) AS agent_id, 'tool' AS tier, CASE event_type WHEN 'error' THEN 'error' ELSE 'success' END AS status, 'llm' AS category,
+        event_type AS name, 'a' || (event_id % 5) AS agent_id, 'tool' AS tier, CASE event_type WHEN 'error' THEN 'error' ELSE 'success' END AS status, 'llm_call' AS category,
         {d["ms"]("TIMESTAMP '2020-01-01 00:00:00'", "ts")} AS start_ms, {d["ms"]("TIMESTAMP '2020-01-01 00:00:00'", "ts")} + (event_id % 977) * 60000.0 AS end_ms, CAST(event_id % 100 AS DOUBLE) AS tokens, CAST(NULL AS DOUBLE) AS cost_usd
         FROM {{events}} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
 
@@ -72,7 +72,7 @@ def span_tree(spark, sf_dir):
     return out.select("graph_id", "id", F.col("parent_id").isNull().alias("is_root"), "depth", "children", "self_ms")
 
 
-@query(f"""{_SD} SELECT s.graph_id, m.member, count(x.id) AS spans FROM (SELECT DISTINCT graph_id FROM spans) s CROSS JOIN (VALUES ('success'), ('error'), ('running'), ('cached'), ('skipped'), ('pending')) m(member) LEFT JOIN spans x ON x.graph_id = s.graph_id AND x.status = m.member GROUP BY 1, 2""")
+@query(f"""{_SD} SELECT s.graph_id, m.member, count(x.id) AS spans FROM (SELECT DISTINCT graph_id FROM spans) s CROSS JOIN (VALUES ('success'), ('error'), ('running'), ('cancelled'), ('pending')) m(member) LEFT JOIN spans x ON x.graph_id = s.graph_id AND x.status = m.member GROUP BY 1, 2""")
 def span_counts(spark, sf_dir):
     return spans.counts(spark_sql(spark, sf_dir, _SP), "status")
 

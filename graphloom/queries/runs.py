@@ -149,12 +149,12 @@ def recorded_totals(spark, sf_dir):
     return rounded(A.recorded_totals(session(spark, sf_dir)))
 
 
-@query(f"""{S}, deg AS (SELECT graph_id, id, count(*) AS degree FROM (SELECT graph_id, source AS id FROM edges UNION ALL SELECT graph_id, target FROM edges) GROUP BY 1, 2),
-    s AS (SELECT n.graph_id, n.id, 35 * CASE status WHEN 'error' THEN 1.0 WHEN 'warning' THEN 0.5 ELSE 0.0 END + 20 * least(1.0, retries / 3) + 10 * least(1.0, (tokens_in + tokens_out) / 50000) + 10 * least(1.0, greatest(coalesce(duration_ms, 0), 0) / 30000) + 5 * least(1.0, coalesce(degree, 0) / 10.0) AS x FROM nodes n LEFT JOIN deg USING (graph_id, id)),
-    r AS (SELECT graph_id, id, floor(x * 100 + 0.5) / 100 AS risk FROM s)
-    SELECT graph_id, id, round(risk, 4) AS risk, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 45 THEN 'high' WHEN risk >= 20 THEN 'medium' ELSE 'low' END AS level FROM r""")
+@query(f"""{S}, o AS (SELECT graph_id, source AS id, count(*) AS k FROM edges GROUP BY 1, 2), f AS (SELECT n.graph_id, n.id, CASE status WHEN 'error' THEN 1.0 WHEN 'warning' THEN 0.6 WHEN 'running' THEN 0.2 WHEN 'pending' THEN 0.1 WHEN 'skipped' THEN 0.05 ELSE 0.0 END::DOUBLE AS s,
+    CASE WHEN retries >= 3 THEN 1.0 ELSE least(1.0, retries * 0.35) END::DOUBLE AS t, least(1.0, coalesce(k, 0) / greatest(1.0, count(*) OVER (PARTITION BY n.graph_id) * 0.3::DOUBLE)) AS b FROM nodes n LEFT JOIN o ON o.graph_id = n.graph_id AND o.id = n.id),
+    r AS (SELECT graph_id, id, floor((s * 0.3::DOUBLE + t * 0.25::DOUBLE + b * 0.05::DOUBLE) * 10000 + 0.5) / 10000 AS risk FROM f)
+    SELECT graph_id, id, round(risk, 3) AS risk, CASE WHEN risk >= 0.75 THEN 'critical' WHEN risk >= 0.5 THEN 'high' WHEN risk >= 0.25 THEN 'moderate' ELSE 'low' END AS level FROM r""")
 def node_risk(spark, sf_dir):
-    return rounded(A.node_risk(session(spark, sf_dir)))
+    return rounded(A.node_risk(session(spark, sf_dir)).select("graph_id", "id", "risk", "level"), 3)
 
 
 @query(f"""{S} SELECT graph_id, step, count(*) AS nodes, 0::BIGINT AS edges, 'Step ' || step::BIGINT AS label, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN bool_or(status = 'running') THEN 'running' WHEN bool_or(status IN ('success', 'cached')) THEN 'success' ELSE 'pending' END AS status FROM nodes GROUP BY 1, 2""")
@@ -221,7 +221,7 @@ def anomaly_retries(spark, sf_dir):
 
 
 @query(f"""{S}, t AS (SELECT graph_id, id, tokens_in + tokens_out AS tok, avg(tokens_in + tokens_out) OVER g AS mean, stddev_pop(tokens_in + tokens_out) OVER g AS dev, count(*) OVER g AS k FROM nodes WHERE tokens_in + tokens_out > 0 WINDOW g AS (PARTITION BY graph_id))
-    SELECT graph_id, id AS node, tok AS value, CASE WHEN tok >= 100000 THEN 'critical' WHEN tok >= 50000 THEN 'error' ELSE 'warning' END AS severity FROM t WHERE tok >= 50000 OR (k >= 3 AND dev > 0 AND tok > mean + 2.5 * dev)""")
+    SELECT graph_id, id AS node, tok AS value, CASE WHEN tok >= 100000 OR tok >= 4 * mean THEN 'critical' ELSE 'error' END AS severity FROM t WHERE tok >= 50000 OR (k >= 3 AND tok >= mean + 2.5 * dev AND tok > 2 * mean)""")
 def anomaly_token_spikes(spark, sf_dir):
     out = anomaly.token_spikes(session(spark, sf_dir), anomaly.Limits())
     return out.select("graph_id", F.col("node_ids")[0].alias("node"), "value", "severity")
