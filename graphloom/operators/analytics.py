@@ -27,23 +27,44 @@ def status_histogram(g: GraphFrames) -> DataFrame:
     return out.withColumn("completed_nodes", done).withColumn("success_rate", F.when(done > 0, F.col("success_nodes") / done * 100).otherwise(0.0))
 
 
-def kpi_scorecard(g: GraphFrames) -> DataFrame:
-    """Executive scorecard: here warnings count as failures, and the health formula is this report's own."""
-    n = g.nodes.select("graph_id", "status", _ms("dur_report").alias("ms"), M.TOKENS["tok_report_kpi"].alias("tok"), M.COST.alias("cost"), M.REPAIRS.alias("rounds"), M.m["retries"].alias("retries"), "findings")
-    open_ = lambda sev: F.sum(F.size(F.filter("findings", lambda f: (f["severity"] == sev) & ~F.coalesce(f["status"], F.lit("open")).isin("resolved", "repaired"))))
-    repaired = (F.coalesce("retries", F.lit(0.0)) > 0) | (F.col("rounds") > 0)
+def kpi_scorecard(g: GraphFrames, with_path: bool = True) -> DataFrame:
+    """Executive scorecard of 23 measures. Here warnings count as failures; statuses never recorded count nowhere.
+
+    Health: 100 less 0.45 a percent of failures, 0.12 a point of the bottleneck score, 10 an open critical and 4 an open
+    important finding, and 10 where repair rounds recovered less than half.
+    """
+    from graphloom.operators import paths
+
+    zero = F.lit(0.0)
+    n = g.nodes.select(
+        "graph_id", "status", M.DURATIONS["dur_report"].alias("ms"), F.coalesce(M.m["tokens_in"], M.m["tokens"]["prompt"], zero).alias("prompt"),
+        F.coalesce(M.m["tokens_out"], M.m["tokens"]["completion"], zero).alias("completion"), F.coalesce(M.m["tokens"]["reasoning"], zero).alias("reasoning"), M.m["cost_usd"].alias("cost"),
+        F.coalesce(M.m["retries"], zero).alias("retries"), F.coalesce(M.meta("repairRounds"), M.m["repair_rounds"], zero).alias("rounds"), "findings",
+    )
+    is_ = lambda *s: F.count_if(F.coalesce(F.col("status").isin(*s), F.lit(False)))
+    open_ = lambda sev: F.coalesce(F.sum(F.greatest(F.size(F.filter("findings", lambda f: (f["severity"] == sev) & (f["status"] == "open"))), F.lit(0))), F.lit(0))
+    tried = (F.col("retries") > 0) | (F.col("rounds") > 0)
     out = n.groupBy("graph_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("success", "cached")).alias("success"),
-        F.count_if(F.col("status").isin("error", "warning")).alias("failed"), F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"),
-        F.sum("tok").alias("total_tokens"), F.sum("cost").alias("total_cost"), F.avg(F.when(repaired, F.col("ms"))).alias("mttr_ms"),
-        F.count_if(repaired).alias("repaired"), F.count_if(repaired & F.col("status").isin("success", "cached")).alias("recovered"),
-        F.coalesce(open_("critical"), F.lit(0)).alias("open_critical"), F.coalesce(open_("important"), F.lit(0)).alias("open_important"),
+        F.count(F.lit(1)).alias("total_nodes"), is_("success", "cached").alias("success"), is_("error", "warning").alias("failure"), is_("running").alias("running"), is_("pending").alias("pending"), is_("skipped").alias("skipped"),
+        F.sum("ms").alias("total_ms"), F.max("ms").alias("max_ms"), F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"), F.sum("reasoning").alias("reasoning_tokens"),
+        js_round(F.sum("cost"), 4).alias("total_cost"), F.coalesce(js_round(F.avg(F.when(tried & (F.col("ms") > 0), F.col("ms")))), F.lit(0)).cast("double").alias("mttr_ms"), F.sum("retries").alias("total_retries"), F.sum("rounds").alias("total_rounds"),
+        F.count_if(tried & F.coalesce(F.col("status").isin("success", "cached"), F.lit(False))).alias("recovered"), open_("critical").alias("open_critical"), open_("important").alias("open_important"),
     )
-    out = out.withColumn("failure_rate", F.when(F.col("total") > 0, F.col("failed") / F.col("total") * 100).otherwise(0.0))
-    out = out.withColumn("bottleneck_score", F.when(F.col("total_ms") > 0, F.least(F.lit(100.0), js_round(F.col("max_ms") / F.col("total_ms") * 120))).otherwise(0.0))
-    out = out.withColumn("recovery_rate", F.when(F.col("repaired") > 0, F.col("recovered") / F.col("repaired") * 100).otherwise(100.0))
-    health = 100 - 0.45 * F.col("failure_rate") - 0.12 * F.col("bottleneck_score") - 10 * F.col("open_critical") - 4 * F.col("open_important") - F.when(F.col("recovery_rate") < 50, 10).otherwise(0)
-    return out.withColumn("health", js_round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), health)))).withColumn("total_cost", js_round(F.col("total_cost"), 4)).drop("max_ms")
+    out = out.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens") + F.col("reasoning_tokens"))
+    out = out.withColumn("failure_rate", js_round(F.col("failure") / F.col("total_nodes") * 100, 1))
+    out = out.withColumn("throughput", F.when(F.col("total_ms") > 0, js_round((F.col("success") + F.col("failure")) / (F.col("total_ms") / 1000), 2)).otherwise(zero))
+    out = out.withColumn("bottleneck_score", F.when(F.col("total_ms") > 0, F.least(F.lit(100.0), js_round(F.col("max_ms") / F.col("total_ms") * 120))).otherwise(zero))
+    attempts = F.when((F.col("total_retries") > 0) | (F.col("total_rounds") > 0), F.col("recovered") + F.col("failure")).otherwise(F.lit(0))
+    efficiency = F.when(attempts > 0, F.col("recovered") / F.nullif(attempts, F.lit(0)) * 100).otherwise(F.when(F.col("failure") == 0, 100.0).otherwise(0.0))
+    out = out.withColumn("recovery_efficiency", js_round(efficiency).cast("double"))
+    health = 100 - F.col("failure_rate") * 0.45 - F.col("bottleneck_score") * 0.12 - 10 * F.col("open_critical") - 4 * F.col("open_important") - F.when((F.col("total_rounds") > 0) & (F.col("recovery_efficiency") < 50), 10).otherwise(0)
+    out = out.withColumn("health", F.greatest(F.lit(0), F.least(F.lit(100), js_round(health))).cast("long")).drop("max_ms", "recovered")
+    edges = g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total_edges"))
+    out = out.join(edges, "graph_id", "left").withColumn("total_edges", F.coalesce("total_edges", F.lit(0)))
+    if with_path:
+        path = paths.critical_path(g, "report").groupBy("graph_id").agg(F.sum("ms").alias("critical_ms"), F.count(F.lit(1)).alias("critical_nodes"))
+        out = out.join(path, "graph_id", "left")
+    return out
 
 
 def token_attribution(g: GraphFrames, by: str = "model") -> DataFrame:
@@ -110,10 +131,9 @@ def concurrency_bins(g: GraphFrames) -> DataFrame:
 
 
 def repair_histogram(g: GraphFrames) -> DataFrame:
-    """Nodes with 0, 1, 2 and 3 or more repair rounds, all four there, and the first-pass rate of successes."""
-    n = g.nodes.select("graph_id", "status", M.REPAIRS.alias("rounds"))
-    ok = F.col("status").isin("success", "cached")
-    all_ = n.groupBy("graph_id").agg(F.count_if(ok & (F.col("rounds") == 0)).alias("first_pass"), F.count(F.lit(1)).alias("total"), F.max("rounds").alias("max_rounds"), F.sum("rounds").alias("total_rounds"))
+    """Nodes with 0, 1, 2 and 3 or more repair rounds, all four there, and the share that needed none."""
+    n = g.nodes.select("graph_id", M.REPAIRS.alias("rounds"))
+    all_ = n.groupBy("graph_id").agg(F.count_if(F.col("rounds") == 0).alias("first_pass"), F.count(F.lit(1)).alias("total"), F.max("rounds").alias("max_rounds"), F.sum("rounds").alias("total_rounds"))
     spine = all_.withColumn("rounds", F.explode(F.sequence(F.lit(0), F.lit(3))))
     bins = n.groupBy("graph_id", F.least("rounds", F.lit(3)).cast("int").alias("rounds")).agg(F.count(F.lit(1)).alias("nodes"))
     out = spine.join(bins, ["graph_id", "rounds"], "left").withColumn("nodes", F.coalesce("nodes", F.lit(0)))
@@ -121,15 +141,17 @@ def repair_histogram(g: GraphFrames) -> DataFrame:
 
 
 def error_messages(g: GraphFrames) -> DataFrame:
-    """Every error said anywhere: findings, failed commands, failed nodes without either, rejected exchanges."""
-    n = g.nodes
-    findings = n.select("graph_id", "id", "ord", F.posexplode("findings").alias("pos", "f")).select("graph_id", "id", "ord", "pos", F.coalesce("f.observation", F.lit("finding")).alias("message"), F.coalesce(F.col("f.status").isin("resolved", "repaired"), F.lit(False)).alias("resolved"))
+    """Every error said anywhere: findings, failed commands, failed nodes that record neither, rejected exchanges (of their
+    source)."""
+    n, no = g.nodes, F.lit(False)
+    findings = n.select("graph_id", "id", "ord", F.posexplode("findings").alias("pos", "f"))
+    findings = findings.select("graph_id", "id", "ord", "pos", F.concat_ws(" ", "f.observation", "f.remediation").alias("message"), F.coalesce(F.col("f.status") == "resolved", no).alias("resolved"))
     commands = n.select("graph_id", "id", "ord", F.posexplode("commands").alias("pos", "c")).filter("c.exit_code <> 0")
-    commands = commands.select("graph_id", "id", "ord", "pos", F.coalesce("c.stderr", F.concat(F.lit("exit code "), F.col("c.exit_code"))).alias("message"), F.lit(False).alias("resolved"))
-    bare = n.filter("status = 'error'").filter((F.coalesce(F.size("findings"), F.lit(0)) <= 0) & (F.coalesce(F.size(F.filter("commands", lambda c: c["exit_code"] != 0)), F.lit(0)) <= 0))
-    bare = bare.select("graph_id", "id", "ord", F.lit(0).alias("pos"), F.coalesce("output", "description", "name").alias("message"), F.lit(False).alias("resolved"))
-    said = g.edges.select("graph_id", F.col("target").alias("id"), "ord", F.posexplode("exchanges").alias("pos", "x")).filter("x.verdict = 'rejected' or x.type = 'rejection' or x.status = 'rejected'")
-    said = said.select("graph_id", "id", "ord", "pos", F.coalesce("x.summary", F.lit("rejection")).alias("message"), F.lit(False).alias("resolved"))
+    commands = commands.select("graph_id", "id", "ord", "pos", F.coalesce("c.stderr", F.concat(F.lit("Exit code "), F.col("c.exit_code"))).alias("message"), no.alias("resolved"))
+    bare = n.filter("status = 'error'").filter((F.coalesce(F.size("findings"), F.lit(0)) <= 0) & (F.coalesce(F.size("commands"), F.lit(0)) <= 0))
+    bare = bare.select("graph_id", "id", "ord", F.lit(0).alias("pos"), F.coalesce("logs", "badge_text", F.concat(F.col("name"), F.lit(" encountered error"))).alias("message"), no.alias("resolved"))
+    said = g.edges.select("graph_id", "source", "target", "ord", F.posexplode("exchanges").alias("pos", "x")).filter("x.status = 'error' or x.verdict = 'FAIL' or x.type = 'rejection'")
+    said = said.select("graph_id", F.col("source").alias("id"), "ord", "pos", F.coalesce("x.summary", F.concat_ws(" -> ", F.concat(F.lit("Exchange rejection on "), F.col("source")), "target")).alias("message"), no.alias("resolved"))
     return findings.unionByName(commands).unionByName(bare).unionByName(said)
 
 

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Priority of roles in arbitration, highest first.
-ROLE_PRIORITY = {"orchestrator": 100, "coordinator": 90, "critic": 80, "validator": 70, "reviewer": 60, "planner": 50, "implementer": 40, "worker": 30, "tester": 20}
+# Priority of roles in arbitration; others have none.
+ROLE_PRIORITY = {"orchestrator": 5, "validator": 4, "critic": 3, "implementer": 2, "user": 1, "system": 1}
 
 
 def priority(role: Column) -> Column:
-    out = None
+    role, out = F.lower(role), None
     for name, p in ROLE_PRIORITY.items():
         out = F.when(role == name, F.lit(p)) if out is None else out.when(role == name, F.lit(p))
-    return out.otherwise(F.lit(10))
+    return out.otherwise(F.lit(0))
 
 
 def arbitrate(requests: DataFrame, strategy: str = "priority") -> DataFrame:

@@ -183,10 +183,10 @@ def node_health(spark, sf_dir):
     return healing.node_health(e, F.lit(20000))
 
 
-_LOCKS = "SELECT 'r' || (event_id % 100) AS resource, 'a' || user_id AS agent_id, CASE user_id % 4 WHEN 0 THEN 'orchestrator' WHEN 1 THEN 'critic' WHEN 2 THEN 'worker' ELSE 'guest' END AS role, event_id AS at FROM {events}"
+_LOCKS = "SELECT 'r' || (event_id % 100) AS resource, 'a' || user_id AS agent_id, CASE user_id % 4 WHEN 0 THEN 'orchestrator' WHEN 1 THEN 'critic' WHEN 2 THEN 'implementer' ELSE 'guest' END AS role, event_id AS at FROM {events}"
 
 
-@query(f"""WITH r AS ({duck(_LOCKS).replace(' AS at ', ' AS "at" ')}), n AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY CASE role WHEN 'orchestrator' THEN 100 WHEN 'critic' THEN 80 WHEN 'worker' THEN 30 ELSE 10 END DESC, "at", agent_id) AS nth FROM r) SELECT resource, agent_id, role, "at", nth = 1 AS granted FROM n""")
+@query(f"""WITH r AS ({duck(_LOCKS).replace(' AS at ', ' AS "at" ')}), n AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY CASE role WHEN 'orchestrator' THEN 5 WHEN 'critic' THEN 3 WHEN 'implementer' THEN 2 ELSE 0 END DESC, "at", agent_id) AS nth FROM r) SELECT resource, agent_id, role, "at", nth = 1 AS granted FROM n""")
 def lock_arbitration(spark, sf_dir):
     return collab.arbitrate(spark_sql(spark, sf_dir, _LOCKS))
 

@@ -28,17 +28,19 @@ def status_histogram(spark, sf_dir):
     return rounded(A.status_histogram(session(spark, sf_dir)))
 
 
-@query(f"""{S}, k AS (SELECT graph_id, count(*) AS total, count(*) FILTER (status IN ('success', 'cached')) AS success, count(*) FILTER (status IN ('error', 'warning')) AS failed,
-    sum(greatest(coalesce(duration_ms, 0), 0)) AS total_ms, max(greatest(coalesce(duration_ms, 0), 0)) AS max_ms, sum(tokens_in + tokens_out) AS total_tokens, sum(CASE WHEN cost_usd IS NOT NULL THEN greatest(cost_usd, 0) END) AS total_cost,
-    avg(greatest(coalesce(duration_ms, 0), 0)) FILTER (retries > 0) AS mttr_ms, count(*) FILTER (retries > 0) AS repaired, count(*) FILTER (retries > 0 AND status = 'success') AS recovered FROM nodes GROUP BY graph_id),
-    r AS (SELECT *, failed / total::DOUBLE * 100 AS failure_rate, CASE WHEN total_ms > 0 THEN least(100.0, floor(max_ms / total_ms * 120 + 0.5)) ELSE 0.0 END AS bottleneck_score,
-    CASE WHEN repaired > 0 THEN recovered / repaired::DOUBLE * 100 ELSE 100.0 END AS recovery_rate FROM k)
-    SELECT graph_id, total, success, failed, round(total_ms, 4) AS total_ms, round(total_tokens, 4) AS total_tokens, round(total_cost, 2) AS total_cost, round(mttr_ms, 4) AS mttr_ms, repaired, recovered,
-    0::BIGINT AS open_critical, 0::BIGINT AS open_important, round(failure_rate, 4) AS failure_rate, round(bottleneck_score, 4) AS bottleneck_score, round(recovery_rate, 4) AS recovery_rate,
-    floor(greatest(0.0, least(100.0, 100 - 0.45 * failure_rate - 0.12 * bottleneck_score - CASE WHEN recovery_rate < 50 THEN 10 ELSE 0 END)) + 0.5)::BIGINT AS health FROM r""")
+@query(f"""{S}, k AS (SELECT graph_id, count(*) AS total_nodes, count(*) FILTER (status IN ('success', 'cached')) AS success, count(*) FILTER (status IN ('error', 'warning')) AS failure,
+    count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'skipped') AS skipped,
+    sum(CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END) AS total_ms, max(CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END) AS max_ms, sum(tokens_in) AS prompt_tokens, sum(tokens_out) AS completion_tokens, sum(cost_usd) AS total_cost,
+    coalesce(floor(avg(duration_ms) FILTER (retries > 0 AND duration_ms > 0) + 0.5), 0) AS mttr_ms, sum(retries) AS total_retries, count(*) FILTER (retries > 0 AND status = 'success') AS recovered FROM nodes GROUP BY graph_id),
+    r AS (SELECT *, floor(failure / total_nodes::DOUBLE * 100 * 10 + 0.5) / 10 AS failure_rate, CASE WHEN total_ms > 0 THEN floor((success + failure) / (total_ms / 1000) * 100 + 0.5) / 100 ELSE 0 END AS throughput,
+    CASE WHEN total_ms > 0 THEN least(100.0, floor(max_ms / total_ms * 120 + 0.5)) ELSE 0.0 END AS bottleneck_score,
+    CASE WHEN total_retries > 0 AND recovered + failure > 0 THEN floor(recovered / (recovered + failure)::DOUBLE * 100 + 0.5) WHEN failure = 0 THEN 100 ELSE 0 END AS recovery_efficiency FROM k),
+    e AS (SELECT graph_id, count(*) AS total_edges FROM edges GROUP BY 1)
+    SELECT r.graph_id, total_nodes, success, failure, running, pending, skipped, round(total_ms, 4) AS total_ms, round(prompt_tokens, 4) AS prompt_tokens, round(completion_tokens, 4) AS completion_tokens, 0.0::DOUBLE AS reasoning_tokens,
+    round(total_cost, 2) AS total_cost, mttr_ms, total_retries, 0.0::DOUBLE AS total_rounds, 0::BIGINT AS open_critical, 0::BIGINT AS open_important, round(prompt_tokens + completion_tokens, 4) AS total_tokens, round(failure_rate, 4) AS failure_rate,
+    round(throughput, 4) AS throughput, bottleneck_score, recovery_efficiency, greatest(0, least(100, floor(100 - failure_rate * 0.45::DOUBLE - bottleneck_score * 0.12::DOUBLE + 0.5)))::BIGINT AS health, coalesce(total_edges, 0) AS total_edges FROM r LEFT JOIN e USING (graph_id)""")
 def kpi_scorecard(spark, sf_dir):
-    out = A.kpi_scorecard(session(spark, sf_dir)).withColumn("total_cost", F.round("total_cost", 2)).withColumn("health", F.col("health").cast("long"))
-    return rounded(out)
+    return rounded(A.kpi_scorecard(session(spark, sf_dir), with_path=False).withColumn("total_cost", F.round("total_cost", 2)))
 
 
 def _attribution(key: str) -> str:
@@ -90,7 +92,7 @@ def concurrency_bins(spark, sf_dir):
     return rounded(A.concurrency_bins(session(spark, sf_dir)))
 
 
-@query(f"""{S}, a AS (SELECT graph_id, count(*) FILTER (status IN ('success', 'cached') AND retries = 0) AS first_pass, count(*) AS total, max(floor(retries))::BIGINT AS max_rounds, sum(floor(retries))::BIGINT AS total_rounds FROM nodes GROUP BY 1),
+@query(f"""{S}, a AS (SELECT graph_id, count(*) FILTER (retries = 0) AS first_pass, count(*) AS total, max(floor(retries))::BIGINT AS max_rounds, sum(floor(retries))::BIGINT AS total_rounds FROM nodes GROUP BY 1),
     b AS (SELECT graph_id, least(floor(retries), 3)::INTEGER AS rounds, count(*) AS nodes FROM nodes GROUP BY 1, 2)
     SELECT a.graph_id, s.r::INTEGER AS rounds, first_pass, max_rounds, total_rounds, coalesce(nodes, 0) AS nodes, round(first_pass / total::DOUBLE * 100, 4) AS first_pass_rate FROM a CROSS JOIN range(4) s(r) LEFT JOIN b ON b.graph_id = a.graph_id AND b.rounds = s.r""")
 def repair_histogram(spark, sf_dir):
