@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes up to which a joined side may be broadcast; callers measure first and shuffle beyond it.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
