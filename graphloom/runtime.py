@@ -27,11 +27,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, deleted when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/graphloom/{uuid.uuid4().hex}/{label}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop.getParent())
-    return path
+    """A fresh path under the shared folder, with its file system, deleted when the driver's JVM ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/graphloom/{uuid.uuid4().hex}/{label}")
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(hadoop.getParent())
+    return files.makeQualified(hadoop).toString()
 
 
 #: Bytes of a plan's estimated size, and rows where the caller knows a bound, that make up one scratch file.
