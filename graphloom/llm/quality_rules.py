@@ -16,8 +16,8 @@ from graphloom.runtime import broadcast_if_few, let, stage
 MAX_DOCS = 20
 #: ... and these are more than this percentage of the host's documents.
 MAX_PERCENT = 1
-#: A document is depleted if fewer words remain, or a smaller percentage of its words.
-MIN_WORDS = 20
+#: A document is depleted if fewer words remain, or a smaller percentage of its words. (Short texts fail the base rules.)
+MIN_WORDS = 10
 MIN_PERCENT = 30
 
 _LINE_SPACE = r"[\x20\x09\x0B-\x0D]+"
