@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -134,3 +135,45 @@ def batch_update(g: GraphFrames, where: Column, **values) -> GraphFrames:
     for k, v in values.items():
         n = n.withColumn(k, F.when(F.coalesce(where, F.lit(False)), F.lit(v).cast(n.schema[k].dataType)).otherwise(F.col(f"`{k}`")))
     return GraphFrames(n, g.edges, g.sections)
+
+
+@dataclass(frozen=True)
+class Macro:
+    """A named list of actions whose arguments may hold parameters."""
+
+    name: str
+    parameters: dict[str, dict]
+    steps: list[dict]
+
+    def to_json(self) -> str:
+        return json.dumps({"version": 1, "name": self.name, "parameters": self.parameters, "steps": self.steps}, sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> Macro:
+        x = json.loads(text)
+        if x.get("version") != 1 or not isinstance(x.get("steps"), list) or not all("action" in s for s in x["steps"]):
+            raise ValueError("not a macro")
+        return Macro(x["name"], x.get("parameters") or {}, x["steps"])
+
+    def run(self, g: GraphFrames, graph_id: str, values: dict | None = None, now: str = "") -> GraphFrames:
+        """The graph after all steps; parameters are checked first."""
+        values = {k: s["default"] for k, s in self.parameters.items() if "default" in s} | (values or {})
+        if problems := check_parameters(self.parameters, values):
+            raise ValueError("; ".join(problems))
+        for i, step in enumerate(self.steps):
+            arguments = {k: substitute(v, values, now, i) if isinstance(v, str) else v for k, v in step.items() if k != "action"}
+            g = apply(g, step["action"], graph_id, **arguments)
+        return g
+
+
+class Registry:
+    """Macros by name; a later one of the same name replaces the earlier."""
+
+    def __init__(self, macros: list[Macro] = ()):
+        self.macros = {m.name: m for m in macros}
+
+    def add(self, macro: Macro) -> None:
+        self.macros[macro.name] = macro
+
+    def find(self, text: str) -> list[Macro]:
+        return [m for n, m in sorted(self.macros.items()) if text.lower() in n.lower()]

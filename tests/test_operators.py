@@ -132,6 +132,19 @@ def test_macros(spark):
     assert macros.check_parameters({"n": {"type": "number", "max": 3}, "m": {"required": True}}, {"n": 5}) == ["n is out of range", "m is missing"]
 
 
+def test_stored_macros(spark):
+    g = make(spark, "ab", [("a", "b")])
+    m = macros.Macro("Add", {"who": {"required": True}}, [{"action": "create_node", "id": "{{who | lower}}"}, {"action": "create_edge", "source": "b", "target": "{{who | lower}}"}])
+    again = macros.Macro.from_json(m.to_json())
+    out = again.run(g, "g", {"who": "C"})
+    assert again == m and sorted(r.id for r in out.nodes.collect()) == ["a", "b", "c"] and out.edges.filter("id = 'b->c'").count() == 1
+    with pytest.raises(ValueError, match="missing"):
+        m.run(g, "g")
+    with pytest.raises(ValueError, match="not a macro"):
+        macros.Macro.from_json("{}")
+    assert macros.Registry([m]).find("ad") == [m]
+
+
 def test_shell(spark):
     lines = spark.createDataFrame(list(enumerate(["b 2", "a 1", "a 1", "c", "a 1"])), "ord long, line string")
     out = lambda c, **v: [r.line for r in textops.shell(c, {"f": lines}, v).orderBy("ord").collect()]
