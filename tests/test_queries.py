@@ -26,7 +26,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT or isinstance(v, float) and v != v:
+        if v is None or not hasattr(v, "__len__") and pd.isna(v):
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return bool(v)
