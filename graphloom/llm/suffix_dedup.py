@@ -9,6 +9,8 @@ There, prefix polynomial hashes and binary search give the common extension of t
 logarithmic time; mergesort runs over all groups of a batch at once; neighbours with a common extension of a whole window
 are verified byte by byte. A group too large for one task is sorted in blocks, and the windows that each block has are
 counted across blocks.
+
+All joins shuffle both sides, as all tables here grow with the text; so every size runs by one plan.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import rolling
 from graphloom.llm.text import join_decisions, or_empty
-from graphloom.runtime import broadcast_if_few, prepare_python, stage
+from graphloom.runtime import prepare_python, stage
 
 SIZE = 200
 GRAM = 32
@@ -158,10 +160,17 @@ def _sorted_classes(rows: dict[str, np.ndarray], bytes_of: list[bytes], size: in
     pre = np.lexsort((inner, key))
     seg, offset, key, at, inner = seg[pre], offset[pre], key[pre], at[pre], inner[pre]
     key = np.cumsum(np.concatenate((np.zeros(min(1, len(key)), bool), (key[1:] != key[:-1]) | (inner[1:] != inner[:-1]))))
-    order = s.sort(at, key)
-    same = s.equal_neighbours(order, at, key)
-    cls = np.cumsum(~same) - 1
-    return seg[order], offset[order], distance[pre][order], cls, np.bincount(cls)[cls] if len(cls) else cls, at[order], s
+    many = np.bincount(key)[key] > 1 if len(key) else np.zeros(0, bool)
+    some, alone = np.flatnonzero(many), np.flatnonzero(~many)  # a window alone in its group has no equal
+    cls, n = np.zeros(0, "int64"), np.zeros(0, "int64")
+    if len(some):
+        order = s.sort(at[some], key[some])
+        cls = np.cumsum(~s.equal_neighbours(order, at[some], key[some])) - 1
+        some, n = some[order], np.bincount(cls)[cls]
+    order = np.concatenate((some, alone))
+    cls = np.concatenate((cls, np.arange(len(alone)) + len(some)))
+    n = np.concatenate((n, np.ones(len(alone), "int64")))
+    return seg[order], offset[order], distance[pre][order], cls, n, at[order], s
 
 
 def _runs(seg: np.ndarray, offset: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,22 +188,22 @@ def repeated_spans(docs: DataFrame, slim: DataFrame, key: str, text: str, size:
     segs = slim.select("row", F.explode("segs").alias("s")).select("row", "s.*")
     shared = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     shared = stage(shared, "anchors", windows)
-    segs = stage(segs.join(broadcast_if_few(shared), "anchor"), "shared", windows)
+    segs = stage(segs.join(shared, "anchor"), "shared", windows)
     content = ["anchor", "whole", "rel", "n"]
     contents = segs.groupBy(*content).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo")).alias("one"))
     contents = stage(contents, "contents", windows)
     twice = contents.filter("c > 1").select(*content)
-    full = segs.join(broadcast_if_few(twice), content).select("row", "lo", (F.col("lo") + F.col("n") + (size - 1)).alias("hi"))
+    full = segs.join(twice, content).select("row", "lo", (F.col("lo") + F.col("n") + (size - 1)).alias("hi"))
 
     per = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("fewest")).filter("m > 1 and fewest = 1")
-    mixed = contents.join(broadcast_if_few(stage(per.select("anchor", "m"), "mixed", windows)), "anchor")
+    mixed = contents.join(per.select("anchor", "m"), "anchor")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mixed = mixed.select("anchor", F.pmod(F.xxhash64("whole"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "rel", "n", "c", "one.row", "one.lo")
     lone = F.struct("anchor", "block", "blocks", "rel", "n", "c", "lo", "row")
     wanted = mixed.groupBy("row").agg(F.collect_list(lone).alias("parts"))
     names = slim.select("row", F.col("id").alias("_id"), "_hash")
     wanted = stage(wanted.join(names, "row").groupBy("_id", "_hash").agg(F.flatten(F.collect_list("parts")).alias("parts")), "wanted")
-    held = join_decisions(docs.dropDuplicates([key, text]) if not _unique(slim) else docs, wanted, "inner", key, text)
+    held = join_decisions(docs.dropDuplicates([key, text]) if not _unique(slim) else docs, wanted, "inner", key, text, measure=False)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +326,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     spans = spans.mapInArrow(merge, "row long, lo array<long>, hi array<long>")
     names = slim.select("row", F.col("id").alias("_id"), "_hash")
     spans = stage(spans.join(names, "row").groupBy("_id", "_hash").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "spans")
-    touched = join_decisions(docs, spans, "inner", key, text)
+    touched = join_decisions(docs, spans, "inner", key, text, measure=False)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
@@ -334,7 +343,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     done = stage(done, "done")
     if not _unique(slim):
         done = done.groupBy("_id", "_hash").agg(*[F.first(c).alias(c) for c in done.columns[2:]])
-    s, x = slim.drop("segs").alias("s"), broadcast_if_few(done).alias("x")
+    s, x = slim.drop("segs").alias("s"), done.alias("x")
     out = s.join(x, F.col("s.id").eqNullSafe(F.col("x._id")) & (F.col("s._hash") == F.col("x._hash")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     cols = [F.col("s.id").alias(key), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256")]

@@ -28,13 +28,13 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_decisions(docs: DataFrame, decisions: DataFrame, how: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join_decisions(docs: DataFrame, decisions: DataFrame, how: str, key: str = "doc_id", text: str = "text", measure: bool = True) -> DataFrame:
     """Join documents with decisions keyed by ``_id`` and ``_hash`` (the id, and a hash of the text: rows equal in both are one document).
 
-    The decisions are broadcast if they are few; else both sides shuffle.
+    The decisions are broadcast if they are few; else, or without ``measure``, both sides shuffle.
     """
     from graphloom.runtime import broadcast_if_few
 
-    d, x = docs.alias("d"), broadcast_if_few(decisions).alias("x")
+    d, x = docs.alias("d"), (broadcast_if_few(decisions) if measure else decisions).alias("x")
     here = F.xxhash64(F.coalesce(F.col(f"d.`{text}`"), F.lit("")))
     return d.join(x, F.col(f"d.`{key}`").eqNullSafe(F.col("x._id")) & (here == F.col("x._hash")), how)
