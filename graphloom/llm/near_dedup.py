@@ -1,8 +1,8 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
 A document's sketch is the smallest hashes of its shingle set. Inverted lists of retained values give the overlaps of
-pairs; the bottom-k sketch of a pair's union, known from the ranks of the shared values, estimates their similarity and
-filters; the full sets then verify. Documents with equal sets are one node.
+pairs; those whose set sizes allow the similarity are verified on the full sets, likeliest first: the bottom-k sketch of
+a pair's union, known from the ranks of the shared values, estimates it. Documents with equal sets are one node.
 
 Values that more than LIST nodes retain are set apart, so that all pairs of the other lists are few. A pair with
 similarity 0.8 shares each of the union's smallest values with probability 0.8. As long as at most 60 % of a sketch are
@@ -32,8 +32,6 @@ SKETCH = 64
 RETAINED, FREQUENT = 24, 16
 #: Nodes that may share a value before it counts as frequent.
 LIST = 32
-#: Estimates under this share of the wanted similarity are dropped; for 24 values that is nine standard deviations.
-SLACK = 0.4
 #: Members of a block of a frequent list.
 BLOCK = 512
 
@@ -73,17 +71,22 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, most: i
     return stage(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"), "links", most)
 
 
-def _ordinary_pairs(lists: DataFrame, share: float) -> DataFrame:
-    """Candidates (a, b, est) from lists of at most LIST nodes, by the union-sketch estimate. lists: v, rid, rank, held."""
+def _ordinary_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b, est) from lists of at most LIST nodes, with the union-sketch estimate. lists: v, rid, n, rank, held.
+
+    Only pairs are left out whose sizes rule a link out: the intersection is the smaller set at most, the union the larger
+    one at least. The estimate drops none, as it says little of pairs that share their frequent values.
+    """
     x, y = lists.alias("x"), lists.alias("y")
-    met = x.join(y, "v").filter("x.rid < y.rid")
+    possible = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    met = x.join(y, "v").filter("x.rid < y.rid").filter(possible)
     met = met.groupBy(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("x.rank").alias("p"), F.col("y.rank").alias("q")))).alias("met"),
         F.least(F.first("x.held"), F.first("y.held")).alias("k"),
     )
-    # The i-th shared value (from 0) has rank p + q - i in the union; the union's sketch has k values.
-    inside = F.size(F.filter("met", lambda m, i: m["p"] + m["q"] - i <= F.col("k")))
-    return met.withColumn("est", inside / F.col("k")).filter(F.col("est") >= share).select("a", "b", "est")
+    # The i-th shared value (from 0) has rank p + q - i - 1 in the union; the union's sketch has k values.
+    inside = F.size(F.filter("met", lambda m, i: m["p"] + m["q"] - i - 1 <= F.col("k")))
+    return met.select("a", "b", (inside / F.col("k")).alias("est"))
 
 
 def _block_links(odd: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -135,7 +138,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows. Other columns of ``docs`` are not read.
     """
     prepare_python(docs.sparkSession)
-    share = SLACK * percent / 100
     rows = stage(sketches(docs, words, key, text), "sketches")
     total = rows.count()
     some = rows.filter("n > 0")
@@ -154,14 +156,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     frequent = F.col("c") > LIST
     of_node = Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = postings.withColumn("before", F.sum(F.when(frequent, 1).otherwise(0)).over(of_node))
-    ranked = ranked.join(nodes.select("rid", F.size("sketch").alias("size")), "rid")
+    ranked = ranked.join(nodes.select("rid", "n", F.size("sketch").alias("size")), "rid")
     ranked = ranked.withColumn("often", F.sum(F.when(frequent, 1).otherwise(0)).over(Window.partitionBy("rid")))
     ranked = ranked.withColumn("rank", F.when(frequent, F.col("before")).otherwise(F.col("pos") + 1 - F.col("before")))
     ranked = ranked.withColumn("held", F.least(F.col("size") - F.col("often"), F.lit(RETAINED)))
-    ranked = stage(ranked.select("v", "c", "rid", "rank", "held", "often", frequent.alias("frequent")), "ranked", SKETCH * count)
+    ranked = stage(ranked.select("v", "c", "rid", "n", "rank", "held", "often", frequent.alias("frequent")), "ranked", SKETCH * count)
 
-    ordinary = ranked.filter(~F.col("frequent") & (F.col("rank") <= RETAINED)).select("v", "rid", "rank", "held")
-    pairs = _ordinary_pairs(ordinary, share)
+    ordinary = ranked.filter(~F.col("frequent") & (F.col("rank") <= RETAINED)).select("v", "rid", "n", "rank", "held")
+    pairs = _ordinary_pairs(ordinary, percent)
     # Documents of mostly frequent values, in the lists of their first frequent ones; central: most frequent values.
     common = ranked.filter("frequent").filter((F.col("held") < RETAINED) & (F.col("rank") <= FREQUENT)).select("v", "rid", "often")
     centre = common.groupBy("v").agg(F.max(F.struct("often", (-F.col("rid")).alias("r"))).alias("top"))

@@ -322,6 +322,16 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert [x.component_id for x in got] == comp
 
 
+def test_near_duplicates_around_a_frequent_passage(spark):
+    """Pairs at 0.8125 that share a passage of 200 other pairs: 40 frequent shingles, and 24 and 12 of their own."""
+    passage, rows = " ".join(f"common{k}" for k in range(43)), []
+    for i in range(200):
+        own = [f"own{i}x{k}" for k in range(24)]
+        rows += [(2 * i, f"{passage} {' '.join(own)}"), (2 * i + 1, f"{passage} {' '.join(own[:12])}")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i - i % 2) for i, _ in rows}
+
+
 def test_shingle_hashes_tell_apart():
     texts = [b"", b" ", b"a", b"a b", b"a b c", b"a b c d", b"b a c d", b"A B c D", b"ab c d", "é b c d".encode()]
     sets = [tuple(s) for s in rolling.shingle_sets(texts, 4)]
