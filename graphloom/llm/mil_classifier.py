@@ -115,13 +115,23 @@ def fold(key: Column, n: int) -> Column:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> Attention:
-    """A classifier fitted on a bounded sample: the labelled documents with the smallest digests of their ids."""
+    """A classifier fitted on a bounded sample: the labelled documents with the smallest digests of their ids.
+
+    Documents that no longer fit into SAMPLE_BYTES are passed over, those after them are not. Without labelled documents
+    nothing is fitted; if there are some and none fits, that is an error.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y"))
     own = docs.filter(may_learn).select(F.col(key).alias("id"), F.octet_length(or_empty(text)).alias("size"))
     picked = own.join(known, "id").orderBy(F.md5(F.col("id").cast("string")), "size").limit(SAMPLE).toPandas()
-    picked = picked[picked["size"].cumsum() <= SAMPLE_BYTES].drop_duplicates("id")
     if picked.empty:
         return Attention()
+    fits, left = [], SAMPLE_BYTES
+    for size in picked["size"].tolist():
+        fits.append(size <= left)
+        left -= size * fits[-1]
+    picked = picked[fits].drop_duplicates("id")
+    if picked.empty:
+        raise ValueError(f"none of the labelled documents has at most {SAMPLE_BYTES} bytes")
     ids = docs.sparkSession.createDataFrame(picked[["id", "y"]])
     rows = docs.select(F.col(key).alias("id"), or_empty(text).alias("t")).join(F.broadcast(ids), "id")
     rows = rows.groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).toPandas().sort_values("id")

@@ -349,6 +349,22 @@ def test_classifier_held_out(spark):
     assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_classifier_sample_skips_what_does_not_fit(spark, monkeypatch):
+    """A text over the bound that comes first leaves out itself only; if nothing fits, that is an error."""
+    ids = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    texts = {i: f"text {i}" if n else "long " * 2000 for n, i in enumerate(ids)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil_classifier.Attention, "fit", lambda self, t, y: seen.extend(t) or self)
+    monkeypatch.setattr(mil_classifier, "SAMPLE_BYTES", 5000)
+    mil_classifier.fit_sample(d, labels, F.lit(True))
+    assert sorted(seen) == sorted(t.encode() for i, t in texts.items() if i != ids[0])
+    monkeypatch.setattr(mil_classifier, "SAMPLE_BYTES", 1)
+    with pytest.raises(ValueError, match="labelled"):
+        mil_classifier.fit_sample(d, labels, F.lit(True))
+
+
 def test_classifier_gradients_and_edges(spark, docs):
     m = mil_classifier.Attention()
     x, counts = mil_classifier.passages([LONG.encode()[:3000], b"", b"ab"])
