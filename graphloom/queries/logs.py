@@ -120,6 +120,13 @@ def as_of_join(spark, sf_dir):
     return replay.as_of(e.filter("event_type = 'purchase'"), e.filter("event_id % 7 = 0"), "user_id", "ts", "value")
 
 
+@query("""WITH e AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') SELECT p.user_id, p.ts, e.value AS as_of FROM events p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.ts >= e.ts""")
+def as_of_join_all(spark, sf_dir):
+    """As ``as_of_join``, probed with every event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return replay.as_of(e.filter("event_type = 'purchase'"), e, "user_id", "ts", "value")
+
+
 # ---- telemetry as bounded tables; the same functions serve streams
 
 _PACKETS = """SELECT CASE WHEN event_id % 3 = 0 THEN '' ELSE 'p' || event_id END AS id, CASE event_type WHEN 'purchase' THEN 'metric' WHEN 'error' THEN 'log' ELSE 'node_status' END AS type, CAST(ts AS TIMESTAMP) AS ts, CAST(event_id % 400 AS BIGINT) AS sequence, 'web' AS source,

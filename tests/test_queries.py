@@ -51,3 +51,8 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_as_of_join_probes_every_event(spark):
+    """The whole as-of join has one row per event."""
+    assert entry.queries()["as_of_join_all"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
