@@ -88,7 +88,8 @@ def frequent_lines(stats: DataFrame, max_docs: int = MAX_DOCS, max_percent: floa
     """``(host, h, n_docs)`` of lines that too many distinct documents of a host have.
 
     Copies and near copies of a document count once, as their own removal is for deduplication: documents whose smallest
-    line digest is equal are one (unlike documents that merely share a boilerplate line, they share that minimum).
+    line digest is equal are one. So are unlike documents whose smallest line is a line that they share: such a line,
+    boilerplate with a low digest, is counted too low and may stay. The percentage is of all rows of the host.
     """
     s = stats.select("host", "document", F.array_distinct(F.col("lines.h")).alias("hs"))
     per = s.select("host", "document", F.explode("hs").alias("h")).distinct()
