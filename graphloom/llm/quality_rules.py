@@ -76,7 +76,6 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
     flat = F.lower(F.regexp_replace("t", _LINE_SPACE, " "))
     lines = F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
     d = d.withColumn("norm", F.filter(lines, lambda x: x != "")).drop("t")
-    d = d.withColumn("document", F.array_min(F.transform("norm", lambda x: F.md5(x))))
     lines = F.transform(
         F.col("norm"),
         lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("n")),
@@ -87,13 +86,12 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
 def frequent_lines(stats: DataFrame, max_docs: int = MAX_DOCS, max_percent: float = MAX_PERCENT) -> DataFrame:
     """``(host, h, n_docs)`` of lines that too many distinct documents of a host have.
 
-    Copies and near copies of a document count once, as their own removal is for deduplication: documents whose smallest
-    line digest is equal are one. So are unlike documents whose smallest line is a line that they share: such a line,
-    boilerplate with a low digest, is counted too low and may stay. The percentage is of all rows of the host.
+    Rows of one whole text are one document, so exact copies count once: in the line's count and in the host's total, of
+    which ``max_percent`` is taken. Documents whose texts differ count each, near copies too.
     """
-    s = stats.select("host", "document", F.array_distinct(F.col("lines.h")).alias("hs"))
-    per = s.select("host", "document", F.explode("hs").alias("h")).distinct()
-    per = per.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > max_docs)
+    s = stats.select("host", "_hash", F.array_distinct(F.col("lines.h")).alias("hs")).dropDuplicates(["host", "_hash"])
+    per = s.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"))
+    per = per.filter(F.col("n_docs") > max_docs)
     hosts = s.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     a, b = per.alias("a"), broadcast_if_few(hosts).alias("b")
     hot = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host"))).filter(F.col("n_docs") * 100 > F.col("total") * max_percent)
@@ -108,8 +106,9 @@ def quality_rules(
 
     ``kept`` is false if the base rules fail or the document is depleted: after removal of the frequent lines under
     ``min_words`` words or ``min_percent`` percent of its words are left. Null text is empty and fails; null is a host
-    of its own. Repeated rows and rows of one id are judged each by its own text. An empty table gives no rows. Other
-    columns of ``docs`` are not read.
+    of its own. Repeated rows and rows of one id are judged each by its own text, and count as one document of their host
+    where the texts are equal. An empty table gives no rows. A text of any length is one row of arrays of its words and
+    lines, some tens of times its size. Other columns of ``docs`` are not read.
     """
     stats = document_statistics(docs, key, text, host).withColumn("_row", F.monotonically_increasing_id())
     stats = stage(stats, "statistics")
@@ -118,7 +117,7 @@ def quality_rules(
     a, b = lines.alias("a"), hot.alias("b")
     cut = a.join(b, F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.h") == F.col("b.h")))
     cut = cut.groupBy("a._row").agg(F.sum("n").alias("removed_words"), F.collect_set("a.h").alias("bad_lines"))
-    out = stats.drop("lines", "host", "document").join(cut, "_row", "left").drop("_row")
+    out = stats.drop("lines", "host").join(cut, "_row", "left").drop("_row")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
     kept = ~F.col("base_failed") & (left >= min_words) & (100 * left >= min_percent * F.col("n_words"))
@@ -126,7 +125,11 @@ def quality_rules(
 
 
 def apply_quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars") -> DataFrame:
-    """``docs`` that are kept, without their frequent lines, in their own columns; ``n_chars``, if there, follows the text."""
+    """``docs`` that are kept, without their frequent lines, in their own columns; ``n_chars``, if there, follows the text.
+
+    Null and empty texts fail the base rules and go. Rows of one id and text that stand in several hosts share the
+    smallest verdict and lose the frequent lines of all these hosts. An empty table stays empty.
+    """
     verdicts = stage(quality_rules(docs, key, text, host), "verdicts")
     changes = verdicts.filter(~F.col("kept") | F.col("bad_lines").isNotNull())
     # Equal texts of one id may differ in host; a row each is kept for every host, and the smallest verdict holds.

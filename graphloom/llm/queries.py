@@ -76,7 +76,7 @@ SQL = {
         WITH d AS (
             SELECT doc_id, source, coalesce(text, '') AS t,
                    list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
-        lines AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS raw FROM d),
+        lines AS (SELECT doc_id, source, md5(t) AS x, unnest(string_split(t, chr(10))) AS raw FROM d),
         dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM lines
                 WHERE regexp_matches(raw, '[^\x20\x09-\x0D]') GROUP BY 1),
         win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
@@ -88,12 +88,11 @@ SQL = {
                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
                    coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
             FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-        norm AS (SELECT doc_id, source, line FROM (
-                    SELECT doc_id, source, trim(regexp_replace(lower(raw), '{_SPACE}', ' ', 'g')) AS line FROM lines) WHERE line <> ''),
-        doc AS (SELECT doc_id, min(md5(line)) AS document FROM norm GROUP BY 1),
-        hosts AS (SELECT source, count(*) AS total FROM documents GROUP BY 1),
-        hot AS (SELECT n.source, line FROM norm n JOIN doc USING (doc_id) JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source
-                GROUP BY n.source, line, total HAVING count(DISTINCT document) > {MAX_DOCS} AND count(DISTINCT document) * 100 > total * {MAX_PERCENT}),
+        norm AS (SELECT doc_id, source, line, x FROM (
+                    SELECT doc_id, source, x, trim(regexp_replace(lower(raw), '{_SPACE}', ' ', 'g')) AS line FROM lines) WHERE line <> ''),
+        hosts AS (SELECT source, count(DISTINCT t) AS total FROM d GROUP BY 1),
+        hot AS (SELECT n.source, line FROM norm n JOIN hosts h ON h.source IS NOT DISTINCT FROM n.source
+                GROUP BY n.source, line, total HAVING count(DISTINCT x) > {MAX_DOCS} AND count(DISTINCT x) * 100 > total * {MAX_PERCENT}),
         cut AS (SELECT doc_id, sum(len(string_split(n.line, ' ')))::BIGINT AS removed_words
                 FROM norm n JOIN hot h ON h.source IS NOT DISTINCT FROM n.source AND h.line = n.line GROUP BY 1),
         out AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)

@@ -94,16 +94,42 @@ def test_quality_rules(docs):
 
 
 def test_quality_removes_frequent_lines(spark):
-    """A line of 30 unlike documents goes; a document of little else is rejected; 30 near copies keep their lines."""
-    own = [(i, f"{prose(60, 100 + i)}\nShared   Boilerplate line number one\n{prose(30, 200 + i)}", "en", "h", 1) for i in range(30)]
-    poor = [(50, "Shared boilerplate LINE number one\nshort tail", "en", "h", 1)]
+    """A line of 30 unlike documents goes, also where its digest is the smallest; a document of little else is rejected.
+
+    30 exact copies are one document and keep their lines; 30 texts that differ in one line are 30 documents.
+    """
+    shared = next(x for x in (f"shared boilerplate line number {k}" for k in range(10**6)) if hashlib.md5(x.encode()).hexdigest() < "0001")
+    own = [(i, f"{prose(60, 100 + i)}\n{shared.replace(' ', '   ').upper()}\n{prose(30, 200 + i)}", "en", "h", 1) for i in range(30)]
+    poor = [(50, f"{shared.title()}\nshort tail", "en", "h", 1), (51, f"{shared}\n{' '.join(['w'] * 9)}\n{shared}\n{shared}\n{shared}", "en", "h", 1)]
     lines = [prose(12, 300 + i).replace("\n", "") for i in range(12)]
-    copies = [(100 + i, "\n".join(lines[:-1] + [prose(9, 400 + i).replace("\n", "")]), "en", "h", 1) for i in range(30)]
-    d = spark.createDataFrame(own + poor + copies, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = [(100 + i, "\n".join(lines), "en", "h", 1) for i in range(30)]
+    near = [(200 + i, "\n".join([prose(8, 500).replace("\n", ""), prose(40, 600 + i).replace("\n", "")]), "en", "g", 1) for i in range(30)]
+    d = spark.createDataFrame(own + poor + copies + near, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in apply_quality_rules(d).collect()}
-    assert set(out) == {r[0] for r in own + copies}
-    assert "oilerplate" not in out[0].text and out[0].text.count("\n") == own[0][1].count("\n") - 1 and out[0].n_chars == len(out[0].text)
-    assert all(out[r[0]].text == r[1] for r in copies)
+    assert set(out) == {r[0] for r in own + copies + near}
+    assert all(shared not in squeezed(out[r[0]].text).lower() and out[r[0]].text.count("\n") == r[1].count("\n") - 1 for r in own)
+    assert all(out[r[0]].n_chars == len(out[r[0]].text) for r in own) and all(out[r[0]].text == r[1] for r in copies)
+    assert all(out[r[0]].text == r[1].split("\n")[1] for r in near)
+
+
+@pytest.mark.parametrize("percent", [1, 20])
+def test_quality_verdicts_against_brute_force(spark, percent):
+    """Distinct texts of each host and line, counted one by one, with hosts of few and many copies."""
+    r = random.Random(12)
+    pool = [prose(6, 700 + k).replace("\n", "") for k in range(8)]
+    texts = ["\n".join([r.choice(pool), prose(r.randint(4, 40), 800 + k).replace("\n", " "), r.choice(pool)]) for k in range(60)]
+    rows = [(i, r.choice(texts), r.choice(["a", "b", None])) for i in range(300)]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=5, max_percent=percent).collect()
+    norm = lambda t: [x for x in (squeezed(y).strip().lower() for y in t.split("\n")) if x]
+    held: dict = {}
+    for _, t, s in rows:
+        for x in norm(t):
+            held.setdefault((s, x), set()).add(t)
+    total = {s: len({t for _, t, z in rows if z == s}) for s in ("a", "b", None)}
+    hot = {k for k, v in held.items() if len(v) > 5 and 100 * len(v) > percent * total[k[0]]}
+    cut = {i: sum(len(x.split(" ")) for x in norm(t) if (s, x) in hot) for i, t, s in rows}
+    assert hot and {x.doc_id: x.removed_words for x in got} == cut
+    assert all(x.kept == (not x.base_failed and x.n_words - cut[x.doc_id] >= 10 and 100 * (x.n_words - cut[x.doc_id]) >= 30 * x.n_words) for x in got)
 
 
 def test_bpe(docs):
