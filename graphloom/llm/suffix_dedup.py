@@ -2,13 +2,18 @@
 
 Every window of ``size`` bytes has an anchor: the place of its smallest k-gram hash. Equal windows have equal anchors
 at equal distance, so only suffixes of one anchor and distance are compared. Starts that share an anchor form a
-segment. Segments equal as a whole (by a hash of a second base) are repeated as a whole; of the others, one per content
-goes to the suffix sort of its anchor's group.
+segment. Segments equal as a whole, by a 128-bit cryptographic digest of their bytes, are repeated as a whole; of the
+others, one per content goes to the suffix sort of its anchor's group.
 
 There, prefix polynomial hashes and binary search give the common extension of two suffixes, so that a comparison takes
 logarithmic time; mergesort runs over all groups of a batch at once; neighbours with a common extension of a whole window
-are verified byte by byte. A group too large for one task is sorted in blocks, and the windows that each block has are
-counted across blocks.
+are verified byte by byte.
+
+A group too large for one task is split by what equal windows always share: windows whose distances fall in one run of
+STEP share a core of bytes, so segments are cut into such runs, and (anchor, run, core) takes the anchor's place. Parts
+equal as a whole are repeated, the rest is sorted per core. A core that too many different parts share (the rim of a
+common passage) is resolved by digests of its single windows. So no group is held by one task, and only parts of large
+groups take the extra steps.
 
 All joins shuffle both sides, as all tables here grow with the text; so every size runs by one plan.
 """
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +35,13 @@ from graphloom.runtime import prepare_python, stage
 
 SIZE = 200
 GRAM = 32
-#: Segments of an anchor that are sorted in one block.
+#: Different segments of an anchor, or parts with one core, that are sorted in one task; larger groups are split.
 BLOCK = 3000
 #: Distances that are grouped together.
 STEP = 16
 #: Bytes of a text that are hashed at once, and low bits of an ordering value that hold the place.
 PIECE, PLACE_BITS = 2 << 20, 24
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -51,11 +56,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of all windows of texts in one buffer: text index, first start, distance to the anchor, starts, anchor and segment hash."""
-    data = np.frombuffer(b"".join(texts), "uint8")
+    """Of all windows of texts in one buffer: text index, first start, distance to the anchor, starts, anchor and two digest halves."""
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, "uint8")
     ends = np.cumsum([len(t) for t in texts])
     if len(data) < size:
-        return tuple(np.zeros(0, "int64") for _ in range(6))
+        return tuple(np.zeros(0, "int64") for _ in range(7))
     prefix = rolling.prefix_hash(data)
     at = np.arange(len(data) - gram + 1)
     grams = rolling.mixed(rolling.range_hash(prefix, at, at + gram))
@@ -69,17 +75,25 @@ def segments(texts: list[bytes], size: int, gram: int) -> tuple[np.ndarray, ...]
     stop = valid & np.concatenate((~valid[1:] | (anchor[1:] != anchor[:-1]), [True]))
     count = np.flatnonzero(stop) - first + 1
     a = anchor[first]
-    whole = rolling.mixed(rolling.range_hash(_own_base(data), first, first + count + size - 1) + count.astype("uint64") * _SECOND)
+    whole = digests([raw[i:j] for i, j in zip(first.tolist(), (first + count + size - 1).tolist())])
     begin = np.concatenate(([0], ends[:-1]))[text[first]]
-    return text[first], first - begin, a - first, count, grams[a].view("int64"), whole.view("int64")
+    return text[first], first - begin, a - first, count, grams[a].view("int64"), whole[:, 0], whole[:, 1]
+
+
+def digests(strings: list[bytes]) -> np.ndarray:
+    """BLAKE2b digests of 128 bits, as rows of two longs."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(x, digest_size=16).digest() for x in strings]), "int64").reshape(-1, 2)
 
 
-def _own_base(data: np.ndarray) -> np.ndarray:
-    """Prefix hashes of a scrambled alphabet, so that they don't collide where those of the grams do."""
-    table = rolling.mixed(np.arange(1, 257, dtype="uint64") * _SECOND)
-    out = np.zeros(len(data) + 1, "uint64")
-    np.cumsum(table[data] * rolling.powers(len(data) + 1)[0][: len(data)], out=out[1:])
-    return out
+def parts(anchor: int, rel: int, n: int, raw: bytes, size: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """A segment's runs of distances: anchor of the run and its core, first start, distance there, starts, bytes."""
+    for run in range((rel - n + 1) // STEP, rel // STEP + 1):
+        far, near = min(rel, STEP * run + STEP - 1), max(rel - n + 1, STEP * run)
+        at, k = rel - far, far - near + 1
+        core = raw[rel - STEP * run : rel - STEP * run + size - STEP + 1]
+        name = hashlib.blake2b(b"%d %d " % (anchor, run) + core, digest_size=8).digest()
+        yield int.from_bytes(name, "little", signed=True), at, far, k, raw[at : at + k + size - 1]
 
 
 class _Suffixes:
@@ -141,8 +155,8 @@ class _Suffixes:
         return np.concatenate(([False], same))
 
 
-def _sorted_classes(rows: dict[str, np.ndarray], bytes_of: list[bytes], size: int):
-    """All windows of segments grouped by (anchor, block, distance): segment, offset in it, class of equal windows, its size."""
+def _sorted_windows(rows: dict[str, np.ndarray], bytes_of: list[bytes], size: int):
+    """All windows of segments by (group, distance): segment, offset in it, and how many windows are equal to it, itself included."""
     data = np.frombuffer(b"".join(bytes_of), "uint8")
     lengths = np.array([len(b) for b in bytes_of])
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
@@ -161,16 +175,12 @@ def _sorted_classes(rows: dict[str, np.ndarray], bytes_of: list[bytes], size: in
     seg, offset, key, at, inner = seg[pre], offset[pre], key[pre], at[pre], inner[pre]
     key = np.cumsum(np.concatenate((np.zeros(min(1, len(key)), bool), (key[1:] != key[:-1]) | (inner[1:] != inner[:-1]))))
     many = np.bincount(key)[key] > 1 if len(key) else np.zeros(0, bool)
-    some, alone = np.flatnonzero(many), np.flatnonzero(~many)  # a window alone in its group has no equal
-    cls, n = np.zeros(0, "int64"), np.zeros(0, "int64")
-    if len(some):
-        order = s.sort(at[some], key[some])
-        cls = np.cumsum(~s.equal_neighbours(order, at[some], key[some])) - 1
-        some, n = some[order], np.bincount(cls)[cls]
-    order = np.concatenate((some, alone))
-    cls = np.concatenate((cls, np.arange(len(alone)) + len(some)))
-    n = np.concatenate((n, np.ones(len(alone), "int64")))
-    return seg[order], offset[order], distance[pre][order], cls, n, at[order], s
+    some = np.flatnonzero(many)  # a window alone in its group has no equal
+    if not len(some):
+        return seg[:0], offset[:0], offset[:0]
+    order = s.sort(at[some], key[some])
+    cls = np.cumsum(~s.equal_neighbours(order, at[some], key[some])) - 1
+    return seg[some[order]], offset[some[order]], np.bincount(cls)[cls]
 
 
 def _runs(seg: np.ndarray, offset: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,25 +192,36 @@ def _runs(seg: np.ndarray, offset: np.ndarray, first: np.ndarray, size: int) ->
     return seg[new], first[seg[new]] + offset[new], first[seg[last]] + offset[last] + size
 
 
-def repeated_spans(docs: DataFrame, slim: DataFrame, key: str, text: str, size: int, gram: int) -> DataFrame:
-    """Spans (row, lo, hi) of bytes under repeated windows; they may overlap. ``slim``: row, id, _hash, segs."""
-    windows = slim.agg(F.coalesce(F.sum(F.size("segs")), F.lit(0))).first()[0]
-    segs = slim.select("row", F.explode("segs").alias("s")).select("row", "s.*")
+def _matched(segs: DataFrame, label: str, windows: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (row, lo, hi, long) of segments whose bytes stand elsewhere too, and what is left to sort.
+
+    ``segs``: row, anchor, whole, check, lo, rel, n. Left are the contents (row, lo, anchor, rel, n, c: how many have it,
+    m: contents of the anchor) of anchors with two contents or more, one of them lone.
+    """
     shared = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    shared = stage(shared, "anchors", windows)
-    segs = stage(segs.join(shared, "anchor"), "shared", windows)
-    content = ["anchor", "whole", "rel", "n"]
+    segs = stage(segs.join(stage(shared, f"{label}_anchors", windows), "anchor"), f"{label}_shared", windows)
+    content = ["anchor", "whole", "check", "rel", "n"]
     contents = segs.groupBy(*content).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "lo")).alias("one"))
-    contents = stage(contents, "contents", windows)
-    twice = contents.filter("c > 1").select(*content)
-    full = segs.join(twice, content).select("row", "lo", (F.col("lo") + F.col("n") + (size - 1)).alias("hi"))
+    contents = stage(contents, f"{label}_contents", windows)
+    return segs.join(contents.filter("c > 1").select(*content), content), contents
+
 
+def _left(contents: DataFrame) -> DataFrame:
     per = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("fewest")).filter("m > 1 and fewest = 1")
-    mixed = contents.join(per.select("anchor", "m"), "anchor")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mixed = mixed.select("anchor", F.pmod(F.xxhash64("whole"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "rel", "n", "c", "one.row", "one.lo")
-    lone = F.struct("anchor", "block", "blocks", "rel", "n", "c", "lo", "row")
-    wanted = mixed.groupBy("row").agg(F.collect_list(lone).alias("parts"))
+    return contents.join(per.select("anchor", "m"), "anchor").select("one.row", "one.lo", "anchor", "rel", "n", "c", "m")
+
+
+_KINDS = {"anchor": pa.int64(), "m": pa.int64(), "rel": pa.int32(), "n": pa.int32(), "c": pa.int64(), "lo": pa.int32(), "row": pa.int64()}
+_CUT = "anchor long, m long, rel int, n int, c long, lo int, row long, bytes binary"
+
+
+def repeated_spans(docs: DataFrame, slim: DataFrame, key: str, text: str, size: int, gram: int) -> DataFrame:
+    """Spans (row, lo, hi) of bytes under repeated windows; they may overlap. ``slim``: row, id, _hash, segs."""
+    windows = slim.agg(F.coalesce(F.sum(F.size("segs")), F.lit(0))).first()[0]
+    spans = lambda x: x.select("row", F.col("lo").cast("long").alias("lo"), (F.col("lo") + F.col("n") + (size - 1)).cast("long").alias("hi"))
+    full, contents = _matched(slim.select("row", F.explode("segs").alias("s")).select("row", "s.*"), "segments", windows)
+    wanted = _left(contents).groupBy("row").agg(F.collect_list(F.struct(*[c for c in _KINDS if c != "row"])).alias("parts"))
+    wanted = wanted.select("row", F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in _KINDS if c != "row"], F.col("row").alias("row"))).alias("parts"))
     names = slim.select("row", F.col("id").alias("_id"), "_hash")
     wanted = stage(wanted.join(names, "row").groupBy("_id", "_hash").agg(F.flatten(F.collect_list("parts")).alias("parts")), "wanted")
     held = join_decisions(docs.dropDuplicates([key, text]) if not _unique(slim) else docs, wanted, "inner", key, text, measure=False)
@@ -208,42 +229,52 @@ def repeated_spans(docs: DataFrame, slim: DataFrame, key: str, text: str, size:
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in (r for lo in range(0, batch.num_rows, 64) for r in batch.slice(lo, 64).to_pylist()):
-                raw, parts = r["text"].encode(), r["parts"]
-                cols = {c: pa.array([p[c] for p in parts], t) for c, t in kinds.items()}
-                yield pa.RecordBatch.from_pydict(cols | {"bytes": pa.array([raw[p["lo"] : p["lo"] + p["n"] + size - 1] for p in parts], "binary")})
-
-    kinds = {"anchor": pa.int64(), "block": pa.int32(), "blocks": pa.int32(), "rel": pa.int32(), "n": pa.int32(), "c": pa.int64(), "lo": pa.int32(), "row": pa.int64()}
-    schema = "anchor long, block int, blocks int, rel int, n int, c long, lo int, row long"
-    cut = held.select(or_empty(f"d.`{text}`").alias("text"), "x.parts").mapInArrow(slices, schema + ", bytes binary")
-    dealt = cut.repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+                raw, some = r["text"].encode(), r["parts"]
+                cols = {c: pa.array([p[c] for p in some], t) for c, t in _KINDS.items()}
+                yield pa.RecordBatch.from_pydict(cols | {"bytes": pa.array([raw[p["lo"] : p["lo"] + p["n"] + size - 1] for p in some], "binary")})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+            rows = [(r["row"], r["lo"] + at, *rest) for r in batch.to_pylist() for at, *rest in (
+                (at, anchor, rel, n, raw) for anchor, at, rel, n, raw in parts(r["anchor"], r["rel"], r["n"], r["bytes"], size))]
+            row, lo, anchor, rel, n, raw = zip(*rows)
+            d = digests(list(raw))
+            cols = [pa.array(row), pa.array(anchor), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(x, "int32") for x in (lo, rel, n)), pa.array(raw, "binary")]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "anchor", "whole", "check", "lo", "rel", "n", "bytes"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+            rows = [(r["row"], r["lo"] + i, r["anchor"], r["bytes"][i : i + size]) for r in batch.to_pylist() for i in range(r["n"])]
+            row, lo, anchor, raw = zip(*rows)
+            d = digests(list(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(lo, "int32"), pa.array(anchor), pa.array(d[:, 0]), pa.array(d[:, 1])], ["row", "lo", "anchor", "whole", "check"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
-            rows = {c: t.column(c).to_numpy() for c in ("anchor", "block", "blocks", "rel", "c", "lo", "row")}
-            new = np.concatenate(([True], (np.diff(rows["anchor"]) != 0) | (np.diff(rows["block"]) != 0)))
-            rows["group"], rows["rel"] = np.cumsum(new) - 1, rows["rel"].astype("int64")
-            seg, offset, distance, cls, n, at, s = _sorted_classes(rows, t.column("bytes").to_pylist(), size)
-            found = n > 1
-            hit = found & (rows["c"][seg] == 1)
+            rows = {c: t.column(c).to_numpy() for c in ("anchor", "rel", "c", "lo", "row")}
+            rows["group"] = np.cumsum(np.concatenate(([True], np.diff(rows["anchor"]) != 0))) - 1
+            rows["rel"] = rows["rel"].astype("int64")
+            seg, offset, n = _sorted_windows(rows, t.column("bytes").to_pylist(), size)
+            hit = (n > 1) & (rows["c"][seg] == 1)
             g, lo, hi = _runs(seg[hit], offset[hit], rows["lo"].astype("int64"), size)
-            none = pa.nulls(len(g), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["row"][g]), pa.array(lo), pa.array(hi), none, none, pa.nulls(len(g), pa.binary())], out_names)
-            # Windows of groups in several blocks: one of each class, to be counted across the blocks.
-            first = np.concatenate(([True], cls[1:] != cls[:-1])) if len(cls) else np.zeros(0, bool)
-            one = np.flatnonzero(first & (rows["blocks"][seg] > 1))
-            if len(one):
-                g, lo = seg[one], rows["lo"][seg[one]].astype("int64") + offset[one]
-                windows = [hashlib.blake2b(s.data[p : p + size].tobytes(), digest_size=16).digest() for p in at[one]]
-                lonely = ~found[one] & (rows["c"][g] == 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(lonely, rows["row"][g], -1)), pa.array(lo), pa.array(lo + size), pa.array(rows["anchor"][g]), pa.array(distance[one]), pa.array(windows, "binary")], out_names)
-
-    out_names = ["row", "lo", "hi", "anchor", "distance", "window"]
-    found = stage(dealt.mapInArrow(sort, "row long, lo long, hi long, anchor long, distance long, window binary"), "found")
-    within = found.filter("window is null").select("row", "lo", "hi")
-    crossing = found.filter("window is not null")
-    many = crossing.groupBy("anchor", "distance", "window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    across = crossing.filter("row >= 0").join(many, ["anchor", "distance", "window"], "left_semi").select("row", "lo", "hi")
-    return full.select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")).unionByName(within).unionByName(across)
+            yield pa.RecordBatch.from_arrays([pa.array(rows["row"][g]), pa.array(lo), pa.array(hi)], ["row", "lo", "hi"])
+
+    cut = held.select(or_empty(f"d.`{text}`").alias("text"), "x.parts").mapInArrow(slices, _CUT)
+    cut = stage(cut, "cut")
+    found, small, large = [spans(full)], cut.filter(F.col("m") <= BLOCK), cut.filter(F.col("m") > BLOCK)
+    if not large.isEmpty():
+        runs = stage(large.mapInArrow(split, "row long, anchor long, whole long, check long, lo int, rel int, n int, bytes binary"), "runs")
+        full, contents = _matched(runs.drop("bytes"), "runs", 12 * windows)
+        cut = stage(_left(contents).join(runs.select("row", "lo", "anchor", "bytes"), ["row", "lo", "anchor"]).select(*small.columns), "run_bytes")
+        small, large = small.unionByName(cut.filter(F.col("m") <= BLOCK)), cut.filter(F.col("m") > BLOCK)
+        each = large.mapInArrow(single, "row long, lo int, anchor long, whole long, check long")
+        same = ["anchor", "whole", "check"]
+        each = stage(each, "single")
+        twice = each.groupBy(*same).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(*same)
+        found += [spans(full), spans(each.join(twice, same).withColumn("n", F.lit(1)))]
+    dealt = small.repartition("anchor").sortWithinPartitions("anchor")
+    found.append(stage(dealt.mapInArrow(sort, "row long, lo long, hi long"), "found"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _unique(slim: DataFrame) -> bool:
@@ -251,7 +282,7 @@ def _unique(slim: DataFrame) -> bool:
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 3000) -> Iterator[pa.Table]:
-    """Tables of about ``most`` rows that end where (anchor, block) does."""
+    """Tables of about ``most`` rows that end where an anchor does."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -260,8 +291,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 3000) -> Iterat
             rows += held[-1].num_rows
             if rows >= most:
                 t = pa.Table.from_batches(held).combine_chunks()
-                a, b = t.column("anchor").to_numpy(), t.column("block").to_numpy()
-                other = np.flatnonzero((a != a[-1]) | (b != b[-1]))
+                a = t.column("anchor").to_numpy()
+                other = np.flatnonzero(a != a[-1])
                 whole = int(other[-1]) + 1 if len(other) else 0
                 if whole:
                     yield t.slice(0, whole)
@@ -281,33 +312,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     A byte goes if a string of ``size`` bytes that covers it also starts anywhere else, in the same text or another;
     strings are judged on the input. Null text counts as empty. Repeated rows repeat each other's strings, so texts of
     ``size`` bytes or more go whole. An empty table gives no rows. Other columns of ``docs`` are not read.
-    A kept text may begin or end inside a character; kept_text replaces such bytes.
+    A kept text may begin or end inside a character; kept_text replaces such bytes. A text of any length is hashed in
+    overlapping pieces of PIECE bytes, in one task.
     """
     prepare_python(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.xxhash64(or_empty(text)).alias("_hash"), or_empty(text).alias("text"))
-    seg = pa.struct([("anchor", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("rel", pa.int32()), ("n", pa.int32())])
+    seg = pa.struct([("anchor", pa.int64()), ("whole", pa.int64()), ("check", pa.int64()), ("lo", pa.int32()), ("rel", pa.int32()), ("n", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             pieces = [(i, b, p) for i, t in enumerate(texts) for b, p in _pieces(t, size)]
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for i, j in rolling.buffers([p for _, _, p in pieces]):
-                piece, lo, rel, n, anchor, whole = segments([p for _, _, p in pieces[i:j]], size, gram)
+                piece, lo, rel, n, anchor, whole, check = segments([p for _, _, p in pieces[i:j]], size, gram)
                 base = np.array([b for _, b, _ in pieces[i:j]])
                 owner = np.array([k for k, _, _ in pieces[i:j]])
-                for c, x in zip(cols, (owner[piece], lo + base[piece], rel, n, anchor, whole)):
+                for c, x in zip(cols, (owner[piece], lo + base[piece], rel, n, anchor, whole, check)):
                     c.append(x)
-            owner, lo, rel, n, anchor, whole = (np.concatenate(c) if c else np.zeros(0, "int64") for c in cols)
+            owner, lo, rel, n, anchor, whole, check = (np.concatenate(c) if c else np.zeros(0, "int64") for c in cols)
             offsets = np.searchsorted(owner, np.arange(len(texts) + 1)).astype("int32")
-            values = pa.StructArray.from_arrays([pa.array(anchor), pa.array(whole), *(pa.array(x.astype("int32")) for x in (lo, rel, n))], fields=list(seg))
+            values = pa.StructArray.from_arrays([pa.array(anchor), pa.array(whole), pa.array(check), *(pa.array(x.astype("int32")) for x in (lo, rel, n))], fields=list(seg))
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), batch.column("id"), batch.column("_hash"), pa.array([len(t) for t in texts], "int64"),
                 pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.ListArray.from_arrays(pa.array(offsets), values),
             ], ["row", "id", "_hash", "n_bytes", "sha256", "segs"])
 
-    slim = d.mapInArrow(scan, f"row long, id {kind}, _hash long, n_bytes long, sha256 string, segs array<struct<anchor long, whole long, lo int, rel int, n int>>")
+    slim = d.mapInArrow(scan, f"row long, id {kind}, _hash long, n_bytes long, sha256 string, segs array<struct<anchor long, whole long, check long, lo int, rel int, n int>>")
     slim = stage(slim, "segments")
     spans = repeated_spans(docs, slim, key, text, size, gram)
     spans = spans.groupBy("row").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))

@@ -278,22 +278,38 @@ def test_suffix_sort_random():
         assert list(same[1:]) == [a == b for a, b in zip(keys, keys[1:])]
 
 
-@pytest.mark.parametrize(("size", "gram", "block"), [(200, 32, 3000), (40, 8, 2)])
-def test_remove_repeats(docs, monkeypatch, size, gram, block):
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-    raw = [(t or "").encode() for _, t, *_ in ROWS]
+def brute_repeats(rows, size):
+    raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
     want = Counter()
-    for (i, *_), b in zip(ROWS, raw):
+    for (i, _), b in zip(rows, raw):
         m = bytearray(len(b))
         for p in range(len(b) - size + 1):
             if seen[b[p : p + size]] > 1:
                 m[p : p + size] = b"\1" * size
         kept = bytes(x for x, y in zip(b, m) if not y)
         want[i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest()] += 1
+    return want
+
+
+@pytest.mark.parametrize(("size", "gram", "block"), [(200, 32, 3000), (40, 8, 2), (40, 8, 1)])
+def test_remove_repeats(docs, monkeypatch, size, gram, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    want = brute_repeats([(i, t) for i, t, *_ in ROWS], size)
     assert Counter(map(tuple, remove_repeats(docs, size=size, gram=gram).collect())) == want
 
 
+@pytest.mark.parametrize("block", [6, 40])
+def test_remove_repeats_in_large_groups(spark, monkeypatch, block):
+    """Near copies that differ in a letter, and a passage of many surroundings: anchors and cores of more than a block."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    r, base, passage = random.Random(8), prose(60, 21), prose(14, 22)
+    rows = [(i, base[:k] + r.choice("xyz") + base[k + 1 :]) for i, k in enumerate(r.randrange(len(base)) for _ in range(50))]
+    rows += [(100 + i, prose(6, 900 + i) + passage + prose(6, 950 + i)) for i in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, remove_repeats(d, size=48, gram=8).collect())) == brute_repeats(rows, 48)
+
+
 def shingles(t, n):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
