@@ -6,7 +6,7 @@ import math
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -211,50 +211,73 @@ def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
 # ---- sequential text functions, as Arrow-batched UDFs
 
 
-def _starts_word(text: str, i: int) -> bool:
-    return i == 0 or text[i - 1] in " \t\n-_/." or text[i - 1].islower() and text[i].isupper()
-
-
-def fuzzy_score(query: str, text: str) -> float:
-    """Command-palette score, 0 if none: exact, prefix, prefix of a word, initials, then subsequence with bonuses."""
-    text, q = text.strip(), query.strip().lower()
-    low, n, m = text.lower(), len(text), len(q)
-    if not q or not text:
-        return 0.0
-    if low == q:
-        return 1000.0 + max(0, 100 - n)
-    if low.startswith(q):
-        return 800.0 - min(200, 2 * (n - m))
-    for k, word in enumerate(re.split(r"[\s\-_/.]+", low)):
-        if word.startswith(q):
-            return 650.0 - 20 * k - min(100, 2 * (len(word) - m))
-    initials = iter(c for i, c in enumerate(low) if c.isalnum() and _starts_word(text, i))
-    if m > 1 and all(c in initials for c in q):
-        return 550.0 + max(0, 50 - (n - m))
-    score, run, last, k = 100, 0, -1, 0
-    for i, c in enumerate(low):
-        if k == m:
-            break
-        if c != q[k]:
-            continue
-        score += 35 if _starts_word(text, i) else 0
-        if last >= 0 and i == last + 1:
-            run += 1
-            score += 20 * run
-        else:
-            run = 0
-            score -= min(30, 2 * (i - last - 1)) if last >= 0 else 0
-        score -= min(40, 3 * i) if k == 0 else 0
-        last, k = i, k + 1
-    return float(max(10, score + max(0, 100 - n))) if k == m else 0.0
+# Bases, bonuses and penalties of the palette's five tiers.
+EXACT, EXACT_SHORT = 1000, 100
+PREFIX, PREFIX_REST, PREFIX_MOST = 800, 2, 200
+WORD, WORD_PLACE, WORD_REST, WORD_MOST = 650, 20, 2, 100
+INITIALS, INITIALS_SHORT = 550, 50
+LETTERS, LETTERS_SHORT, LETTERS_LEAST = 100, 100, 10
+START_BONUS, RUN_BONUS = 35, 20
+GAP_COST, GAP_MOST, FIRST_COST, FIRST_MOST = 2, 30, 3, 40
+_BREAK = r"[\s\-_/.]"
+
+
+def fuzzy_score(query: str, text: Column) -> Column:
+    """Command-palette score of a text, 0 if none, null for null: the first tier that fits of exact, prefix, prefix of a
+    word, initials, letters in order. All tiers are built-in expressions; the query is a constant.
+
+    For the last tier a pattern with a lazy gap before each letter finds the leftmost places; the score follows from the gaps.
+    """
+    q = query.strip().lower()
+    if not q:
+        return F.when(text.isNotNull(), F.lit(0.0))
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    low, n, m = F.lower(t), F.length(t), len(q)
+    prefix = PREFIX - F.least(F.lit(PREFIX_MOST), PREFIX_REST * (n - m))
+    words = F.transform(F.split(low, f"{_BREAK}+"), lambda w, i: F.when(F.startswith(w, F.lit(q)), WORD - WORD_PLACE * i - F.least(F.lit(WORD_MOST), WORD_REST * (F.length(w) - m))))
+    word = F.get(F.filter(words, lambda x: x.isNotNull()), F.lit(0))
+    initials = F.lower(F.array_join(F.regexp_extract_all(t, F.lit(f"(?:^|(?<={_BREAK})|(?<=[a-z])(?=[A-Z]))([a-zA-Z0-9])"), F.lit(1)), ""))
+    spelt = initials.rlike("(?s)" + ".*".join(map(re.escape, q))) if m > 1 else F.lit(False)
+    gaps_of = "(?s)^" + "".join(f"(.*?){re.escape(c)}" for c in q)
+    gaps = F.array(*[F.length(F.regexp_extract(low, gaps_of, k + 1)) for k in range(m)])
+    places = F.transform(gaps, lambda g, k: F.aggregate(F.slice(gaps, 1, k + 1), k, lambda a, x: a + x))
+    starts = lambda p: (p == 0) | F.substr(t, p, F.lit(1)).rlike(_BREAK) | (F.substr(t, p, F.lit(1)).rlike("[a-z]") & F.substr(t, p + 1, F.lit(1)).rlike("[A-Z]"))
+    runs = F.aggregate(
+        F.slice(gaps, 2, m), F.struct(F.lit(0).alias("run"), F.lit(0).alias("sum")),
+        lambda a, g: F.when(g == 0, F.struct((a["run"] + 1).alias("run"), (a["sum"] + RUN_BONUS * (a["run"] + 1)).alias("sum"))).otherwise(
+            F.struct(F.lit(0).alias("run"), (a["sum"] - F.least(F.lit(GAP_MOST), GAP_COST * g)).alias("sum"))),
+        lambda a: a["sum"],
+    )
+    first = F.least(F.lit(FIRST_MOST), FIRST_COST * F.get(gaps, F.lit(0)))
+    letters = LETTERS + START_BONUS * F.size(F.filter(places, starts)) + runs - first + F.greatest(F.lit(0), LETTERS_SHORT - n)
+    score = (
+        F.when(low == q, EXACT + F.greatest(F.lit(0), EXACT_SHORT - n))
+        .when(F.startswith(low, F.lit(q)), prefix)
+        .when(word.isNotNull(), word)
+        .when(spelt, INITIALS + F.greatest(F.lit(0), INITIALS_SHORT - (n - m)))
+        .when(low.rlike(gaps_of), F.greatest(F.lit(LETTERS_LEAST), letters))
+        .otherwise(0)
+    )
+    return F.when(text.isNotNull(), score.cast("double"))
 
 
-def fuzzy_udf(query: str):
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else fuzzy_score(query, t))
+# Weights of the fields of a palette entry.
+DESCRIPTION_WEIGHT, KEYWORD_WEIGHT = 0.7, 0.85
+
+
+def fuzzy_search(items: DataFrame, query: str, title: str = "title", description: str = "description", keywords: str = "keywords") -> DataFrame:
+    """``items`` that match in title, description or one of the keywords (an array), best first, then by title; with ``score``.
 
-    return score
+    A blank query keeps every item with score 0. Null fields match nothing.
+    """
+    if not query.strip():
+        return items.withColumn("score", F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    own = zero(fuzzy_score(query, F.col(title)))
+    about = F.floor(zero(fuzzy_score(query, F.col(description))) * DESCRIPTION_WEIGHT).cast("double")
+    each = F.transform(F.col(keywords), lambda k: F.floor(zero(fuzzy_score(query, k)) * KEYWORD_WEIGHT).cast("double"))
+    best = F.greatest(own, about, zero(F.array_max(each)))
+    return items.withColumn("score", best).filter("score > 0").orderBy(F.desc("score"), title)
 
 
 def lcs_length(a: list, b: list) -> int:

@@ -55,11 +55,16 @@ def _me() -> Column:
 
 
 def retry_loops(g: GraphFrames, x: Limits) -> DataFrame:
-    """Any retries or repair rounds warn; at a limit they are errors; at twice a limit, or two of both, critical."""
-    rejected = F.coalesce(F.size(F.filter("provenance", lambda e: F.lower(e["type"]).contains("reject"))), F.lit(0))
+    """Any retries or repair rounds warn; at a limit they are errors; at twice a limit, or two of both, critical.
+
+    Events of a node that are rejected, or are rejections or repairs, count as retries and as repair rounds.
+    """
+    told = lambda e: (e["status"] == "rejected") | e["type"].isin("rejection", "repair")
+    rejected = F.coalesce(F.size(F.filter("provenance", lambda e: F.coalesce(told(e), e["type"].isin("rejection", "repair"), F.lit(False)))), F.lit(0))
     attempts = F.coalesce(F.array_max(F.transform("provenance", lambda e: e["attempt"])) - 1, F.lit(0))
     tries = F.greatest(F.coalesce(M.m["retries"], F.lit(0.0)), rejected.cast("double"), attempts.cast("double"))
-    n = g.nodes.select("graph_id", "id", tries.alias("tries"), F.coalesce(M.m["repair_rounds"], F.lit(0.0)).alias("rounds")).filter("tries > 0 or rounds > 0")
+    rounds = F.greatest(F.coalesce(M.m["repair_rounds"], M.meta("repairRounds", "double"), F.lit(0.0)), rejected.cast("double"))
+    n = g.nodes.select("graph_id", "id", tries.alias("tries"), rounds.alias("rounds")).filter("tries > 0 or rounds > 0")
     excess = (F.col("tries") >= x.retries) | (F.col("rounds") >= x.repairs)
     twice = (F.col("tries") >= 2 * x.retries) | (F.col("rounds") >= 2 * x.repairs) | ((F.col("tries") >= 2) & (F.col("rounds") >= 2))
     severity = F.when(excess & twice, "critical").when(excess, "error").otherwise("warning")

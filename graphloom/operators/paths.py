@@ -5,16 +5,18 @@ The four critical paths differ on purpose in which edges count and in how ties r
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.functions import metrics as M
 from graphloom.runtime import prepare_python
-from graphloom.schema import GraphFrames
+from graphloom.schema import GraphFrames, fields
 
 
 def per_graph(g: GraphFrames, f: Callable[[list[dict], list[dict]], list[tuple]], schema: str, duration: str = "dur_analytics") -> DataFrame:
@@ -22,13 +24,40 @@ def per_graph(g: GraphFrames, f: Callable[[list[dict], list[dict]], list[tuple]]
     prepare_python(g.nodes.sparkSession)
     n = g.nodes.select("graph_id", "ord", "id", "kind", "status", "section_id", M.DURATIONS[duration].alias("ms"), F.length(F.coalesce("name", "id")).alias("chars"))
     e = g.edges.select("graph_id", "ord", "id", "source", "target", "kind", F.coalesce("is_cycle", F.lit(False)).alias("is_cycle"), F.coalesce("traffic.avg_latency_ms", F.lit(0.0)).alias("latency"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("min_len", F.lit(1)).alias("min_len"))
-    names = ["graph_id", *(x.split()[0] for x in schema.split(", "))]
+    return per_row(packed(n, e), f, schema)
+
 
-    def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        ns, es = nodes.sort_values("ord").to_dict("records"), edges.sort_values("ord").to_dict("records")
-        return pd.DataFrame([(key[0], *row) for row in f(ns, es)], columns=names)
+def packed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per graph: graph_id, nodes and edges as arrays of structs; graphs that have only one of them too."""
+    spark = nodes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    part = lambda x, name: x.select("graph_id", F.struct(*[c for c in x.columns if c != "graph_id"]).alias(name))
+    # A few bytes of a graph may be seconds of work: the number of tasks is fixed, so that small tables spread too.
+    both = part(nodes, "node").unionByName(part(edges, "edge"), allowMissingColumns=True).repartition(tasks, "graph_id")
+    return both.groupBy("graph_id").agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges"))
 
-    return n.groupBy("graph_id").cogroup(e.groupBy("graph_id")).applyInPandas(run, "graph_id string, " + schema)
+
+def per_row(graphs: DataFrame, f: Callable[[list[dict], list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """Run ``f(nodes, edges)`` on each packed graph; many small graphs share an Arrow batch, which ends by its bytes."""
+    names = ["graph_id", *(x.split()[0] for x in schema.split(", "))]
+    types = None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(lo, 256).to_pylist():
+                    parts = [sorted(r[c] or [], key=lambda x: (x["ord"] is None, x["ord"] or 0)) for c in ("nodes", "edges")]
+                    for x in parts[0]:
+                        if x.get("ms", 0) is None:
+                            x["ms"] = math.nan
+                    out += [(r["graph_id"], *row) for row in f(*parts)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
+
+    wanted = fields("graph_id string, " + schema)
+    types = [to_arrow_type(x.dataType) for x in wanted]
+    return graphs.mapInArrow(run, wanted)
 
 
 def successors(nodes: list[dict], edges: list[dict], loops: bool = True, cyclic: bool = True, distinct: bool = False) -> dict[str, list[str]]:

@@ -37,6 +37,7 @@ def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+# The names by which a search addresses a field of a node or an edge.
 @functools.lru_cache
 def node_fields() -> dict[tuple[str, ...], Column]:
     """Field names (without case, dashes and underscores) and what they read from a node."""

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import collab, layout, paths, traverse
 from graphloom.queries.registry import query, rounded
+from graphloom.runtime import stage
 from graphloom.sources import export
 from graphloom.sources.adapters import ctes, graph, spark_sql
 
 SUPPLY = "WITH RECURSIVE " + ctes("supply")
 LOYAL = "WITH RECURSIVE " + ctes("loyal")
+RELAY = "WITH RECURSIVE " + ctes("relay")
 TYPES = "WITH " + ctes("transition")
 TALK = "WITH RECURSIVE " + ctes("conversation")
 
@@ -26,7 +28,7 @@ def closure_down(spark, sf_dir):
     return traverse.closure(g, _roots(g, "r1"), "down", max_depth=3)
 
 
-@query(f"""{LOYAL}, start AS (SELECT min(id) AS id FROM nodes), r(id) AS (SELECT id FROM start UNION SELECT e.target FROM r JOIN edges e ON e.source = r.id) SELECT 'loyal' AS graph_id, id FROM r""")
+@query(f"""{LOYAL}, start AS (SELECT graph_id, min(id) AS id FROM nodes GROUP BY 1), r(graph_id, id) AS (SELECT graph_id, id FROM start UNION SELECT r.graph_id, e.target FROM r JOIN edges e ON e.graph_id = r.graph_id AND e.source = r.id) SELECT graph_id, id FROM r""")
 def closure_on_cycles(spark, sf_dir):
     g = graph(spark, sf_dir, "loyal")
     first = g.nodes.groupBy("graph_id").agg(F.min("id").alias("id"))
@@ -47,20 +49,23 @@ _BLAST = """, step(graph_id, root, id, depth) AS (SELECT graph_id, id, id, 0 FRO
     SELECT graph_id, id, reached, depth, terminals, direct, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level, floor(avg(score) OVER (PARTITION BY graph_id) + 0.5)::BIGINT AS fragility FROM x"""
 
 
-@query(TALK + _BLAST)
+@query(RELAY + _BLAST)
 def blast_radius(spark, sf_dir):
-    return traverse.blast_radius(graph(spark, sf_dir, "conversation"))
+    return traverse.blast_radius(graph(spark, sf_dir, "relay"))
 
 
-@query(f"""{LOYAL}, both_ AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges), r(id, to_) AS (SELECT id, id FROM nodes UNION SELECT r.id, b.b FROM r JOIN both_ b ON b.a = r.to_)
-    SELECT 'loyal' AS graph_id, id, min(to_) AS component FROM r GROUP BY id""")
+@query(f"""{LOYAL}, both_ AS (SELECT graph_id, source AS a, target AS b FROM edges UNION SELECT graph_id, target, source FROM edges), r(graph_id, id, to_) AS (SELECT graph_id, id, id FROM nodes UNION SELECT r.graph_id, r.id, b.b FROM r JOIN both_ b ON b.graph_id = r.graph_id AND b.a = r.to_)
+    SELECT graph_id, id, min(to_) AS component FROM r GROUP BY 1, 2""")
 def weak_components(spark, sf_dir):
     return traverse.components(graph(spark, sf_dir, "loyal"))
 
 
-@query(f"""{LOYAL}, r(a, b) AS (SELECT source, target FROM edges UNION SELECT r.a, e.target FROM r JOIN edges e ON e.source = r.b), mutual AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
-    c AS (SELECT n.id, coalesce(least(min(m.b), n.id), n.id) AS component, count(m.b) > 0 AS is_cyclic FROM nodes n LEFT JOIN mutual m ON m.a = n.id GROUP BY n.id)
-    SELECT 'loyal' AS graph_id, id, component, (count(*) OVER (PARTITION BY component))::INTEGER AS size, is_cyclic FROM c""")
+_REACH = "r(graph_id, a, b) AS (SELECT graph_id, source, target FROM edges UNION SELECT r.graph_id, r.a, e.target FROM r JOIN edges e ON e.graph_id = r.graph_id AND e.source = r.b)"
+
+
+@query(f"""{LOYAL}, {_REACH}, mutual AS (SELECT x.graph_id, x.a, x.b FROM r x JOIN r y ON x.graph_id = y.graph_id AND x.a = y.b AND x.b = y.a),
+    c AS (SELECT n.graph_id, n.id, coalesce(least(min(m.b), n.id), n.id) AS component, count(m.b) > 0 AS is_cyclic FROM nodes n LEFT JOIN mutual m ON m.graph_id = n.graph_id AND m.a = n.id GROUP BY 1, 2)
+    SELECT graph_id, id, component, (count(*) OVER (PARTITION BY graph_id, component))::INTEGER AS size, is_cyclic FROM c""")
 def strong_components(spark, sf_dir):
     return paths.strong_components(graph(spark, sf_dir, "loyal"))
 
@@ -75,25 +80,56 @@ def feedback_edges(spark, sf_dir):
     return paths.feedback_edges(graph(spark, sf_dir, "loyal"))
 
 
-@query(f"""{TALK} SELECT graph_id, id, (row_number() OVER (PARTITION BY graph_id ORDER BY ord) - 1)::INTEGER AS place, false AS is_residual FROM nodes""")
+@query(f"""{LOYAL}, {_REACH}, c AS (SELECT graph_id, a AS id FROM r WHERE a = b), stuck AS (SELECT graph_id, id FROM c UNION SELECT r.graph_id, r.b FROM r JOIN c ON c.graph_id = r.graph_id AND c.id = r.a)
+    SELECT n.graph_id, n.id, s.id IS NOT NULL AS is_residual FROM nodes n LEFT JOIN stuck s ON s.graph_id = n.graph_id AND s.id = n.id""")
+def topological_residuals(spark, sf_dir):
+    """Nodes on or behind cycles, which no topological order places."""
+    return paths.topological_order(graph(spark, sf_dir, "loyal")).select("graph_id", "id", "is_residual")
+
+
+@query(f"""{RELAY}, n AS (SELECT graph_id, count(*) AS nodes FROM nodes GROUP BY 1), e AS (SELECT graph_id, count(*) AS edges FROM edges GROUP BY 1)
+    SELECT n.graph_id, nodes AS places, (nodes - 1)::INTEGER AS last_place, coalesce(edges, 0) AS edges_in_order FROM n LEFT JOIN e USING (graph_id)""")
 def topological_order(spark, sf_dir):
-    return paths.topological_order(graph(spark, sf_dir, "conversation"))
+    """Over acyclic graphs: as many places as nodes, and every edge runs from a smaller place to a larger one."""
+    g = graph(spark, sf_dir, "relay")
+    order = stage(paths.topological_order(g), "order")
+    at = lambda end: order.select("graph_id", F.col("id").alias(end), F.col("place").alias(f"{end}_place"))
+    e = g.edges.join(at("source"), ["graph_id", "source"]).join(at("target"), ["graph_id", "target"])
+    e = e.groupBy("graph_id").agg(F.count_if(F.col("source_place") < F.col("target_place")).alias("edges_in_order"))
+    n = order.filter("not is_residual").groupBy("graph_id").agg(F.countDistinct("place").alias("places"), F.max("place").alias("last_place"))
+    return n.join(e, "graph_id", "left").fillna(0, ["edges_in_order"])
+
 
+_HEAVIEST = f"""{RELAY}, p(graph_id, id, total, way) AS (SELECT graph_id, id, duration_ms, [id] FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.target = n.id)
+    UNION ALL SELECT p.graph_id, e.target, p.total + n.duration_ms, list_append(p.way, e.target) FROM p JOIN edges e ON e.graph_id = p.graph_id AND e.source = p.id JOIN nodes n ON n.graph_id = e.graph_id AND n.id = e.target)"""
+_CRITICAL = f"""{_HEAVIEST}, top AS (SELECT graph_id, arg_max(way, total) AS way FROM p GROUP BY 1), s AS (SELECT graph_id, unnest(way) AS id, unnest(range(len(way))) AS k FROM top), r AS (SELECT s.graph_id, s.id, k, duration_ms AS ms FROM s JOIN nodes n ON n.graph_id = s.graph_id AND n.id = s.id)
+    SELECT graph_id, k::INTEGER AS position, id, round(ms, 4) AS ms, round(sum(ms) OVER w, 4) AS running_ms, round(ms / sum(ms) OVER (PARTITION BY graph_id) * 100, 4) AS share FROM r WINDOW w AS (PARTITION BY graph_id ORDER BY k)"""
 
-@query(f"""{TALK}, r AS (SELECT graph_id, id, ord, duration_ms AS ms FROM nodes) SELECT graph_id, (row_number() OVER w - 1)::INTEGER AS position, id, ms, sum(ms) OVER w AS running_ms, round(ms / sum(ms) OVER (PARTITION BY graph_id) * 100, 4) AS share FROM r WINDOW w AS (PARTITION BY graph_id ORDER BY ord)""")
+
+@query(_CRITICAL)
 def critical_path_analytics(spark, sf_dir):
-    return rounded(paths.critical_path(graph(spark, sf_dir, "conversation"), "analytics"))
+    return rounded(paths.critical_path(graph(spark, sf_dir, "relay"), "analytics"))
+
+
+@query(_CRITICAL)
+def critical_path_anomaly(spark, sf_dir):
+    return rounded(paths.critical_path(graph(spark, sf_dir, "relay"), "anomaly"))
 
 
-@query(f"""{TALK}, r AS (SELECT graph_id, id, ord, duration_ms AS ms FROM nodes WHERE duration_ms > 0) SELECT graph_id, round(sum(ms), 4) AS critical_ms FROM r GROUP BY 1""")
+@query(f"{_HEAVIEST} SELECT graph_id, round(max(total), 4) AS critical_ms FROM p GROUP BY 1")
 def critical_ms_report(spark, sf_dir):
-    return rounded(paths.critical_ms(graph(spark, sf_dir, "conversation"), "report"))
+    return rounded(paths.critical_ms(graph(spark, sf_dir, "relay"), "report"))
 
 
-@query(f"""{TALK}, r AS (SELECT graph_id, id, ord, greatest(1.0, duration_ms) AS ms, sum(greatest(1.0, duration_ms)) OVER (PARTITION BY graph_id ORDER BY ord) AS fin FROM nodes)
-    SELECT graph_id, id, fin - ms AS early_start, fin AS early_finish, 0.0::DOUBLE AS slack, true AS is_critical FROM r""")
+@query(f"""{RELAY}, m AS (SELECT graph_id, id, greatest(1.0, duration_ms) AS ms FROM nodes),
+    f(graph_id, id, begun) AS (SELECT graph_id, id, 0.0::DOUBLE FROM m UNION SELECT f.graph_id, e.target, f.begun + m.ms FROM f JOIN m ON m.graph_id = f.graph_id AND m.id = f.id JOIN edges e ON e.graph_id = f.graph_id AND e.source = f.id),
+    b(graph_id, id, rest) AS (SELECT graph_id, id, 0.0::DOUBLE FROM m UNION SELECT b.graph_id, e.source, b.rest + m.ms FROM b JOIN m ON m.graph_id = b.graph_id AND m.id = b.id JOIN edges e ON e.graph_id = b.graph_id AND e.target = b.id),
+    t AS (SELECT graph_id, id, ms, (SELECT max(begun) FROM f WHERE f.graph_id = m.graph_id AND f.id = m.id) AS start, (SELECT max(rest) FROM b WHERE b.graph_id = m.graph_id AND b.id = m.id) AS rest FROM m),
+    l AS (SELECT *, max(start + ms) OVER g - rest - ms - start AS slack FROM t WINDOW g AS (PARTITION BY graph_id))
+    SELECT graph_id, id, round(start, 3) AS early_start, round(start + ms, 3) AS early_finish, abs(round(slack, 3)) AS slack, slack <= greatest(1.0, min(slack) OVER (PARTITION BY graph_id) + 2) AS is_critical FROM l""")
 def schedule_cpm(spark, sf_dir):
-    return paths.schedule(graph(spark, sf_dir, "conversation")).select("graph_id", "id", "early_start", "early_finish", "slack", "is_critical")
+    out = paths.schedule(graph(spark, sf_dir, "relay")).withColumn("slack", F.abs(F.round("slack", 3)))
+    return rounded(out.select("graph_id", "id", "early_start", "early_finish", "slack", "is_critical"), 3)
 
 
 @query(f"""{SUPPLY}, p(id, total, level) AS (SELECT id, duration_ms, 0 FROM nodes WHERE id NOT IN (SELECT target FROM edges)
@@ -130,14 +166,14 @@ def dangling_edges(spark, sf_dir):
     return traverse.dangling_edges(GraphFrames(g.nodes.filter("kind <> 'artifact'"), g.edges))
 
 
-@query(f"""{LOYAL}, r(root, id, depth) AS (SELECT id, id, 0 FROM nodes WHERE status = 'error' UNION SELECT r.root, e.target, 1 FROM r JOIN edges e ON e.source = r.id WHERE e.target <> r.root),
-    h AS (SELECT root, count(DISTINCT id) AS hit FROM r WHERE id <> root GROUP BY 1) SELECT root AS node, hit::DOUBLE AS value, CASE WHEN hit >= 3 OR hit / (SELECT count(*) FROM nodes)::DOUBLE >= 0.35 THEN 'critical' ELSE 'error' END AS severity FROM h""")
+@query(f"""{LOYAL}, {_REACH}, h AS (SELECT r.graph_id, a, list(b) AS below, count(*) AS hit FROM r JOIN nodes n ON n.graph_id = r.graph_id AND n.id = r.a WHERE n.status = 'error' AND a <> b GROUP BY 1, 2)
+    SELECT h.graph_id, array_to_string(list_sort(list_append(below, a)), ',') AS nodes, hit::DOUBLE AS value, CASE WHEN hit >= 3 OR hit / (SELECT count(*) FROM nodes n WHERE n.graph_id = h.graph_id)::DOUBLE >= 0.35 THEN 'critical' ELSE 'error' END AS severity FROM h""")
 def error_cascades(spark, sf_dir):
-    g = graph(spark, sf_dir, "loyal")
-    roots = g.nodes.filter("status = 'error'").select("graph_id", F.col("id").alias("root"))
-    reach = traverse.bfs(traverse.arcs(g), roots).filter("depth > 0").groupBy(F.col("root").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    size = g.nodes.count()
-    return reach.withColumn("severity", F.when((F.col("value") >= 3) | (F.col("value") / size >= 0.35), "critical").otherwise("error"))
+    """Each failed customer with what lies downstream of it."""
+    from graphloom.operators import anomaly
+
+    out = anomaly.error_cascades(graph(spark, sf_dir, "loyal"), anomaly.Limits())
+    return out.select("graph_id", F.array_join("node_ids", ",").alias("nodes"), "value", "severity")
 
 
 @query(f"""{TYPES} SELECT source, target, tokens AS transitions, round(latency_ms, 2) AS avg_gap_ms FROM edges""")
@@ -154,7 +190,7 @@ def longest_path_ranks(spark, sf_dir):
     return layout.rank_table(graph(spark, sf_dir, "supply"))
 
 
-@query("SELECT 'loyal' AS graph_id, 0::BIGINT AS violations")
+@query(f"{LOYAL} SELECT graph_id, count(*) AS edges, 0::BIGINT AS violations FROM edges GROUP BY 1")
 def tight_rank_violations(spark, sf_dir):
     """Edges of the acyclic order that run less than their least length down: none."""
     g = graph(spark, sf_dir, "loyal")
@@ -162,7 +198,7 @@ def tight_rank_violations(spark, sf_dir):
     e = paths.feedback_edges(g).join(g.edges.select("graph_id", "id", "source", "target"), ["graph_id", "id"])
     e = e.join(r.select("graph_id", F.col("id").alias("source"), F.col("rank").alias("a")), ["graph_id", "source"]).join(r.select("graph_id", F.col("id").alias("target"), F.col("rank").alias("b")), ["graph_id", "target"])
     span = F.when(F.col("is_feedback"), F.col("a") - F.col("b")).otherwise(F.col("b") - F.col("a"))
-    return e.groupBy("graph_id").agg(F.count_if(span < 1).alias("violations"))
+    return e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"), F.count_if(span < 1).alias("violations"))
 
 
 @query(f"""{SUPPLY}, w AS (SELECT graph_id, id, ord, row_number() OVER (ORDER BY ord) - 1 AS i, ceil(sqrt(count(*) OVER ())) AS per FROM nodes) SELECT graph_id, id, ((i % per) * 160.0)::DOUBLE AS x, (floor(i / per) * 140.0)::DOUBLE AS y FROM w""")
@@ -275,7 +311,7 @@ def relational_graphs(spark, sf_dir):
     return export.relational(graph(spark, sf_dir, "supply"))["graphs"]
 
 
-@query(f"""{LOYAL} SELECT 'INSERT INTO "edges" ("graph_id", "id", "source", "target", "kind", "label", "condition", "is_cycle") VALUES (''loyal'', ''' || id || ''', ''' || source || ''', ''' || target || ''', ''handoff'', NULL, NULL, 0);' AS statement FROM edges""")
+@query(f"""{LOYAL} SELECT 'INSERT INTO "edges" ("graph_id", "id", "source", "target", "kind", "label", "condition", "is_cycle") VALUES (''' || graph_id || ''', ''' || id || ''', ''' || source || ''', ''' || target || ''', ''handoff'', NULL, NULL, 0);' AS statement FROM edges""")
 def insert_statements(spark, sf_dir):
     return export.inserts(export.relational(graph(spark, sf_dir, "loyal"))["edges"], "edges")
 

@@ -114,15 +114,8 @@ def replay_bookmarks(spark, sf_dir):
     return replay.bookmarks(spark_sql(spark, sf_dir, _LOG_SPARK))
 
 
-@query("""WITH p AS (SELECT user_id, ts FROM events WHERE event_id % 7 = 0), e AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') SELECT p.user_id, p.ts, e.value AS as_of FROM p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.ts >= e.ts""")
-def as_of_join(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return replay.as_of(e.filter("event_type = 'purchase'"), e.filter("event_id % 7 = 0"), "user_id", "ts", "value")
-
-
 @query("""WITH e AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') SELECT p.user_id, p.ts, e.value AS as_of FROM events p ASOF LEFT JOIN e ON p.user_id = e.user_id AND p.ts >= e.ts""")
-def as_of_join_all(spark, sf_dir):
-    """As ``as_of_join``, probed with every event."""
+def as_of_join(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return replay.as_of(e.filter("event_type = 'purchase'"), e, "user_id", "ts", "value")
 
@@ -232,10 +225,29 @@ def text_similarity(spark, sf_dir):
     return rounded(p.select("p_partkey", scalars.similarity(F.col("p_name"), F.col("p_type")).alias("similarity")), 6)
 
 
-@query()
+_LETTERS = """a AS (SELECT *, trim(name) AS t, lower(trim(name)) AS low, length(trim(name)) AS n FROM items),
+    b AS (SELECT *, instr(low, 's') - 1 AS p0 FROM a), c AS (SELECT *, CASE WHEN p0 >= 0 AND instr(substr(low, p0 + 2), 't') > 0 THEN p0 + instr(substr(low, p0 + 2), 't') END AS p1 FROM b),
+    d AS (SELECT *, CASE WHEN p1 IS NOT NULL AND instr(substr(low, p1 + 2), 'e') > 0 THEN p1 + instr(substr(low, p1 + 2), 'e') END AS p2 FROM c),
+    w AS (SELECT *, list_filter(list_transform(string_split_regex(low, '[\\s\\-_/.]+'), lambda x, i: CASE WHEN starts_with(x, 'ste') THEN 650 - 20 * (i - 1) - least(100, 2 * (length(x) - 3)) END), lambda x: x IS NOT NULL)[1] AS word,
+          array_to_string(list_transform(string_split_regex(low, '[\\s\\-_/.]+'), lambda x: left(x, 1)), '') AS initials, [p0, p1, p2] AS ps FROM d),
+    k AS (SELECT *, len(list_filter(ps, lambda p: p = 0 OR regexp_matches(substr(low, p, 1), '[\\s\\-_/.]'))) AS starts, p1 - p0 - 1 AS g1, p2 - p1 - 1 AS g2 FROM w),
+    s AS (SELECT *, CASE WHEN low = 'ste' THEN 1000 + greatest(0, 100 - n) WHEN starts_with(low, 'ste') THEN 800 - least(200, 2 * (n - 3)) WHEN word IS NOT NULL THEN word
+          WHEN regexp_matches(initials, 's.*t.*e') THEN 550 + greatest(0, 50 - (n - 3)) WHEN p2 IS NULL THEN 0
+          ELSE greatest(10, 100 + 35 * starts - least(40, 3 * p0) + (CASE WHEN g1 = 0 THEN 20 ELSE -least(30, 2 * g1) END) + (CASE WHEN g2 = 0 AND g1 = 0 THEN 40 WHEN g2 = 0 THEN 20 ELSE -least(30, 2 * g2) END) + greatest(0, 100 - n)) END::DOUBLE AS score FROM k)"""
+
+
+@query(f"WITH items AS (SELECT p_partkey AS key, p_name || ' ' || p_type AS name FROM part), {_LETTERS} SELECT key, score FROM s WHERE score > 0")
 def text_fuzzy(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select("p_partkey", scalars.fuzzy_udf("ste")(F.col("p_name")).alias("score")).filter("score > 0")
+    p = spark_sql(spark, sf_dir, "SELECT p_partkey AS key, p_name || ' ' || p_type AS name FROM {part}")
+    return p.select("key", scalars.fuzzy_score("ste", F.col("name")).alias("score")).filter("score > 0")
+
+
+@query(f"""WITH items AS (SELECT p_partkey AS key, 1.0::DOUBLE AS weight, p_name AS name FROM part UNION ALL SELECT p_partkey, 0.7, p_brand FROM part UNION ALL SELECT p_partkey, 0.85, unnest([p_type, p_name || '-' || p_type]) FROM part), {_LETTERS}
+    SELECT key, max(CASE WHEN weight = 1 THEN score ELSE floor(score * weight) END) AS score FROM s GROUP BY 1 HAVING max(CASE WHEN weight = 1 THEN score ELSE floor(score * weight) END) > 0""")
+def text_palette(spark, sf_dir):
+    """Palette entries by title, description and keywords."""
+    p = spark_sql(spark, sf_dir, "SELECT p_partkey AS key, p_name AS title, p_brand AS description, array(p_type, p_name || '-' || p_type) AS keywords FROM {part}")
+    return scalars.fuzzy_search(p, "ste").select("key", "score")
 
 
 @query()
@@ -244,9 +256,16 @@ def text_lcs(spark, sf_dir):
     return p.select("p_partkey", scalars.lcs_similarity(F.col("p_name"), F.col("p_type")).alias("lcs"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'rate limit') OR contains(lower(text), '429') OR contains(lower(text), 'quota exceeded') OR contains(lower(text), 'throttled') OR contains(lower(text), 'too many requests') THEN 'rate_limit_quota'
-    WHEN contains(lower(text), 'timed out') OR contains(lower(text), 'timeout') OR contains(lower(text), 'deadline exceeded') OR contains(lower(text), 'lease expired') OR contains(lower(text), 'deadlock') THEN 'timeout_deadlock' ELSE 'other' END AS error_class FROM conversations""")
+def _error_case(column: str) -> str:
+    """The ordered rules as one CASE; the words are those of the fixed table."""
+    def hit(name, words):
+        some = [f"contains(lower({column}), '{w}')" for w in words]
+        return " OR ".join(some + [f"regexp_matches(lower({column}), '{scalars.SYNTAX_PATTERN}')"] * (name == "syntax_type"))
+
+    return "CASE " + " ".join(f"WHEN {hit(n, w)} THEN '{n}'" for n, w in scalars.ERROR_WORDS.items()) + " ELSE 'runtime_unhandled' END"
+
+
+@query(f"SELECT conv_id, turn, coalesce({_error_case('text')}, 'runtime_unhandled') AS error_class FROM conversations")
 def text_error_class(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    k = scalars.error_class(F.col("text"))
-    return c.select("conv_id", "turn", F.when(k.isin("rate_limit_quota", "timeout_deadlock"), k).otherwise("other").alias("error_class"))
+    return c.select("conv_id", "turn", scalars.error_class(F.col("text")).alias("error_class"))

@@ -35,7 +35,7 @@ def quick_filters(spark, sf_dir):
     return n.groupBy("graph_id").agg(*[F.count_if(lenses.quick_filter(f)).alias(a) for f, a in (("all", "all_"), ("errors", "errors"), ("success", "success"), ("tools", "tools"))])
 
 
-@query(f"""{L}, live AS (SELECT kind, arg_min(id, ord) AS fallback FROM nodes WHERE status NOT IN ('error', 'skipped') GROUP BY 1) SELECT n.graph_id, n.id, fallback FROM nodes n LEFT JOIN live USING (kind) WHERE status = 'error'""")
+@query(f"""{L}, live AS (SELECT graph_id, kind, arg_min(id, ord) AS fallback FROM nodes WHERE status NOT IN ('error', 'skipped') GROUP BY 1, 2) SELECT n.graph_id, n.id, fallback FROM nodes n LEFT JOIN live USING (graph_id, kind) WHERE status = 'error'""")
 def fallback_routes(spark, sf_dir):
     g = graph(spark, sf_dir, "loyal")
     return traverse.fallback_routes(g, g.nodes.filter("status = 'error'").select("graph_id", "id"))
@@ -70,12 +70,12 @@ def relational_metrics(spark, sf_dir):
     return export.relational(graph(spark, sf_dir, "session"))["node_metrics"]
 
 
-@query(f"""{L} SELECT graph_id, count(*) AS nodes, (SELECT count(*) FROM edges) AS edges FROM nodes GROUP BY 1""")
+@query(f"""{L} SELECT n.graph_id, count(*) AS nodes, coalesce(any_value(e.k), 0) AS edges FROM nodes n LEFT JOIN (SELECT graph_id, count(*) AS k FROM edges GROUP BY 1) e USING (graph_id) GROUP BY 1""")
 def document_round_trip(spark, sf_dir):
     """Graphs written as JSON documents and read again, all nodes and edges."""
     g, _ = graph_json.read_documents(export.documents(graph(spark, sf_dir, "loyal")))
     n = g.nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
-    return n.join(g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges")), "graph_id")
+    return n.join(g.edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges")), "graph_id", "left").fillna(0, ["edges"])
 
 
 _DOCS = """SELECT CAST(user_id AS STRING) AS graph_id, '{{{{"nodes": [' || array_join(collect_list('{{{{"id": "' || (event_id % 50) || '", "name": ' || event_id || '}}}}'), ', ') || '], "edges": []}}}}' AS text FROM {events} GROUP BY user_id""".replace("{{{{", "{{").replace("}}}}", "}}")
@@ -97,9 +97,10 @@ def link_round_trips(spark, sf_dir):
     return rounded(healing.round_trips(spark_sql(spark, sf_dir, _PINGS)).drop("rtt"), 6)
 
 
-@query("""WITH i AS (SELECT event_id AS id, user_id AS key, event_type AS type, event_id * 1000 AS ts FROM events WHERE event_type IN ('error', 'click')), p(name, type, priority, cooldown_ms) AS (VALUES ('restart', 'error', 5, 60000), ('page', 'error', 1, 0), ('log', 'click', 1, 500000)),
-    j AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority DESC, name) AS nth FROM i JOIN p USING (type)), k AS (SELECT id, key, name, ts - lag(ts) OVER (PARTITION BY key, name ORDER BY ts, id) AS since, cooldown_ms FROM j WHERE nth = 1)
-    SELECT id, key, name, since IS NULL OR since >= cooldown_ms AS runs FROM k""")
+@query("""WITH RECURSIVE i AS (SELECT event_id AS id, user_id AS key, event_type AS type, event_id * 1000 AS ts FROM events WHERE event_type IN ('error', 'click')), p(name, type, priority, cooldown_ms) AS (VALUES ('restart', 'error', 5, 60000), ('page', 'error', 1, 0), ('log', 'click', 1, 500000)),
+    j AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY priority DESC, name) AS nth FROM i JOIN p USING (type)), k AS (SELECT id, key, name, ts, cooldown_ms FROM j WHERE nth = 1),
+    r(key, name, ts) AS (SELECT key, name, min(ts) FROM k GROUP BY 1, 2 UNION SELECT r.key, r.name, min(k.ts) FROM r JOIN k ON k.key = r.key AND k.name = r.name AND k.ts > r.ts AND k.ts >= r.ts + k.cooldown_ms GROUP BY r.key, r.name)
+    SELECT k.id, k.key, k.name, r.ts IS NOT NULL AS runs FROM k LEFT JOIN r ON r.key = k.key AND r.name = k.name AND r.ts = k.ts""")
 def playbook_runs(spark, sf_dir):
     i = spark_sql(spark, sf_dir, "SELECT event_id AS id, user_id AS key, event_type AS type, 'error' AS severity, event_id * 1000 AS ts FROM {events} WHERE event_type IN ('error', 'click')")
     p = spark.createDataFrame([("restart", "error", "error", 60_000, 5), ("page", "error", "warning", 0, 1), ("log", "click", "info", 500_000, 1)], "name string, type string, min_severity string, cooldown_ms long, priority int")

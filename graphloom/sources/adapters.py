@@ -11,11 +11,13 @@ _SPARK = {
     "ms": lambda a, b: f"CAST(timestampdiff(MILLISECOND, {a}, {b}) AS DOUBLE)",
     "day": lambda t: f"CAST(datediff(CAST({t} AS DATE), DATE'2020-01-01') AS DOUBLE)",
     "idiv": lambda a, b: f"({a} div {b})",
+    "digest": lambda x: f"CAST(conv(substring(md5({x}), 1, 15), 16, 10) AS BIGINT)",
 }
 _DUCK = {
     "ms": lambda a, b: f"CAST(date_sub('millisecond', {a}, {b}) AS DOUBLE)",
     "day": lambda t: f"CAST(date_diff('day', DATE '2020-01-01', CAST({t} AS DATE)) AS DOUBLE)",
     "idiv": lambda a, b: f"({a} // {b})",
+    "digest": lambda x: f"CAST('0x' || substring(md5({x}), 1, 15) AS BIGINT)",
 }
 
 
@@ -36,7 +38,8 @@ def _session(d) -> tuple[str, str]:
 
 
 def _supply(d) -> tuple[str, str]:
-    nodes = """SELECT 'supply' AS graph_id, CAST(row_number() OVER (ORDER BY grp, key) - 1 AS BIGINT) AS ord, id, name, kind, status, CAST(grp AS DOUBLE) AS step, duration_ms,
+    # Input positions need no global sort: group and key give the nodes' order, a digest of their id that of the edges.
+    nodes = """SELECT 'supply' AS graph_id, CAST(grp AS BIGINT) * 1000000000000000 + key AS ord, id, name, kind, status, CAST(grp AS DOUBLE) AS step, duration_ms,
         CAST(NULL AS DOUBLE) AS cost_usd, CAST(NULL AS DOUBLE) AS tokens_in, CAST(NULL AS DOUBLE) AS tokens_out, CAST(NULL AS DOUBLE) AS retries, CAST(NULL AS STRING) AS model, CAST(NULL AS STRING) AS tier, section_id FROM (
         SELECT 0 AS grp, CAST(r_regionkey AS BIGINT) AS key, 'r' || r_regionkey AS id, r_name AS name, 'orchestrator' AS kind, 'success' AS status, 0.0 AS duration_ms, 'r' || r_regionkey AS section_id FROM {region}
         UNION ALL SELECT 1, CAST(n_nationkey AS BIGINT), 'n' || n_nationkey, n_name, 'group', 'success', 0.0, 'r' || n_regionkey FROM {nation}
@@ -44,14 +47,14 @@ def _supply(d) -> tuple[str, str]:
         UNION ALL SELECT 3, s_suppkey, 's' || s_suppkey, s_name, 'tool', 'success', greatest(s_acctbal, 0.0), 'r' || n_regionkey FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
         UNION ALL SELECT 4, o_orderkey, 'o' || o_orderkey, 'order ' || o_orderkey, 'task', CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'pending' END, o_totalprice, CAST(NULL AS STRING) FROM {orders}
         UNION ALL SELECT 5, p_partkey, 'p' || p_partkey, p_name, 'artifact', 'success', p_retailprice, CAST(NULL AS STRING) FROM {part}) x"""
-    edges = """SELECT 'supply' AS graph_id, CAST(row_number() OVER (ORDER BY source, target) - 1 AS BIGINT) AS ord, source || '->' || target AS id, source, target, kind,
+    edges = f"""SELECT 'supply' AS graph_id, {d["digest"]("source || '->' || target")} AS ord, source || '->' || target AS id, source, target, kind,
         CAST(NULL AS BOOLEAN) AS is_cycle, CAST(NULL AS DOUBLE) AS latency_ms, CAST(NULL AS DOUBLE) AS tokens FROM (
-        SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'contains' AS kind FROM {nation}
-        UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM {customer}
-        UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'contains' FROM {supplier}
-        UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'sequence' FROM {orders}
-        UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'dependency' FROM {lineitem}
-        UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'dependency' FROM {lineitem}) x"""
+        SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'contains' AS kind FROM {{nation}}
+        UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'contains' FROM {{customer}}
+        UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'contains' FROM {{supplier}}
+        UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'sequence' FROM {{orders}}
+        UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'dependency' FROM {{lineitem}}
+        UNION ALL SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey, 'dependency' FROM {{lineitem}}) x"""
     return nodes, edges
 
 
@@ -69,19 +72,30 @@ def _transition(d) -> tuple[str, str]:
     return nodes, edges
 
 
-def _loyal(d) -> tuple[str, str]:
-    big = "SELECT c_custkey, c_nationkey, c_acctbal, o_orderkey, o_orderdate FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 460000"
-    nodes = f"""SELECT 'loyal' AS graph_id, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS ord, 'c' || c_custkey AS id, 'customer ' || c_custkey AS name, 'agent' AS kind,
-        CASE WHEN c_custkey % 7 = 0 THEN 'error' ELSE 'success' END AS status, CAST(c_nationkey AS DOUBLE) AS step, greatest(c_acctbal, 0.0) AS duration_ms, {_BLANK}
-        FROM (SELECT DISTINCT c_custkey, c_nationkey, c_acctbal FROM ({big}) b) x"""
-    edges = f"""SELECT 'loyal' AS graph_id, CAST(row_number() OVER (ORDER BY source, target) - 1 AS BIGINT) AS ord, source || '->' || target AS id, source, target, 'handoff' AS kind,
+def _handoffs(d, only: str) -> tuple[str, str]:
+    block = f"c_nationkey || '-' || {d['idiv']('c_custkey', '1000')} || '-' || year(o_orderdate)"
+    rows = f"SELECT {block} AS graph_id, c_custkey, c_nationkey, c_acctbal, o_orderkey, o_orderdate FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey"
+    nodes = f"""SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY c_custkey) - 1 AS BIGINT) AS ord, 'c' || c_custkey AS id, 'customer ' || c_custkey AS name, 'agent' AS kind,
+        CASE WHEN c_custkey % 7 = 0 THEN 'error' ELSE 'success' END AS status, CAST(c_nationkey AS DOUBLE) AS step, abs(c_acctbal) + 1 AS duration_ms, {_BLANK}
+        FROM (SELECT DISTINCT graph_id, c_custkey, c_nationkey, c_acctbal FROM ({rows}) b) x"""
+    edges = f"""SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY source, target) - 1 AS BIGINT) AS ord, source || '->' || target AS id, source, target, 'handoff' AS kind,
         CAST(NULL AS BOOLEAN) AS is_cycle, CAST(NULL AS DOUBLE) AS latency_ms, CAST(NULL AS DOUBLE) AS tokens FROM (
-        SELECT DISTINCT 'c' || c_custkey AS source, 'c' || next_key AS target FROM (
-            SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS next_key FROM ({big}) b) y
-        WHERE next_key IS NOT NULL AND next_key <> c_custkey) x"""
+        SELECT DISTINCT graph_id, 'c' || c_custkey AS source, 'c' || next_key AS target FROM (
+            SELECT graph_id, c_custkey, lead(c_custkey) OVER (PARTITION BY graph_id ORDER BY o_orderdate, o_orderkey) AS next_key FROM ({rows}) b) y
+        WHERE next_key {only} c_custkey) x"""
     return nodes, edges
 
 
+def _loyal(d) -> tuple[str, str]:
+    """All orders, as a graph for each nation, block of 1000 customer keys and year: cyclic, and as small at any scale."""
+    return _handoffs(d, "<>")
+
+
+def _relay(d) -> tuple[str, str]:
+    """The handoffs of ``loyal`` to larger customer keys: acyclic, with branches and joins."""
+    return _handoffs(d, ">")
+
+
 def _conversation(d) -> tuple[str, str]:
     nodes = f"""SELECT CAST(conv_id AS STRING) AS graph_id, turn AS ord, 't' || turn AS id, role || ' ' || turn AS name, role AS kind,
         'success' AS status, CAST(turn AS DOUBLE) AS step, CAST(length(text) AS DOUBLE) AS duration_ms, {_BLANK} FROM {{conversations}}"""
@@ -91,7 +105,7 @@ def _conversation(d) -> tuple[str, str]:
     return nodes, edges
 
 
-_GRAPHS = {"session": _session, "supply": _supply, "transition": _transition, "loyal": _loyal, "conversation": _conversation}
+_GRAPHS = {"session": _session, "supply": _supply, "transition": _transition, "loyal": _loyal, "relay": _relay, "conversation": _conversation}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

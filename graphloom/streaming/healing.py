@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.runtime import prepare_python
+from graphloom.runtime import broadcast_if_few, prepare_python
 
 # Milliseconds without a heartbeat until degraded and dead; restart attempts.
 DEGRADED_MS, DEAD_MS, RESTARTS = 2500, 5000, 5
@@ -58,17 +58,31 @@ def circuit_breakers(calls: DataFrame, limit: int = 5, need: int = 2, wait_ms: f
     return calls.select("key", "ord", F.col("ts").cast("double").alias("ts"), "ok").groupBy("key").applyInPandas(f, "key string, ord bigint, state string, failures bigint, refused boolean")
 
 
-def playbook_runs(incidents: DataFrame, playbooks: DataFrame) -> DataFrame:
-    """The playbook of highest priority for each incident (id, key, type, severity, ts ms), unless it cools down.
+def playbook_runs(incidents: DataFrame, playbooks: DataFrame, conditions: dict[str, Column] | None = None) -> DataFrame:
+    """The playbook of highest priority for each incident (id, key, type, severity, ts ms), and whether it runs.
 
-    A playbook (name, type, min_severity, cooldown_ms, priority) runs again for a key only after its cooldown since the
-    incident before that matched it.
+    A playbook (name, type, min_severity, cooldown_ms, priority) whose condition on the incident fails is passed over; it
+    runs again for a key once its cooldown has passed since its last run. Incidents after a pause of a whole cooldown
+    run in any case, so runs are followed only between such pauses.
     """
     level = lambda c: F.array_position(F.array(*map(F.lit, ("info", "warning", "error", "critical"))), F.col(c))
-    j = incidents.join(F.broadcast(playbooks), "type").filter(level("severity") >= level("min_severity"))
+    j = incidents.join(broadcast_if_few(playbooks), "type").filter(level("severity") >= level("min_severity"))
+    for name, holds in (conditions or {}).items():
+        j = j.filter((F.col("name") != name) | F.coalesce(holds, F.lit(False)))
     j = j.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("priority"), "name"))).filter("nth = 1").drop("nth")
-    before = F.lag("ts").over(Window.partitionBy("key", "name").orderBy("ts", "id"))
-    return j.withColumn("since", F.col("ts") - before).withColumn("runs", F.col("since").isNull() | (F.col("since") >= F.col("cooldown_ms")))
+    order = Window.partitionBy("key", "name").orderBy("ts", "id")
+    since = F.col("ts") - F.lag("ts").over(order)
+    j = j.withColumn("_paused", F.when(since.isNull() | (since >= F.col("cooldown_ms")), 1).otherwise(0)).withColumn("_burst", F.sum("_paused").over(order))
+    bursts = j.groupBy("key", "name", "_burst").agg(F.array_sort(F.collect_list(F.struct("ts", *[c for c in j.columns if c not in ("ts", "key", "name", "_burst", "_paused")]))).alias("rows"))
+    blank = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("runs"))
+
+    def follow(a, x):
+        runs = a["last"].isNull() | (x["ts"] - a["last"] >= x["cooldown_ms"])
+        return F.struct(F.when(runs, x["ts"]).otherwise(a["last"]).cast("long").alias("last"), F.concat(a["runs"], F.array(runs)).alias("runs"))
+
+    bursts = bursts.withColumn("_runs", F.aggregate("rows", blank, follow, lambda a: a["runs"]))
+    out = bursts.select("key", "name", F.explode(F.arrays_zip("rows", "_runs")).alias("x"))
+    return out.select("key", "name", "x.rows.*", F.col("x._runs").alias("runs"))
 
 
 def restart_delay(attempt: Column, initial: float = 500, most: float = 30_000) -> Column:

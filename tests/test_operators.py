@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -178,10 +179,33 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 5
 
 
-@pytest.mark.parametrize(("q", "t", "low"), [("abc", "abc", 1097), ("ab", "abc", 798), ("wo", "hello world", 624), ("hw", "hello world", 591), ("hlo", "hello", 90), ("zz", "hello", 0)])
-def test_fuzzy(q, t, low):
-    s = scalars.fuzzy_score(q, t)
-    assert s >= low and (low or s == 0)
+@pytest.mark.parametrize(("q", "t", "want"), [
+    ("abc", "abc", 1097), (" ABC ", "  abc ", 1097), ("ab", "abc", 798), ("wo", "hello world", 624), ("hw", "hello world", 591), ("rv", "resetViewport", 589),
+    ("hlo", "hello", 100 + 35 - 2 - 2 + 95), ("elo", "hello", 100 - 3 - 2 + 20 + 95), ("abc", "xaxbxc" + "x" * 200, 100 - 3 - 2 - 2), ("a", "b" * 300 + "a", 60), ("zz", "hello", 0), ("a.c", "abc", 0), ("", "x", 0), ("x", "", 0), ("x", None, None),
+])
+def test_fuzzy(spark, q, t, want):
+    d = spark.createDataFrame([(t,)], "t string")
+    assert d.select(scalars.fuzzy_score(q, F.col("t"))).first()[0] == want
+
+
+def test_fuzzy_search(spark):
+    d = spark.createDataFrame([("Reset view", None, None), ("Zoom", "reset all", ["x"]), ("Pan", None, ["reset"]), ("Other", "none", [])], "title string, description string, keywords array<string>")
+    got = [(r.title, r.score) for r in scalars.fuzzy_search(d, "reset").collect()]
+    assert got == [("Pan", math.floor((1000 + 95) * 0.85)), ("Reset view", 790), ("Zoom", math.floor(792 * 0.7))]
+    assert scalars.fuzzy_search(d, " ").count() == 4
+
+
+def test_retry_loops_count_rejections(spark):
+    """Events that are rejected, or are rejections or repairs, count as retries and as repair rounds."""
+    from graphloom.operators import anomaly
+    from graphloom.schema import GraphFrames
+
+    ev = lambda kind, status, n: [{"type": kind, "status": status}] * n
+    rows = [("g", "a", ev("note", "rejected", 6)), ("g", "b", ev("repair", "ok", 6)), ("g", "c", ev("rejection", None, 1)), ("g", "d", ev("note", "ok", 9)), ("g", "e", ev(None, None, 2))]
+    nodes = spark.createDataFrame(rows, "graph_id string, id string, provenance array<struct<type:string,status:string>>")
+    edges = spark.createDataFrame([], "graph_id string, id string, source string, target string")
+    out = {r.node_ids[0]: (r.severity, r.value) for r in anomaly.retry_loops(GraphFrames.of(nodes, edges), anomaly.Limits()).collect()}
+    assert out == {"a": ("critical", 12), "b": ("critical", 12), "c": ("warning", 1)}
 
 
 def test_scalars(spark):
@@ -190,3 +214,23 @@ def test_scalars(spark):
     assert (r.r, r.n, r.c, r.d, r.p) == (-2, 12.0, "rate_limit_quota", "1m 1s", True)
     assert scalars.convex_hull([(0, 0), (2, 0), (1, 1), (2, 2), (0, 2), (1, 0)]) == [(0, 0), (2, 0), (2, 2), (0, 2)]
     assert [d["op"] for d in scalars.line_diff("a\nb", "a\nc")] == ["same", "delete", "insert"]
+
+
+def test_playbooks_cool_down_from_their_last_run(spark):
+    """Incidents that come faster than the cooldown: every third runs; one after a pause runs; a condition keeps one out."""
+    r = random.Random(3)
+    rows, t = [], 0
+    for i in range(200):
+        t += r.choice([10, 40, 40, 40, 200])
+        rows.append((i, i % 2, "error", "error", t))
+    incidents = spark.createDataFrame(rows, "id long, key long, type string, severity string, ts long")
+    books = spark.createDataFrame([("restart", "error", "error", 100, 5), ("page", "error", "info", 0, 1)], "name string, type string, min_severity string, cooldown_ms long, priority int")
+    got = {x.id: (x.name, x.runs) for x in healing.playbook_runs(incidents, books).collect()}
+    want, last = {}, {}
+    for i, k, _, _, ts in rows:
+        runs = k not in last or ts - last[k] >= 100
+        last[k] = ts if runs else last[k]
+        want[i] = ("restart", runs)
+    assert got == want and 0 < sum(x for _, x in want.values()) < 200
+    only = healing.playbook_runs(incidents, books, {"restart": F.col("id") % 2 == 0})
+    assert {x.id: x.name for x in only.collect()} == {i: "restart" if i % 2 == 0 else "page" for i in range(200)}

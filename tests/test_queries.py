@@ -55,4 +55,4 @@ def test_entry(spark):
 
 def test_as_of_join_probes_every_event(spark):
     """The whole as-of join has one row per event."""
-    assert entry.queries()["as_of_join_all"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert entry.queries()["as_of_join"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
