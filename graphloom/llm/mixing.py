@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Each source's documents, shuffled by a hash of their ids, form a stream of words that repeats once; the stream is cut
-into blocks of equally many words. Golden-ratio points, mapped through the cumulative target shares, deal slots to
-sources; the rank of a slot within its source names the block it takes.
+into blocks of equally many words. As many golden-ratio points as the targets fill blocks, mapped through the cumulative
+target shares, deal slots to sources; the rank of a slot within its source names the block it takes. A source's words are
+those of its slots, so they differ from its target by the discrepancy of the points: a few blocks at any size.
 """
 
 from __future__ import annotations
@@ -13,22 +14,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import join_decisions, or_empty, words
-from graphloom.runtime import stage, with_offsets
+from graphloom.runtime import broadcast_if_few, stage, with_offsets
 
 #: Words of a block.
-BLOCK = 1024
+BLOCK = 128
 #: Cells of [0, 1) through which points meet the cumulative shares by an equality join.
 CELLS = 4096
-#: Slots of which a rank counts one by one; whole runs before it are summed.
-RUN_BITS = 16
+#: Slots (2 to this power) of which a rank counts one by one; whole runs before it are summed.
+RUN_BITS = 12
 
 _PHI = (math.sqrt(5) - 1) / 2
+#: What 2**20 steps and one step of the golden ratio add, modulo 1.
+GOLDEN = (math.fmod((1 << 20) * _PHI, 1.0), _PHI)
 
 
 def _golden(t: Column) -> Column:
     """Fractional part of ``t`` times the golden ratio; the low 20 bits go apart so that doubles stay exact enough."""
     high, low = F.shiftright(t, 20), t.bitwiseAND(F.lit((1 << 20) - 1))
-    return F.pmod(high * F.lit(math.fmod((1 << 20) * _PHI, 1.0)) + low * F.lit(_PHI), F.lit(1.0))
+    return F.pmod(high * F.lit(GOLDEN[0]) + low * F.lit(GOLDEN[1]), F.lit(1.0))
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -57,52 +60,44 @@ def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Slots ``(slot, s, block)``: slot numbers in mixing order; ``block`` is the slot's rank within its source.
+    """Slots ``(slot, s, block)`` from ``sources`` (s, words): slot numbers in mixing order; ``block`` is the rank in the source.
 
-    A source gets exactly the blocks its words need: slots beyond them are void, and the few that low discrepancy
-    leaves short of them follow after the last point.
+    There are as many slots as blocks in all words; point number ``slot`` falls into the interval of one source. The few
+    that go past a source's second lap, where its target is all of it twice, stay without words.
     """
     spark = sources.sparkSession
-    need = F.ceil(F.col("words") / F.lit(block)).cast("long")
-    shares = sources.filter("words > 0").select("s", need.alias("need"))
-    total = int(shares.agg(F.sum("need")).first()[0] or 0)
+    shares = sources.filter("words > 0").select("s", "words")
+    words_ = int(shares.agg(F.sum("words")).first()[0] or 0)
     upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shares = shares.withColumn("hi", F.sum("need").over(upto)).withColumn("lo", F.col("hi") - F.col("need"))
-    scale = F.lit(float(max(total, 1)))
-    shares = shares.select("s", "need", (F.col("lo") / scale).alias("lo"), (F.col("hi") / scale).alias("hi"))
+    shares = shares.withColumn("hi", F.sum("words").over(upto)).withColumn("lo", F.col("hi") - F.col("words"))
+    scale = F.lit(float(max(words_, 1)))
+    shares = shares.select("s", (F.col("lo") / scale).alias("lo"), (F.col("hi") / scale).alias("hi"))
     cells = F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))
-    grid = shares.select("s", "lo", "hi", F.explode(cells).alias("cell"))
-    points = spark.range(total).select(F.col("id").alias("slot"), _golden(F.col("id") + 1).alias("u"))
+    grid = broadcast_if_few(stage(shares.select("s", "lo", "hi", F.explode(cells).alias("cell")), "grid"))
+    points = spark.range(-(-words_ // block)).select(F.col("id").alias("slot"), _golden(F.col("id") + 1).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    dealt = points.join(grid, "cell").filter("u >= lo and u < hi").select("slot", "s")
-    dealt = dealt.withColumn("run", F.shiftright("slot", RUN_BITS))
+    dealt = points.join(grid, "cell").filter("u >= lo and u < hi").select("slot", "s", F.shiftright("slot", RUN_BITS).alias("run"))
     ranked = with_offsets(dealt, ["s"], "run", F.lit(1), "before")
     rank = F.row_number().over(Window.partitionBy("s", "run").orderBy("slot")) - 1
-    ranked = ranked.select("slot", "s", (F.col("before") + rank).alias("block"))
-    used = dealt.groupBy("s").agg(F.count(F.lit(1)).alias("got"))
-    late = shares.join(used, "s", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    late = late.filter("got < need").select("s", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("block"))
-    late = late.select((F.lit(total) + F.col("block")).alias("slot"), "s", "block")
-    valid = ranked.join(shares.select("s", "need"), "s").filter("block < need").select("slot", "s", "block")
-    return valid.unionByName(late)
+    return ranked.select("slot", "s", (F.col("before") + rank).alias("block"))
 
 
 def _pieces(lap: int, block: int) -> Column:
-    """Blocks of the stream that hold the row's words in its lap, with how many, up to the words its source gives."""
+    """Blocks of the stream that hold the row's words in its lap, with its first word in each and how many, up to ``got`` blocks."""
     lo = F.col("start") + F.col("source_size") * lap
-    hi = F.least(lo + F.col("size"), F.col("words"))
+    hi = F.least(lo + F.col("size"), F.col("got") * block)
     numbers = F.sequence(F.floor(lo / block), F.floor((hi - 1) / block))
-    piece = lambda b: F.struct(b.alias("block"), (F.least(hi, (b + 1) * block) - F.greatest(lo, b * block)).alias("n"))
-    return F.when(lo < hi, F.transform(numbers, piece))
 
+    def piece(b: Column) -> Column:
+        first = F.greatest(lo, b * block)
+        return F.struct(b.alias("block"), F.lit(lap).alias("lap"), (first - lo).alias("first"), (F.least(hi, (b + 1) * block) - first).alias("n"))
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """One row per input row: ``key``, size, source_size, target, taken, and ``_hash`` of the text.
+    none = F.expr("cast(array() as array<struct<block:bigint,lap:int,first:bigint,n:bigint>>)")
+    return F.when(lo < hi, F.transform(numbers, piece)).otherwise(none)
 
-    Null text has size 0 and is never taken; null is a source of its own, last in order. Rows with equal ids follow each
-    other in the shuffled stream in an order fixed by size and text; a repeated row is mixed as one more document. An
-    empty table gives no rows, a source without words target 0. Other columns of ``docs`` are not read.
-    """
+
+def _placed(docs: DataFrame, key: str, text: str, source: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their place in their source's stream, and the schedule's slots (slot, s, block)."""
     slim = docs.select(
         F.col(key).alias("id"),
         F.col(source).alias("source"),
@@ -115,38 +110,57 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     slim = stage(slim, "sizes")
     sizes = slim.groupBy("s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     sources = stage(source_targets(sizes), "targets")
-    slots = schedule(sources, block).select("s", "block")
-
+    slots = stage(schedule(sources, block), "slots")
+    got = slots.groupBy("s").agg(F.count(F.lit(1)).alias("got"))
     ordered = Window.partitionBy("s", "bucket").orderBy("order", "id", "size", "_hash", "_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = with_offsets(slim, ["s"], "bucket", F.col("size"), "before")
     placed = placed.withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
-    placed = placed.join(sources.select("s", "source_size", "target", "words"), "s")
-    held_parts = [_pieces(lap, block) for lap in (0, 1)]
-    none = F.expr("cast(array() as array<struct<block:bigint,n:bigint>>)")
-    held = placed.withColumn("piece", F.explode_outer(F.concat(*[F.coalesce(p, none) for p in held_parts])))
-    held = held.select("_row", "id", "_hash", "s", "size", "source_size", "target", F.col("piece.block").alias("block"), F.col("piece.n").alias("n"))
-    taken = held.join(slots.withColumn("hit", F.lit(1)), ["s", "block"], "left")
-    return (
-        taken.groupBy("_row")
-        .agg(
-            F.first("id").alias(key), F.first("_hash").alias("_hash"), F.first("size").alias("size"),
-            F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-            F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)).alias("taken"),
-        )
-        .drop("_row")
-    )
+    of_source = broadcast_if_few(stage(sources.join(got, "s", "left").select("s", "source_size", "target", F.coalesce("got", F.lit(0)).alias("got")), "taken_by"))
+    return placed.join(of_source, "s").select("_row", "id", "_hash", "s", "size", "source_size", "target", "start", "got"), slots
+
+
+def _sequence(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    pieces = placed.withColumn("p", F.explode(F.concat(_pieces(0, block), _pieces(1, block)))).select("_row", "id", "_hash", "s", "p.*")
+    return pieces.join(slots, ["s", "block"]).select("slot", "_row", "id", "_hash", "lap", "first", "n")
+
+
+def mixed_sequence(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """The mix: ``(slot, _row, id, _hash, lap, first, n)``, a row for each run of words that a document gives to a slot.
+
+    Slots in ascending order are the mixing order, and runs within a slot follow by lap, row and ``first``, the run's first
+    word in the document. Nulls, repeats and empty tables are as in ``mix``.
+    """
+    return _sequence(*_placed(docs, key, text, source, block), block)
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """One row per input row: ``key``, size, source_size, target, taken, ``slots`` (where each lap begins) and ``_hash`` of the text.
+
+    Null text has size 0 and is never taken; null is a source of its own, last in order. Rows with equal ids follow each
+    other in the shuffled stream in an order fixed by size and text; a repeated row is mixed as one more document. A text
+    of any length gives as many runs as it fills blocks. An empty table gives no rows, a source without words target 0.
+    Other columns of ``docs`` are not read.
+    """
+    placed, slots = _placed(docs, key, text, source, block)
+    laps = _sequence(placed, slots, block).groupBy("_row", "lap").agg(F.min("slot").alias("slot"), F.sum("n").alias("n"))
+    taken = laps.groupBy("_row").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list("slot")).alias("slots"))
+    out = placed.join(taken, "_row", "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    return out.select(F.col("id").alias(key), "_hash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", none).alias("slots"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` in their own columns, each as often as the mix takes it: taken words over its size, rounded.
+    """``docs`` in their own columns, each as often as the mix takes it (taken words over its size, rounded), in mixing order.
 
-    A document without words is in no mix and goes.
+    A copy stands where its lap begins in the schedule: partitions are ranges of slots, sorted within. Null and empty texts
+    are in no mix and go. Rows of one id and text share their number of copies. An empty table stays empty.
     """
     taken = stage(mix(docs, key, text, source), "taken")
     times = F.when(F.col("size") == 0, 0).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
     # Rows of one id and text are alike; which of them a lap took makes no difference, so their takings are averaged.
-    copies = taken.select(F.col(key).alias("_id"), "_hash", times.alias("n")).groupBy("_id", "_hash")
-    copies = copies.agg(F.floor(F.avg("n") + 0.5).cast("int").alias("_n")).filter("_n <> 1")
-    joined = join_decisions(docs, copies, "left", key, text)
-    n = F.coalesce(F.col("x._n"), F.lit(1))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), n))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    copies = taken.select(F.col(key).alias("_id"), "_hash", times.alias("n"), "slots").groupBy("_id", "_hash")
+    copies = copies.agg(F.floor(F.avg("n") + 0.5).cast("int").alias("n"), F.array_sort(F.flatten(F.collect_list("slots"))).alias("slots"))
+    copies = stage(copies.filter("n > 0").select("_id", "_hash", F.slice("slots", F.lit(1), F.col("n")).alias("_slots")), "copies")
+    joined = join_decisions(docs, copies, "inner", key, text).withColumn("_slot", F.explode("x._slots"))
+    ordered = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("_slot").alias("_slot_of_the_mix"))
+    return ordered.repartitionByRange("_slot_of_the_mix").sortWithinPartitions("_slot_of_the_mix").drop("_slot_of_the_mix")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import encode_documents
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.mil_classifier import classify, fit_sample, fold
-from graphloom.llm.mixing import mix
+from graphloom.llm.mixing import BLOCK, GOLDEN, mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.quality_rules import MAX_DOCS, MAX_PERCENT, MIN_PERCENT, MIN_WORDS, quality_rules
 from graphloom.llm.sharding import shard_documents
@@ -51,7 +51,7 @@ def op6_suffix_tree(spark, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("_hash")
+    return mix(table(spark, sf_dir, "documents")).drop("_hash", "slots")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
@@ -120,9 +120,13 @@ SQL = {
         t AS (SELECT source, source_size,
                      CASE WHEN is_full THEN cap ELSE (budget - coalesce(sum(cap) FILTER (is_full) OVER (), 0.0))
                           / sum(weight) FILTER (NOT is_full) OVER () * weight END AS target FROM f),
-        p AS (SELECT d.*, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
+        i AS (SELECT source, floor(target + 0.5)::BIGINT AS words, sum(floor(target + 0.5)::BIGINT) OVER (ORDER BY source NULLS LAST)::BIGINT AS hi, sum(floor(target + 0.5)::BIGINT) OVER ()::BIGINT AS words_ FROM t),
+        x AS (SELECT unnest(range(1, (SELECT ceil(max(words_) / {BLOCK}::DOUBLE)::BIGINT FROM i) + 1)) AS k),
+        u AS (SELECT (k >> 20) * CAST('{GOLDEN[0]!r}' AS DOUBLE) + (k & 1048575) * CAST('{GOLDEN[1]!r}' AS DOUBLE) AS y FROM x),
+        c AS (SELECT source, count(*) AS got FROM u JOIN i ON y - floor(y) >= (hi - words)::DOUBLE / words_ AND y - floor(y) < hi::DOUBLE / words_ GROUP BY 1),
+        p AS (SELECT d.*, t.source_size, t.target, coalesce(c.got, 0) * {BLOCK} AS words,
                      (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size)::BIGINT AS start
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON c.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target,
                (greatest(least(start + size, words) - start, 0)
                 + greatest(least(start + source_size + size, words) - start - source_size, 0))::BIGINT AS taken

@@ -16,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, mil_classifier, near_dedup, queries, rolling, suffix_dedup, suffix_tree_lm, wacz
+from graphloom.llm import bpe, mil_classifier, mixing, near_dedup, queries, rolling, suffix_dedup, suffix_tree_lm, wacz
 from graphloom.llm.exact_dedup import drop_exact_copies, exact_dedup
 from graphloom.llm.mil_classifier import fold
 from graphloom.llm.mixing import mix, mixed_documents, schedule
@@ -201,37 +201,90 @@ def test_exact_dedup(docs, share):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
-def test_mixing(docs):
-    got = mix(docs, block=16).collect()
-    assert len(got) == len(ROWS)
+def brute_mix(rows, block, all_blocks=False):
+    """(id, size, target, taken) of rows (id, text, source); ``all_blocks`` takes every block up to the target instead of the schedule's."""
     sizes = Counter()
-    for i, t, _, s in ROWS:
+    for _, t, s in rows:
         sizes[s] += len(WORD.findall(t or ""))
-    total, weights = sum(sizes.values()) * 1.5, dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), [3, 1, 2, 3, 1, 2]))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    total, weights = sum(sizes.values()) * 1.5, dict(zip(names, [3, 1, 2] * len(names)))
     target, open_ = {}, set(sizes)
-    while True:
+    while open_:
         left, w = total - sum(target.values()), sum(weights[s] for s in open_)
         over = {s for s in open_ if left * weights[s] / w > 2 * sizes[s]}
         if not over:
+            target |= {s: left * weights[s] / w for s in open_}
             break
         target |= {s: 2.0 * sizes[s] for s in over}
         open_ -= over
-    target |= {s: left * weights[s] / w for s in open_}
-    taken = Counter()
-    for r in got:
-        assert 0 <= r.taken <= 2 * r["size"]
-        taken[r.source_size, round(r.target, 6)] += r.taken
-    for s in sizes:
-        assert abs(taken[sizes[s], round(target[s], 6)] - sum(target[x] for x in sizes if (sizes[x], round(target[x], 6)) == (sizes[s], round(target[s], 6)))) <= 2
+    need = {s: math.floor(target[s] + 0.5) for s in names}
+    ends = [sum(need[x] for x in names[: k + 1]) / sum(need.values()) for k in range(len(names))]
+    got = Counter()
+    for k in range(1, -(-sum(need.values()) // block) + 1):
+        u = k * (math.sqrt(5) - 1) / 2 % 1
+        got[next(s for s, e in zip(names, ends) if u < e)] += 1
+    if all_blocks:
+        got = {s: -(-need[s] // block) for s in names}
+    out = []
+    for s in names:
+        at, own = 0, []
+        for i, t in sorted(((i, t) for i, t, x in rows if x == s), key=lambda r: (hashlib.md5(b"" if r[0] is None else str(r[0]).encode()).hexdigest(), r[0] is not None, len(WORD.findall(r[1] or "")))):
+            own.append((i, at, n := len(WORD.findall(t or ""))))
+            at += n
+        stop = got[s] * block
+        out += [(i, n, round(target[s], 6), sum(max(0, min(a + n + lap * at, stop) - a - lap * at) for lap in (0, 1))) for i, a, n in own]
+    return out
+
+
+def test_mixing(docs):
+    got = mix(docs, block=16).collect()
+    rows = [(i, t, s) for i, t, _, s in ROWS]
+    plain = Counter((r.doc_id, r["size"], round(r.target, 6), r.taken) for r in got)
+    assert {k: v for k, v in plain.items() if k[0]} == {k: v for k, v in Counter(brute_mix(rows, 16)).items() if k[0]}
+    assert plain != Counter(brute_mix(rows, 16, all_blocks=True))
+    assert all(0 <= r.taken <= 2 * r["size"] for r in got)
     again = mix(docs.repartition(5), block=16).collect()
     assert Counter((r.doc_id, r["size"], r.taken) for r in got) == Counter((r.doc_id, r["size"], r.taken) for r in again)
     assert mixed_documents(docs).columns == docs.columns
 
 
+def test_mix_is_decided_by_the_schedule(spark, monkeypatch):
+    """Words taken are those of the golden-ratio slots, near the targets; every slot is one whole block, in order."""
+    rows = [(i, prose(20 + i * 7 % 90, 40 + i), f"s{i % 7}" if i % 3 else "s0") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r["size"], round(r.target, 6), r.taken) for r in mix(d, block=32).collect()]
+    assert Counter(got) == Counter(brute_mix(rows, 32)) != Counter(brute_mix(rows, 32, all_blocks=True))
+    source = {i: s for i, _, s in rows}
+    taken, target = Counter(), {}
+    for i, _, t, n in got:
+        taken[source[i]] += n
+        target[source[i]] = t
+    assert all(abs(taken[s] - target[s]) <= 4 * 32 for s in target)
+    seq = mixing.mixed_sequence(d, block=32).collect()
+    assert sum(r.n for r in seq) == sum(taken.values()) and len(set(range(max(r.slot for r in seq) + 1)) - {r.slot for r in seq}) <= 2
+    assert all(len({source[r.id] for r in g}) == 1 and sum(r.n for r in g) == 32 for g in ([r for r in seq if r.slot == k] for k in range(0, 40)))
+    monkeypatch.setattr(mixing, "_golden", lambda t: F.pmod(t * F.lit(0.0) + F.lit(0.001), F.lit(1.0)))
+    assert {r.doc_id for r in mix(d, block=32).collect() if r.taken} == {i for i, s in source.items() if s == "s0"}
+
+
+def test_mixed_documents_stand_in_mixing_order(spark):
+    rows = [(i, prose(30, 40 + i), f"s{i % 4}") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slots = {r.doc_id: list(r.slots) for r in mix(d).collect()}
+    times = {r.doc_id: math.floor(r.taken / r["size"] + 0.5) for r in mix(d).collect()}
+    out = [r.doc_id for r in mixed_documents(d).collect()]
+    assert Counter(out) == Counter({i: n for i, n in times.items() if n})
+    left, placed = {i: list(v) for i, v in slots.items()}, []
+    for i in out:
+        placed.append(left[i].pop(0))
+    assert placed == sorted(placed)
+
+
 def test_schedule_is_even(spark):
-    s = spark.createDataFrame([("a", "a", 9000, 9000.0, 9000), ("b", "b", 1000, 1000.0, 1000), ("c", "c", 0, 0.0, 0)], "s string, source string, source_size long, target double, words long")
+    s = spark.createDataFrame([("a", 9000), ("b", 1000), ("c", 0)], "s string, words long")
     rows = sorted((r.slot, r.s, r.block) for r in schedule(s, 10).collect())
-    assert Counter(x for _, x, _ in rows) == {"a": 900, "b": 100} and sorted(b for _, x, b in rows if x == "b") == list(range(100))
+    got = Counter(x for _, x, _ in rows)
+    assert [t for t, _, _ in rows] == list(range(1000)) and abs(got["b"] - 100) <= 3 and sorted(b for _, x, b in rows if x == "b") == list(range(got["b"]))
     place = [i for i, (_, x, _) in enumerate(rows) if x == "b"]
     assert max(b - a for a, b in zip(place, place[1:])) < 30
 
