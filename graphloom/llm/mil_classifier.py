@@ -13,14 +13,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.rolling import buffers
 from graphloom.llm.text import or_empty
 from graphloom.runtime import prepare_python
 
 #: Bytes of a passage; cells of the hashed byte trigrams; sizes of encoding and attention.
 PASSAGE, CELLS, WIDTH, GATE = 512, 1024, 32, 16
-#: The classifier is fitted on at most this many labelled documents, of at most this many bytes together.
-SAMPLE, SAMPLE_BYTES = 4000, 48 << 20
-EPOCHS, BATCH, RATE = 12, 64, 3e-3
+#: The classifier is fitted on at most this many labelled documents, of at most this many bytes together and each.
+SAMPLE, SAMPLE_BYTES, SAMPLE_TEXT = 4000, 48 << 20, 1 << 20
+#: Rounds over the sample, documents and bytes of a step (one document at least), learning rate.
+EPOCHS, BATCH, BATCH_BYTES, RATE = 12, 64, 2 << 20, 3e-3
+#: Bytes of texts whose passages are held at once in scoring; whole passages.
+PIECE = 1024 * PASSAGE
 #: Byte classes: control and space, digit, upper case, lower case, non-ASCII, and punctuation.
 _CLASS = np.full(256, 5, "int64")
 _CLASS[:33], _CLASS[48:58], _CLASS[65:91], _CLASS[97:123], _CLASS[128:] = 0, 1, 2, 3, 4
@@ -49,6 +53,19 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.hstack((roots, 3 * classes / size, 3 * variety)).astype("float32"), counts
 
 
+def _batches(order: np.ndarray, texts: list[bytes]) -> Iterator[list[int]]:
+    some: list[int] = []
+    size = 0
+    for i in order.tolist():
+        if some and (len(some) == BATCH or size + len(texts[i]) > BATCH_BYTES):
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += len(texts[i])
+    if some:
+        yield some
+
+
 class Attention:
     """h = tanh(x W + b); a = softmax over the bag of (tanh(h V) * sigmoid(h U)) w; score = sigmoid(sum(a h) c + d)."""
 
@@ -65,11 +82,13 @@ class Attention:
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         s = ((t * g) @ p["w"])[:, 0]
-        e = np.exp(s - np.repeat(np.maximum.reduceat(s, begin), counts))
-        a = e / np.repeat(np.add.reduceat(e, begin), counts)
+        top = np.maximum.reduceat(s, begin)
+        e = np.exp(s - np.repeat(top, counts))
+        mass = np.add.reduceat(e, begin)
+        a = e / np.repeat(mass, counts)
         z = np.add.reduceat(a[:, None] * h, begin)
         y = 1 / (1 + np.exp(-np.clip((z @ p["c"])[:, 0] + p["d"], -30, 30)))
-        return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": y, "begin": begin}
+        return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": y, "begin": begin, "top": top, "mass": mass}
 
     def gradients(self, x: np.ndarray, counts: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict:
         p, f = self.p, self.forward(x, counts)
@@ -91,9 +110,7 @@ class Attention:
         r, m, v, step = np.random.default_rng(seed), {}, {}, 0
         share = np.array([max((labels == k).mean(), 1e-3) for k in (0, 1)])
         for _ in range(epochs):
-            order = r.permutation(len(texts))
-            for lo in range(0, len(order), BATCH):
-                some = order[lo : lo + BATCH]
+            for some in _batches(r.permutation(len(texts)), texts):
                 x, counts = passages([texts[i] for i in some])
                 y = labels[some]
                 step += 1
@@ -106,7 +123,18 @@ class Attention:
         return self
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        return self.forward(*passages(texts))["y"]
+        """As ``forward``, in pieces of whole passages: the softmax over a long text's passages is summed piece by piece."""
+        owner = [i for i, t in enumerate(texts) for _ in range(0, max(len(t), 1), PIECE)]
+        pieces = [t[lo : lo + PIECE] for t in texts for lo in range(0, max(len(t), 1), PIECE)]
+        top, mass = np.full(len(texts), -np.inf), np.zeros(len(texts))
+        z = np.zeros((len(texts), WIDTH))
+        for lo, hi in buffers(pieces, PIECE):
+            f = self.forward(*passages(pieces[lo:hi]))
+            for k, i in enumerate(owner[lo:hi]):
+                new = max(top[i], float(f["top"][k]))
+                old, own = np.exp(top[i] - new), np.exp(f["top"][k] - new) * f["mass"][k]
+                top[i], mass[i], z[i] = new, mass[i] * old + own, z[i] * old + own * f["z"][k]
+        return 1 / (1 + np.exp(-np.clip((z / mass[:, None] @ self.p["c"])[:, 0] + self.p["d"], -30, 30)))
 
 
 def fold(key: Column, n: int) -> Column:
@@ -117,8 +145,10 @@ def fold(key: Column, n: int) -> Column:
 def fit_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality") -> Attention:
     """A classifier fitted on a bounded sample: the labelled documents with the smallest digests of their ids.
 
-    Documents that no longer fit into SAMPLE_BYTES are passed over, those after them are not. Without labelled documents
-    nothing is fitted; if there are some and none fits, that is an error.
+    Documents longer than SAMPLE_TEXT or that no longer fit into SAMPLE_BYTES are passed over, those after them are not.
+    Null texts count as empty; null ids and labels other than 0 and 1 teach nothing. Of rows repeated with one id the
+    smallest text counts, of its labels the largest. Labels of one class give a classifier that leans to it. Without
+    labelled documents nothing is fitted, and scores are arbitrary; if there are some and none fits, that is an error.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y"))
     own = docs.filter(may_learn).select(F.col(key).alias("id"), F.octet_length(or_empty(text)).alias("size"))
@@ -127,13 +157,14 @@ def fit_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str =
         return Attention()
     fits, left = [], SAMPLE_BYTES
     for size in picked["size"].tolist():
-        fits.append(size <= left)
+        fits.append(size <= min(left, SAMPLE_TEXT))
         left -= size * fits[-1]
     picked = picked[fits].drop_duplicates("id")
     if picked.empty:
         raise ValueError(f"none of the labelled documents has at most {SAMPLE_BYTES} bytes")
     ids = docs.sparkSession.createDataFrame(picked[["id", "y"]])
-    rows = docs.select(F.col(key).alias("id"), or_empty(text).alias("t")).join(F.broadcast(ids), "id")
+    fitting = docs.select(F.col(key).alias("id"), or_empty(text).alias("t")).filter(F.octet_length("t") <= SAMPLE_TEXT)
+    rows = fitting.join(F.broadcast(ids), "id")
     rows = rows.groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).toPandas().sort_values("id")
     return Attention().fit([t.encode() for t in rows["t"]], rows["y"].to_numpy("int64"))
 
@@ -141,18 +172,16 @@ def fit_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, key: str =
 def classify(docs: DataFrame, model: Attention, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, score, predicted. Null text counts as empty: a bag of one empty passage.
 
-    Every passage of a text counts. Repeated rows get equal scores; an empty table gives no rows.
+    Every passage of a text counts, however long it is; PIECE bytes are held at once. Repeated rows get equal scores; an
+    empty table gives no rows.
     """
     prepare_python(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from graphloom.llm.rolling import buffers
-
         for batch in batches:
             texts = [t.encode() for t in batch.column("t").to_pylist()]
-            y = [model.scores(texts[i:j]).astype("float64") for i, j in buffers(texts)]
-            y = np.concatenate(y) if y else np.zeros(0)
+            y = model.scores(texts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(y), pa.array((y >= 0.5).astype("int32"))], ["id", "score", "predicted"])
 
     d = docs.select(F.col(key).alias("id"), or_empty(text).alias("t"))

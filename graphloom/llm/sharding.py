@@ -1,24 +1,24 @@
 """Sharding by longest-processing-time scheduling.
 
 Documents of equal text form a group that must stay together. Groups go by descending size to the least-loaded shard.
-The heap runs over size classes, of which there are few however many groups there are: a class of n groups of one size
-takes the n least (load + i * size) values, as n single pops would.
+The heap runs over distinct sizes, each with its number of groups: n groups of one size take the n least
+(load + i * size) values, as n single pops would. Distinct sizes are few however many groups there are: they sum to the
+corpus at most, so there are no more than the square root of twice its bytes.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.text import or_empty
-from graphloom.runtime import join_split, stage, with_offsets
+from graphloom.runtime import broadcast_if_few, join_split, stage, with_offsets
 
 SHARDS = 40
-#: Leading bits that a size class keeps; sizes of a class differ by less than 1 part in 2**(BITS - 1).
-BITS = 12
 
 
 def _deal(loads: list[tuple[int, int]], size: int, n: int) -> dict[int, int]:
@@ -46,16 +46,14 @@ def _deal(loads: list[tuple[int, int]], size: int, n: int) -> dict[int, int]:
     return got
 
 
-def lpt_plan(classes: list[tuple[int, int]], shards: int = SHARDS) -> list[tuple[int, list[int]]]:
-    """For each (size, groups) class its cumulative group counts over the shards, from 0; sizes descend."""
+def lpt_plan(sizes: list[tuple[int, int]], shards: int = SHARDS) -> list[tuple[int, list[int], list[int]]]:
+    """For each (size, groups), sizes descending: the shards that get some of its groups, and how many groups they and those before them get."""
     loads = [(0, s) for s in range(shards)]
     heapq.heapify(loads)
     plan = []
-    for size, n in sorted(classes, reverse=True):
-        got, ends = _deal(loads, size, n), [0]
-        for s in range(shards):
-            ends.append(ends[-1] + got.get(s, 0))
-        plan.append((size, ends))
+    for size, n in sorted(sizes, reverse=True):
+        got = [(s, k) for s, k in sorted(_deal(loads, size, n).items()) if k]
+        plan.append((size, [s for s, _ in got], list(accumulate(k for _, k in got))))
     return plan
 
 
@@ -66,7 +64,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     shard. Slots number a shard's rows from 0 without gaps; ties go by the input order of rows, and repeated rows get
     slots of their own. An empty table gives no rows. Other columns of ``docs`` are not read.
 
-    Only the histogram of size classes reaches the driver: at most 2**BITS + 2**(BITS - 1) * (63 - BITS) rows.
+    Sizes are true ones at every scale. Only their histogram reaches the driver; a text of any length is hashed in its row.
     """
     spark = docs.sparkSession
     raw = F.encode(or_empty(text), "utf-8")
@@ -81,16 +79,14 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     slim = stage(slim, "sizes")
     rows = slim.count()
     groups = slim.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    drop = F.greatest(F.length(F.bin("bytes")) - BITS, F.lit(0))
-    step = F.expr(f"shiftleft(1L, greatest(length(bin(bytes)) - {BITS}, 0))")
-    groups = groups.withColumn("class", F.when(drop == 0, F.col("bytes")).otherwise(F.ceil(F.col("bytes") / step).cast("long") * step))
     groups = stage(groups.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(64)).cast("int")), "groups")
-    classes = [(r["class"], r["count"]) for r in groups.groupBy("class").count().collect()]
-    plan = spark.createDataFrame(pd.DataFrame(lpt_plan(classes, shards), columns=["class", "ends"]), "class long, ends array<long>")
-    ranked = with_offsets(groups, ["class"], "part", F.lit(1), "before")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("class", "part").orderBy("digest")) - 1
-    ranked = ranked.withColumn("rank", rank).join(F.broadcast(plan), "class")
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))) - 1
+    sizes = groups.groupBy("bytes").count().toPandas()
+    plan = lpt_plan(list(zip(sizes["bytes"].tolist(), sizes["count"].tolist())), shards)
+    plan = spark.createDataFrame(pd.DataFrame(plan, columns=["bytes", "shards", "upto"]), "bytes long, shards array<int>, upto array<long>")
+    ranked = with_offsets(groups, ["bytes"], "part", F.lit(1), "before")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("bytes", "part").orderBy("digest")) - 1
+    ranked = ranked.withColumn("rank", rank).join(broadcast_if_few(plan), "bytes")
+    shard = F.get("shards", F.size(F.filter("upto", lambda e: e <= F.col("rank"))))
     placed = stage(ranked.select("digest", "n", shard.cast("int").alias("shard")), "placed")
     out = join_split(slim, placed, "digest", "n", rows).withColumn("part", F.pmod(F.xxhash64("_row"), F.lit(1024)).cast("int"))
     out = with_offsets(out.select("id", "size", "text_crc32", "_hash", "_row", "shard", "part"), ["shard"], "part", F.lit(1), "before")

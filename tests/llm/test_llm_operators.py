@@ -314,8 +314,35 @@ def test_lpt_batches_equal_single_pops():
                 load, s = heapq.heappop(heap)
                 got[s] += 1
                 heapq.heappush(heap, (load + size, s))
-            want[size] = [sum(got[x] for x in range(k)) for k in range(6)]
-        assert dict(lpt_plan(classes, 5)) == want
+            want[size] = got
+        plan = {z: Counter({s: e - b for s, b, e in zip(shards, [0, *upto], upto)}) for z, shards, upto in lpt_plan(classes, 5)}
+        assert plan == want
+
+
+def test_sharding_against_single_pops(spark):
+    """The query's placement: groups of equal texts by true size, each to the least-loaded shard, whatever their length."""
+    import heapq
+
+    r = random.Random(31)
+    texts = [prose(r.choice([1, 2, 3, 3, 40, 200, 2500]), 60 + k) for k in range(150)] + ["x" * 9001, "y" * 9002, "z" * 9003]
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(r.choice([1, 1, 1, 2, 30])))]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=7).collect()
+    bytes_of = Counter()
+    for _, t in rows:
+        bytes_of[t] += len(t.encode()) + 16
+    heap = [(0, s) for s in range(7)]
+    want = Counter()
+    for n in sorted(bytes_of.values(), reverse=True):
+        load, s = heapq.heappop(heap)
+        want[n, s] += 1
+        heapq.heappush(heap, (load + n, s))
+    text_of = dict(rows)
+    placed = {text_of[x.doc_id]: x.shard for x in got}
+    assert all(placed[text_of[x.doc_id]] == x.shard for x in got) and Counter((bytes_of[t], s) for t, s in placed.items()) == want
+    loads = Counter()
+    for x in got:
+        loads[x.shard] += x["size"]
+    assert sorted((loads[s], s) for s in range(7)) == sorted(heap)
 
 
 def test_suffix_sort_random():
@@ -444,6 +471,13 @@ def test_classifier_held_out(spark):
     assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
 
+def test_classifier_scores_long_texts_in_pieces(monkeypatch):
+    m, texts = mil_classifier.Attention(), [LONG.encode(), b"", b"ab", PASSAGE.encode(), LONG.encode()[:1024]]
+    whole = m.forward(*mil_classifier.passages(texts))["y"]
+    monkeypatch.setattr(mil_classifier, "PIECE", 2 * mil_classifier.PASSAGE)
+    assert np.allclose(m.scores(texts), whole, atol=1e-5) and len(m.scores([])) == 0
+
+
 def test_classifier_sample_skips_what_does_not_fit(spark, monkeypatch):
     """A text over the bound that comes first leaves out itself only; if nothing fits, that is an error."""
     ids = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
