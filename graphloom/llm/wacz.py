@@ -1,29 +1,32 @@
 """WARC records in ZIP packages: a writer, and a reader that range-reads records without extraction.
 
-The reader finds the end-of-central-directory record (or its ZIP64 form), parses the central directory, and from the
-local headers learns where stored members begin. The index member names each record's range inside the stored WARC
-member; ranges that adjoin are read together.
+The reader finds the end-of-central-directory record (or its ZIP64 form), parses the central directory, and takes from it
+the WARC members under ``archive/`` and the CDX or CDXJ members under ``indexes/``, whatever their names; local headers
+say where stored members begin. Index lines name a record's member, place and length; ranges that adjoin are read together.
+WARC members that no index covers are walked record by record.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.runtime import prepare_python, broadcast_if_few, scratch_path, stage
+from graphloom.runtime import few, prepare_python, scratch_path, stage
 
 #: Fixed values of the ZIP format: signatures, and the mark of a field kept in the ZIP64 extra field.
 EOCD, EOCD64_LOCATOR, EOCD64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
@@ -32,6 +35,8 @@ IN_EXTRA = 0xFFFFFFFF
 ARCHIVE = 64 << 20
 RANGE = 4 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Members of a package that hold records, and those that index them.
+_WARC, _INDEX = re.compile(r"archive/.*\.warc(\.gz)?"), re.compile(r"indexes/.*\.cdxj?(\.gz)?")
 
 
 def _file(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -41,11 +46,44 @@ def _file(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 # ---- records
 
 
+def target_of(url: str | None) -> str:
+    return quote(url or "about:blank", safe="!#$%&'()*+,/:;=?@[]~")
+
+
+def sort_key(url: str) -> str:
+    """The host's labels from the last to the first, then the rest of the address, in lower case."""
+    parts = urlsplit(url)
+    host = ",".join(reversed((parts.hostname or "").split(".")))
+    return f"{host}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower().replace(" ", "%20")
+
+
+def index_line(url: str, date: str, kind: str, digest: str, at: int, n: int) -> str:
+    """A CDXJ line: sort key, 14-digit date, and a JSON object."""
+    fields = {"url": url, "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(n), "offset": str(at), "filename": DATA.rpartition("/")[2]}
+    return f"{sort_key(url)} {re.sub(r'[^0-9]', '', date)[:14]} {json.dumps(fields)}"
+
+
+def parse_index(raw: bytes) -> list[tuple[str | None, int, int | None]]:
+    """(file name, place, length) of each line: CDXJ, or CDX by the letters of its head line (S, V and g: length, place, file)."""
+    out, letters = [], []
+    for line in raw.decode("utf-8", "replace").splitlines():
+        if line.lstrip().startswith("CDX "):
+            letters = line.split()[1:]
+        elif "{" in line:
+            fields = json.loads(line[line.index("{") :])
+            if "offset" in fields:
+                out.append((fields.get("filename"), int(fields["offset"]), int(fields["length"]) if "length" in fields else None))
+        elif letters and len(cells := line.split()) == len(letters):
+            named = dict(zip(letters, cells))
+            out.append((named.get("g"), int(named["V"]), int(named["S"]) if named.get("S", "-").isdigit() else None))
+    return out
+
+
 def record(kind: str, page_id, url: str | None, payload: bytes, length: int, digest: str, refers_to, date: str) -> bytes:
     """A WARC record as a gzip member. A revisit has the HTTP header of the response but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http + payload
-    target = quote(url or "about:blank", safe="!#$%&'()*+,/:;=?@[]~")
+    target = target_of(url)
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     head += [f"WARC-Target-URI: {target}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
@@ -61,20 +99,20 @@ def _headers(raw: bytes) -> dict[str, str]:
 
 def parse_record(member: bytes) -> dict:
     """A record's fields; raises ValueError if it is cut short or a response's payload differs from its digest."""
-    raw = zlib.decompress(member, 31)
+    raw = member if member.startswith(b"WARC/") else zlib.decompress(member, 31)
     head, sep, rest = raw.partition(b"\r\n\r\n")
     fields = _headers(head)
     size = int(fields.get("content-length", -1))
     if not sep or not head.startswith(b"WARC/") or size < 0 or len(rest) < size:
         raise ValueError("not a whole WARC record")
     http, _, payload = rest[:size].partition(b"\r\n\r\n")
-    digest, kind = fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+    digest, kind = fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields["warc-type"]
+    if kind == "response" and digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         raise ValueError("payload differs from its digest")
-    ident = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) not in ("", "None") else None
+    ident = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
     length = len(payload) if kind == "response" else int(_headers(http).get("content-length", 0))
     return {
-        "page_id": ident(fields["warc-record-id"]), "url": fields["warc-target-uri"], "payload_bytes": length,
+        "page_id": ident(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": length,
         "payload_digest": digest, "record_type": kind, "refers_to": ident(fields.get("warc-refers-to", "")),
         "payload": payload if kind == "response" else None,
     }
@@ -122,10 +160,10 @@ def read_directory(read, size: int) -> dict[str, dict]:
     return members
 
 
-def data_start(read, member: dict) -> int:
-    """Where a stored member's bytes begin."""
+def data_start(read, member: dict, stored: bool = True) -> int:
+    """Where a member's bytes begin; it must be stored, not packed, if ``stored``."""
     head = read(member["local"], 30)
-    if head[:4] != LOCAL or member["method"] != 0:
+    if head[:4] != LOCAL or stored and member["method"] != 0:
         raise ValueError("not a stored member")
     n, x = struct.unpack("<HH", head[26:30])
     return member["local"] + 30 + n + x
@@ -137,22 +175,22 @@ def data_start(read, member: dict) -> int:
 class _Archive:
     """An archive being written; records stream into the stored WARC member, the index follows."""
 
-    def __init__(self, uri: str):
-        self.uri, self.lines, self.at = uri, [], 0
+    def __init__(self, uri: str, date: str):
+        self.uri, self.lines, self.at, self.date = uri, [], 0, date
         fs, path = _file(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         self.sink = fs.open_output_stream(path)
         self.zip = zipfile.ZipFile(_Unseekable(self.sink), "w", zipfile.ZIP_STORED, allowZip64=True)
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
 
-    def add(self, member: bytes) -> None:
+    def add(self, member: bytes, url: str | None, kind: str, digest: str) -> None:
         self.data.write(member)
-        self.lines.append(f"{self.at} {len(member)}")
+        self.lines.append(index_line(target_of(url), self.date, kind, digest, self.at, len(member)))
         self.at += len(member)
 
     def close(self) -> tuple[str, int, int]:
         self.data.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "\n".join(self.lines))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(f"{x}\n" for x in sorted(self.lines)))
         resources = [{"path": DATA, "bytes": self.at}, {"path": INDEX, "records": len(self.lines)}]
         self.zip.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": resources}))
         self.zip.close()
@@ -180,26 +218,35 @@ def write_archives(
 
     Of pages with equal payloads of ``min_revisit`` bytes or more, the largest id is the response, others revisit it;
     rows repeated with that id are responses too, and null ids revisit it (where all ids are null, all are responses).
-    Null html is an empty payload, null url about:blank. The manifest has only archives of attempts that succeeded.
+    Null html is an empty payload, null url about:blank. A payload of any length is one record, held whole by its task. An
+    empty table gives an empty manifest. The manifest has only archives of attempts that succeeded.
     """
     prepare_python(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8")
     digest = F.unhex(F.sha1(payload))
     slim = pages.select(digest.alias("digest"), F.col(key).alias("id"), F.octet_length(payload).alias("n")).filter(F.col("n") >= min_revisit)
     repeated = slim.groupBy("digest").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1 and keep is not null")
-    repeated = broadcast_if_few(stage(repeated.select("digest", "keep"), "repeated"))
+    repeated = stage(repeated.select("digest", "keep", "rows"), "repeated")
     all_pages = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), payload.alias("payload"), digest.alias("digest"))
-    marked = all_pages.join(repeated, "digest", "left").select("id", "url", "payload", "digest", "keep")
+    if few(repeated):
+        marked = all_pages.join(F.broadcast(repeated), "digest", "left")
+    else:
+        # Pages of frequent payloads (1,000 digests at most) are marked where they are; only the others meet by digest.
+        total = repeated.agg(F.sum("rows")).first()[0]
+        often = F.broadcast(repeated.filter(F.col("rows") * 1000 >= total))
+        marked = all_pages.join(often, "digest").unionByName(all_pages.join(often, "digest", "left_anti").join(repeated, "digest", "left"))
+    marked = marked.select("id", "url", "payload", "digest", "keep")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, done = None, []
         for batch in batches:
             for r in (r for lo in range(0, batch.num_rows, 256) for r in batch.slice(lo, 256).to_pylist()):
-                out = out or _Archive(f"{folder}/{uuid.uuid4().hex}.wacz")
+                out = out or _Archive(f"{folder}/{uuid.uuid4().hex}.wacz", date)
                 revisit = r["keep"] is not None and r["keep"] != r["id"]
                 digest = base64.b32encode(r["digest"]).decode()
                 body, n = b"" if revisit else r["payload"], len(r["payload"])
-                out.add(record("revisit" if revisit else "response", r["id"], r["url"], body, n, digest, r["keep"], date))
+                kind = "revisit" if revisit else "response"
+                out.add(record(kind, r["id"], r["url"], body, n, digest, r["keep"], date), r["url"], kind, digest)
                 if out.at >= archive:
                     done.append(out.close())
                     out = None
@@ -214,26 +261,81 @@ def write_archives(
 # ---- reading
 
 
+def record_spans(read, size: int) -> list[tuple[str, int, int]]:
+    """(member, place in the package, length) of all records of a package of ``size`` bytes; ``read(offset, n)`` gives bytes."""
+    members = read_directory(read, size)
+    data = {name: data_start(read, m) for name, m in members.items() if _WARC.fullmatch(name)}
+    by_file = {name.rpartition("/")[2]: name for name in data}
+    lines: dict[str, dict[int, int | None]] = {}
+    for name, m in members.items():
+        if _INDEX.fullmatch(name):
+            for file, at, n in parse_index(_content(read, name, m)):
+                owner = by_file.get((file or "").rpartition("/")[2], next(iter(data)) if len(data) == 1 else None)
+                if owner is None:
+                    raise ValueError(f"{name} names {file}, which is no WARC member")
+                lines.setdefault(owner, {})[at] = n
+    out = []
+    for name, start in data.items():
+        end = members[name]["packed"]
+        spans = sorted(lines[name].items()) if name in lines else _walk(lambda at, n, start=start: read(start + at, n), end)
+        for k, (at, n) in enumerate(spans):
+            n = n if n is not None else (spans[k + 1][0] if k + 1 < len(spans) else end) - at
+            if at + n > end:
+                raise ValueError(f"an index line of {name} points past its end")
+            out.append((name, start + at, n))
+    return out
+
+
+def _content(read, name: str, member: dict) -> bytes:
+    """An index member whole, inflated where it is packed; records never go this way."""
+    at = data_start(read, member, stored=False)
+    raw = read(at, member["packed"])
+    raw = zlib.decompress(raw, -15) if member["method"] == 8 else raw
+    return gzip.decompress(raw) if name.endswith(".gz") else raw
+
+
+def _walk(read, size: int) -> list[tuple[int, int]]:
+    """Places and lengths of a WARC member's records, gzip members or plain, met one after the other."""
+    out, at = [], 0
+    while at < size:
+        if read(at, 2) == b"\x1f\x8b":
+            packer, n = zlib.decompressobj(31), 0
+            while not packer.eof:
+                raw = read(at + n, min(RANGE, size - at - n))
+                if not raw:
+                    raise ValueError("a record is cut short")
+                packer.decompress(raw)
+                n += len(raw) - len(packer.unused_data)
+        else:
+            head = read(at, min(1 << 16, size - at))
+            begin = head.index(b"\r\n\r\n") + 4
+            n = begin + int(_headers(head[:begin])["content-length"]) + 4
+        out.append((at, n))
+        at += n
+    return out
+
+
 def read_archives(manifest: DataFrame, want_payload: bool = False) -> DataFrame:
-    """The records of the archives that ``manifest`` names by ``uri``, each from its range in the stored WARC member."""
+    """The records of the archives that ``manifest`` names by ``uri``, each from its range in a stored WARC member.
+
+    Responses and revisits are returned; other kinds of record are passed over. Ids are those of records written here,
+    else null. An empty manifest gives no rows.
+    """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column("uri").to_pylist():
                 fs, path = _file(uri)
                 with fs.open_input_file(path) as f:
-                    read = lambda at, n, f=f: f.read_at(n, at)
-                    members = read_directory(read, f.size())
-                    index = members[INDEX]
-                    lines = read(data_start(read, index), index["plain"]).decode().split("\n")
-                    base, some = data_start(read, members[DATA]), []
-                spans = [tuple(map(int, x.split())) for x in lines if x]
-                for k, (at, n) in enumerate(spans):
-                    some.append((at, n))
-                    if at + n - some[0][0] >= RANGE or k == len(spans) - 1:
+                    spans = record_spans(lambda at, n, f=f: f.read_at(n, at), f.size())
+                some: list[tuple[str, int, int]] = []
+                for k, span in enumerate(spans):
+                    some.append(span)
+                    following = spans[k + 1] if k + 1 < len(spans) else (None, 0, 0)
+                    if span[1] + span[2] - some[0][1] >= RANGE or following[:2] != (span[0], span[1] + span[2]):
                         yield pa.RecordBatch.from_pydict({
-                            "uri": [uri], "at": [base + some[0][0]], "n": [at + n - some[0][0]],
-                            "lengths": pa.array([[x[1] for x in some]], pa.list_(pa.int64())),
+                            "uri": [uri], "at": [some[0][1]], "n": [span[1] + span[2] - some[0][1]],
+                            "lengths": pa.array([[x[2] for x in some]], pa.list_(pa.int64())),
                         })
                         some = []
 
@@ -245,7 +347,8 @@ def read_archives(manifest: DataFrame, want_payload: bool = False) -> DataFrame:
                     data = f.read_at(r["n"], r["at"])
                 got, at = [], 0
                 for n in r["lengths"]:
-                    got.append(parse_record(data[at : at + n]))
+                    one = parse_record(data[at : at + n])
+                    got += [one] if one["record_type"] in ("response", "revisit") else []
                     at += n
                 cols = {c: pa.array([x[c] for x in got], t) for c, t in kinds.items()}
                 yield pa.RecordBatch.from_pydict(cols)

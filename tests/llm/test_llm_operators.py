@@ -152,7 +152,10 @@ def test_bpe_stitching_random():
         assert got == codec[0].encode_ordinary(t)
 
 
-def test_wacz(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_wacz(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(wacz, "few", lambda df: False)
     rows = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://c/ü\r\nX: y", "other"), (4, "http://d", None), (5, "", ""), (None, "http://e", "same"), (2, "http://f", "same"), (None, "http://g", "lone")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in wacz.archive_round_trip(spark, pages).collect())
@@ -165,6 +168,61 @@ def test_wacz(spark):
     assert got == want
 
 
+def foreign_package(index: str, plain: bool) -> tuple[bytes, list[int]]:
+    """A package of other names: two WARC members with other kinds of record, and an index of the given kind or none."""
+    raw, members = io.BytesIO(), {"archive/crawl-7.warc" + "" * plain: b"", "archive/sub/b.warc.gz": b""}
+    pack = lambda x: zlib.decompress(x, 31) if plain else x
+    lines, ids = [], []
+    for k, name in enumerate(members):
+        plain_here = plain and k == 0
+        for i in range(5):
+            digest = base64.b32encode(hashlib.sha1(b"page%d" % i).digest()).decode()
+            one = wacz.record("response", 10 * k + i, f"http://h{k}.example.org/{i}?q", b"page%d" % i, 5, digest, None, "2024-01-02T03:04:05Z")
+            info = wacz.record("warcinfo", None, None, b"about", 5, digest, None, "2024-01-02T03:04:05Z")
+            one, info = (pack(one), pack(info)) if plain_here else (one if k else one, info)
+            members[name] += info
+            at = len(members[name])
+            members[name] += one
+            ids.append(10 * k + i)
+            fields = {"offset": str(at), "length": str(len(one)), "filename": name.rpartition("/")[2]}
+            lines.append(f"org,example,h{k})/{i} 20240102030405 {json.dumps(fields)}" if index == "cdxj" else f"org,example,h{k})/{i} 20240102030405 {len(one)} {at} {name}")
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        for name, data in members.items():
+            z.writestr(name, data)
+        body = "\n".join(([" CDX N b S V g"] if index == "cdx" else []) + sorted(lines, reverse=True))
+        if index == "cdxj":
+            z.writestr(zipfile.ZipInfo("indexes/all.cdxj"), body, compress_type=zipfile.ZIP_DEFLATED)
+        elif index == "cdx":
+            import gzip
+
+            z.writestr("indexes/old.cdx.gz", gzip.compress(body.encode()))
+    return raw.getvalue(), ids
+
+
+@pytest.mark.parametrize("plain", [False, True])
+@pytest.mark.parametrize("index", ["cdxj", "cdx", ""])
+def test_wacz_reads_packages_of_others(spark, tmp_path, index, plain):
+    data, ids = foreign_package(index, plain)
+    (tmp_path / "p.wacz").write_bytes(data)
+    out = wacz.read_archives(spark.createDataFrame([(f"file://{tmp_path}/p.wacz",)], "uri string"), want_payload=True).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in out) == [(i, b"page%d" % (i % 10)) for i in sorted(ids)]
+
+
+def test_wacz_writes_sorted_cdxj(spark, tmp_path):
+    """A package by the standard library's reader: the index lines, sorted, give each record; many equal payloads in shuffles too."""
+    rows = [(i, f"http://{'ba'[i % 2]}.org/{i}", "x" * (i % 3)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    manifest = wacz.write_archives(pages, f"file://{tmp_path}/out").collect()
+    z = zipfile.ZipFile(manifest[0].uri.removeprefix("file:").replace("//", "/"))
+    data, lines = z.read(wacz.DATA), z.read(wacz.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and len(lines) == 40 and lines[0].startswith("org,a)/")
+    for x in lines:
+        f = json.loads(x[x.index("{") :])
+        one = wacz.parse_record(data[int(f["offset"]) :][: int(f["length"])])
+        assert one["url"] == f["url"] and f["digest"] == "sha1:" + one["payload_digest"] and f["filename"] == "data.warc.gz"
+
+
 def test_zip_directories():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
