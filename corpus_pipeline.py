@@ -1,4 +1,8 @@
-"""A corpus pipeline: quality rules, exact dedup, near dedup, mixing and tokenisation, each stage over all rows of the one before."""
+"""A corpus pipeline: quality rules, exact dedup, near dedup, mixing and tokenisation, each stage over all rows of the one before.
+
+Every stage but the last returns the columns of documents, whatever they are; extra columns, of names that the operators use
+too, pass through. An empty table gives an empty one. A text of any length is one row; only the last stage cuts it up.
+"""
 
 from __future__ import annotations
 
@@ -18,27 +22,44 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that too many documents of their source share."""
+    """Documents that pass the rules, without the lines that too many documents of their source share.
+
+    Null and empty texts go; a null source is a source. Repeated rows count as one document where lines are counted and
+    are kept or go together. n_chars follows the text.
+    """
     return apply_quality_rules(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, white space aside: that of the smallest id.
+
+    Null and empty texts are one group. Rows repeated with one id and text leave one row; a group of null ids only leaves one.
+    """
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similarity of five-word shingles."""
+    """One document of each group linked by similarity of five-word shingles: that of the smallest id.
+
+    Texts without words, null or empty, are linked with nothing and stay. Repeated rows leave one row.
+    """
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, none to two times, in mixing order.
+
+    Texts without words, null or empty, go; a null source is a source of its own, last in order. Rows of one id and text
+    are taken equally often.
+    """
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
+    """Token ids, their number and digests of each document of the mix, with its doc_id.
+
+    Null texts count as empty and have no tokens; repeated rows are encoded each.
+    """
     out = encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN, want_ids=True)
     return out.withColumn("n_tokens", F.size("ids").cast("long"))
 

@@ -32,8 +32,8 @@ SKETCH = 64
 RETAINED, FREQUENT = 24, 16
 #: Nodes that may share a value before it counts as frequent.
 LIST = 32
-#: Members of a block of a frequent list.
-BLOCK = 512
+#: Members of a block of a frequent list, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 
 def sketches(docs: DataFrame, words: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,7 +95,8 @@ def _block_links(odd: DataFrame, members: DataFrame, words: int, percent: int) -
     Blocks meet blocks, and full sets are compared within a task, so that only links leave it: for each odd member and
     each component that it is linked with, one.
     """
-    blocks = members.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)
+    blocks = members.groupBy("v").agg(F.ceil(size).cast("int").alias("blocks"))
     held = F.collect_list(F.struct("rid", "label", "text"))
 
     def packed(rows: DataFrame, name: str) -> DataFrame:
@@ -130,12 +131,13 @@ def _block_links(odd: DataFrame, members: DataFrame, words: int, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``key``, n_shingles, component_id, kept, and ``_hash`` of the text.
+    """One row per input row: ``key``, n_shingles, component_id, kept, ``_hash`` of the text, ``_label`` of the component.
 
     Documents with 100 * intersection >= percent * union of their shingle sets are linked; component_id is the smallest
     id reachable. Texts without words, empty or null, have no shingles and are linked with nothing. Repeated rows are
-    one document. Null ids join components but never name one, unless all ids of it are null. An empty table gives no
-    rows. Other columns of ``docs`` are not read.
+    one document. Null ids join components but never name one, unless all ids of it are null. A text of any length is
+    hashed whole, in one task with some tens of times its size. An empty table gives no rows. Other columns of ``docs`` are
+    not read.
     """
     prepare_python(docs.sparkSession)
     rows = stage(sketches(docs, words, key, text), "sketches")
@@ -197,12 +199,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     named = nodes.select("rid", "sig", "least", "rows").join(labels, "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stage(named.join(smallest, "label").select("sig", "rows", "component_id"), "named", count)
-    linked = join_split(some.select("id", "_hash", "n", "sig"), named, "sig", "rows", total).select("id", "_hash", "n", "component_id")
-    alone = rows.filter("n = 0").select("id", "_hash", "n", F.col("id").alias("component_id"))
+    named = stage(named.join(smallest, "label").select("sig", "rows", "component_id", F.col("label").alias("_label")), "named", count)
+    linked = join_split(some.select("id", "_hash", "n", "sig"), named, "sig", "rows", total).select("id", "_hash", "n", "component_id", "_label")
+    alone = rows.filter("n = 0").select("id", "_hash", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("_label"))
     out = linked.unionByName(alone)
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "_hash")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "_hash", "_label")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -213,7 +215,21 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, in their own columns."""
-    marked = stage(near_duplicates(docs, key, text, words, percent), "marked")
-    gone = marked.filter(~F.col("kept")).select(F.col(key).alias("_id"), "_hash").distinct()
-    return join_decisions(docs, gone, "left_anti", key, text).select("d.*")
+    """``docs`` with one row of each component, in their own columns: that of the smallest id.
+
+    Of rows that share this id and its text, or of a component of null ids only, one stays, whichever. Null and empty texts
+    and texts without words are linked with nothing and all stay, repeated ones too. An empty table stays empty.
+    """
+    marked = stage(near_duplicates(docs, key, text, words, percent).withColumnRenamed(key, "_id"), "marked")
+    kept = marked.filter(F.col("kept") & (F.col("n_shingles") > 0))
+    # Rows repeated with id and text, or without an id, may leave a component several: those are thinned out.
+    many = kept.groupBy("_label").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("_id", "_hash")).alias("one")).filter("rows > 1")
+    many = stage(many.select("_label", "one"), "several")
+    gone = marked.filter(~F.col("kept")).select("_id", "_hash")
+    others = kept.join(many, "_label").filter(~(F.col("_id").eqNullSafe(F.col("one._id")) & (F.col("_hash") == F.col("one._hash"))))
+    rest = join_decisions(docs, gone.unionByName(others.select("_id", "_hash")).distinct(), "left_anti", key, text).select("d.*")
+    if many.isEmpty():
+        return rest
+    ones = many.select("one._id", "one._hash")
+    thinned = join_decisions(rest, ones, "left_semi", key, text).select("d.*").dropDuplicates([key, text])
+    return join_decisions(rest, ones, "left_anti", key, text).select("d.*").unionByName(thinned)

@@ -64,7 +64,7 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("_hash", "_label")
 
 
 QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op5_mil, op6_suffix_tree, op7_mixing, op8_sharding, op9_suffix_dedup, op10_near_dedup)}

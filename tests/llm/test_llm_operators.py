@@ -502,6 +502,33 @@ def test_near_duplicates_large_groups(spark, monkeypatch):
     assert [x.component_id for x in got] == comp
 
 
+def test_drop_near_copies_leaves_one_row_of_each_component(spark):
+    """Rows repeated with id and text, components of null ids only, and blank texts, with columns that clash."""
+    b = prose(80, 71)
+    rows = [(1, b, "p"), (1, b, "q"), (2, b + " tail", "r"), (None, prose(60, 72), "a"), (None, prose(60, 72) + " more", "b"), (None, b, "c"), (5, "", "x"), (5, "", "y"), (6, None, "z"), (7, prose(50, 73), "u"), (7, prose(50, 74), "v")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _label string").repartition(3)
+    out = drop_near_copies(d)
+    assert out.columns == d.columns
+    got = Counter((r.doc_id, squeezed(r.text)[:20]) for r in out.collect())
+    assert got == Counter((i, squeezed(t)[:20]) for i, t, _ in (rows[0], rows[3], *rows[6:]))
+
+
+def test_near_duplicate_recall_in_hard_groups(spark):
+    """Links kept among documents of frequent passages and large groups, of those that brute force finds: at least 0.99."""
+    r, rows = random.Random(77), []
+    common = [" ".join(f"c{g}w{k}" for k in range(45)) for g in range(3)]
+    for g in range(90):
+        size, passage = r.choice([8, 20, 40]), f"{common[g % 3]} " * (r.random() < 0.8)
+        for _ in range(4):
+            own = [f"d{g}x{k}" for k in range(size)]
+            own[r.randrange(size)] = f"e{len(rows)}"
+            rows.append((len(rows), passage + " ".join(own)))
+    sets = [shingles(t, 4) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert len(links) > 300 and sum(got[i] == got[j] for i, j in links) / len(links) > 0.99
+
+
 def test_near_duplicates_around_a_frequent_passage(spark):
     """Pairs at 0.8125 that share a passage of 200 other pairs: 40 frequent shingles, and 24 and 12 of their own."""
     passage, rows = " ".join(f"common{k}" for k in range(43)), []
@@ -629,11 +656,54 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in out} <= set(kept) and max(Counter(r.doc_id for r in out).values()) <= 2
     codec = bpe._codec(corpus_pipeline.VOCABULARY, public_tokenizers.PATTERN)
     assert all(list(r.ids) == codec[0].encode_ordinary(kept[r.doc_id]) and r.n_tokens == len(r.ids) for r in out)
-    d = spark.createDataFrame([(i, t, s.source) for (i, t) in kept.items() for s in cleaned if s.doc_id == i], "doc_id long, text string, source string")
-    times = {r.doc_id: math.floor(r.taken / r["size"] + 0.5) for r in mix(d).collect()}
+    d = [(i, t, s.source) for (i, t) in kept.items() for s in cleaned if s.doc_id == i]
+    times = {i: math.floor(taken / size + 0.5) for i, size, _, taken in brute_mix(d, mixing.BLOCK)}
     assert Counter(r.doc_id for r in out) == Counter({i: n for i, n in times.items() if n})
 
 
+def test_pipeline_stages_on_edge_cases(spark, docs, none):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    for start, left in ((docs, True), (none, False)):
+        d = start
+        for name, f in corpus_pipeline.STAGES:
+            out = f(spark, d, SF)
+            rows = out.collect()
+            assert bool(rows) == left, name
+            if name != "tokens":
+                assert out.columns == docs.columns, name
+                d = spark.createDataFrame(rows, docs.schema)
+        if left:
+            assert {r.doc_id for r in rows} <= {i for i, *_ in ROWS} and all(r.n_tokens == len(r.ids) for r in rows)
+    kept = corpus_pipeline.quality(spark, docs, SF).collect()
+    assert all(r.text for r in kept) and len({r.text for r in kept if r.doc_id == 15}) == 1
+
+
+def test_pipeline_first_stage_against_brute_force(spark):
+    """Lines of over 20 distinct texts and 1 % of a source's go, and documents that fail the base rules or are depleted."""
+    docs_ = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    norm = lambda x: squeezed(x).strip().lower()
+    held, total = {}, {}
+    for r in docs_:
+        total.setdefault(r.source, set()).add(r.text or "")
+        for x in {norm(y) for y in (r.text or "").split("\n")} - {""}:
+            held.setdefault((r.source, x), set()).add(r.text or "")
+    hot = {k for k, v in held.items() if len(v) > 20 and 100 * len(v) > len(total[k[0]])}
+    want = {}
+    for r in docs_:
+        text = r.text or ""
+        w = WORD.findall(text)
+        win = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        twice = {k for k, n in Counter(win).items() if n > 1}
+        hit = len({j for k, x in enumerate(win) if x in twice for j in range(k, k + 8)})
+        cut = sum(len(norm(y).split(" ")) for y in text.split("\n") if (r.source, norm(y)) in hot)
+        if len(w) >= 20 and 100 * hit <= 30 * len(w) and len(w) - cut >= 10 and 100 * (len(w) - cut) >= 30 * len(w):
+            want[r.doc_id] = "\n".join(y for y in text.split("\n") if (r.source, norm(y)) not in hot)
+    got = {r.doc_id: r.text for r in apply_quality_rules(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert got == want
+
+
 def test_queries_have_stable_names():
     names = [n for n in queries.QUERIES if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
