@@ -1,20 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Contexts of one token or more are candidates if they occur often enough; a candidate is retained if the distribution of
-its next token diverges from that of its suffix state. A retained context keeps the next tokens that are not rare after
-it; what it doesn't keep backs off to its suffix with the mass left over, down to the root, whose distribution is the
-add-one unigram. A token is scored in the longest retained suffix of what precedes it.
-
-Counts of all training tokens and of all tokens after candidates come from the whole corpus. The tree is small however
-large the corpus is: at most 1/CONTEXT contexts of a length, with 1/NEXT next tokens each. Scoring looks up tokens with
-at least CONTEXT * NEXT of all occurrences in a broadcast table (so at most 1/(CONTEXT * NEXT) of them); the rarer
-tokens, none of them a hot key, are joined with the full counts by a shuffle.
+The tree grows from the root, whose distribution is the add-one unigram. A context of one token or more is a candidate if
+it was seen SUPPORT times, its suffix is retained and its prefix was a candidate; it is retained if the distribution of
+its next token diverges from that of its suffix state. A retained context keeps the next tokens seen SUPPORT times after
+it, discounted; others get its suffix's probabilities, scaled to the mass that is left. A token is scored in the longest
+retained suffix of what precedes it.
+
+Both limits are counts, so the tree grows with the corpus: contexts and their next tokens are distributed tables, made
+and tested by joins. For scoring, the logarithm of a token's probability is written as a sum of the root's and of a
+weight for each n-gram met: one for each retained context (its scale), one for each kept next token. So scores are sums
+over n-grams, whatever their order. Weights of n-grams with OFTEN of all tokens (at most 1/OFTEN of a length) are
+broadcast; a bounded filter tells which of the others may have a weight, and those, none of them hot, meet the tables by
+a shuffle. The filter only saves work: what it lets through wrongly finds no weight.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +29,18 @@ from graphloom.llm import rolling
 from graphloom.llm.text import or_empty
 from graphloom.runtime import prepare_python, stage
 
-#: Least share of all tokens for a context; least share of a context's tokens for a kept next token; longest context.
-CONTEXT, NEXT, DEPTH = 1e-3, 1e-3, 3
-#: Least count of a kept next token, whatever its share: rarer ones say too little about the distribution.
-SUPPORT = 8
+#: Times that a context, and a next token after it, must be seen; longest context.
+SUPPORT, DEPTH = 8, 3
 #: Least divergence (nats) from the suffix state, and the count by which kept tokens are discounted.
-DIVERGENCE, DISCOUNT = 0.005, 1.0
+DIVERGENCE, DISCOUNT = 0.05, 1.0
+#: Share of all tokens from which an n-gram's weight or count is broadcast, and from which its successors are spread.
+OFTEN, HOT = 1e-6, 1e-4
+#: Bits a key of a filter, and bits of a filter at most.
+KEY_BITS, MOST_BITS = 12, 1 << 28
 END = 0x5DEECE66D1234567
-_MASK = (1 << 64) - 1
-_ROLE = [int(x) for x in rolling._ROLES[:16]]
-#: Distinct counts that a task holds before it passes them on.
-HELD = 2_000_000
+_STEP, _STATE = np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
+#: Distinct counts that a task holds before it passes them on, and parts a shuffle partition is merged in.
+HELD, PARTS = 2_000_000, 4
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,21 +49,25 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, firsts[1:], np.uint64(END)), firsts[1:] + np.arange(1, len(texts) + 1)
 
 
-def contexts(toks: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the key of the ``depth`` tokens before it, and whether its text has that many."""
-    key = np.zeros(len(toks), "uint64")
-    for j in range(1, depth + 1):
-        key[j:] += toks[: max(len(toks) - j, 0)] * np.uint64(_ROLE[j - 1])
-    begin = np.repeat(np.concatenate(([0], ends[:-1])), np.diff(np.concatenate(([0], ends))))
-    return key, np.arange(len(toks)) - begin >= depth
+def longer(key: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their prefixes and their last tokens."""
+    return rolling.mixed(key * _STEP + token)
 
 
-def context_key(context: tuple[int, ...]) -> int:
-    return sum(h * _ROLE[j] for j, h in enumerate(reversed(context))) & _MASK
+def grams(toks: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """Keys of the 1-grams to n-grams that end at each token, and last how many tokens of its text stand up to it."""
+    begin = np.repeat(np.concatenate(([0], ends[:-1])), np.diff(np.concatenate(([0], ends))))
+    out = [longer(np.zeros(len(toks), "uint64"), toks)]
+    for _ in range(n - 1):
+        key = np.zeros(len(toks), "uint64")
+        key[1:] = longer(out[-1][:-1], toks[1:])
+        out.append(key)
+    return [*out, np.arange(len(toks)) - begin + 1]
 
 
-def edge_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return rolling.mixed(context * np.uint64(_ROLE[8]) + token)
+def state(key: np.ndarray) -> np.ndarray:
+    """Key of the weight of a context, apart from the n-gram's own."""
+    return key ^ _STATE
 
 
 def find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,205 +78,282 @@ def find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, sorted_[at] == x
 
 
-def _count(docs: DataFrame, text: str, wanted: np.ndarray | None, depth: int) -> DataFrame:
-    """Counts (ctx, nxt, n) of tokens after the wanted contexts of a length, or (0, nxt, n) of all tokens."""
+class Filter:
+    """A Bloom filter of 64-bit keys, of MOST_BITS bits at most: it knows all keys put in, and few others."""
+
+    def __init__(self, bits: int):
+        self.bits = np.zeros(bits // 8, "uint8")
+
+    def _places(self, x: np.ndarray) -> list[np.ndarray]:
+        n, h = np.uint64(len(self.bits) * 8 - 1), rolling.mixed(x)
+        return [(h + np.uint64(k) * (h >> np.uint64(32) | np.uint64(1))) & n for k in range(3)]
+
+    def add(self, x: np.ndarray) -> Filter:
+        for p in self._places(x):
+            np.bitwise_or.at(self.bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype("uint8"))
+        return self
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), bool)
+        for p in self._places(x):
+            out &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype("uint8")) & 1 == 1
+        return out
+
+
+def key_filter(keys: DataFrame, column: str) -> Filter:
+    """The filter of a table's keys. Few tasks fill filters of their own; the driver holds two of them."""
+    n = keys.count()
+    bits = min(max(1 << 10, 1 << max(KEY_BITS * n - 1, 1).bit_length()), MOST_BITS)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(bits)
+        for batch in batches:
+            own.add(batch.column(0).to_numpy().view("uint64"))
+        yield pa.RecordBatch.from_arrays([pa.array([own.bits.tobytes()], "binary")], ["bits"])
+
+    out = Filter(bits)
+    for row in keys.select(F.col(column).cast("long").alias("key")).coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+        out.bits |= np.frombuffer(row["bits"], "uint8")
+    return out
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view("int64"))
+
+
+def _token_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(key, n, is_end) of all distinct tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rows = 0
+
+        def merged():
+            keys, at = np.unique(np.concatenate(held), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate(counts)).astype("int64")
+
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(0).to_pylist()]
+            for i, j in rolling.buffers(texts, 4 << 20):
+                keys, n = np.unique(tokens(texts[i:j])[0], return_counts=True)
+                held.append(keys)
+                counts.append(n)
+                rows += len(keys)
+                if rows > HELD:
+                    keys, n = merged()
+                    held, counts, rows = [keys], [n], len(keys)
+                    if rows > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([_signed(longer(np.zeros(rows, "uint64"), keys)), pa.array(n), pa.array(keys == END)], ["key", "n", "is_end"])
+                        held, counts, rows = [], [], 0
+        if held:
+            keys, n = merged()
+            yield pa.RecordBatch.from_arrays([_signed(longer(np.zeros(len(keys), "uint64"), keys)), pa.array(n), pa.array(keys == END)], ["key", "n", "is_end"])
+
+    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "key long, n long, is_end boolean")
+    return some.groupBy("key").agg(F.sum("n").alias("n"), F.first("is_end").alias("is_end"))
+
+
+def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context: Filter, hot: np.ndarray) -> DataFrame:
+    """(key, ctx, suffix, n, is_end) of n-grams seen SUPPORT times after contexts of ``depth`` tokens that the filter knows.
+
+    ``key`` is that of context and next token, ``suffix`` that of both without the first token. Tasks send their counts in
+    arrays, by context, or for ``hot`` contexts by n-gram, so that none is held by one task.
+    """
+    sc = docs.sparkSession.sparkContext
+    shared = sc.broadcast((known, context, hot))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * tasks
+    names = ["part", "ctx", "suf", "runs", "token", "n"]
+
+    def sent(key, ctx, suf, token, n) -> pa.RecordBatch:
+        part = (np.where(find(shared.value[2], ctx)[1], key, rolling.mixed(ctx)) % np.uint64(parts)).astype("int64")
+        o = np.lexsort((ctx, part))
+        part, ctx, suf, token, n = part[o], ctx[o], suf[o], token[o], n[o]
+        run = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1]))))
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        lists = lambda at, x: pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype("int32")), x)
+        of_run = np.searchsorted(run, first)
+        length = pa.array(np.diff(np.append(run, len(ctx))).astype("int32"))
+        return pa.RecordBatch.from_arrays([
+            pa.array(part[first].astype("int32")), lists(of_run, _signed(ctx[run])), lists(of_run, _signed(suf[run])), lists(of_run, length),
+            lists(first, _signed(token)), lists(first, pa.array(n.astype("int32"))),
+        ], names)
+
+    def grouped(key, ctx, suf, token, n):
+        o = np.argsort(key)
+        key, n = key[o], n[o]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        o = o[new]
+        return key[new], ctx[o], suf[o], token[o], np.add.reduceat(n, new)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, context, _ = shared.value
         held, rows = [], 0
         for batch in batches:
             texts = [t.encode() for t in batch.column(0).to_pylist()]
             for i, j in rolling.buffers(texts, 4 << 20):
                 toks, ends = tokens(texts[i:j])
-                ctx = np.zeros(len(toks), "uint64")
-                if wanted is not None:
-                    ctx, ok = contexts(toks, ends, depth)
-                    ok &= find(wanted, ctx)[1]
-                    ctx, toks = ctx[ok], toks[ok]
-                held.append(_grouped(ctx, toks, np.ones(len(toks), "int64")))
-                rows += len(held[-1][0])
+                *keys, place = grams(toks, ends, depth + 1)
+                at = np.flatnonzero(place > depth)
+                at = at[context.has(keys[depth - 1][at - 1])]
+                at = at[known.has(keys[0][at])]
+                suf = keys[depth - 2][at - 1] if depth > 1 else np.zeros(len(at), "uint64")
+                if len(at):
+                    held.append(grouped(keys[depth][at], keys[depth - 1][at - 1], suf, toks[at], np.ones(len(at), "int64")))
+                    rows += len(held[-1][0])
                 if rows > HELD:
-                    held = [_grouped(*(np.concatenate(c) for c in zip(*held)))]
+                    held = [grouped(*(np.concatenate(c) for c in zip(*held)))]
                     rows = len(held[0][0])
                     if rows > HELD // 2:
-                        yield _counted(held[0])
+                        yield sent(*held[0])
                         held, rows = [], 0
         if held:
-            yield _counted(_grouped(*(np.concatenate(c) for c in zip(*held))))
-
-    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "ctx long, nxt long, n long")
-    return some.groupBy("ctx", "nxt").agg(F.sum("n").alias("n"))
-
-
-def _grouped(ctx: np.ndarray, nxt: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((nxt, ctx)) if len(ctx) and ctx.any() else np.argsort(nxt)
-    ctx, nxt, n = ctx[order], nxt[order], n[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(ctx)), bool), (ctx[1:] != ctx[:-1]) | (nxt[1:] != nxt[:-1]))))
-    return ctx[new], nxt[new], np.add.reduceat(n, new) if len(new) else n
-
-
-def _counted(c: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c[0].view("int64")), pa.array(c[1].view("int64")), pa.array(c[2])], ["ctx", "nxt", "n"])
-
-
-class Tree:
-    """Retained contexts with their back-off weights, and their kept next tokens with log10 probabilities."""
-
-    def __init__(self, total: int, distinct: int, frequent: dict[int, int]):
-        self.total, self.distinct, self.frequent = total, distinct, frequent
-        self.kept: dict[tuple[int, ...], dict[int, float]] = {}
-        self.backoff: dict[tuple[int, ...], float] = {}
-        self.retained: set[tuple[int, ...]] = set()
-
-    def root(self, count: int) -> float:
-        return (count + 1) / (self.total + self.distinct + 1)
-
-    def probability(self, context: tuple[int, ...], token: int) -> float:
-        """Of a frequent token after a context, whether retained or not."""
-        if not context:
-            return self.root(self.frequent.get(token, 0))
-        kept = self.kept.get(context)
-        if kept is None or context not in self.retained:
-            return self.probability(context[1:], token)
-        return kept[token] if token in kept else self.backoff[context] * self.probability(context[1:], token)
-
-    def add(self, context: tuple[int, ...], count: int, nexts: dict[int, int], divergence: float) -> None:
-        """Retain a context, and its suffixes, if the test says so. Shorter contexts come first."""
-        p = {t: n / (count + DISCOUNT) for t, n in nexts.items()}
-        q = {t: self.probability(context[1:], t) for t in nexts}
-        rest_p, rest_q = max(1 - sum(p.values()), 1e-12), max(1 - sum(q.values()), 1e-12)
-        self.kept[context], self.backoff[context] = p, rest_p / rest_q
-        if sum(p[t] * math.log(p[t] / q[t]) for t in p) + rest_p * math.log(rest_p / rest_q) < divergence:
-            return
-        while context and context not in self.retained:
-            self.retained.add(context)
-            context = context[1:]
-
-    def finish(self) -> None:
-        """Back-off weights again, as suffixes may have been retained after contexts that rest on them."""
-        for c in sorted(self.retained, key=len):
-            p = self.kept[c]
-            rest_q = max(1 - sum(self.probability(c[1:], t) for t in p), 1e-12)
-            self.backoff[c] = max(1 - sum(p.values()), 1e-12) / rest_q
-
-    def arrays(self) -> dict:
-        """Sorted lookup arrays, by length of the context."""
-        tables = {}
-        for d in range(1, 1 + max(map(len, self.retained), default=0)):
-            own = sorted((context_key(c), c) for c in self.retained if len(c) == d)
-            states = np.array([k for k, _ in own], "uint64")
-            weights = np.log10(np.array([self.backoff[c] for _, c in own]))
-            ctx = np.array([k for k, c in own for _ in self.kept[c]], "uint64")
-            tok = np.array([t for _, c in own for t in self.kept[c]], "uint64")
-            p = np.log10(np.array([x for _, c in own for x in self.kept[c].values()]))
-            keys = edge_key(ctx, tok)
-            o = np.argsort(keys)
-            tables[d] = (states, weights, keys[o], p[o])
-        return tables
-
-
-def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, context: float = CONTEXT, next_: float = NEXT, divergence: float = DIVERGENCE):
-    """The tree over ``docs``, and the table (nxt, n) of all token counts."""
+            yield sent(*grouped(*(np.concatenate(c) for c in zip(*held))))
+
+    def merged(rows: list[tuple]) -> pa.RecordBatch:
+        ctx, suf, runs, token, n = (np.concatenate(c) for c in zip(*rows))
+        ctx, suf, token = np.repeat(ctx.view("uint64"), runs), np.repeat(suf.view("uint64"), runs), token.view("uint64")
+        key, ctx, suf, token, n = grouped(longer(ctx, token), ctx, suf, token, n.astype("int64"))
+        keep = n >= SUPPORT
+        key, ctx, suf, token, n = key[keep], ctx[keep], suf[keep], token[keep], n[keep]
+        return pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), _signed(longer(suf, token)), pa.array(n), pa.array(token == END)], ["key", "ctx", "suffix", "n", "is_end"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.column(0)[k].as_py()
+                if rows and own != part:
+                    yield merged(rows)
+                    rows = []
+                part = own
+                rows.append(tuple(batch.column(c)[k].values.to_numpy() for c in range(1, 6)))
+        if rows:
+            yield merged(rows)
+
+    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "part int, ctx array<long>, suf array<long>, runs array<int>, token array<long>, n array<int>")
+    return some.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "key long, ctx long, suffix long, n long, is_end boolean")
+
+
+class Model:
+    """Counts of all training tokens (key, n, is_end), and weights (key, n, w: log10) of contexts and n-grams."""
+
+    def __init__(self, counts: DataFrame, total: int, distinct: int):
+        self.counts, self.total, self.distinct = counts, total, distinct
+        self.weights: list[DataFrame] = []
+        self.contexts: list[DataFrame] = []
+
+
+def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, divergence: float = DIVERGENCE) -> Model:
+    """The model of ``docs``: level by level, successors of candidates are counted, and contexts tested and retained."""
     prepare_python(docs.sparkSession)
-    counts = stage(_count(docs, text, None, 0).select("nxt", "n"), "tokens")
+    counts = stage(_token_counts(docs, text), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = counts.filter(F.col("n") >= max(1.0, context * next_ * total)).toPandas()
-    frequent = dict(zip(often["nxt"].to_numpy("int64").view("uint64").tolist(), often["n"].tolist()))
-    tree = Tree(total, distinct, frequent)
-    least = max(2.0, context * total)
-    candidates = {(t,): n for t, n in frequent.items() if n >= least and t != END}
+    model = Model(counts, total, distinct)
+    often = counts.filter(F.col("n") >= SUPPORT)
+    known = key_filter(often, "key")
+    candidates = often.filter(~F.col("is_end")).select(F.col("key").alias("ctx"), F.col("n").alias("c"))
+    before = often.select(F.col("key").alias("suffix"), ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("q"))
     for d in range(1, depth + 1):
-        if not candidates:
+        if candidates.isEmpty():
             break
-        by_key = {context_key(c): c for c in candidates}
-        pairs = stage(_count(docs, text, np.array(sorted(by_key), "uint64"), d), "pairs")
-        sums = pairs.groupBy("ctx").agg(F.sum("n").alias("c"))
-        kept = pairs.join(F.broadcast(sums), "ctx").filter((F.col("n") >= F.col("c") * next_) & (F.col("n") >= SUPPORT)).toPandas()
-        longer: dict[tuple[int, ...], int] = {}
-        found: dict[tuple[int, ...], tuple[int, dict[int, int]]] = {}
-        keys, toks = (kept[c].to_numpy("int64").view("uint64").tolist() for c in ("ctx", "nxt"))
-        for k, t, n, c in zip(keys, toks, kept["n"].tolist(), kept["c"].tolist()):
-            s = by_key[k]
-            found.setdefault(s, (c, {}))[1][t] = n
-            if n >= least and t != END and (*s, t)[1:] in candidates:
-                longer[(*s, t)] = n
-        for s in sorted(found):
-            tree.add(s, *found[s], divergence)
-        candidates = longer
-    tree.finish()
-    return tree, counts
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, key: str = "doc_id", text: str = "text", extra: list | None = None) -> DataFrame:
-    """One row per input row: ``key``, the ``extra`` columns, n_tokens, n_known, base_score and score (log10)."""
-    context = docs.sparkSession.sparkContext
-    tokens_ = np.array(sorted(tree.frequent), "uint64")
-    shared = context.broadcast((tokens_, np.array([tree.frequent[t] for t in tokens_.tolist()], "int64"), tree.arrays()))
-    scale = math.log10(tree.total + tree.distinct + 1)
+        hot = candidates.filter(F.col("c") >= HOT * total).select("ctx").toPandas()["ctx"].to_numpy("int64").view("uint64")
+        found = _successors(docs, text, d, known, key_filter(candidates, "ctx"), np.sort(hot))
+        after = found.join(candidates, "ctx").join(before, "suffix")
+        after = stage(after.select("key", "ctx", "suffix", "n", "is_end", "c", "q", (F.col("n") / (F.col("c") + DISCOUNT)).alias("p")), "after")
+        rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+        tested = after.groupBy("ctx").agg(F.first("c").alias("c"), rest("p").alias("rest_p"), rest("q").alias("rest_q"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))
+        gain = F.col("kl") + F.col("rest_p") * F.log(F.col("rest_p") / F.col("rest_q"))
+        retained = tested.filter(gain >= divergence).select("ctx", F.col("c").alias("n"), F.log10(F.col("rest_p") / F.col("rest_q")).alias("scale"))
+        retained = stage(retained, "retained")
+        model.contexts.append(retained)
+        kept = after.join(retained.select("ctx", "scale"), "ctx")
+        edges = kept.select("key", "n", (F.log10(F.col("p") / F.col("q")) - F.col("scale")).alias("w"))
+        states = retained.select(F.col("ctx").bitwiseXOR(F.lit(int(_STATE.astype("int64")))).alias("key"), "n", F.col("scale").alias("w"))
+        model.weights += [edges, states]
+        candidates = after.filter(~F.col("is_end")).join(retained.select(F.col("ctx").alias("suffix")), "suffix", "left_semi")
+        candidates = stage(candidates.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "candidates")
+        before = after.select(F.col("key").alias("suffix"), F.col("p").alias("q"))
+    return model
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+    """One row per input row: ``key``, n_tokens, n_known, base_score and score (log10)."""
+    spark = docs.sparkSession
+    none = spark.createDataFrame([], "key long, n long, w double")
+    weights = stage(reduce(DataFrame.unionByName, model.weights, none), "weights")
+    least = max(1.0, OFTEN * model.total)
+    common = model.counts.filter(F.col("n") >= least).select("key", "n").toPandas().sort_values("key", key=lambda k: k.to_numpy("int64").view("uint64"))
+    heavy = weights.filter(F.col("n") >= least).select("key", "w").toPandas().sort_values("key", key=lambda k: k.to_numpy("int64").view("uint64"))
+    unsigned = lambda x: x.to_numpy("int64").view("uint64")
+    rare_filter = key_filter(weights.filter(F.col("n") < least), "key")
+    shared = spark.sparkContext.broadcast((unsigned(common["key"]), common["n"].to_numpy("int64"), unsigned(heavy["key"]), heavy["w"].to_numpy("float64"), rare_filter))
+    scale = math.log10(model.total + model.distinct + 1)
     kind = docs.schema[key].dataType.simpleString()
+    levels = min(depth, len(model.weights) // 2)
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), or_empty(text).alias("t"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, n_of, tables = shared.value
+        frequent, n_of, heavy, weight, rare_filter = shared.value
         for batch in batches:
             texts = [t.encode() for t in batch.column("t").to_pylist()]
             for i, j in rolling.buffers(texts, 4 << 20):
                 toks, ends = tokens(texts[i:j])
                 owner = np.repeat(np.arange(j - i), np.diff(np.concatenate(([0], ends))))
-                at, known = find(frequent, toks)
+                *keys, place = grams(toks, ends, levels + 1)
+                at, known = find(frequent, keys[0])
                 base = np.where(known, np.log10(n_of[at] + 1) - scale if len(n_of) else 0.0, 0.0)
-                logp, open_ = np.zeros(len(toks)), np.ones(len(toks), bool)
-                for depth in sorted(tables, reverse=True):
-                    states, weights, edges, p = tables[depth]
-                    ctx, ok = contexts(toks, ends, depth)
-                    idx, inside = find(states, ctx)
-                    here = np.flatnonzero(ok & inside & open_)
-                    e, hit = find(edges, edge_key(ctx[here], toks[here]))
-                    logp[here[hit]] += p[e[hit]]
-                    open_[here[hit]] = False
-                    logp[here[~hit]] += weights[idx[here[~hit]]]
-                logp += np.where(open_, base, 0.0)
+                bonus = np.zeros(j - i)
+                lone = [(owner[~known], keys[0][~known], True)]
+                for k in range(levels):
+                    inside = np.flatnonzero(place > k + 1)
+                    for x in (keys[k + 1][inside], state(keys[k][inside - 1])):
+                        at, hit = find(heavy, x)
+                        bonus += np.bincount(owner[inside[hit]], weight[at[hit]], j - i)
+                        some = np.flatnonzero(~hit)
+                        some = some[rare_filter.has(x[some])]
+                        lone.append((owner[inside[some]], x[some], False))
                 rows = batch.column("row")[i:j].to_numpy()
-                sums = [np.bincount(owner, x, j - i) for x in (np.ones(len(toks)), known, base, logp)]
+                sums = [np.bincount(owner, x, j - i) for x in (np.ones(len(toks)), known, base)]
                 doc = pa.StructArray.from_arrays([
-                    batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(sums[3]),
-                ], ["id", "n", "known", "base", "score"])
-                none = pa.nulls(j - i, pa.int32())
+                    batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(bonus),
+                ], ["id", "n", "known", "base", "bonus"])
                 spread = rolling.mixed(rows.astype("uint64")).view("int64")  # so that these rows meet no key and no hot one
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(spread), none, none, doc], names)
-                rare = ~known
-                own, tok, m, ms = _rare(owner[rare], toks[rare], open_[rare])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array(tok.view("int64")), pa.array(m), pa.array(ms), pa.nulls(len(own), doc.type)], names)
-
-    names = ["row", "nxt", "m", "ms", "doc"]
-    parts = d.mapInArrow(measure, f"row long, nxt long, m int, ms int, doc struct<id {kind}, n long, known long, base double, score double>")
-    parts = parts.join(counts.hint("merge"), "nxt", "left")
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(spread), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.bool_()), doc], names)
+                for own, x, is_token in lone:
+                    own, x, m = _distinct(own, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[own]), _signed(x), pa.array(m), pa.array(np.full(len(m), is_token)), pa.nulls(len(m), doc.type)], names)
+
+    names = ["row", "key", "m", "is_token", "doc"]
+    parts = d.mapInArrow(measure, f"row long, key long, m int, is_token boolean, doc struct<id {kind}, n long, known long, base double, bonus double>")
+    table = model.counts.select("key", "n", F.lit(None).cast("double").alias("w")).unionByName(weights.filter(F.col("n") < least).select("key", F.lit(None).cast("long").alias("n"), "w"))
+    parts = parts.join(table.hint("merge"), "key", "left")
     rare = F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(scale)
-    own = F.col("m").isNotNull()
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
     out = parts.groupBy("row").agg(
         F.max("doc.id").alias(key), F.max("doc.n").alias("n_tokens"),
-        (F.max("doc.known") + F.coalesce(F.sum(F.when(own & F.col("n").isNotNull(), F.col("m"))), F.lit(0))).alias("n_known"),
-        (F.max("doc.base") + F.coalesce(F.sum(F.when(own, F.col("m") * rare)), F.lit(0.0))).alias("base_score"),
-        (F.max("doc.score") + F.coalesce(F.sum(F.when(own, F.col("ms") * rare)), F.lit(0.0))).alias("score"),
+        (F.max("doc.known") + F.coalesce(F.sum(F.when(F.col("is_token") & F.col("n").isNotNull(), F.col("m"))), F.lit(0))).alias("n_known"),
+        (F.max("doc.base") + total(F.when(F.col("is_token"), F.col("m") * rare))).alias("base_score"),
+        (F.max("doc.bonus") + total(F.when(~F.col("is_token"), F.col("m") * F.col("w")))).alias("bonus"),
     )
-    return out.drop("row")
+    return out.withColumn("score", F.col("base_score") + F.col("bonus")).drop("row", "bonus")
 
 
-def _rare(owner: np.ndarray, toks: np.ndarray, opened: np.ndarray):
-    """Distinct (text, token) with how often it stands there, and how often it is scored at the root."""
-    order = np.lexsort((toks, owner))
-    owner, toks, opened = owner[order], toks[order], opened[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (toks[1:] != toks[:-1]))))
-    if not len(new):
-        return owner, toks, np.zeros(0, "int32"), np.zeros(0, "int32")
-    counts = np.diff(np.concatenate((new, [len(owner)]))).astype("int32")
-    return owner[new], toks[new], counts, np.add.reduceat(opened.astype("int32"), new).astype("int32")
+def _distinct(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, key) with how often the key stands there."""
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))))
+    return owner[new], keys[new], np.diff(np.append(new, len(owner))).astype("int32")
 
 
 def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, n_tokens, n_known, train_tokens, base_score, score; trained where not ``held_out``.
 
-    Null text counts as empty; an empty text is one END token. Repeated rows count each, in training too. An empty table
-    gives no rows; with nothing to train on all tokens are unknown. Other columns of ``docs`` are not read.
+    Null text counts as empty; an empty text is one END token. Repeated rows count each, in training too. A text of any
+    length is hashed whole, in one task with some tens of times its size. An empty table gives no rows; with nothing to
+    train on all tokens are unknown and score is base_score. Other columns of ``docs`` are not read.
     """
-    tree, counts = train(docs.filter(~held_out), text)
-    return score(docs, tree, counts, key, text).withColumn("train_tokens", F.lit(tree.total).cast("long"))
+    model = train(docs.filter(~held_out), text)
+    return score(docs, model, key, text).withColumn("train_tokens", F.lit(model.total).cast("long"))

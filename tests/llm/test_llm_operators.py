@@ -610,35 +610,77 @@ def test_language_model(spark, docs):
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
 
 
-def test_suffix_tree_against_brute_force(spark):
-    """Scores of the distributed model against its tree walked token by token; every state's distribution sums to 1."""
+class BruteTree:
+    """The model by its definition: nested dictionaries of counts, contexts tested from short to long."""
+
+    def __init__(self, texts, support, depth, divergence):
+        toks = [[*WORD.findall(t.lower()), None] for t in texts]
+        self.uni = Counter(x for t in toks for x in t)
+        self.norm = sum(self.uni.values()) + len(self.uni) + 1
+        self.kept, self.scale = {}, {}
+        candidates = {(w,): n for w, n in self.uni.items() if n >= support and w is not None}
+        for d in range(1, depth + 1):
+            after = {}
+            for t in toks:
+                for i in range(d, len(t)):
+                    if (c := tuple(t[i - d : i])) in candidates:
+                        after.setdefault(c, Counter())[t[i]] += 1
+            longer = {}
+            for c, nexts in after.items():
+                often = {x: n for x, n in nexts.items() if n >= support}
+                if not often:
+                    continue
+                p = {x: n / (candidates[c] + 1) for x, n in often.items()}
+                q = {x: self.probability(c[1:], x) for x in often}
+                rest_p, rest_q = 1 - sum(p.values()), 1 - sum(q.values())
+                kl = sum(p[x] * math.log(p[x] / q[x]) for x in p) + rest_p * math.log(rest_p / rest_q)
+                if kl >= divergence:
+                    self.kept[c], self.scale[c] = p, rest_p / rest_q
+                longer |= {(*c, x): n for x, n in often.items() if x is not None}
+            candidates = {c: n for c, n in longer.items() if c[1:] in self.kept}
+
+    def probability(self, c, x):
+        while c and c not in self.kept:
+            c = c[1:]
+        if not c:
+            return (self.uni[x] + 1) / self.norm
+        return self.kept[c].get(x) or self.scale[c] * self.probability(c[1:], x)
+
+
+@pytest.mark.parametrize(("often", "hot", "held"), [(1e-6, 1e-4, 2_000_000), (2e-2, 1e-2, 500), (10, 10, 500)])
+def test_suffix_tree_against_brute_force(spark, monkeypatch, often, hot, held):
+    """Scores of the distributed model against a tree walked token by token, whether weights are broadcast or shuffled."""
+    for k, v in {"OFTEN": often, "HOT": hot, "HELD": held}.items():
+        monkeypatch.setattr(suffix_tree_lm, k, v)
     r = random.Random(6)
-    follow = {w: r.sample(WORDS[:40], 3) for w in WORDS[:40]}
+    words = WORDS[:40]
+    follow = {(a, b): r.sample(words, 2) for a in words[:8] for b in words[:8]} | {w: r.sample(words[:10], 3) for w in words}
     texts = []
-    for k in range(150):
-        w = [r.choice(WORDS[:40])]
+    for k in range(250):
+        w = [r.choice(words)]
         for _ in range(60):
-            w.append(r.choice(follow[w[-1]]) if r.random() < 0.8 else r.choice(WORDS[:40]))
+            w.append(r.choice(follow.get((w[-2], w[-1]) if len(w) > 1 else 0, follow[w[-1]])) if r.random() < 0.8 else r.choice(words))
         texts.append((k, " ".join(w)))
-    d = spark.createDataFrame(texts, "doc_id long, text string")
-    tree, counts = suffix_tree_lm.train(d)
-    assert tree.retained and all(not c[1:] or c[1:] in tree.retained for c in tree.retained)
-    table = {int(np.int64(x.nxt).view("uint64")): x.n for x in counts.collect()}
-    for c in sorted(tree.retained, key=repr)[:20]:
-        assert abs(sum(tree.probability(c, t) for t in table) + tree.probability(c, -1) - 1) < 1e-6
-
-    def walk(text):
-        toks = suffix_tree_lm.tokens([text.encode()])[0].tolist()
-        total = 0.0
-        for i, t in enumerate(toks):
-            state = max((c for c in [tuple(toks[max(0, i - k) : i]) for k in range(4)] if not c or c in tree.retained), key=len)
-            total += math.log10(tree.probability(state, t))
-        return total
-
-    got = {x.doc_id: x for x in suffix_tree_lm.score(d, tree, counts).collect()}
-    for k, t in texts[:40]:
-        assert abs(got[k].score - walk(t)) < 1e-6 * abs(got[k].score)
-    assert sum(x.score for x in got.values()) > 0.9 * sum(x.base_score for x in got.values())
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    tree = BruteTree([t for _, t in texts[:200]], suffix_tree_lm.SUPPORT, suffix_tree_lm.DEPTH, suffix_tree_lm.DIVERGENCE)
+    lengths = Counter(map(len, tree.kept))
+    assert lengths[1] > 5 and lengths[2] > 5 and lengths[3] > 0
+    assert all(abs(sum(tree.probability(c, x) for x in tree.uni) + 1 / tree.norm - 1) < 1e-2 for c in list(tree.kept)[:30])
+    model = suffix_tree_lm.train(d.filter("doc_id < 200"))
+    assert [x.count() for x in model.contexts] == [lengths[k] for k in (1, 2, 3)]
+    got = {x.doc_id: x for x in suffix_tree_lm.score(d, model).collect()}
+    for k, t in texts:
+        toks = [*WORD.findall(t.lower()), None]
+        want = sum(math.log10(tree.probability(tuple(toks[max(0, i - 3) : i]), x)) for i, x in enumerate(toks))
+        assert abs(got[k].score - want) < 1e-6 * abs(want)
+    held_out = [got[k] for k in range(200, 250)]
+    assert sum(x.score for x in held_out) > 0.85 * sum(x.base_score for x in held_out)
+
+
+def test_filters_know_all_their_keys(spark):
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63, 5000)
+    f = suffix_tree_lm.key_filter(spark.createDataFrame([(int(k),) for k in keys[:2500]], "k long"), "k")
+    assert f.has(keys[:2500].view("uint64")).all() and f.has(keys[2500:].view("uint64")).mean() < 0.05
 
 
 def test_pipeline_against_brute_force(spark):
