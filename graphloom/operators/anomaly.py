@@ -126,26 +126,42 @@ def stranded_locks(g: GraphFrames, x: Limits, as_of: Column) -> DataFrame:
     )
 
 
-def structure(g: GraphFrames, x: Limits) -> DataFrame:
-    """Dangling edges; cycles (a warning if an edge inside declares the loop and no node is stuck); joins that can't
-    happen; nodes without a way in that the graph's first node doesn't reach."""
-    lost = _finding(traverse.dangling_edges(g), "contract_violation", "topology", F.lit("error"), F.lit(1), F.lit(0), None, _me())
+def lost_edges(g: GraphFrames, x: Limits) -> DataFrame:
+    """Edges with an end that is no node."""
+    return _finding(traverse.dangling_edges(g), "contract_violation", "topology", F.lit("error"), F.lit(1), F.lit(0), None, _me())
+
+
+def deadlocked_rings(g: GraphFrames, x: Limits) -> DataFrame:
+    """Cycles: a warning if an edge inside declares the loop and no node is stuck, else critical."""
     rings = paths.cycles(g)
     ring = rings.select("graph_id", "nth", F.explode("ids").alias("id"))
     declared = g.edges.filter("kind = 'loop' or is_cycle").select("graph_id", "source", "target")
     inside = ring.withColumnRenamed("id", "source").join(declared, ["graph_id", "source"]).join(ring.withColumnRenamed("id", "target"), ["graph_id", "nth", "target"])
     stuck = ring.join(g.nodes.filter("status in ('pending', 'running')").select("graph_id", "id"), ["graph_id", "id"], "left_semi")
     rings = rings.join(inside.select("graph_id", "nth", F.lit(True).alias("declared")).distinct(), ["graph_id", "nth"], "left").join(stuck.select("graph_id", "nth", F.lit(True).alias("stuck")).distinct(), ["graph_id", "nth"], "left")
-    rings = _finding(rings, "circular_dependency_deadlock", "topology", F.when(F.col("declared") & F.col("stuck").isNull(), "warning").otherwise("critical"), F.size("ids"), F.lit(0), F.col("ids"))
+    return _finding(rings, "circular_dependency_deadlock", "topology", F.when(F.col("declared") & F.col("stuck").isNull(), "warning").otherwise("critical"), F.size("ids"), F.lit(0), F.col("ids"))
+
+
+def deadlocked_joins(g: GraphFrames, x: Limits) -> DataFrame:
+    """Waiting nodes of several ways in, or of kind join, some of which come from failed or skipped nodes."""
     e = g.valid_edges().join(g.nodes.select("graph_id", F.col("id").alias("source"), F.col("status").alias("up")), ["graph_id", "source"])
     joins = e.groupBy("graph_id", F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("ways"), F.count_if(F.col("up").isin("error", "skipped")).alias("lost"), F.array_sort(F.collect_set("source")).alias("from"))
     joins = joins.join(g.nodes.filter("status = 'pending' or status is null").select("graph_id", "id", "kind"), ["graph_id", "id"]).filter("(ways > 1 or kind = 'join') and lost > 0")
-    joins = _finding(joins, "diamond_join_deadlock", "topology", F.lit("critical"), F.col("lost"), F.lit(0), F.concat(_me(), F.col("from")))
+    return _finding(joins, "diamond_join_deadlock", "topology", F.lit("critical"), F.col("lost"), F.lit(0), F.concat(_me(), F.col("from")))
+
+
+def orphaned_subgraphs(g: GraphFrames, x: Limits) -> DataFrame:
+    """Nodes without a way in that the graph's first node doesn't reach, in graphs of more than two nodes."""
     first = g.nodes.groupBy("graph_id").agg(F.min_by("id", "ord").alias("id"), F.count(F.lit(1)).alias("size")).filter("size > 2")
+    # Nothing reaches a node without a way in, but the start itself: no search is needed.
     has_in = g.edges.select("graph_id", F.col("target").alias("id")).distinct()
     alone = g.nodes.select("graph_id", "id").join(first.select("graph_id"), "graph_id", "left_semi").join(has_in, ["graph_id", "id"], "left_anti")
-    alone = alone.join(traverse.closure(g, first, "down").select("graph_id", "id"), ["graph_id", "id"], "left_anti")
-    return lost.unionByName(rings).unionByName(joins).unionByName(_finding(alone, "orphaned_subgraph", "topology", F.lit("warning"), F.lit(0), F.lit(1), _me()))
+    return _finding(alone.join(first, ["graph_id", "id"], "left_anti"), "orphaned_subgraph", "topology", F.lit("warning"), F.lit(0), F.lit(1), _me())
+
+
+def structure(g: GraphFrames, x: Limits) -> DataFrame:
+    """Dangling edges, cycles, joins that can't happen, nodes that nothing leads to."""
+    return reduce(DataFrame.unionByName, (rule(g, x) for rule in (lost_edges, deadlocked_rings, deadlocked_joins, orphaned_subgraphs)))
 
 
 def latency(g: GraphFrames, x: Limits, with_path: bool = True) -> DataFrame:
