@@ -31,6 +31,20 @@ def full_diff(base: DataFrame, comp: DataFrame, keys: list[str], values: dict[st
     return j.withColumn("changed", changed).withColumn("status", status).drop("in_base", "in_comp")
 
 
+def sanitised(g: GraphFrames) -> GraphFrames:
+    """Input fit for a diff: blank ids get one by their position, blank names the id, numbers that aren't finite go, ends are texts."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    named = lambda what: F.when(blank("id"), F.concat(F.lit(f"{what}-synth-"), F.col("ord"))).otherwise(F.col("id"))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    metrics = F.col("metrics")
+    for f in ("duration_ms", "cost_usd", "retries", "repair_rounds"):
+        metrics = metrics.withField(f, finite(F.col(f"metrics.{f}")))
+    nodes = g.nodes.withColumn("metrics", F.when(F.col("metrics").isNotNull(), metrics)).withColumn("id", named("node"))
+    nodes = nodes.withColumn("name", F.when(blank("name"), F.col("id")).otherwise(F.col("name")))
+    edges = g.edges.withColumn("id", named("edge")).fillna("", ["source", "target"])
+    return GraphFrames(nodes, edges, g.sections)
+
+
 def _nodes(g: GraphFrames, duration: str, tokens: str) -> DataFrame:
     return g.nodes.select(
         "graph_id", "id", "name", M.STATUS.alias("state"), "kind", M.MODEL_DIFF.alias("model"), M.TIER.alias("tier"), "section_id", "step",

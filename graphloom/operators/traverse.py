@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import metrics as M
-from graphloom.functions.scalars import js_round
+from graphloom.functions.scalars import in_polygon, js_round
 from graphloom.runtime import stage
 from graphloom.schema import GraphFrames
 
@@ -125,15 +125,60 @@ def clusters(g: GraphFrames, strategy: str = "subtree") -> DataFrame:
     return out.select("graph_id", "id", F.coalesce("by.root", "id").alias("cluster"), F.coalesce("distance", F.lit(0)).alias("distance"))
 
 
+def chosen(g: GraphFrames, mode: str = "all", ids=(), sections=(), polygon=(), boxes: DataFrame | None = None, direction: str = "down", max_depth: int | None = None) -> DataFrame:
+    """Nodes (graph_id, id) of a subgraph: ``all``; a ``selection`` of ids; the ``closure`` of ids; those of ``section``s;
+    those whose box (graph_id, id, x, y, width, height) has its centre in a ``polygon`` of three points at least."""
+    nodes = g.nodes.select("graph_id", "id")
+    picked = nodes.filter(F.col("id").isin(*ids)) if ids else nodes.limit(0)
+    if mode == "all":
+        return nodes
+    if mode == "selection":
+        return picked
+    if mode == "closure":
+        return closure(g, picked, direction, max_depth).select("graph_id", "id")
+    if mode == "section":
+        if g.sections is None:
+            return g.nodes.filter(F.col("section_id").isin(*sections)).select("graph_id", "id")
+        inside = g.sections.filter(F.col("id").isin(*sections)).select("graph_id", F.explode("node_ids").alias("id"))
+        return nodes.join(inside.distinct(), ["graph_id", "id"], "left_semi")
+    if mode == "polygon":
+        if boxes is None or len(polygon) < 3:
+            return nodes.limit(0)
+        centre = in_polygon(F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2, list(polygon))
+        return nodes.join(boxes.filter(centre), ["graph_id", "id"], "left_semi")
+    raise ValueError(f"no mode {mode}")
+
+
+def pruned_sections(g: GraphFrames, chosen: DataFrame) -> DataFrame:
+    """The sections with the chosen ones of their nodes, in their order; sections left without any go."""
+    s = g.sections.select("graph_id", F.col("id").alias("section"), F.posexplode("node_ids").alias("pos", "id"))
+    kept = s.join(chosen.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_semi")
+    return kept.groupBy("graph_id", F.col("section").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("node_ids"))
+
+
+def minimap_groups(g: GraphFrames) -> DataFrame:
+    """Groups (graph_id, id, cluster) of a minimap: by section or group; of the other nodes the weak components among
+    themselves, by their smallest id. A node alone is left out, unless it is the graph's only one without a section."""
+    n = g.nodes.select("graph_id", "id", F.coalesce("section_id", "group").alias("cluster"))
+    loose = g.nodes.filter("coalesce(section_id, `group`) is null")
+    found = components(GraphFrames(loose, g.edges)).withColumnRenamed("component", "cluster")
+    size, all_ = Window.partitionBy("graph_id", "cluster"), Window.partitionBy("graph_id")
+    found = found.withColumns({"size": F.count(F.lit(1)).over(size), "loose": F.count(F.lit(1)).over(all_)})
+    return n.filter("cluster is not null").unionByName(found.filter("size > 1 or loose = 1").select("graph_id", "id", "cluster"))
+
+
 def subgraph(g: GraphFrames, chosen: DataFrame, boundary: str = "drop") -> tuple[DataFrame, DataFrame]:
-    """Chosen nodes (graph_id, id), and their edges as internal, incoming or outgoing; ``boundary`` keeps those or drops them."""
+    """Chosen nodes (graph_id, id), and their edges as internal, incoming or outgoing.
+
+    ``boundary``: drop the edges that cross, keep them all, or keep the ``incoming`` or the ``outgoing`` ones.
+    """
     ids = chosen.select("graph_id", "id").distinct()
     nodes = g.nodes.join(ids, ["graph_id", "id"], "left_semi")
     a, b = ids.select("graph_id", F.col("id").alias("source"), F.lit(True).alias("has_source")), ids.select("graph_id", F.col("id").alias("target"), F.lit(True).alias("has_target"))
     e = g.edges.join(a, ["graph_id", "source"], "left").join(b, ["graph_id", "target"], "left")
     role = F.when(F.col("has_source") & F.col("has_target"), "internal").when(F.col("has_target"), "incoming").when(F.col("has_source"), "outgoing")
     e = e.withColumn("role", role).filter("role is not null").drop("has_source", "has_target")
-    return nodes, e if boundary == "keep" else e.filter("role = 'internal'")
+    return nodes, e if boundary == "keep" else e.filter(F.col("role").isin("internal", boundary))
 
 
 def subgraph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

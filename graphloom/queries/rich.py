@@ -296,3 +296,71 @@ def terminal_text(spark, sf_dir):
 @query(f"""WITH log AS (SELECT CAST(user_id AS STRING) AS incident_id, event_id % 5 AS step, event_type AS status FROM events) SELECT incident_id, step, count(*) FILTER (status IN ('success', 'running', 'pending')) / count(*)::DOUBLE AS healthy FROM (SELECT incident_id, step, CASE status WHEN 'click' THEN 'running' WHEN 'view' THEN 'success' ELSE status END AS status FROM log) GROUP BY 1, 2""")
 def incident_health(spark, sf_dir):
     return replay.healthy_ratio(spark_sql(spark, sf_dir, "SELECT CAST(user_id AS STRING) AS incident_id, event_id % 5 AS step, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'success' ELSE event_type END AS status FROM {events}"))
+
+
+# ---- subgraphs, minimap groups, diagrams, input of diffs
+
+_SUPPLY, _LOYAL, _SESSION = "WITH RECURSIVE " + ctes("supply"), "WITH RECURSIVE " + ctes("loyal"), "WITH " + ctes("session")
+
+
+@query(f"""{_SUPPLY}, r(id, depth) AS (SELECT 'n3', 0 UNION SELECT e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.id WHERE r.depth < 2), c AS (SELECT DISTINCT id FROM r)
+    SELECT graph_id, id, CASE WHEN source IN (SELECT id FROM c) THEN 'internal' ELSE 'incoming' END AS role FROM edges WHERE target IN (SELECT id FROM c)""")
+def subgraph_closure(spark, sf_dir):
+    """Two steps down from a nation, with the edges that lead in from outside."""
+    g = graph(spark, sf_dir, "supply")
+    return traverse.subgraph(g, traverse.chosen(g, "closure", ids=("n3",), max_depth=2), "incoming")[1].select("graph_id", "id", "role")
+
+
+@query(f"""{_SESSION}, c AS (SELECT graph_id, id FROM nodes WHERE section_id IN ('day-1470', 'day-1471')) SELECT e.graph_id, e.id, CASE WHEN t.id IS NULL THEN 'outgoing' ELSE 'internal' END AS role FROM edges e JOIN c s ON s.graph_id = e.graph_id AND s.id = e.source LEFT JOIN c t ON t.graph_id = e.graph_id AND t.id = e.target""")
+def subgraph_section(spark, sf_dir):
+    """Two days of each session, with the edges that lead out."""
+    g = graph(spark, sf_dir, "session")
+    return traverse.subgraph(g, traverse.chosen(g, "section", sections=("day-1470", "day-1471")), "outgoing")[1].select("graph_id", "id", "role")
+
+
+@query(f"""{_SESSION} SELECT graph_id, section_id AS id, string_agg(id, ',' ORDER BY ord) AS node_ids FROM nodes WHERE kind IN ('error', 'purchase') GROUP BY 1, 2""")
+def subgraph_sections(spark, sf_dir):
+    """Sections pruned to a selection of their nodes."""
+    g = graph(spark, sf_dir, "session")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
+    sections = g.nodes.groupBy("graph_id", F.col("section_id").alias("section")).agg(ids.alias("node_ids")).withColumnRenamed("section", "id")
+    out = traverse.pruned_sections(GraphFrames(g.nodes, g.edges, sections), g.nodes.filter("kind in ('error', 'purchase')"))
+    return out.select("graph_id", "id", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+@query(f"""{_SUPPLY}, w AS (SELECT graph_id, id, row_number() OVER (ORDER BY ord) - 1 AS i, ceil(sqrt(count(*) OVER ())) AS per FROM nodes), p AS (SELECT graph_id, id, (i % per) * 160.0 + 60 AS x, floor(i / per) * 140.0 + 30 AS y FROM w) SELECT graph_id, id FROM p WHERE x >= 0 AND y >= 0 AND x + y <= 4000.5""")
+def subgraph_lasso(spark, sf_dir):
+    """Nodes whose boxes on a grid have their centre in a triangle."""
+    from graphloom.operators import layout
+
+    g = graph(spark, sf_dir, "supply")
+    boxes = layout.grid_layout(g).withColumns({"width": F.lit(120.0), "height": F.lit(60.0)})
+    return traverse.chosen(g, "polygon", polygon=[(0.0, 0.0), (4000.5, 0.0), (0.0, 4000.5)], boxes=boxes)
+
+
+@query(f"""{_LOYAL}, m AS (SELECT graph_id, id, CASE WHEN substr(id, 2)::BIGINT % 3 = 0 THEN 's' || substr(id, 2)::BIGINT % 2 END AS section FROM nodes), l AS (SELECT graph_id, id FROM m WHERE section IS NULL),
+    a AS (SELECT e.graph_id, source AS a, target AS b FROM edges e JOIN l s ON s.graph_id = e.graph_id AND s.id = source JOIN l t ON t.graph_id = e.graph_id AND t.id = target), w AS (SELECT * FROM a UNION SELECT graph_id, b, a FROM a),
+    r(graph_id, id, far) AS (SELECT graph_id, id, id FROM l UNION SELECT r.graph_id, r.id, w.b FROM r JOIN w ON w.graph_id = r.graph_id AND w.a = r.far), c AS (SELECT graph_id, id, min(far) AS cluster FROM r GROUP BY 1, 2)
+    SELECT graph_id, id, section AS cluster FROM m WHERE section IS NOT NULL UNION ALL SELECT graph_id, id, cluster FROM (SELECT *, count(*) OVER (PARTITION BY graph_id, cluster) AS k, count(*) OVER (PARTITION BY graph_id) AS o FROM c) WHERE k > 1 OR o = 1""")
+def minimap_groups(spark, sf_dir):
+    g = graph(spark, sf_dir, "loyal")
+    key = F.substr("id", F.lit(2)).cast("long")
+    return traverse.minimap_groups(GraphFrames(g.nodes.withColumn("section_id", F.when(key % 3 == 0, F.concat(F.lit("s"), key % 2))), g.edges))
+
+
+@query(f"""{_SESSION}, n AS (SELECT * FROM nodes), s AS (SELECT graph_id, section_id, min(ord) AS begin_, '  subgraph ' || replace(section_id, '-', '_') || ' ["' || section_id || '"]' || chr(10) || string_agg('    ' || id || '["' || name || '"]', chr(10) ORDER BY ord) || chr(10) || '  end' AS part FROM n GROUP BY 1, 2),
+    t AS (SELECT graph_id, string_agg(part, chr(10) ORDER BY begin_) AS parts FROM s GROUP BY 1), e AS (SELECT graph_id, string_agg('  ' || source || ' --> ' || target, chr(10) ORDER BY ord) AS lines FROM edges GROUP BY 1)
+    SELECT t.graph_id, 'flowchart TD' || chr(10) || parts || coalesce(chr(10) || lines, '') AS text FROM t LEFT JOIN e USING (graph_id)""")
+def mermaid_sections(spark, sf_dir):
+    from graphloom.sources import export
+
+    return export.mermaid_sections(graph(spark, sf_dir, "session"))
+
+
+@query(f"""{_SESSION} SELECT graph_id, CASE WHEN ord % 5 = 0 THEN 'node-synth-' || ord ELSE id END AS id, CASE WHEN ord % 7 = 0 THEN CASE WHEN ord % 5 = 0 THEN 'node-synth-' || ord ELSE id END ELSE name END AS name, CASE WHEN ord % 3 <> 0 THEN duration_ms END AS duration_ms FROM nodes""")
+def diff_input(spark, sf_dir):
+    """Nodes with blank ids and names and numbers that are not finite, made fit for a diff."""
+    g = graph(spark, sf_dir, "session")
+    bad = F.col("metrics").withField("duration_ms", F.when(F.col("ord") % 3 == 0, F.when(F.col("ord") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("metrics.duration_ms")))
+    nodes = g.nodes.withColumns({"id": F.when(F.col("ord") % 5 == 0, F.when(F.col("ord") % 2 == 0, " ")).otherwise(F.col("id")), "name": F.when(F.col("ord") % 7 != 0, F.col("name")), "metrics": bad})
+    return diff.sanitised(GraphFrames(nodes, g.edges)).nodes.select("graph_id", "id", "name", F.col("metrics.duration_ms").alias("duration_ms"))

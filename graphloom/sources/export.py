@@ -76,6 +76,32 @@ def mermaid(g: GraphFrames, direction: str = "TD") -> DataFrame:
     return _lines(n.unionByName(e), f"flowchart {direction}", "")
 
 
+def mermaid_sections(g: GraphFrames, direction: str = "TD") -> DataFrame:
+    """The form of extracted subgraphs: sections as boxes in order of their first node, other nodes, then edges by kind.
+
+    Spawns and dispatches are dotted, pushbacks and critics thick; a label is an edge's label, else its condition.
+    """
+    name = lambda c: safe_identifier(F.col(c))
+    plain = lambda c: F.replace(c, F.lit('"'), F.lit("'"))
+    n = g.nodes.select("graph_id", "ord", F.col("section_id").alias("section"), F.concat(name("id"), F.lit('["'), plain(F.coalesce("name", "id")), F.lit('"]')).alias("node"))
+    first = n.filter("section is not null").groupBy("graph_id", "section").agg(F.min("ord").alias("begin"))
+    line = lambda df, part, ord_, text: df.select("graph_id", F.lit(part).alias("part"), *ord_, text.alias("line"))
+    place = lambda a, b, c: (a.alias("a"), F.lit(b).alias("b"), c.alias("c"))
+    boxed = n.join(first, ["graph_id", "section"])
+    rows = [
+        line(first, 0, place(F.col("begin"), 0, F.lit(0).cast("long")), F.concat(F.lit("  subgraph "), name("section"), F.lit(' ["'), plain(F.col("section")), F.lit('"]'))),
+        line(boxed, 0, place(F.col("begin"), 1, F.col("ord")), F.concat(F.lit("    "), F.col("node"))),
+        line(first, 0, place(F.col("begin"), 2, F.lit(0).cast("long")), F.lit("  end")),
+        line(n.filter("section is null"), 1, place(F.col("ord"), 0, F.lit(0).cast("long")), F.concat(F.lit("  "), F.col("node"))),
+    ]
+    arrow = F.when(F.col("kind").isin("spawn", "dispatch"), " -.->").when(F.col("kind").isin("pushback", "critic"), " ==>").otherwise(" -->")
+    said = F.coalesce(F.nullif("label", F.lit("")), F.nullif("condition", F.lit("")))
+    label = F.when(said.isNotNull(), F.concat(F.lit('|"'), plain(said), F.lit('"|'))).otherwise("")
+    rows.append(line(g.edges, 2, place(F.col("ord"), 0, F.lit(0).cast("long")), F.concat(F.lit("  "), name("source"), arrow, label, F.lit(" "), name("target"))))
+    t = reduce(DataFrame.unionByName, rows).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "c", "line"))).alias("x"))
+    return t.select("graph_id", F.concat_ws("\n", F.lit(f"flowchart {direction}"), F.array_join("x.line", "\n")).alias("text"))
+
+
 def dot(g: GraphFrames) -> DataFrame:
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('\\"')), F.lit('"'))
     n = g.nodes.select("graph_id", F.lit(0).alias("part"), "ord", F.concat(F.lit("  "), quoted(F.col("id")), F.lit(" [label="), quoted(F.coalesce("name", "id")), F.lit("];")).alias("line"))
