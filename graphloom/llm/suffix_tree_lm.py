@@ -11,7 +11,8 @@ and tested by joins. For scoring, the logarithm of a token's probability is writ
 weight for each n-gram met: one for each retained context (its scale), one for each kept next token. So scores are sums
 over n-grams, whatever their order. Weights of n-grams with OFTEN of all tokens (at most 1/OFTEN of a length) are
 broadcast; a bounded filter tells which of the others may have a weight, and those, none of them hot, meet the tables by
-a shuffle. The filter only saves work: what it lets through wrongly finds no weight.
+a shuffle, packed in arrays. The filter only saves work: what it lets through wrongly finds no weight. A context is looked
+up only where its suffix was let through, as it can't be retained otherwise.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm import rolling
 from graphloom.llm.text import or_empty
@@ -40,7 +42,7 @@ KEY_BITS, MOST_BITS = 12, 1 << 28
 END = 0x5DEECE66D1234567
 _STEP, _STATE = np.uint64(0xD1342543DE82EF95), np.uint64(0xA24BAED4963EE407)
 #: Distinct counts that a task holds before it passes them on, and parts a shuffle partition is merged in.
-HELD, PARTS = 2_000_000, 4
+HELD, PARTS = 1_500_000, 4
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +56,18 @@ def longer(key: np.ndarray, token: np.ndarray) -> np.ndarray:
     return rolling.mixed(key * _STEP + token)
 
 
-def grams(toks: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
-    """Keys of the 1-grams to n-grams that end at each token, and last how many tokens of its text stand up to it."""
-    begin = np.repeat(np.concatenate(([0], ends[:-1])), np.diff(np.concatenate(([0], ends))))
-    out = [longer(np.zeros(len(toks), "uint64"), toks)]
-    for _ in range(n - 1):
-        key = np.zeros(len(toks), "uint64")
-        key[1:] = longer(out[-1][:-1], toks[1:])
-        out.append(key)
-    return [*out, np.arange(len(toks)) - begin + 1]
+def places(ends: np.ndarray) -> np.ndarray:
+    """How many tokens of its text stand up to each token, itself included."""
+    sizes = np.diff(np.concatenate(([0], ends)))
+    return np.arange(1, int(sizes.sum()) + 1) - np.repeat(ends - sizes, sizes)
+
+
+def gram(toks: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n-grams that end at the places; of none for n = 0."""
+    key = np.zeros(len(at), "uint64")
+    for k in range(n - 1, -1, -1):
+        key = longer(key, toks[at - k])
+    return key
 
 
 def state(key: np.ndarray) -> np.ndarray:
@@ -180,9 +185,9 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
             lists(first, _signed(token)), lists(first, pa.array(n.astype("int32"))),
         ], names)
 
-    def grouped(key, ctx, suf, token, n):
+    def grouped(key, ctx, suf, token, n=None):
         o = np.argsort(key)
-        key, n = key[o], n[o]
+        key, n = key[o], np.ones(len(o), "int64") if n is None else n[o]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         o = o[new]
         return key[new], ctx[o], suf[o], token[o], np.add.reduceat(n, new)
@@ -194,21 +199,19 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
             texts = [t.encode() for t in batch.column(0).to_pylist()]
             for i, j in rolling.buffers(texts, 4 << 20):
                 toks, ends = tokens(texts[i:j])
-                *keys, place = grams(toks, ends, depth + 1)
-                at = np.flatnonzero(place > depth)
-                at = at[context.has(keys[depth - 1][at - 1])]
-                at = at[known.has(keys[0][at])]
-                suf = keys[depth - 2][at - 1] if depth > 1 else np.zeros(len(at), "uint64")
-                if len(at):
-                    held.append(grouped(keys[depth][at], keys[depth - 1][at - 1], suf, toks[at], np.ones(len(at), "int64")))
-                    rows += len(held[-1][0])
+                at = np.flatnonzero(places(ends) > depth)
+                ctx = gram(toks, at - 1, depth)
+                some = context.has(ctx)
+                at, ctx = at[some], ctx[some]
+                some = known.has(gram(toks, at, 1))
+                at, ctx = at[some], ctx[some]
+                suf = gram(toks, at - 1, depth - 1)
+                held.append((longer(ctx, toks[at]), ctx, suf, toks[at]))
+                rows += len(at)
                 if rows > HELD:
-                    held = [grouped(*(np.concatenate(c) for c in zip(*held)))]
-                    rows = len(held[0][0])
-                    if rows > HELD // 2:
-                        yield sent(*held[0])
-                        held, rows = [], 0
-        if held:
+                    yield sent(*grouped(*(np.concatenate(c) for c in zip(*held))))
+                    held, rows = [], 0
+        if rows:
             yield sent(*grouped(*(np.concatenate(c) for c in zip(*held))))
 
     def merged(rows: list[tuple]) -> pa.RecordBatch:
@@ -278,76 +281,117 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, divergence: f
     return model
 
 
+#: Kinds of rows that meet in a part, in their order: two tables, questions to them, documents.
+_COUNTS, _WEIGHTS, _OF_TOKENS, _OF_GRAMS, _DOCUMENTS = range(5)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row per input row: ``key``, n_tokens, n_known, base_score and score (log10)."""
     spark = docs.sparkSession
     none = spark.createDataFrame([], "key long, n long, w double")
     weights = stage(reduce(DataFrame.unionByName, model.weights, none), "weights")
     least = max(1.0, OFTEN * model.total)
-    common = model.counts.filter(F.col("n") >= least).select("key", "n").toPandas().sort_values("key", key=lambda k: k.to_numpy("int64").view("uint64"))
-    heavy = weights.filter(F.col("n") >= least).select("key", "w").toPandas().sort_values("key", key=lambda k: k.to_numpy("int64").view("uint64"))
+    by_key = lambda x: x.toPandas().sort_values("key", key=lambda k: k.to_numpy("int64").view("uint64"))
+    common, heavy = by_key(model.counts.filter(F.col("n") >= least).select("key", "n")), by_key(weights.filter(F.col("n") >= least).select("key", "w"))
     unsigned = lambda x: x.to_numpy("int64").view("uint64")
-    rare_filter = key_filter(weights.filter(F.col("n") < least), "key")
-    shared = spark.sparkContext.broadcast((unsigned(common["key"]), common["n"].to_numpy("int64"), unsigned(heavy["key"]), heavy["w"].to_numpy("float64"), rare_filter))
+    shared = spark.sparkContext.broadcast((unsigned(common["key"]), np.log10(common["n"].to_numpy("float64") + 1), unsigned(heavy["key"]), heavy["w"].to_numpy("float64"), key_filter(weights, "key")))
     scale = math.log10(model.total + model.distinct + 1)
     kind = docs.schema[key].dataType.simpleString()
     levels = min(depth, len(model.weights) // 2)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), or_empty(text).alias("t"))
+    names = ["part", "kind", "keys", "vals", "rows", "docs"]
+    document = pa.struct([("row", pa.int64()), ("id", to_arrow_type(d.schema["id"].dataType)), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bonus", pa.float64())])
+    schema = f"part int, kind int, keys array<long>, vals array<double>, rows array<long>, docs array<struct<row long, id {kind}, n long, known long, base double, bonus double>>"
+
+    def by_part(what: int, keys: np.ndarray, vals=None, rows=None) -> pa.RecordBatch:
+        part = (rolling.mixed(keys) % np.uint64(parts)).astype("uint16" if parts < 1 << 16 else "uint32")
+        o = np.argsort(part, kind="stable")
+        part = part[o]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
+        at = pa.array(np.append(first, len(part)).astype("int32"))
+        arrays = [pa.nulls(len(first), pa.list_(t)) if x is None else pa.ListArray.from_arrays(at, pa.array(x[o])) for x, t in ((keys.view("int64"), None), (vals, pa.float64()), (rows, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype("int32")), pa.array(np.full(len(first), what, "int32")), *arrays, pa.nulls(len(first), pa.list_(document))], names)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, n_of, heavy, weight, rare_filter = shared.value
+        frequent, log_n, heavy, weight, any_weight = shared.value
         for batch in batches:
             texts = [t.encode() for t in batch.column("t").to_pylist()]
             for i, j in rolling.buffers(texts, 4 << 20):
                 toks, ends = tokens(texts[i:j])
                 owner = np.repeat(np.arange(j - i), np.diff(np.concatenate(([0], ends))))
-                *keys, place = grams(toks, ends, levels + 1)
-                at, known = find(frequent, keys[0])
-                base = np.where(known, np.log10(n_of[at] + 1) - scale if len(n_of) else 0.0, 0.0)
-                bonus = np.zeros(j - i)
-                lone = [(owner[~known], keys[0][~known], True)]
-                for k in range(levels):
-                    inside = np.flatnonzero(place > k + 1)
-                    for x in (keys[k + 1][inside], state(keys[k][inside - 1])):
+                place, rows = places(ends), batch.column("row")[i:j].to_numpy()
+                at, known = find(frequent, gram(toks, np.arange(len(toks)), 1))
+                base, bonus = np.full(len(toks), -scale), np.zeros(j - i)
+                base[known] += log_n[at[known]]
+                rare = np.flatnonzero(~known)
+                yield by_part(_OF_TOKENS, gram(toks, rare, 1), rows=rows[owner[rare]])
+                inside = np.arange(len(toks))
+                for k in range(1, levels + 1):
+                    inside = inside[place[inside] > k]
+                    ctx = gram(toks, inside - 1, k)
+                    some = any_weight.has(state(ctx))
+                    inside, ctx = inside[some], ctx[some]
+                    longer_ = longer(ctx, toks[inside])
+                    some = np.flatnonzero(any_weight.has(longer_))
+                    for x, own in ((state(ctx), owner[inside]), (longer_[some], owner[inside[some]])):
                         at, hit = find(heavy, x)
-                        bonus += np.bincount(owner[inside[hit]], weight[at[hit]], j - i)
-                        some = np.flatnonzero(~hit)
-                        some = some[rare_filter.has(x[some])]
-                        lone.append((owner[inside[some]], x[some], False))
-                rows = batch.column("row")[i:j].to_numpy()
+                        bonus += np.bincount(own[hit], weight[at[hit]], j - i)
+                        yield by_part(_OF_GRAMS, x[~hit], rows=rows[own[~hit]])
                 sums = [np.bincount(owner, x, j - i) for x in (np.ones(len(toks)), known, base)]
-                doc = pa.StructArray.from_arrays([
-                    batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(bonus),
-                ], ["id", "n", "known", "base", "bonus"])
-                spread = rolling.mixed(rows.astype("uint64")).view("int64")  # so that these rows meet no key and no hot one
-                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(spread), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.bool_()), doc], names)
-                for own, x, is_token in lone:
-                    own, x, m = _distinct(own, x)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[own]), _signed(x), pa.array(m), pa.array(np.full(len(m), is_token)), pa.nulls(len(m), doc.type)], names)
-
-    names = ["row", "key", "m", "is_token", "doc"]
-    parts = d.mapInArrow(measure, f"row long, key long, m int, is_token boolean, doc struct<id {kind}, n long, known long, base double, bonus double>")
-    table = model.counts.select("key", "n", F.lit(None).cast("double").alias("w")).unionByName(weights.filter(F.col("n") < least).select("key", F.lit(None).cast("long").alias("n"), "w"))
-    parts = parts.join(table.hint("merge"), "key", "left")
-    rare = F.log10(F.coalesce("n", F.lit(0)) + 1) - F.lit(scale)
-    total = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-    out = parts.groupBy("row").agg(
-        F.max("doc.id").alias(key), F.max("doc.n").alias("n_tokens"),
-        (F.max("doc.known") + F.coalesce(F.sum(F.when(F.col("is_token") & F.col("n").isNotNull(), F.col("m"))), F.lit(0))).alias("n_known"),
-        (F.max("doc.base") + total(F.when(F.col("is_token"), F.col("m") * rare))).alias("base_score"),
-        (F.max("doc.bonus") + total(F.when(~F.col("is_token"), F.col("m") * F.col("w")))).alias("bonus"),
+                doc = pa.StructArray.from_arrays([pa.array(rows), batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(bonus)], fields=list(document))
+                part = pa.array([int(rows[0]) % parts], "int32")
+                yield pa.RecordBatch.from_arrays([part, pa.array([_DOCUMENTS], "int32"), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.float64())), pa.nulls(1, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, j - i], "int32"), doc)], names)
+
+    def table(what: int):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield by_part(what, b.column(0).to_numpy().view("uint64"), b.column(1).to_numpy())
+
+        return pack
+
+    def answered(what: int, keys: np.ndarray, rows: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        at, hit = find(table[0], keys)
+        own, back = np.unique(rows[hit], return_inverse=True)
+        sums, n, none = np.bincount(back, table[1][at[hit]], len(own)).astype("float64"), np.bincount(back, minlength=len(own)), np.zeros(len(own))
+        known, base, bonus = (n, sums, none) if what == _OF_TOKENS else (n * 0, none, sums)
+        blank = [pa.nulls(len(own), t) for t in (document[1].type, pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(own), *blank, pa.array(known.astype("int64")), pa.array(base), pa.array(bonus)], answers)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tables, held = None, {}, {}
+        for batch in batches:
+            own_part, own_kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                if own_part[k] != part:
+                    part, tables, held = own_part[k], {}, {_COUNTS: [], _WEIGHTS: []}
+                what = own_kind[k]
+                if what == _DOCUMENTS:
+                    yield pa.RecordBatch.from_arrays(batch.column(5)[k].values.flatten(), answers)
+                    continue
+                keys = batch.column(2)[k].values.to_numpy().view("uint64")
+                if what in held:
+                    held[what].append((keys, batch.column(3)[k].values.to_numpy()))
+                    continue
+                of = _COUNTS if what == _OF_TOKENS else _WEIGHTS
+                if of not in tables:
+                    x, v = (np.concatenate(c) for c in zip(*held[of])) if held[of] else (np.zeros(0, "uint64"), np.zeros(0))
+                    o = np.argsort(x)
+                    tables[of] = x[o], v[o]
+                yield answered(what, keys, batch.column(4)[k].values.to_numpy(), tables[of])
+
+    answers = ["row", "id", "n", "known", "base", "bonus"]
+    rare = F.col("n") < least
+    packed = d.mapInArrow(measure, schema)
+    packed = packed.unionByName(model.counts.filter(rare).select("key", F.log10(F.col("n") + 1).alias("v")).mapInArrow(table(_COUNTS), schema))
+    packed = packed.unionByName(weights.filter(rare).select("key", F.col("w").alias("v")).mapInArrow(table(_WEIGHTS), schema))
+    met = packed.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    out = met.mapInArrow(answer, f"row long, id {kind}, n long, known long, base double, bonus double").groupBy("row").agg(
+        F.max("id").alias(key), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("bonus").alias("bonus"),
     )
     return out.withColumn("score", F.col("base_score") + F.col("bonus")).drop("row", "bonus")
 
 
-def _distinct(owner: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, key) with how often the key stands there."""
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))))
-    return owner[new], keys[new], np.diff(np.append(new, len(owner))).astype("int32")
-
-
 def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``key``, n_tokens, n_known, train_tokens, base_score, score; trained where not ``held_out``.
 
