@@ -69,6 +69,106 @@ def tight_ranks(ids: list[str], arcs: list[tuple], rounds: int = 60) -> dict[str
     return {v: r - least for v, r in rank.items()}
 
 
+def optimal_ranks(ids: list[str], arcs: list[tuple]) -> dict[str, int]:
+    """Ranks of the least weighted sum of spans, by the network simplex method, component by component.
+
+    A spanning tree of arcs without slack is kept. Cutting a tree arc parts the nodes in two sides; if the arcs that lead
+    back weigh more than those along it, the far side moves away until the tightest arc back has no slack and takes the
+    arc's place. Of several such arcs the first is taken, so that steps without gain come to an end.
+    """
+    rank = longest_path_ranks(ids, arcs)
+    place = {v: i for i, v in enumerate(ids)}
+    touching: dict[str, list[int]] = defaultdict(list)
+    for k, (a, b, _, _) in enumerate(arcs):
+        touching[a].append(k)
+        touching[b].append(k)
+    slack = lambda k: rank[arcs[k][1]] - rank[arcs[k][0]] - arcs[k][3]
+
+    def side(start: str, links: set[int], without: int | None = None) -> set[str]:
+        seen, work = {start}, [start]
+        while work:
+            v = work.pop()
+            for k in touching[v]:
+                if k in links and k != without:
+                    other = arcs[k][1] if arcs[k][0] == v else arcs[k][0]
+                    if other not in seen:
+                        seen.add(other)
+                        work.append(other)
+        return seen
+
+    left = dict.fromkeys(ids)
+    while left:
+        root = next(iter(left))
+        part = side(root, set(range(len(arcs))))
+        for v in part:
+            del left[v]
+        own = [k for k, (a, _, _, _) in enumerate(arcs) if a in part]
+        tree: set[int] = set()
+        grown = {root}
+        while len(grown) < len(part):
+            rim = [k for k in own if (arcs[k][0] in grown) != (arcs[k][1] in grown)]
+            k = min(rim, key=lambda k: (slack(k), k))
+            by = slack(k) if arcs[k][1] not in grown else -slack(k)
+            for v in grown:
+                rank[v] += by
+            tree.add(k)
+            grown |= {arcs[k][0], arcs[k][1]}
+        for _ in range(50 * len(part) + 1000):
+            for k in sorted(tree):
+                far = side(arcs[k][1], tree, k)
+                across = sum(w * (1 if b in far else -1) for a, b, w, _ in (arcs[j] for j in own) if (a in far) != (b in far))
+                back = [j for j in own if arcs[j][0] in far and arcs[j][1] not in far]
+                if across < 0 and back:
+                    enter = min(back, key=lambda j: (slack(j), j))
+                    by = slack(enter)
+                    for v in far:
+                        rank[v] += by
+                    tree = tree - {k} | {enter}
+                    break
+            else:
+                break
+        least = min(rank[v] for v in part)
+        for v in sorted(part, key=place.get):
+            rank[v] -= least
+    return rank
+
+
+def balanced_ranks(ids: list[str], arcs: list[tuple], most: int | None = None) -> dict[str, int]:
+    """Optimal ranks evened out: a node with equal weights in and out moves to the emptiest rank that its arcs allow.
+
+    With ``most`` nodes a rank at most, the last of a fuller rank move down, and what follows them moves as far as it must.
+    """
+    rank = optimal_ranks(ids, arcs)
+    into, out = defaultdict(list), defaultdict(list)
+    for a, b, w, n in arcs:
+        into[b].append((a, w, n))
+        out[a].append((b, w, n))
+    held: dict[int, int] = defaultdict(int)
+    for r in rank.values():
+        held[r] += 1
+    for v in ids:
+        if into[v] and out[v] and sum(w for _, w, _ in into[v]) == sum(w for _, w, _ in out[v]):
+            low, high = max(rank[a] + n for a, _, n in into[v]), min(rank[b] - n for b, _, n in out[v])
+            best = min(range(low, high + 1), key=lambda r: (held[r] - (r == rank[v]), abs(r - rank[v]), r))
+            held[rank[v]] -= 1
+            held[best] += 1
+            rank[v] = best
+    r = 0
+    while most and r <= max(rank.values(), default=-1):
+        here = [v for v in ids if rank[v] == r]
+        for v in here[most:]:
+            rank[v] += 1
+            work = deque([v])
+            while work:
+                a = work.popleft()
+                for b, _, n in out[a]:
+                    if rank[b] < rank[a] + n:
+                        rank[b] = rank[a] + n
+                        work.append(b)
+        r += 1
+    return rank
+
+
 def layered(ids: list[str], arcs: list[tuple], rank: dict[str, int]) -> tuple[list[list[str]], list[tuple[str, str]]]:
     """Layers with dummies on long arcs, and the unit segments between adjoining layers."""
     layers: list[list[str]] = [[] for _ in range(max(rank.values(), default=-1) + 1)]
@@ -242,8 +342,9 @@ def routes(g: GraphFrames) -> DataFrame:
     return per_graph(g, f, "id string, xs array<double>, ys array<double>, is_reversed boolean")
 
 
-def rank_table(g: GraphFrames, method: str = "longest_path") -> DataFrame:
-    rank = {"longest_path": longest_path_ranks, "tight": tight_ranks}[method]
+def rank_table(g: GraphFrames, method: str = "longest_path", most: int | None = None) -> DataFrame:
+    """Ranks by ``longest_path``, ``tight`` (local moves), ``optimal`` (network simplex) or ``balanced`` (``most`` nodes a rank)."""
+    rank = {"longest_path": longest_path_ranks, "tight": tight_ranks, "optimal": optimal_ranks, "balanced": lambda i, a: balanced_ranks(i, a, most)}[method]
 
     def f(nodes, edges):
         got = rank([n["id"] for n in nodes], acyclic(nodes, edges))
@@ -252,6 +353,14 @@ def rank_table(g: GraphFrames, method: str = "longest_path") -> DataFrame:
     return per_graph(g, f, "id string, rank int")
 
 
+def rank_costs(g: GraphFrames, ranks: DataFrame) -> DataFrame:
+    """Per graph: edges, edges that don't run down by their least length, and the weighted sum of spans, of an acyclic graph."""
+    at = lambda end: ranks.select("graph_id", F.col("id").alias(end), F.col("rank").alias(f"{end}_rank"))
+    e = g.edges.join(at("source"), ["graph_id", "source"]).join(at("target"), ["graph_id", "target"])
+    span = F.col("target_rank") - F.col("source_rank")
+    return e.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"), F.count_if(span < F.coalesce("min_len", F.lit(1))).alias("short"), F.sum(span * F.coalesce("weight", F.lit(1.0))).alias("cost"))
+
+
 def crossing_search(g: GraphFrames) -> DataFrame:
     """Crossings before and after the ordering search."""
 
@@ -437,6 +546,49 @@ def constraint_scan(placed: DataFrame, paths: DataFrame, cell: float = 200) -> D
     return out.fillna(0)
 
 
+def gate_scan(g: GraphFrames, placed: DataFrame, paths: DataFrame, cell: float = 200) -> DataFrame:
+    """Per graph the violations of eight hard constraints of a layout and its orthogonal routes.
+
+    Overlapping boxes; routes through boxes of other nodes; boxes or points that aren't finite; nodes without a box; edges
+    between nodes without a route; slanted segments; routes that don't begin and end on the rims of their ends' boxes; routes
+    that run along the same line as another's between other ends.
+    """
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < 1e300), F.lit(False))
+    count = lambda df, name: df.groupBy("graph_id").agg(F.count(F.lit(1)).alias(name))
+    bad_box = placed.filter(~(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("width")) & finite(F.col("height"))))
+    bad_path = paths.filter(F.exists("xs", lambda v: ~finite(v)) | F.exists("ys", lambda v: ~finite(v)))
+    infinite = count(bad_box.select("graph_id").unionAll(bad_path.select("graph_id")), "not_finite")
+    good = paths.join(bad_path.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+    boxes = placed.join(bad_box.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+    unplaced = count(g.nodes.select("graph_id", "id").join(placed, ["graph_id", "id"], "left_anti"), "unplaced_nodes")
+    unrouted = count(g.valid_edges().select("graph_id", "id").join(paths, ["graph_id", "id"], "left_anti"), "unrouted_edges")
+    s = segments_of(good)
+    slanted = count(s.filter("ax <> bx and ay <> by").select("graph_id", "id").distinct(), "slanted_routes")
+    ends = good.join(g.edges.select("graph_id", "id", "source", "target"), ["graph_id", "id"])
+    loose = None
+    for end, nth in (("source", 1), ("target", -1)):
+        box = boxes.select("graph_id", F.col("id").alias(end), F.col("x").alias("l"), F.col("y").alias("t"), (F.col("x") + F.col("width")).alias("r"), (F.col("y") + F.col("height")).alias("b"))
+        j = ends.join(box, ["graph_id", end]).select("graph_id", "id", F.element_at("xs", nth).alias("px"), F.element_at("ys", nth).alias("py"), "l", "t", "r", "b")
+        near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
+        inside = F.col("px").between(F.col("l") - 1e-6, F.col("r") + 1e-6) & F.col("py").between(F.col("t") - 1e-6, F.col("b") + 1e-6)
+        off = j.filter(~(inside & (near("px", "l") | near("px", "r") | near("py", "t") | near("py", "b")))).select("graph_id", "id")
+        loose = off if loose is None else loose.unionByName(off)
+    loose = count(loose.distinct(), "loose_routes")
+    lines = s.filter("ax = bx and ay <> by").select("graph_id", "id", F.lit("v").alias("way"), F.col("ax").alias("at"), F.least("ay", "by").alias("lo"), F.greatest("ay", "by").alias("hi"))
+    lines = lines.unionByName(s.filter("ay = by and ax <> bx").select("graph_id", "id", F.lit("h").alias("way"), F.col("ay").alias("at"), F.least("ax", "bx").alias("lo"), F.greatest("ax", "bx").alias("hi")))
+    lines = lines.join(g.edges.select("graph_id", "id", "source", "target"), ["graph_id", "id"])
+    # In order of their beginnings, a segment shares its line with one before it if that reaches beyond its beginning.
+    before = Window.partitionBy("graph_id", "way", "at").orderBy("lo", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.struct("hi", "source", "target", F.col("id").alias("of"))).over(before)
+    met = lines.withColumn("last", last).filter("last.hi > lo + 1e-6 and last.of <> id and last.source <> source and last.target <> target")
+    shared = count(met.select("graph_id", "id").distinct(), "shared_lines")
+    out = constraint_scan(boxes, good, cell)
+    out = g.nodes.select("graph_id").distinct().join(out, "graph_id", "left")
+    for more in (infinite, unplaced, unrouted, slanted, loose, shared):
+        out = out.join(more, "graph_id", "left")
+    return out.fillna(0)
+
+
 def geometric_crossings(paths: DataFrame, cell: float = 200) -> DataFrame:
     """Proper crossings of segments of different routes, by the grid cells they pass."""
     span = lambda a, c: F.explode(F.sequence(F.floor(F.least(a, c) / cell), F.floor(F.greatest(a, c) / cell)))

@@ -364,3 +364,39 @@ def diff_input(spark, sf_dir):
     bad = F.col("metrics").withField("duration_ms", F.when(F.col("ord") % 3 == 0, F.when(F.col("ord") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("metrics.duration_ms")))
     nodes = g.nodes.withColumns({"id": F.when(F.col("ord") % 5 == 0, F.when(F.col("ord") % 2 == 0, " ")).otherwise(F.col("id")), "name": F.when(F.col("ord") % 7 != 0, F.col("name")), "metrics": bad})
     return diff.sanitised(GraphFrames(nodes, g.edges)).nodes.select("graph_id", "id", "name", F.col("metrics.duration_ms").alias("duration_ms"))
+
+
+# ---- ranks and gates of layouts
+
+
+@query(f"""WITH {ctes("relay")} SELECT graph_id, count(*) AS edges, 0::BIGINT AS short, true AS is_no_dearer FROM edges GROUP BY 1""")
+def rank_optimality(spark, sf_dir):
+    """Network simplex over every acyclic customer graph: all edges run down, and no other ranking costs less."""
+    from graphloom.operators import layout
+
+    g = graph(spark, sf_dir, "relay")
+    best, tight, longest = (layout.rank_costs(g, layout.rank_table(g, m)) for m in ("optimal", "tight", "longest_path"))
+    others = tight.select("graph_id", F.col("cost").alias("tight")).join(longest.select("graph_id", F.col("cost").alias("longest")), "graph_id")
+    out = best.join(others, "graph_id")
+    return out.select("graph_id", "edges", "short", ((F.col("cost") <= F.col("tight")) & (F.col("tight") <= F.col("longest"))).alias("is_no_dearer"))
+
+
+@query(f"""WITH {ctes("relay")}, n AS (SELECT graph_id, count(*) AS nodes FROM nodes GROUP BY 1) SELECT graph_id, nodes, true AS is_held FROM n""")
+def rank_limits(spark, sf_dir):
+    """Balanced ranks of three nodes at most."""
+    from graphloom.operators import layout
+
+    r = layout.rank_table(graph(spark, sf_dir, "relay"), "balanced", most=3)
+    per = r.groupBy("graph_id", "rank").agg(F.count(F.lit(1)).alias("k")).groupBy("graph_id").agg(F.sum("k").alias("nodes"), (F.max("k") <= 3).alias("is_held"))
+    return per
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS graph_id, 0::BIGINT AS violations FROM conversations GROUP BY 1")
+def layout_gates(spark, sf_dir):
+    """Eight hard constraints of the layered layout of every conversation."""
+    from graphloom.operators import layout
+
+    g = graph(spark, sf_dir, "conversation")
+    v = layout.gate_scan(g, layout.layered_layout(g), layout.routes(g))
+    gates = [c for c in v.columns if c != "graph_id"]
+    return v.select("graph_id", sum((F.col(c) for c in gates[1:]), F.col(gates[0])).alias("violations"))

@@ -234,3 +234,44 @@ def test_playbooks_cool_down_from_their_last_run(spark):
     assert got == want and 0 < sum(x for _, x in want.values()) < 200
     only = healing.playbook_runs(incidents, books, {"restart": F.col("id") % 2 == 0})
     assert {x.id: x.name for x in only.collect()} == {i: "restart" if i % 2 == 0 else "page" for i in range(200)}
+
+
+def test_optimal_ranks_against_brute_force():
+    """Small random graphs: the least weighted sum of spans, tried out; balancing keeps it, a limit holds."""
+    r = random.Random(17)
+    for _ in range(60):
+        n = r.randint(2, 6)
+        ids = [f"v{i}" for i in range(n)]
+        arcs = [(ids[i], ids[j], float(r.randint(1, 4)), r.choice([1, 1, 2])) for i in range(n) for j in range(i + 1, n) if r.random() < 0.5]
+        cost = lambda rank: sum(w * (rank[b] - rank[a]) for a, b, w, _ in arcs)  # noqa: B023, E731
+        fits = lambda rank: all(rank[b] - rank[a] >= k for a, b, _, k in arcs)  # noqa: B023, E731
+        best = min((cost(dict(zip(ids, c))) for c in itertools.product(range(7), repeat=n) if fits(dict(zip(ids, c)))), default=0) if n < 6 else None
+        rank = layout.optimal_ranks(ids, arcs)
+        assert fits(rank) and (best is None or cost(rank) == best) and cost(rank) <= cost(layout.tight_ranks(ids, arcs)) <= cost(layout.longest_path_ranks(ids, arcs))
+        even = layout.balanced_ranks(ids, arcs)
+        assert fits(even) and cost(even) == cost(rank)
+        few = layout.balanced_ranks(ids, arcs, 1)
+        assert fits(few) and len(set(few.values())) == n
+
+
+def test_gates_find_what_is_wrong(spark):
+    g = make(spark, ["a", "b", "c", "d"], [("a", "b"), ("c", "d"), ("a", "d")])
+    ids = {(r.source, r.target): r.id for r in g.edges.collect()}
+    box = lambda i, x, y, w=100.0: ("g", i, float(x), float(y), w, 50.0)
+    fine = [box("a", 0, 0), box("b", 0, 200), box("c", 200, 0), box("d", 200, 200)]
+    path = lambda e, *p: ("g", ids[e], [float(x) for x, _ in p], [float(y) for _, y in p])
+    straight = [path(("a", "b"), (50, 50), (50, 200)), path(("c", "d"), (250, 50), (250, 200)), path(("a", "d"), (90, 50), (90, 120), (220, 120), (220, 200))]
+
+    def scan(boxes, paths):
+        p = spark.createDataFrame(boxes, "graph_id string, id string, x double, y double, width double, height double")
+        q = spark.createDataFrame(paths, "graph_id string, id string, xs array<double>, ys array<double>")
+        return {k: v for k, v in layout.gate_scan(g, p, q).first().asDict().items() if k != "graph_id" and v}
+
+    assert scan(fine, straight) == {}
+    assert scan([*fine[:3], box("d", 150, 20)], straight[:1])["box_overlaps"] == 1
+    assert scan(fine[:3], straight[:1]) == {"unplaced_nodes": 1, "unrouted_edges": 2}
+    assert scan([*fine[:3], box("d", float("nan"), 0)], straight)["not_finite"] == 1
+    assert scan(fine, [path(("a", "b"), (50, 50), (60, 200)), *straight[1:]]) == {"slanted_routes": 1}
+    assert scan(fine, [path(("a", "b"), (50, 60), (50, 190)), *straight[1:]])["loose_routes"] == 1
+    assert scan(fine, [*straight[:2], path(("a", "d"), (90, 50), (90, 225), (200, 225))])["routes_through_boxes"] == 1
+    assert scan(fine, [path(("a", "b"), (50, 50), (50, 100), (250, 100), (250, 180), (50, 180), (50, 200)), *straight[1:]])["shared_lines"] == 1
