@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict, deque
 
 import numpy as np
@@ -208,6 +209,11 @@ def count_crossings(upper: list[str], lower: list[str], segments: list[tuple[str
     return total
 
 
+def _crossed(left: list[int], right: list[int]) -> int:
+    """Crossings of the segments of two neighbours, from the sorted places of their ends."""
+    return sum(bisect_left(right, x) for x in left)
+
+
 def order_layers(layers: list[list[str]], segments: list[tuple[str, str]], sweeps: int = 8) -> tuple[list[list[str]], int]:
     """Median sweeps down and up with transpositions; the order with the fewest crossings."""
     above, below, layer_of = defaultdict(list), defaultdict(list), {v: r for r, x in enumerate(layers) for v in x}
@@ -234,11 +240,12 @@ def order_layers(layers: list[list[str]], segments: list[tuple[str, str]], sweep
             keys = {v: median(v, i) for i, v in enumerate(work[r])}
             work[r].sort(key=lambda v: keys[v])
         for r, layer in enumerate(work):
+            sides = [(near, {v: i for i, v in enumerate(work[k])}) for k, near in ((r - 1, above), (r + 1, below)) if 0 <= k < len(work)]
+            ends = {v: [sorted(place[x] for x in near[v]) for near, place in sides] for v in layer}
             for i in range(len(layer) - 1):
-                local = lambda: sum(count_crossings(work[k], work[k + 1], between[k]) for k in (r - 1, r) if 0 <= k < len(work) - 1)  # noqa: B023, E731
-                was = local()
-                layer[i], layer[i + 1] = layer[i + 1], layer[i]
-                if local() >= was:
+                u, v = ends[layer[i]], ends[layer[i + 1]]
+                # Only segments of the two swapped nodes change whether they cross.
+                if sum(map(_crossed, v, u)) < sum(map(_crossed, u, v)):
                     layer[i], layer[i + 1] = layer[i + 1], layer[i]
         if (now := total(work)) < fewest:
             best, fewest = [list(x) for x in work], now
