@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.paths import feedback_arcs, kahn, per_graph, successors, tarjan
+from graphloom.runtime import prepare_python
 from graphloom.schema import GraphFrames
 
 # Sizes and gaps of drawn nodes.
@@ -209,6 +212,16 @@ def count_crossings(upper: list[str], lower: list[str], segments: list[tuple[str
     return total
 
 
+def inversions(places: list[int]) -> int:
+    """Pairs out of order."""
+    seen: list[int] = []
+    total = 0
+    for v in places:
+        total += len(seen) - bisect_right(seen, v)
+        insort(seen, v)
+    return total
+
+
 def _crossed(left: list[int], right: list[int]) -> int:
     """Crossings of the segments of two neighbours, from the sorted places of their ends."""
     return sum(bisect_left(right, x) for x in left)
@@ -505,10 +518,20 @@ def dummies(ranks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def crossings(segments: DataFrame) -> DataFrame:
-    """Crossings per (graph_id, rank) of segments (u, v places): inverted pairs, strict on both sides."""
-    a, b = segments.alias("a"), segments.alias("b")
-    j = a.join(b, ["graph_id", "rank"]).filter("a.u < b.u and a.v > b.v")
-    return j.groupBy("graph_id", "rank").agg(F.count(F.lit(1)).alias("crossings"))
+    """Crossings per (graph_id, rank) of segments (u, v places): inverted pairs, strict on both sides; ranks without any are left out.
+
+    Segments of a rank are sorted and counted in a row of their own, not paired.
+    """
+    prepare_python(segments.sparkSession)
+    packed = segments.groupBy("graph_id", "rank").agg(F.array_sort(F.collect_list(F.struct("u", "v"))).alias("s"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [inversions([x["v"] for x in row]) for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["graph_id", "rank", "crossings"])
+
+    kind = segments.schema["rank"].dataType.simpleString()
+    return packed.mapInArrow(count, f"graph_id string, rank {kind}, crossings long").filter("crossings > 0")
 
 
 def lane_demand(intervals: DataFrame) -> DataFrame:

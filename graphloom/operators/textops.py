@@ -8,9 +8,11 @@ import shlex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.runtime import numbered, stage, with_offsets
+
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("ord", F.row_number().over(Window.orderBy("ord")) - 1)
+    return numbered(df.withColumnRenamed("ord", "_ord"), [F.col("_ord")], "ord").drop("_ord").select(*df.columns)
 
 
 def grep(df: DataFrame, pattern: str, i: bool = False, v: bool = False, n: bool = False, c: bool = False) -> DataFrame:
@@ -39,15 +41,18 @@ def wc(df: DataFrame, l: bool = False, w: bool = False, c: bool = False) -> Data
 def sort(df: DataFrame, r: bool = False, n: bool = False, u: bool = False) -> DataFrame:
     key = F.coalesce(F.nullif(F.regexp_extract("line", r"^\s*(-?\d+\.?\d*)", 1), F.lit("")).try_cast("double"), F.lit(0.0)) if n else F.col("line")
     df = df.groupBy("line").agg(F.min("ord").alias("ord")) if u else df
-    by = Window.orderBy(F.desc(key) if r else F.asc(key), F.desc("line") if r else F.asc("line"), "ord")
-    return df.select((F.row_number().over(by) - 1).alias("ord"), "line")
+    by = [F.desc(key) if r else F.asc(key), F.desc("line") if r else F.asc("line"), F.asc("_ord")]
+    return numbered(df.withColumnRenamed("ord", "_ord"), by, "ord").select("ord", "line")
 
 
 def uniq(df: DataFrame, c: bool = False, d: bool = False, u: bool = False) -> DataFrame:
     """Runs of adjoining equal lines: one each, with counts (c), only repeated (d) or only single ones (u)."""
-    w = Window.orderBy("ord")
-    new = F.coalesce(F.lag("line").over(w) != F.col("line"), F.lit(True)).cast("int")
-    runs = df.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("run").agg(F.min("ord").alias("ord"), F.first("line").alias("line"), F.count(F.lit(1)).alias("k"))
+    lines = stage(numbered(df, [F.col("ord")], "_nth"), "lines")
+    before = lines.select((F.col("_nth") + 1).alias("_nth"), F.col("line").alias("_before"))
+    lines = lines.join(before, "_nth", "left").withColumn("new", F.when(F.col("_before") == F.col("line"), 0).otherwise(1)).withColumn("_bucket", F.shiftright("_nth", 12))
+    lines = with_offsets(lines, [], "_bucket", F.col("new"), "_runs")
+    within = Window.partitionBy("_bucket").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    runs = lines.withColumn("run", F.col("_runs") + F.sum("new").over(within)).groupBy("run").agg(F.min("ord").alias("ord"), F.first("line").alias("line"), F.count(F.lit(1)).alias("k"))
     runs = runs.filter("k > 1") if d else runs.filter("k = 1") if u else runs
     return runs.select("ord", F.format_string("%7d %s", "k", "line").alias("line") if c else F.col("line"))
 

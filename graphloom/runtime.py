@@ -101,6 +101,22 @@ def with_offsets(df: DataFrame, group: Sequence[str], bucket: str, value: Column
     return df.join(sums, spark_keys)
 
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Add ``out``: the row's place from 0 in a total ``order``, by ranges of it that are sorted and counted apart.
+
+    The driver holds one count a range.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ranges.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_range_nth")), "numbered")
+    counts = sorted((r["_range"], r["count"]) for r in placed.groupBy("_range").count().collect())
+    starts, total = [], 0
+    for k, n in counts:
+        starts.append((k, total))
+        total += n
+    table = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    return placed.join(F.broadcast(table), "_range").withColumn(out, F.col("_start") + F.col("_range_nth")).drop("_range", "_range_nth", "_start")
+
+
 def join_split(left: DataFrame, right: DataFrame, key: str, n: str, total: int, share: int = 1000) -> DataFrame:
     """Inner join of rows with a table unique on ``key`` whose column ``n`` counts the left rows of the key.
 

@@ -66,7 +66,7 @@ def shed(batch: DataFrame, capacity: int, policy: str = "drop_low_priority") ->
     """At most ``capacity`` packets of a batch: the oldest, the newest or the lowest priorities go."""
     rank = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.coalesce("priority", F.lit("normal")))
     order = {"drop_oldest": [F.desc("arrival")], "drop_newest": [F.asc("arrival")], "drop_low_priority": [F.desc(rank), F.asc("arrival")]}[policy]
-    return batch.withColumn("nth", F.row_number().over(Window.orderBy(*order))).filter(F.col("nth") <= capacity).drop("nth")
+    return batch.orderBy(*order).limit(capacity)
 
 
 def node_status(packets: DataFrame) -> DataFrame:

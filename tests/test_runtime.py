@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.runtime import few, join_split, scratch_path, scratch_root, stage, with_offsets
+from graphloom.runtime import few, join_split, scratch_path, scratch_root, stage, with_offsets, numbered
 
 
 def test_stage_and_root(spark):
@@ -36,3 +36,10 @@ def test_join_split_equals_a_join(spark):
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     out = join_split(left, right, "k", "n", 3000)
     assert out.exceptAll(left.join(right, "k").select(out.columns)).isEmpty() and out.count() == 3000
+
+
+def test_numbered_is_dense_and_in_order(spark):
+    d = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.lit("x").alias("_nth")).repartition(7)
+    got = {r.k: r.place for r in numbered(d, [F.desc("k")], "place").collect()}
+    assert got == {k: 999 - k for k in range(1000)}
+    assert numbered(d.limit(0), [F.asc("k")], "_nth2").count() == 0
