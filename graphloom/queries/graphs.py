@@ -121,6 +121,15 @@ def critical_ms_report(spark, sf_dir):
     return rounded(paths.critical_ms(graph(spark, sf_dir, "relay"), "report"))
 
 
+@query(f"""{_HEAVIEST}, t AS (SELECT graph_id, max(total) AS ms, arg_max(len(way), total) AS k FROM p GROUP BY 1)
+    SELECT n.graph_id, count(*) AS total_nodes, count(*) FILTER (status = 'error') AS failure, round(any_value(ms), 4) AS critical_ms, any_value(k) AS critical_nodes FROM nodes n JOIN t USING (graph_id) GROUP BY 1""")
+def kpi_critical(spark, sf_dir):
+    """The scorecard with its critical-path measures, over branching graphs."""
+    from graphloom.operators.analytics import kpi_scorecard
+
+    return rounded(kpi_scorecard(graph(spark, sf_dir, "relay")).select("graph_id", "total_nodes", "failure", "critical_ms", "critical_nodes"))
+
+
 @query(f"""{RELAY}, m AS (SELECT graph_id, id, greatest(1.0, duration_ms) AS ms FROM nodes),
     f(graph_id, id, begun) AS (SELECT graph_id, id, 0.0::DOUBLE FROM m UNION SELECT f.graph_id, e.target, f.begun + m.ms FROM f JOIN m ON m.graph_id = f.graph_id AND m.id = f.id JOIN edges e ON e.graph_id = f.graph_id AND e.source = f.id),
     b(graph_id, id, rest) AS (SELECT graph_id, id, 0.0::DOUBLE FROM m UNION SELECT b.graph_id, e.source, b.rest + m.ms FROM b JOIN m ON m.graph_id = b.graph_id AND m.id = b.id JOIN edges e ON e.graph_id = b.graph_id AND e.target = b.id),
