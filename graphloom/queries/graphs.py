@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import collab, layout, paths, traverse
 from graphloom.queries.registry import query, rounded
 from graphloom.runtime import stage
+from graphloom.schema import GraphFrames
 from graphloom.sources import export
 from graphloom.sources.adapters import ctes, graph, spark_sql
 
@@ -75,6 +76,20 @@ def cycle_list(spark, sf_dir):
     return paths.cycles(graph(spark, sf_dir, "loyal"))
 
 
+@query(f"""{LOYAL}, {_REACH}, c AS (SELECT DISTINCT graph_id FROM r WHERE a = b) SELECT DISTINCT n.graph_id, c.graph_id IS NOT NULL AS is_cyclic, 0::BIGINT AS broken, 0::BIGINT AS left_over FROM nodes n LEFT JOIN c USING (graph_id)""")
+def cyclic_graphs(spark, sf_dir):
+    """Graphs with cycles by the cycle list; listed steps that are no edges; nodes that cycles hold once feedback edges are out."""
+    g = graph(spark, sf_dir, "loyal")
+    rings = stage(paths.cycles(g), "rings")
+    steps = rings.select("graph_id", F.explode(F.transform("ids", lambda x, i: F.struct(x.alias("source"), F.coalesce(F.get("ids", i + 1), F.get("ids", F.lit(0))).alias("target")))).alias("s")).select("graph_id", "s.*")
+    broken = steps.join(g.edges, ["graph_id", "source", "target"], "left_anti").groupBy("graph_id").agg(F.count(F.lit(1)).alias("broken"))
+    back = paths.feedback_edges(g).filter("is_feedback").select("graph_id", "id")
+    order = paths.topological_order(GraphFrames(g.nodes, g.edges.join(back, ["graph_id", "id"], "left_anti")))
+    left = order.groupBy("graph_id").agg(F.count_if("is_residual").alias("left_over"))
+    has = rings.groupBy("graph_id").agg(F.lit(True).alias("is_cyclic"))
+    return left.join(has, "graph_id", "left").join(broken, "graph_id", "left").fillna(0, ["broken"]).select("graph_id", F.coalesce("is_cyclic", F.lit(False)).alias("is_cyclic"), "broken", "left_over")
+
+
 @query()
 def feedback_edges(spark, sf_dir):
     return paths.feedback_edges(graph(spark, sf_dir, "loyal"))
@@ -169,8 +184,6 @@ def orphan_nodes(spark, sf_dir):
 
 @query(f"""{SUPPLY}, c AS (SELECT * FROM nodes WHERE kind <> 'artifact') SELECT e.graph_id, e.id, e.source, e.target, 'target' AS missing FROM edges e WHERE e.target NOT IN (SELECT id FROM c)""")
 def dangling_edges(spark, sf_dir):
-    from graphloom.schema import GraphFrames
-
     g = graph(spark, sf_dir, "supply")
     return traverse.dangling_edges(GraphFrames(g.nodes.filter("kind <> 'artifact'"), g.edges))
 

@@ -104,9 +104,13 @@ def replay_fold(spark, sf_dir):
     return replay.state_at(spark_sql(spark, sf_dir, _LOG_SPARK), 500).select("log_id", "id", "status")
 
 
-@query()
+_STATE = """(SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status
+    FROM (SELECT *, bool_or(kind IN ('task-added', 'task-claimed')) OVER (PARTITION BY log_id, id ORDER BY event_index) AS begun FROM (SELECT *, json_extract_string(payload, '$.task_id') AS id FROM log WHERE event_index <= {0})) WHERE begun GROUP BY 1, 2)"""
+
+
+@query(f"""WITH log AS ({_LOG_DUCK}), a AS {_STATE.format(300)}, b AS {_STATE.format(500)} SELECT coalesce(a.log_id, b.log_id) AS log_id, coalesce(a.id, b.id) AS id, a.status AS status_before, b.status AS status_after FROM a FULL JOIN b ON a.log_id = b.log_id AND a.id = b.id""")
 def replay_state_diff(spark, sf_dir):
-    return replay.state_diff(spark_sql(spark, sf_dir, _LOG_SPARK), 300, 500)
+    return replay.state_diff(spark_sql(spark, sf_dir, _LOG_SPARK), 300, 500).select("log_id", "id", "status_before", "status_after")
 
 
 @query(f"""WITH log AS ({_LOG_DUCK}) SELECT log_id, event_index, kind, CASE WHEN kind = 'task-rejected' THEN 'failure' ELSE 'milestone' END AS bookmark FROM log WHERE kind IN ('task-rejected', 'task-finished')""")
@@ -152,9 +156,10 @@ def packet_keys(spark, sf_dir):
     return packets(spark, sf_dir).agg(F.countDistinct(telemetry.key()).alias("packet_keys"))
 
 
-@query()
+@query(f"""{_PACKETS_DUCK.replace("WITH packets", "WITH RECURSIVE packets", 1)}, k AS (SELECT CASE WHEN id <> '' THEN id ELSE type || '|seq:' || sequence || '|' || source || '|' || node_id || '|' || agent_id END AS key, arrival, epoch_ms(ts::TIMESTAMP) AS ms FROM packets),
+    r(key, arrival) AS (SELECT key, min(arrival) FROM k GROUP BY 1 UNION SELECT r.key, min(n.arrival) FROM r JOIN k p ON p.key = r.key AND p.arrival = r.arrival JOIN k n ON n.key = r.key AND n.arrival > r.arrival AND n.ms - p.ms >= 864000000 GROUP BY r.key, r.arrival) SELECT arrival FROM r""")
 def packet_first_sights(spark, sf_dir):
-    return telemetry.first_sights(packets(spark, sf_dir), 3_600_000)
+    return telemetry.first_sights(packets(spark, sf_dir), 864_000_000).select("arrival")
 
 
 @query(f"""{_PACKETS_DUCK} SELECT time_bucket(INTERVAL '1 day', ts::TIMESTAMP) AS start, count(*) AS packets FROM packets GROUP BY 1""")
@@ -162,9 +167,10 @@ def packet_throughput(spark, sf_dir):
     return telemetry.throughput(packets(spark, sf_dir), "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""{_PACKETS_DUCK}, g AS (SELECT agent_id, ts::TIMESTAMP AS t, lag(ts::TIMESTAMP) OVER (PARTITION BY agent_id ORDER BY ts) AS before FROM packets), n AS (SELECT *, sum(CASE WHEN before IS NULL OR t >= before + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY t) AS nth FROM g)
+    SELECT agent_id, min(t) AS start, count(*) AS packets FROM n GROUP BY agent_id, nth""")
 def packet_sessions(spark, sf_dir):
-    return telemetry.sessions(packets(spark, sf_dir), "2 hours")
+    return telemetry.sessions(packets(spark, sf_dir), "2 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # ---- healing and collaboration

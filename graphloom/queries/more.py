@@ -19,9 +19,20 @@ def lens_tokens(spark, sf_dir):
     return rounded(lenses.evaluate(graph(spark, sf_dir, "session"), "tokens", "sqrt", 0.5).drop("colour"))
 
 
-@query()
+_HEX = "lpad(lower(to_hex(floor({0} + 0.5)::BIGINT)), 2, '0')"
+_STOP = "([{0}]::DOUBLE[])[low + {1}]"
+
+
+def _mixed(*stops: int) -> str:
+    table = ", ".join(map(str, stops))
+    return _HEX.format(f"({_STOP.format(table, 1)} + ({_STOP.format(table, 2)} - {_STOP.format(table, 1)}) * (at_ - low))")
+
+
+@query(f"""{S}, v AS (SELECT graph_id, id, CASE WHEN duration_ms > 0 THEN duration_ms ELSE 0 END AS value FROM nodes), q AS (SELECT *, min(value) OVER g AS lo, max(value) OVER g AS hi, cume_dist() OVER (PARTITION BY graph_id ORDER BY value) AS q FROM v WINDOW g AS (PARTITION BY graph_id)),
+    l AS (SELECT *, CASE WHEN hi - lo <= 0 THEN 0.5 ELSE q END AS level FROM q), a AS (SELECT *, level * 4 AS at_, least(floor(level * 4), 3)::BIGINT AS low FROM l)
+    SELECT graph_id, id, value, round(level, 4) AS level, level >= 0 AS is_shown, '#' || {_mixed(44, 171, 255, 253, 215)} || {_mixed(123, 217, 255, 174, 25)} || {_mixed(182, 233, 191, 97, 28)} AS colour FROM a""")
 def lens_colours(spark, sf_dir):
-    return lenses.evaluate(graph(spark, sf_dir, "session"), "heatmap", "quantile")
+    return rounded(lenses.evaluate(graph(spark, sf_dir, "session"), "heatmap", "quantile"))
 
 
 @query()
@@ -132,7 +143,11 @@ def text_head(spark, sf_dir):
     return textops.head(spark_sql(spark, sf_dir, "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, p_name AS line FROM {part}"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {ctes("loyal")}, w AS (SELECT graph_id, source AS a, target AS b FROM edges UNION SELECT graph_id, target, source FROM edges), r(graph_id, id, far) AS (SELECT graph_id, id, id FROM nodes UNION SELECT r.graph_id, r.id, w.b FROM r JOIN w ON w.graph_id = r.graph_id AND w.a = r.far),
+    c AS (SELECT graph_id, component, ceil(sqrt(count(*))) * 160.0 AS width, ceil(sqrt(count(*))) * 140.0 AS height FROM (SELECT graph_id, id, min(far) AS component FROM r GROUP BY 1, 2) GROUP BY 1, 2),
+    e AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY height DESC, component) - 1 AS nth, greatest(1, floor(2400 / (max(width) OVER (PARTITION BY graph_id) + 60))) AS per FROM c), f AS (SELECT *, floor(nth / per) AS shelf FROM e),
+    t AS (SELECT graph_id, shelf, sum(max(height) + 60) OVER (PARTITION BY graph_id ORDER BY shelf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dy FROM f GROUP BY 1, 2)
+    SELECT f.graph_id, component, coalesce(sum(width + 60) OVER (PARTITION BY f.graph_id, f.shelf ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS dx, coalesce(dy, 0)::DOUBLE AS dy FROM f JOIN t ON t.graph_id = f.graph_id AND t.shelf = f.shelf""")
 def component_packing(spark, sf_dir):
     """Shelf offsets of the weak components of the customer graph, sized by their nodes."""
     c = traverse.components(graph(spark, sf_dir, "loyal")).groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("n"))

@@ -275,3 +275,39 @@ def test_gates_find_what_is_wrong(spark):
     assert scan(fine, [path(("a", "b"), (50, 60), (50, 190)), *straight[1:]])["loose_routes"] == 1
     assert scan(fine, [*straight[:2], path(("a", "d"), (90, 50), (90, 225), (200, 225))])["routes_through_boxes"] == 1
     assert scan(fine, [path(("a", "b"), (50, 50), (50, 100), (250, 100), (250, 180), (50, 180), (50, 200)), *straight[1:]])["shared_lines"] == 1
+
+
+def test_lcs_against_recursion(spark):
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def longest(a, b):
+        return 0 if not a or not b else 1 + longest(a[1:], b[1:]) if a[0] == b[0] else max(longest(a[1:], b), longest(a, b[1:]))
+
+    r = random.Random(23)
+    rows = [("".join(r.choice("abc") for _ in range(r.randint(0, 9))), "".join(r.choice("abc") for _ in range(r.randint(0, 9)))) for _ in range(60)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", scalars.lcs_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert all(x.s == (2 * longest(x.a, x.b) / (len(x.a) + len(x.b)) if x.a or x.b else 1.0) for x in got)
+
+
+def test_hulls_hold_all_their_points(spark):
+    r = random.Random(29)
+    rows = [("g", f"c{k}", float(r.randint(0, 40)), float(r.randint(0, 40))) for k in range(5) for _ in range(50)]
+    for h in layout.convex_hulls(spark.createDataFrame(rows, "graph_id string, cluster string, x double, y double")).collect():
+        corners = list(zip(h.xs, h.ys))
+        own = {(x, y) for _, c, x, y in rows if c == h.cluster}
+        turn = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        assert set(corners) <= own and all(turn(a, b, p) >= 0 for a, b in zip(corners, corners[1:] + corners[:1]) for p in own)
+
+
+def test_inversions_and_crossings(spark):
+    r = random.Random(37)
+    rows = [("g", k % 4, r.randint(0, 12), r.randint(0, 12)) for k in range(200)]
+    got = {x["rank"]: x.crossings for x in layout.crossings(spark.createDataFrame(rows, "graph_id string, rank long, u long, v long")).collect()}
+    assert got == {k: sum(a[2] < b[2] and a[3] > b[3] for a in rows for b in rows if a[1] == b[1] == k) for k in range(4)}
+
+
+def test_order_search_never_adds_crossings(spark):
+    g = make(spark, [f"n{i}" for i in range(24)], [(f"n{i}", f"n{(i * 7 + k * 5) % 24}") for i in range(24) for k in (1, 2) if (i * 7 + k * 5) % 24 > i])
+    x = layout.crossing_search(g).first()
+    assert x.crossings_after <= x.crossings_before and x.layers > 1
