@@ -127,7 +127,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _token_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(key, n, is_end) of all distinct tokens."""
+    """(key, token, n, is_end) of all distinct tokens."""
+
+    def sent(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(longer(np.zeros(len(keys), "uint64"), keys)), _signed(keys), pa.array(n), pa.array(keys == END)], ["key", "token", "n", "is_end"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -149,27 +152,27 @@ def _token_counts(docs: DataFrame, text: str) -> DataFrame:
                     keys, n = merged()
                     held, counts, rows = [keys], [n], len(keys)
                     if rows > HELD // 2:
-                        yield pa.RecordBatch.from_arrays([_signed(longer(np.zeros(rows, "uint64"), keys)), pa.array(n), pa.array(keys == END)], ["key", "n", "is_end"])
+                        yield sent(keys, n)
                         held, counts, rows = [], [], 0
         if held:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([_signed(longer(np.zeros(len(keys), "uint64"), keys)), pa.array(n), pa.array(keys == END)], ["key", "n", "is_end"])
+            yield sent(*merged())
 
-    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "key long, n long, is_end boolean")
-    return some.groupBy("key").agg(F.sum("n").alias("n"), F.first("is_end").alias("is_end"))
+    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "key long, token long, n long, is_end boolean")
+    return some.groupBy("key").agg(F.first("token").alias("token"), F.sum("n").alias("n"), F.first("is_end").alias("is_end"))
 
 
-def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context: Filter, hot: np.ndarray) -> DataFrame:
+def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context: Filter, hot: np.ndarray, frequent: np.ndarray) -> DataFrame:
     """(key, ctx, suffix, n, is_end) of n-grams seen SUPPORT times after contexts of ``depth`` tokens that the filter knows.
 
     ``key`` is that of context and next token, ``suffix`` that of both without the first token. Tasks send their counts in
-    arrays, by context, or for ``hot`` contexts by n-gram, so that none is held by one task.
+    arrays, by context, or for ``hot`` contexts by n-gram, so that none is held by one task; ``frequent`` tokens go as their
+    places in that sorted array.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((known, context, hot))
+    shared = sc.broadcast((known, context, hot, frequent))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = PARTS * tasks
-    names = ["part", "ctx", "suf", "runs", "token", "n"]
+    names = ["part", "ctx", "suf", "runs", "code", "token", "n"]
 
     def sent(key, ctx, suf, token, n) -> pa.RecordBatch:
         part = (np.where(find(shared.value[2], ctx)[1], key, rolling.mixed(ctx)) % np.uint64(parts)).astype("int64")
@@ -179,10 +182,12 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         lists = lambda at, x: pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype("int32")), x)
         of_run = np.searchsorted(run, first)
+        code, often = find(shared.value[3], token)
+        code, rest = np.where(often, code, -1).astype("int32"), np.flatnonzero(~often)
         length = pa.array(np.diff(np.append(run, len(ctx))).astype("int32"))
         return pa.RecordBatch.from_arrays([
             pa.array(part[first].astype("int32")), lists(of_run, _signed(ctx[run])), lists(of_run, _signed(suf[run])), lists(of_run, length),
-            lists(first, _signed(token)), lists(first, pa.array(n.astype("int32"))),
+            lists(first, pa.array(code)), lists(np.searchsorted(rest, first), _signed(token[rest])), lists(first, pa.array(n.astype("int32"))),
         ], names)
 
     def grouped(key, ctx, suf, token, n=None):
@@ -193,7 +198,7 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
         return key[new], ctx[o], suf[o], token[o], np.add.reduceat(n, new)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, context, _ = shared.value
+        known, context, _, _ = shared.value
         held, rows = [], 0
         for batch in batches:
             texts = [t.encode() for t in batch.column(0).to_pylist()]
@@ -215,8 +220,9 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
             yield sent(*grouped(*(np.concatenate(c) for c in zip(*held))))
 
     def merged(rows: list[tuple]) -> pa.RecordBatch:
-        ctx, suf, runs, token, n = (np.concatenate(c) for c in zip(*rows))
-        ctx, suf, token = np.repeat(ctx.view("uint64"), runs), np.repeat(suf.view("uint64"), runs), token.view("uint64")
+        ctx, suf, runs, code, rest, n = (np.concatenate(c) for c in zip(*rows))
+        ctx, suf, token = np.repeat(ctx.view("uint64"), runs), np.repeat(suf.view("uint64"), runs), np.zeros(len(code), "uint64")
+        token[code >= 0], token[code < 0] = shared.value[3][code[code >= 0]], rest.view("uint64")
         key, ctx, suf, token, n = grouped(longer(ctx, token), ctx, suf, token, n.astype("int64"))
         keep = n >= SUPPORT
         key, ctx, suf, token, n = key[keep], ctx[keep], suf[keep], token[keep], n[keep]
@@ -231,11 +237,11 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
                     yield merged(rows)
                     rows = []
                 part = own
-                rows.append(tuple(batch.column(c)[k].values.to_numpy() for c in range(1, 6)))
+                rows.append(tuple(batch.column(c)[k].values.to_numpy() for c in range(1, 7)))
         if rows:
             yield merged(rows)
 
-    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "part int, ctx array<long>, suf array<long>, runs array<int>, token array<long>, n array<int>")
+    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "part int, ctx array<long>, suf array<long>, runs array<int>, code array<int>, token array<long>, n array<int>")
     return some.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "key long, ctx long, suffix long, n long, is_end boolean")
 
 
@@ -256,13 +262,14 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, divergence: f
     model = Model(counts, total, distinct)
     often = counts.filter(F.col("n") >= SUPPORT)
     known = key_filter(often, "key")
+    frequent = np.sort(counts.filter(F.col("n") >= max(1.0, OFTEN * total)).select("token").toPandas()["token"].to_numpy("int64").view("uint64"))
     candidates = often.filter(~F.col("is_end")).select(F.col("key").alias("ctx"), F.col("n").alias("c"))
     before = often.select(F.col("key").alias("suffix"), ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("q"))
     for d in range(1, depth + 1):
         if candidates.isEmpty():
             break
         hot = candidates.filter(F.col("c") >= HOT * total).select("ctx").toPandas()["ctx"].to_numpy("int64").view("uint64")
-        found = _successors(docs, text, d, known, key_filter(candidates, "ctx"), np.sort(hot))
+        found = _successors(docs, text, d, known, key_filter(candidates, "ctx"), np.sort(hot), frequent)
         after = found.join(candidates, "ctx").join(before, "suffix")
         after = stage(after.select("key", "ctx", "suffix", "n", "is_end", "c", "q", (F.col("n") / (F.col("c") + DISCOUNT)).alias("p")), "after")
         rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
@@ -300,18 +307,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     levels = min(depth, len(model.weights) // 2)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), or_empty(text).alias("t"))
-    names = ["part", "kind", "keys", "vals", "rows", "docs"]
-    document = pa.struct([("row", pa.int64()), ("id", to_arrow_type(d.schema["id"].dataType)), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bonus", pa.float64())])
-    schema = f"part int, kind int, keys array<long>, vals array<double>, rows array<long>, docs array<struct<row long, id {kind}, n long, known long, base double, bonus double>>"
+    names = ["part", "kind", "chunk", "keys", "vals", "own", "docs"]
+    document = pa.struct([("id", to_arrow_type(d.schema["id"].dataType)), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bonus", pa.float64())])
+    of_docs = f"docs array<struct<id {kind}, n long, known long, base double, bonus double>>"
+    schema = f"part int, kind int, chunk long, keys array<long>, vals array<double>, own array<int>, {of_docs}"
 
-    def by_part(what: int, keys: np.ndarray, vals=None, rows=None) -> pa.RecordBatch:
+    def by_part(what: int, keys: np.ndarray, vals=None, own=None, chunk: int = 0) -> pa.RecordBatch:
         part = (rolling.mixed(keys) % np.uint64(parts)).astype("uint16" if parts < 1 << 16 else "uint32")
         o = np.argsort(part, kind="stable")
         part = part[o]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
-        at = pa.array(np.append(first, len(part)).astype("int32"))
-        arrays = [pa.nulls(len(first), pa.list_(t)) if x is None else pa.ListArray.from_arrays(at, pa.array(x[o])) for x, t in ((keys.view("int64"), None), (vals, pa.float64()), (rows, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype("int32")), pa.array(np.full(len(first), what, "int32")), *arrays, pa.nulls(len(first), pa.list_(document))], names)
+        at, n = pa.array(np.append(first, len(part)).astype("int32")), len(first)
+        arrays = [pa.nulls(n, pa.list_(t)) if x is None else pa.ListArray.from_arrays(at, pa.array(x[o])) for x, t in ((keys.view("int64"), None), (vals, pa.float64()), (own, pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype("int32")), pa.array(np.full(n, what, "int32")), pa.array(np.full(n, chunk, "int64")), *arrays, pa.nulls(n, pa.list_(document))], names)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, log_n, heavy, weight, any_weight = shared.value
@@ -320,13 +328,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             for i, j in rolling.buffers(texts, 4 << 20):
                 toks, ends = tokens(texts[i:j])
                 owner = np.repeat(np.arange(j - i), np.diff(np.concatenate(([0], ends))))
-                place, rows = places(ends), batch.column("row")[i:j].to_numpy()
+                place, chunk = places(ends), batch.column("row")[i].as_py()
                 at, known = find(frequent, gram(toks, np.arange(len(toks)), 1))
                 base, bonus = np.full(len(toks), -scale), np.zeros(j - i)
                 base[known] += log_n[at[known]]
                 rare = np.flatnonzero(~known)
-                yield by_part(_OF_TOKENS, gram(toks, rare, 1), rows=rows[owner[rare]])
-                inside = np.arange(len(toks))
+                yield by_part(_OF_TOKENS, gram(toks, rare, 1), own=owner[rare].astype("int32"), chunk=chunk)
+                inside, lone = np.arange(len(toks)), []
                 for k in range(1, levels + 1):
                     inside = inside[place[inside] > k]
                     ctx = gram(toks, inside - 1, k)
@@ -337,11 +345,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     for x, own in ((state(ctx), owner[inside]), (longer_[some], owner[inside[some]])):
                         at, hit = find(heavy, x)
                         bonus += np.bincount(own[hit], weight[at[hit]], j - i)
-                        yield by_part(_OF_GRAMS, x[~hit], rows=rows[own[~hit]])
+                        lone.append((x[~hit], own[~hit]))
+                if lone:
+                    x, own = (np.concatenate(c) for c in zip(*lone))
+                    yield by_part(_OF_GRAMS, x, own=own.astype("int32"), chunk=chunk)
                 sums = [np.bincount(owner, x, j - i) for x in (np.ones(len(toks)), known, base)]
-                doc = pa.StructArray.from_arrays([pa.array(rows), batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(bonus)], fields=list(document))
-                part = pa.array([int(rows[0]) % parts], "int32")
-                yield pa.RecordBatch.from_arrays([part, pa.array([_DOCUMENTS], "int32"), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.float64())), pa.nulls(1, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, j - i], "int32"), doc)], names)
+                doc = pa.StructArray.from_arrays([batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(bonus)], fields=list(document))
+                head = [pa.array([chunk % parts], "int32"), pa.array([_DOCUMENTS], "int32"), pa.array([chunk], "int64")]
+                yield pa.RecordBatch.from_arrays([*head, *(pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.float64(), pa.int32())), pa.ListArray.from_arrays(pa.array([0, j - i], "int32"), doc)], names)
 
     def table(what: int):
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,46 +361,74 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
         return pack
 
-    def answered(what: int, keys: np.ndarray, rows: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    def answered(what: int, chunk: int, keys: np.ndarray, own: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         at, hit = find(table[0], keys)
-        own, back = np.unique(rows[hit], return_inverse=True)
-        sums, n, none = np.bincount(back, table[1][at[hit]], len(own)).astype("float64"), np.bincount(back, minlength=len(own)), np.zeros(len(own))
-        known, base, bonus = (n, sums, none) if what == _OF_TOKENS else (n * 0, none, sums)
-        blank = [pa.nulls(len(own), t) for t in (document[1].type, pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(own), *blank, pa.array(known.astype("int64")), pa.array(base), pa.array(bonus)], answers)
+        who, back = np.unique(own[hit], return_inverse=True)
+        sums, n = np.bincount(back, table[1][at[hit]], len(who)).astype("float64"), np.bincount(back, minlength=len(who)).astype("int32")
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], "int32"), pa.array(x))
+        return pa.RecordBatch.from_arrays([pa.array([chunk], "int64"), pa.array([what], "int32"), one(who), one(n if what == _OF_TOKENS else n[:0]), one(sums), pa.nulls(1, pa.list_(document))], answers)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tables, held = None, {}, {}
         for batch in batches:
-            own_part, own_kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            own_part, own_kind, chunks = (batch.column(c).to_pylist() for c in range(3))
             for k in range(batch.num_rows):
                 if own_part[k] != part:
                     part, tables, held = own_part[k], {}, {_COUNTS: [], _WEIGHTS: []}
                 what = own_kind[k]
                 if what == _DOCUMENTS:
-                    yield pa.RecordBatch.from_arrays(batch.column(5)[k].values.flatten(), answers)
+                    blank = [pa.nulls(1, pa.list_(t)) for t in (pa.int32(), pa.int32(), pa.float64())]
+                    docs_ = batch.column(6)[k].values
+                    again = pa.StructArray.from_arrays(docs_.flatten(), fields=list(document))
+                    yield pa.RecordBatch.from_arrays([pa.array([chunks[k]], "int64"), pa.array([what], "int32"), *blank, pa.ListArray.from_arrays(pa.array([0, len(again)], "int32"), again)], answers)
                     continue
-                keys = batch.column(2)[k].values.to_numpy().view("uint64")
+                keys = batch.column(3)[k].values.to_numpy().view("uint64")
                 if what in held:
-                    held[what].append((keys, batch.column(3)[k].values.to_numpy()))
+                    held[what].append((keys, batch.column(4)[k].values.to_numpy()))
                     continue
                 of = _COUNTS if what == _OF_TOKENS else _WEIGHTS
                 if of not in tables:
                     x, v = (np.concatenate(c) for c in zip(*held[of])) if held[of] else (np.zeros(0, "uint64"), np.zeros(0))
                     o = np.argsort(x)
                     tables[of] = x[o], v[o]
-                yield answered(what, keys, batch.column(4)[k].values.to_numpy(), tables[of])
+                yield answered(what, chunks[k], keys, batch.column(5)[k].values.to_numpy(), tables[of])
+
+    def summed(docs_: pa.StructArray, told: list[tuple]) -> pa.RecordBatch:
+        ids, n, known, base, bonus = docs_.flatten()
+        known, base, bonus = known.to_numpy().copy(), base.to_numpy().copy(), bonus.to_numpy().copy()
+        for what, own, hits, sums in told:
+            if what == _OF_TOKENS:
+                known[own] += hits
+                base[own] += sums
+            else:
+                bonus[own] += sums
+        return pa.RecordBatch.from_arrays([ids, n, pa.array(known), pa.array(base), pa.array(base + bonus)], ["id", "n_tokens", "n_known", "base_score", "score"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, docs_, told = None, None, []
+        for batch in batches:
+            for k, own in enumerate(batch.column(0).to_pylist()):
+                if own != chunk:
+                    if docs_ is not None:
+                        yield summed(docs_, told)
+                    chunk, docs_, told = own, None, []
+                what = batch.column(1)[k].as_py()
+                if what == _DOCUMENTS:
+                    docs_ = batch.column(5)[k].values
+                else:
+                    told.append((what, *(batch.column(c)[k].values.to_numpy() for c in (2, 3, 4))))
+        if docs_ is not None:
+            yield summed(docs_, told)
 
-    answers = ["row", "id", "n", "known", "base", "bonus"]
+    answers = ["chunk", "kind", "own", "hits", "sums", "docs"]
     rare = F.col("n") < least
     packed = d.mapInArrow(measure, schema)
     packed = packed.unionByName(model.counts.filter(rare).select("key", F.log10(F.col("n") + 1).alias("v")).mapInArrow(table(_COUNTS), schema))
     packed = packed.unionByName(weights.filter(rare).select("key", F.col("w").alias("v")).mapInArrow(table(_WEIGHTS), schema))
-    met = packed.repartition(parts, "part").sortWithinPartitions("part", "kind")
-    out = met.mapInArrow(answer, f"row long, id {kind}, n long, known long, base double, bonus double").groupBy("row").agg(
-        F.max("id").alias(key), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("bonus").alias("bonus"),
-    )
-    return out.withColumn("score", F.col("base_score") + F.col("bonus")).drop("row", "bonus")
+    met = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, f"chunk long, kind int, own array<int>, hits array<int>, sums array<double>, {of_docs}")
+    # Each chunk's documents and the answers about them, which its rows' order alone would not bring together, meet again.
+    out = met.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumnRenamed("id", key)
 
 
 def lm_scores(docs: DataFrame, held_out, key: str = "doc_id", text: str = "text") -> DataFrame:
