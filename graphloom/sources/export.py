@@ -113,7 +113,7 @@ def documents(g: GraphFrames) -> DataFrame:
     """Each graph as a JSON document again."""
     n = g.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in g.nodes.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("n"))
     e = g.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(*[c for c in g.edges.columns if c not in ("graph_id", "ord")]).alias("x")))).alias("e"))
-    return n.join(e, "graph_id", "left").select("graph_id", F.to_json(F.struct(F.col("graph_id").alias("id"), F.col("n.x").alias("nodes"), F.col("e.x").alias("edges"))).alias("text"))
+    return n.join(e, "graph_id", "left").select("graph_id", F.to_json(F.struct(F.col("graph_id").alias("id"), F.col("n.x").alias("nodes"), F.coalesce(F.col("e.x"), F.array()).alias("edges"))).alias("text"))
 
 
 def markdown_report(scores: DataFrame, limit: int = 20) -> str:
