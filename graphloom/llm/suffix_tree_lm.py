@@ -9,8 +9,8 @@ retained suffix of what precedes it.
 Both limits are counts, so the tree grows with the corpus: contexts and their next tokens are distributed tables, made
 and tested by joins. For scoring, the logarithm of a token's probability is written as a sum of the root's and of a
 weight for each n-gram met: one for each retained context (its scale), one for each kept next token. So scores are sums
-over n-grams, whatever their order. Weights of n-grams with OFTEN of all tokens (at most 1/OFTEN of a length) are
-broadcast; a bounded filter tells which of the others may have a weight, and those, none of them hot, meet the tables by
+over n-grams, whatever their order. Weights of n-grams with OFTEN_GRAMS of all tokens (at most 1/OFTEN_GRAMS of a length)
+are broadcast; a bounded filter tells which of the others may have a weight, and those, none of them hot, meet the tables by
 a shuffle, packed in arrays. The filter only saves work: what it lets through wrongly finds no weight. A context is looked
 up only where its suffix was let through, as it can't be retained otherwise.
 """
@@ -35,8 +35,8 @@ from graphloom.runtime import prepare_python, stage
 SUPPORT, DEPTH = 8, 3
 #: Least divergence (nats) from the suffix state, and the count by which kept tokens are discounted.
 DIVERGENCE, DISCOUNT = 0.05, 1.0
-#: Share of all tokens from which an n-gram's weight or count is broadcast, and from which its successors are spread.
-OFTEN, HOT = 1e-6, 1e-4
+#: Share of all tokens from which a token's count is broadcast, an n-gram's weight is, and an n-gram's successors are spread.
+OFTEN, OFTEN_GRAMS, HOT = 1e-6, 1e-5, 1e-4
 #: Bits a key of a filter, and bits of a filter at most.
 KEY_BITS, MOST_BITS = 12, 1 << 28
 END = 0x5DEECE66D1234567
@@ -297,9 +297,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     none = spark.createDataFrame([], "key long, n long, w double")
     weights = stage(reduce(DataFrame.unionByName, model.weights, none), "weights")
-    least = max(1.0, OFTEN * model.total)
+    least, least_gram = max(1.0, OFTEN * model.total), max(1.0, OFTEN_GRAMS * model.total)
     by_key = lambda x: x.toPandas().sort_values("key", key=lambda k: k.to_numpy("int64").view("uint64"))
-    common, heavy = by_key(model.counts.filter(F.col("n") >= least).select("key", "n")), by_key(weights.filter(F.col("n") >= least).select("key", "w"))
+    common, heavy = by_key(model.counts.filter(F.col("n") >= least).select("key", "n")), by_key(weights.filter(F.col("n") >= least_gram).select("key", "w"))
     unsigned = lambda x: x.to_numpy("int64").view("uint64")
     shared = spark.sparkContext.broadcast((unsigned(common["key"]), np.log10(common["n"].to_numpy("float64") + 1), unsigned(heavy["key"]), heavy["w"].to_numpy("float64"), key_filter(weights, "key")))
     scale = math.log10(model.total + model.distinct + 1)
@@ -421,10 +421,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield summed(docs_, told)
 
     answers = ["chunk", "kind", "own", "hits", "sums", "docs"]
-    rare = F.col("n") < least
     packed = d.mapInArrow(measure, schema)
-    packed = packed.unionByName(model.counts.filter(rare).select("key", F.log10(F.col("n") + 1).alias("v")).mapInArrow(table(_COUNTS), schema))
-    packed = packed.unionByName(weights.filter(rare).select("key", F.col("w").alias("v")).mapInArrow(table(_WEIGHTS), schema))
+    packed = packed.unionByName(model.counts.filter(F.col("n") < least).select("key", F.log10(F.col("n") + 1).alias("v")).mapInArrow(table(_COUNTS), schema))
+    packed = packed.unionByName(weights.filter(F.col("n") < least_gram).select("key", F.col("w").alias("v")).mapInArrow(table(_WEIGHTS), schema))
     met = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, f"chunk long, kind int, own array<int>, hits array<int>, sums array<double>, {of_docs}")
     # Each chunk's documents and the answers about them, which its rows' order alone would not bring together, meet again.
     out = met.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")

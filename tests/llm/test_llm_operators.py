@@ -650,7 +650,7 @@ class BruteTree:
 @pytest.mark.parametrize(("often", "hot", "held"), [(1e-6, 1e-4, 2_000_000), (2e-2, 1e-2, 500), (10, 10, 500)])
 def test_suffix_tree_against_brute_force(spark, monkeypatch, often, hot, held):
     """Scores of the distributed model against a tree walked token by token, whether weights are broadcast or shuffled."""
-    for k, v in {"OFTEN": often, "HOT": hot, "HELD": held}.items():
+    for k, v in {"OFTEN": often, "OFTEN_GRAMS": often, "HOT": hot, "HELD": held}.items():
         monkeypatch.setattr(suffix_tree_lm, k, v)
     r = random.Random(6)
     words = WORDS[:40]
