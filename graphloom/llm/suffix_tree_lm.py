@@ -36,7 +36,7 @@ SUPPORT, DEPTH = 8, 3
 #: Least divergence (nats) from the suffix state, and the count by which kept tokens are discounted.
 DIVERGENCE, DISCOUNT = 0.05, 1.0
 #: Share of all tokens from which a token's count is broadcast, an n-gram's weight is, and an n-gram's successors are spread.
-OFTEN, OFTEN_GRAMS, HOT = 1e-6, 1e-5, 1e-4
+OFTEN, OFTEN_GRAMS, HOT = 1e-6, 1e-6, 1e-4
 #: Bits a key of a filter, and bits of a filter at most.
 KEY_BITS, MOST_BITS = 12, 1 << 28
 END = 0x5DEECE66D1234567
