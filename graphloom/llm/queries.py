@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.bpe import encode_documents
 from graphloom.llm.exact_dedup import exact_dedup
 from graphloom.llm.mil_classifier import classify, fit_sample, fold
+from graphloom.llm.merkle import manifest, verify
 from graphloom.llm.mixing import BLOCK, GOLDEN, mix
 from graphloom.llm.near_dedup import near_duplicates
 from graphloom.llm.quality_rules import MAX_DOCS, MAX_PERCENT, MIN_PERCENT, MIN_WORDS, quality_rules
@@ -67,10 +68,34 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80).drop("_hash", "_label")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op5_mil, op6_suffix_tree, op7_mixing, op8_sharding, op9_suffix_dedup, op10_near_dedup)}
+def op12_merkle(spark, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return verify(manifest(table(spark, sf_dir, "documents"), check={"text": tampered}))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_frequency, op2_bpe, op3_wacz, op4_exact_dedup, op5_mil, op6_suffix_tree, op7_mixing, op8_sharding, op9_suffix_dedup, op10_near_dedup,
+        op12_merkle,
+    )
+}
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
+
+def _leaf(text: str) -> str:
+    """DuckDB's digest of a row of documents with this text."""
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", f"({text})")]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 of the decimal id by its defining shift register, a bit a step; then the text without line ends where that is even.
+_CRC = """(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+    lambda i: [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, v: CASE WHEN xor(a, v) & 1 = 1 THEN xor(xor(a, v) >> 1, 3988292384) ELSE xor(a, v) >> 1 END))"""
+_TAMPERED = f"CASE WHEN xor({_CRC}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+
 SQL = {
     "op1_line_frequency": rf"""
         WITH d AS (
@@ -153,4 +178,38 @@ SQL = {
         c AS (SELECT id, min(far) AS component_id FROM r GROUP BY 1)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)""",
+    "op12_merkle": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf(_TAMPERED)} AS checked FROM documents),
+        t(lvl, source, idx, n, h) AS (
+            SELECT 0, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, checked) - 1, count(*) OVER (PARTITION BY source), leaf FROM d
+            UNION ALL
+            SELECT lvl + 1, source, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY lvl, source, idx // 3, n),
+        s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+        u(lvl, idx, n, h) AS (
+            SELECT 0, place, n, subroot FROM s
+            UNION ALL
+            SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 3, n),
+        own AS (
+            SELECT d.*, row_number() OVER (PARTITION BY d.source ORDER BY doc_id NULLS FIRST, leaf, checked) - 1 AS idx, place, subroot
+            FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source),
+        step AS (
+            SELECT source, idx AS leaf_idx, lvl, idx // (3 ** lvl)::BIGINT AS at_, false AS is_top FROM (SELECT source, idx, unnest(range(0, 64)) AS lvl FROM own)
+            WHERE lvl < 40),
+        low AS (
+            SELECT p.source, leaf_idx, p.lvl, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < at_), '') AS l, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > at_), '') AS r
+            FROM step p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.lvl = p.lvl AND t.idx // 3 = at_ // 3 AND t.n > 1 GROUP BY 1, 2, 3),
+        high AS (
+            SELECT source, 100 + u.lvl AS lvl, coalesce(string_agg(u.h, '' ORDER BY idx) FILTER (idx < at_), '') AS l, coalesce(string_agg(u.h, '' ORDER BY idx) FILTER (idx > at_), '') AS r
+            FROM (SELECT source, lvl, place // (3 ** lvl)::BIGINT AS at_ FROM s, (SELECT unnest(range(0, 40)) AS lvl)) p
+            JOIN u ON u.lvl = p.lvl AND u.idx // 3 = at_ // 3 AND u.n > 1 GROUP BY 1, 2),
+        both_ AS (
+            SELECT own.source, own.idx, lvl, l, r FROM own JOIN low ON low.source IS NOT DISTINCT FROM own.source AND leaf_idx = own.idx
+            UNION ALL SELECT own.source, own.idx, lvl, l, r FROM own JOIN high ON high.source IS NOT DISTINCT FROM own.source),
+        proof AS (SELECT source, idx, list(l || '|' || r ORDER BY lvl) AS steps, string_agg(l || r, '' ORDER BY lvl) AS siblings FROM both_ GROUP BY 1, 2),
+        folded AS (
+            SELECT doc_id, leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+                   list_reduce(list_prepend(checked, coalesce(steps, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+            FROM own LEFT JOIN proof ON proof.source IS NOT DISTINCT FROM own.source AND proof.idx = own.idx)
+        SELECT *, folded_root = root AS verified FROM folded""",
 }
