@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars
 from graphloom.operators import collab, diff, replay, spans, textops
 from graphloom.queries.registry import query, rounded
+from graphloom.runtime import scratch_path
+from graphloom.sources import feeds
 from graphloom.sources.adapters import duck, duck_functions, spark_functions, spark_sql
 from graphloom.streaming import healing, telemetry
 
@@ -173,6 +175,17 @@ def packet_sessions(spark, sf_dir):
     return telemetry.sessions(packets(spark, sf_dir), "2 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(f"""{_PACKETS_DUCK} SELECT CASE WHEN id = '' THEN arrival::VARCHAR ELSE id END AS id, type, epoch_ms(ts::TIMESTAMP) AS ms, sequence, source, node_id, agent_id, priority, topic,
+    json_extract_string(payload, '$.status') AS status, json_extract_string(payload, '$.tokens')::BIGINT AS tokens, arrival FROM packets""")
+def feed_packets(spark, sf_dir):
+    """All packets recorded as an event stream, and read back from it."""
+    path = scratch_path(spark, "feed")
+    feeds.write_feed(packets(spark, sf_dir), path)
+    p = feeds.packets(feeds.read_feed(spark, path))
+    own = lambda c: F.get_json_object("payload", f"$.{c}")
+    return p.select("id", "type", F.unix_millis("ts").alias("ms"), "sequence", "source", "node_id", "agent_id", "priority", "topic", own("status").alias("status"), own("tokens").cast("long").alias("tokens"), "arrival")
+
+
 # ---- healing and collaboration
 
 _CALLS = "SELECT CAST(user_id % 50 AS STRING) AS key, event_id AS ord, CAST(event_id AS DOUBLE) * 500 AS ts, event_type <> 'error' AS ok FROM {events}"
