@@ -397,54 +397,6 @@ def crossing_search(g: GraphFrames) -> DataFrame:
     return per_graph(g, f, "crossings_before int, crossings_after int, layers int, segments int")
 
 
-def radial_layout(g: GraphFrames, ring: float = 180) -> DataFrame:
-    """Rings by distance from the roots; wedges in proportion to leaves."""
-
-    def f(nodes, edges):
-        next_ = successors(nodes, edges, loops=False, distinct=True)
-        has_in = {t for ts in next_.values() for t in ts}
-        roots = [v for v in next_ if v not in has_in] or list(next_)[:1]
-        depth, children, queue = {}, defaultdict(list), deque()
-        for start in [*roots, *next_]:
-            if start not in depth:
-                depth[start] = 0 if start in roots else 1
-                queue.append(start)
-            while queue:
-                v = queue.popleft()
-                for t in next_[v]:
-                    if t not in depth:
-                        depth[t] = depth[v] + 1
-                        children[v].append(t)
-                        queue.append(t)
-        child = {c for cs in children.values() for c in cs}
-        tops = [v for v in depth if v not in child]
-        leaves: dict[str, int] = {}
-        for v in sorted(depth, key=lambda u: -depth[u]):
-            leaves[v] = sum(leaves[c] for c in children[v]) or 1
-        angle, out = {}, []
-
-        def spread(vs, lo, hi):
-            work = [(vs, lo, hi)]
-            while work:
-                group, a, b = work.pop()
-                whole = sum(leaves[v] for v in group)
-                for v in group:
-                    part = (b - a) * leaves[v] / whole if whole else 0
-                    angle[v] = a + part / 2
-                    work.append((children[v], a, a + part))
-                    a, whole, b = a + part, whole - leaves[v], b
-
-        spread(tops, 0.0, 2 * math.pi)
-        solo = len(tops) == 1
-        for n in nodes:
-            v = n["id"]
-            r = ring * (depth[v] + (0 if solo else 1))
-            out.append((v, depth[v], angle[v], r * math.cos(angle[v]), r * math.sin(angle[v])))
-        return out
-
-    return per_graph(g, f, "id string, ring int, angle double, x double, y double")
-
-
 def force_layout(g: GraphFrames, steps: int = 120, seed: int = 1, theta: float = 0.8) -> DataFrame:
     """Springs along edges, repulsion between all by a quadtree's far cells, cooling; positions are determined by the seed."""
 

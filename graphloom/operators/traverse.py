@@ -5,6 +5,8 @@ Every round is written to the shared scratch folder, so lineage stays short and
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,7 +212,7 @@ def orphans(g: GraphFrames) -> DataFrame:
     return g.nodes.select("graph_id", "id").join(touched, ["graph_id", "id"], "left_anti")
 
 
-def longest_paths(g: GraphFrames, duration: str = "dur_analytics", rounds: int = 10_000) -> DataFrame:
+def longest_paths(g: GraphFrames, duration: str = "dur_analytics") -> DataFrame:
     """On acyclic graphs of any size: for each node the longest sum of durations of a path that ends there.
 
     Nodes settle level by level, when all their predecessors have; nodes on or behind cycles never do and are left out.
@@ -220,7 +222,7 @@ def longest_paths(g: GraphFrames, duration: str = "dur_analytics", rounds: int =
     open_in = links.groupBy("graph_id", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
     state = stage(n.join(open_in, ["graph_id", "id"], "left").fillna(0, ["open"]).withColumn("best", F.lit(0.0)), "state")
     done = None
-    for level in range(rounds):
+    for level in itertools.count():
         ready = stage(state.filter("open = 0").select("graph_id", "id", (F.col("ms") + F.col("best")).alias("total_ms"), F.lit(level).alias("level")), "ready")
         done = ready if done is None else done.unionByName(ready)
         if ready.isEmpty():

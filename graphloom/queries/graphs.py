@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import collab, layout, paths, traverse
+from graphloom.operators import collab, layout, levels, paths, traverse
 from graphloom.queries.registry import query, rounded
 from graphloom.runtime import stage
 from graphloom.schema import GraphFrames
@@ -209,7 +209,7 @@ def transition_heat(spark, sf_dir):
 
 @query(f"""{SUPPLY}, p(id, level) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT target FROM edges) UNION SELECT e.target, p.level + 1 FROM p JOIN edges e ON e.source = p.id) SELECT 'supply' AS graph_id, id, max(level)::INTEGER AS rank FROM p GROUP BY id""")
 def longest_path_ranks(spark, sf_dir):
-    return layout.rank_table(graph(spark, sf_dir, "supply"))
+    return levels.level_ranks(graph(spark, sf_dir, "supply"))
 
 
 @query(f"{LOYAL} SELECT graph_id, count(*) AS edges, 0::BIGINT AS violations FROM edges GROUP BY 1")
@@ -238,11 +238,6 @@ def edge_routes(spark, sf_dir):
     return layout.routes(graph(spark, sf_dir, "conversation"))
 
 
-@query()
-def radial_layout(spark, sf_dir):
-    return layout.radial_layout(graph(spark, sf_dir, "supply"))
-
-
 @query()
 def force_layout(spark, sf_dir):
     return layout.force_layout(graph(spark, sf_dir, "transition"))

@@ -96,6 +96,18 @@ def _relay(d) -> tuple[str, str]:
     return _handoffs(d, ">")
 
 
+def _trade(d) -> tuple[str, str]:
+    """One graph of all customers: from each order to the next of its nation, among every third, where both are of one month and priority."""
+    nodes = f"""SELECT 'trade' AS graph_id, CAST(c_custkey AS BIGINT) AS ord, 'c' || c_custkey AS id, c_name AS name, 'agent' AS kind, 'success' AS status, CAST(c_nationkey AS DOUBLE) AS step,
+        abs(c_acctbal) AS duration_ms, {_BLANK} FROM {{customer}}"""
+    edges = f"""SELECT 'trade' AS graph_id, {d["digest"]("source || '->' || target")} AS ord, source || '->' || target AS id, source, target, 'handoff' AS kind,
+        CAST(NULL AS BOOLEAN) AS is_cycle, CAST(NULL AS DOUBLE) AS latency_ms, CAST(NULL AS DOUBLE) AS tokens FROM (
+        SELECT DISTINCT 'c' || c_custkey AS source, 'c' || next_key AS target FROM (
+            SELECT c_custkey, lead(c_custkey) OVER (PARTITION BY c_nationkey, o_orderpriority, year(o_orderdate), month(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS next_key
+            FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0) y WHERE next_key IS NOT NULL) x"""
+    return nodes, edges
+
+
 def _conversation(d) -> tuple[str, str]:
     nodes = f"""SELECT CAST(conv_id AS STRING) AS graph_id, turn AS ord, 't' || turn AS id, role || ' ' || turn AS name, role AS kind,
         'success' AS status, CAST(turn AS DOUBLE) AS step, CAST(length(text) AS DOUBLE) AS duration_ms, {_BLANK} FROM {{conversations}}"""
@@ -105,7 +117,7 @@ def _conversation(d) -> tuple[str, str]:
     return nodes, edges
 
 
-_GRAPHS = {"session": _session, "supply": _supply, "transition": _transition, "loyal": _loyal, "relay": _relay, "conversation": _conversation}
+_GRAPHS = {"session": _session, "supply": _supply, "transition": _transition, "loyal": _loyal, "relay": _relay, "trade": _trade, "conversation": _conversation}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
