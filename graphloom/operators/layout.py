@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.paths import feedback_arcs, kahn, per_graph, successors, tarjan
-from graphloom.runtime import prepare_python
+from graphloom.runtime import join_split, numbered, prepare_python, stage
 from graphloom.schema import GraphFrames
 
 # Sizes and gaps of drawn nodes.
@@ -131,6 +131,8 @@ def optimal_ranks(ids: list[str], arcs: list[tuple]) -> dict[str, int]:
                     break
             else:
                 break
+        else:
+            raise RuntimeError(f"no optimal ranks after {50 * len(part) + 1000} exchanges of a graph of {len(part)} nodes")
         least = min(rank[v] for v in part)
         for v in sorted(part, key=place.get):
             rank[v] -= least
@@ -265,103 +267,6 @@ def order_layers(layers: list[list[str]], segments: list[tuple[str, str]], sweep
     return best, fewest
 
 
-def coordinates(layers: list[list[str]], segments: list[tuple[str, str]], width: dict[str, float], rounds: int = 6) -> dict[str, float]:
-    """Centres along the layer: neighbours' medians pull, minimum distances hold; left- and right-packed results averaged."""
-    near = defaultdict(list)
-    for a, b in segments:
-        near[a].append(b)
-        near[b].append(a)
-    apart = lambda a, b: (width.get(a, LANE) + width.get(b, LANE)) / 2 + GAP_X
-
-    def packed(order: list[str], want: dict[str, float], right: bool) -> dict[str, float]:
-        out, last = {}, None
-        for v in reversed(order) if right else order:
-            x = want[v]
-            if last is not None:
-                x = min(x, out[last] - apart(v, last)) if right else max(x, out[last] + apart(last, v))
-            out[v], last = x, v
-        return out
-
-    x: dict[str, float] = {}
-    for layer in layers:
-        x |= packed(layer, dict.fromkeys(layer, 0.0), False)
-    for _ in range(rounds):
-        for layer in layers:
-            want = {v: float(np.median([x[u] for u in near[v]])) if near[v] else x[v] for v in layer}
-            left, right = packed(layer, want, False), packed(layer, want, True)
-            x |= packed(layer, {v: (left[v] + right[v]) / 2 for v in layer}, False)
-    least = min(x.values(), default=0.0)
-    return {v: c - least for v, c in x.items()}
-
-
-def _sizes(nodes: list[dict]) -> dict[str, float]:
-    return {n["id"]: max(WIDTH, 8.0 * n["chars"] + 24) for n in nodes}
-
-
-def layered_layout(g: GraphFrames) -> DataFrame:
-    """Ranks, order, positions and sizes of nodes; top to bottom."""
-
-    def f(nodes, edges):
-        ids, arcs = [n["id"] for n in nodes], acyclic(nodes, edges)
-        rank = tight_ranks(ids, arcs)
-        layers, segments = layered(ids, arcs, rank)
-        layers, _ = order_layers(layers, segments)
-        width = _sizes(nodes)
-        x = coordinates(layers, segments, width)
-        place = {v: i for layer in layers for i, v in enumerate(layer)}
-        return [(v, rank[v], place[v], x[v] - width[v] / 2, rank[v] * (HEIGHT + GAP_Y), width[v], HEIGHT) for v in ids]
-
-    return per_graph(g, f, "id string, rank int, place int, x double, y double, width double, height double")
-
-
-def routes(g: GraphFrames) -> DataFrame:
-    """Orthogonal routes of edges as points: out at the bottom, through lanes, in at the top; self-loops at the side.
-
-    Lanes of a channel are coloured as intervals, so that they are as few as the largest overlap.
-    """
-
-    def f(nodes, edges):
-        ids, arcs = [n["id"] for n in nodes], acyclic(nodes, edges)
-        rank = tight_ranks(ids, arcs)
-        layers, segments = layered(ids, arcs, rank)
-        layers, _ = order_layers(layers, segments)
-        width = _sizes(nodes)
-        x, step = coordinates(layers, segments, width), HEIGHT + GAP_Y
-        lanes: dict[int, list[float]] = defaultdict(list)
-        lane_of = {}
-        layer_of = {v: r for r, layer in enumerate(layers) for v in layer}
-        for a, b in sorted(segments, key=lambda s: (layer_of[s[0]], min(x[s[0]], x[s[1]]))):
-            if x[a] != x[b]:
-                ends, lo, hi = lanes[layer_of[a]], min(x[a], x[b]), max(x[a], x[b])
-                k = next((i for i, e in enumerate(ends) if e < lo), len(ends))
-                ends[k : k + 1] = [hi]
-                lane_of[a, b] = k
-        deepest = {r: len(e) for r, e in lanes.items()}
-        chains = {(a, b): [a, *(f"{a}->{b}#{r}" for r in range(rank[a] + 1, rank[b])), b] for a, b, _, _ in arcs}
-        out = []
-        for e in edges:
-            a, b = e["source"], e["target"]
-            if a not in rank or b not in rank:
-                continue
-            if a == b:
-                right, top = x[a] + width[a] / 2, rank[a] * step
-                pts = [(right, top + 15), (right + 20, top + 15), (right + 20, top + 45), (right, top + 45)]
-            else:
-                chain = chains.get((a, b)) or chains[b, a]
-                pts = [(x[chain[0]], rank[chain[0]] * step + HEIGHT)]
-                for u, v in zip(chain, chain[1:]):
-                    if (u, v) in lane_of:
-                        r = layer_of[u]
-                        y = r * step + HEIGHT + GAP_Y * (lane_of[u, v] + 1) / (deepest[r] + 1)
-                        pts += [(x[u], y), (x[v], y)]
-                pts.append((x[chain[-1]], rank[chain[-1]] * step))
-                pts = pts if (a, b) in chains else pts[::-1]
-            out.append((e["id"], [float(p[0]) for p in pts], [float(p[1]) for p in pts], (a, b) not in chains and a != b))
-        return out
-
-    return per_graph(g, f, "id string, xs array<double>, ys array<double>, is_reversed boolean")
-
-
 def rank_table(g: GraphFrames, method: str = "longest_path", most: int | None = None) -> DataFrame:
     """Ranks by ``longest_path``, ``tight`` (local moves), ``optimal`` (network simplex) or ``balanced`` (``most`` nodes a rank)."""
     rank = {"longest_path": longest_path_ranks, "tight": tight_ranks, "optimal": optimal_ranks, "balanced": lambda i, a: balanced_ranks(i, a, most)}[method]
@@ -448,10 +353,12 @@ def force_layout(g: GraphFrames, steps: int = 120, seed: int = 1, theta: float =
 
 
 def grid_layout(g: GraphFrames) -> DataFrame:
-    """Rows as long as the square root of the graph's size, in input order."""
-    w = Window.partitionBy("graph_id")
-    n = g.nodes.select("graph_id", "id", "ord").withColumn("i", F.row_number().over(w.orderBy("ord")) - 1).withColumn("per_row", F.ceil(F.sqrt(F.count(F.lit(1)).over(w))))
-    return n.select("graph_id", "id", ((F.col("i") % F.col("per_row")) * (WIDTH + GAP_X)).alias("x"), (F.floor(F.col("i") / F.col("per_row")) * (HEIGHT + GAP_Y)).alias("y"))
+    """Rows as long as the square root of the graph's size, in input order; places are counted by ranges, whatever the size."""
+    n = numbered(g.nodes.select("graph_id", "id", "ord"), [F.col("graph_id"), F.col("ord"), F.col("id")], "place")
+    sizes = n.groupBy("graph_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"))
+    n = join_split(n, stage(sizes, "sizes"), "graph_id", "size", n.count())
+    i, per_row = F.col("place") - F.col("first"), F.ceil(F.sqrt("size"))
+    return n.select("graph_id", "id", ((i % per_row) * (WIDTH + GAP_X)).alias("x"), (F.floor(i / per_row) * (HEIGHT + GAP_Y)).alias("y"))
 
 
 def rank_bands(placed: DataFrame, gap: float = GAP_Y) -> DataFrame:

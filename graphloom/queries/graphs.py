@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import collab, layout, levels, paths, traverse
+from graphloom.operators import collab, drawing, layout, levels, paths, traverse
 from graphloom.queries.registry import query, rounded
 from graphloom.runtime import stage
 from graphloom.schema import GraphFrames
@@ -230,12 +230,12 @@ def grid_layout(spark, sf_dir):
 
 @query()
 def layered_layout(spark, sf_dir):
-    return layout.layered_layout(graph(spark, sf_dir, "conversation"))
+    return drawing.layered_layout(graph(spark, sf_dir, "conversation"))
 
 
 @query()
 def edge_routes(spark, sf_dir):
-    return layout.routes(graph(spark, sf_dir, "conversation"))
+    return drawing.routes(graph(spark, sf_dir, "conversation"))
 
 
 @query()
@@ -247,14 +247,14 @@ def force_layout(spark, sf_dir):
 def layout_constraints(spark, sf_dir):
     """Hard constraints of the layered layout and its routes, over all conversation graphs: nothing overlaps."""
     g = graph(spark, sf_dir, "conversation")
-    v = layout.constraint_scan(layout.layered_layout(g), layout.routes(g))
+    v = layout.constraint_scan(drawing.layered_layout(g), drawing.routes(g))
     return v.agg(F.sum("box_overlaps").alias("box_overlaps"), F.sum("routes_through_boxes").alias("routes_through_boxes"), F.count(F.lit(1)).alias("graphs"))
 
 
 @query()
 def layout_metrics(spark, sf_dir):
     g = graph(spark, sf_dir, "conversation")
-    return layout.layout_metrics(layout.layered_layout(g), layout.routes(g))
+    return layout.layout_metrics(drawing.layered_layout(g), drawing.routes(g))
 
 
 @query()

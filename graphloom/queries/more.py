@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import layout, lenses, macros, replay, textops, traverse
+from graphloom.operators import drawing, layout, lenses, macros, replay, textops, traverse
 from graphloom.queries.registry import query, rounded
 from graphloom.sources import export, graph_json
 from graphloom.sources.adapters import ctes, duck, duck_functions, graph, spark_functions, spark_sql
@@ -156,4 +156,4 @@ def component_packing(spark, sf_dir):
 
 @query()
 def route_crossings(spark, sf_dir):
-    return layout.geometric_crossings(layout.routes(graph(spark, sf_dir, "transition")))
+    return layout.geometric_crossings(drawing.routes(graph(spark, sf_dir, "transition")))

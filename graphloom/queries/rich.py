@@ -394,9 +394,9 @@ def rank_limits(spark, sf_dir):
 @query("SELECT CAST(conv_id AS VARCHAR) AS graph_id, 0::BIGINT AS violations FROM conversations GROUP BY 1")
 def layout_gates(spark, sf_dir):
     """Eight hard constraints of the layered layout of every conversation."""
-    from graphloom.operators import layout
+    from graphloom.operators import drawing, layout
 
     g = graph(spark, sf_dir, "conversation")
-    v = layout.gate_scan(g, layout.layered_layout(g), layout.routes(g))
+    v = layout.gate_scan(g, drawing.layered_layout(g), drawing.routes(g))
     gates = [c for c in v.columns if c != "graph_id"]
     return v.select("graph_id", sum((F.col(c) for c in gates[1:]), F.col(gates[0])).alias("violations"))

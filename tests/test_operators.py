@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars
-from graphloom.operators import anomaly, diff, layout, macros, paths, replay, spans, textops, traverse
+from graphloom.operators import anomaly, diff, drawing, layout, macros, paths, replay, spans, textops, traverse
 from graphloom.schema import GraphFrames
 from graphloom.sources.graph_json import read_documents
 from graphloom.streaming import healing, telemetry
@@ -26,7 +26,7 @@ def node(id_, ms=None, **more):
 
 def test_empty_graphs(spark):
     g = GraphFrames.empty(spark)
-    for df in (traverse.components(g), traverse.blast_radius(g), paths.strong_components(g), anomaly.detect(g), layout.layered_layout(g), traverse.longest_paths(g)):
+    for df in (traverse.components(g), traverse.blast_radius(g), paths.strong_components(g), anomaly.detect(g), drawing.layered_layout(g), traverse.longest_paths(g)):
         assert df.count() == 0
 
 
@@ -72,7 +72,7 @@ def test_random_ranks_orders_crossings(spark):
 
 def test_layout_keeps_boxes_apart(spark):
     g = make(spark, [f"n{i}" for i in range(12)], [("n0", f"n{i}") for i in range(1, 11)] + [("n3", "n11"), ("n11", "n0"), ("n4", "n4")])
-    placed, ways = layout.layered_layout(g), layout.routes(g)
+    placed, ways = drawing.layered_layout(g), drawing.routes(g)
     bad = layout.constraint_scan(placed, ways).first()
     assert (bad.box_overlaps, bad.routes_through_boxes) == (0, 0) and placed.count() == 12 and ways.count() == 13
     wide = layout.oriented(placed, "LR").agg(F.max("x")).first()[0]
