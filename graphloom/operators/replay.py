@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.diff import full_diff
-from graphloom.runtime import prepare_python
 
 # The verbs of the log by what they do to a task.
 CREATE = ("plan-task-added", "task-added")
@@ -22,88 +18,100 @@ EDGE_REMOVE = ("edge-removed", "edge:delete")
 ALIASES = {"done": "success", "completed": "success", "passed": "success", "failed": "error", "rejected": "error", "in_progress": "running", "claimed": "running", "submitted": "running", "open": "pending", "ready": "pending"}
 
 
-def normalised_status(status: str | None) -> str:
-    s = (status or "pending").lower()
-    return ALIASES.get(s, s)
-
-
-def fold(events: list[dict]) -> dict:
-    """State after the events: tasks, nodes, edges, leases and the failed set."""
-    tasks: dict[str, str] = {}
-    nodes: dict[str, dict] = {}
-    edges: dict[str, tuple[str, str]] = {}
-    leases: dict[str, str] = {}
-    failed: set[str] = set()
-
-    def settle(t: str, status: str) -> None:
-        tasks[t] = status
-        if t in nodes:
-            nodes[t]["status"] = status
-
-    for e in events:
-        payload, projection = json.loads(e.get("payload") or "{}"), json.loads(e.get("projection") or "{}")
-        for i, t in enumerate(projection.get("tasks") or []):
-            name, status = t.get("id"), normalised_status(t.get("status"))
-            if not name:
-                continue
-            tasks[name] = status
-            nodes[name] = {"status": status, "step": i + 1, "kind": (nodes.get(name) or {}).get("kind", "agent")}
-            if t.get("lease"):
-                leases[name] = str(t["lease"])
-            elif status in ("success", "cached"):
-                leases.pop(name, None)
-            failed.add(name) if status == "error" else failed.discard(name) if status == "success" else None
-        graph = projection.get("graph") or {}
-        for n in graph.get("nodes") or []:
-            if n.get("id"):
-                nodes.setdefault(n["id"], {"status": normalised_status(n.get("status")), "step": None, "kind": n.get("kind", "agent")})
-        for x in graph.get("edges") or []:
-            edges[f"{x['source']}->{x['target']}"] = (x["source"], x["target"])
-        verb, t = e["kind"], payload.get("task_id") or payload.get("id")
-        if verb in EDGE_REMOVE:
-            edges.pop(payload.get("edge_id") or payload.get("id"), None)
-        elif t is None:
-            continue
-        elif verb in CREATE:
-            tasks[t], nodes[t] = "pending", {"status": "pending", "step": None, "kind": "agent"}
-        elif verb in CLAIM:
-            settle(t, "running")
-            leases[t] = str(e.get("actor") or payload.get("agent") or "")
-        elif verb in RUN:
-            if t in tasks:
-                settle(t, "running")
-        elif verb in FAIL:
-            failed.add(t)
-            if t in tasks:
-                settle(t, "error")
-        elif verb in PASS and (verb != "review-recorded" or payload.get("passed")):
-            if t in tasks:
-                settle(t, "success")
-            leases.pop(t, None)
-            failed.discard(t)
-        elif verb in REMOVE:
-            for held in (tasks, nodes, leases):
-                held.pop(t, None)
-            failed.discard(t)
-            edges = {k: v for k, v in edges.items() if t not in v}
-    return {"tasks": tasks, "nodes": nodes, "edges": edges, "leases": leases, "failed": failed}
-
-
-def state_at(log: DataFrame, index: int) -> DataFrame:
-    """Tasks (log_id, id, status, lease, is_failed, node_kind) after the events up to ``index``; one ordered fold a log."""
-    prepare_python(log.sparkSession)
-    some = log.filter(F.col("event_index") <= index).select("log_id", "event_index", "kind", "actor", "payload", "projection")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        s = fold(rows.sort_values("event_index").to_dict("records"))
-        ids = sorted(set(s["tasks"]) | set(s["nodes"]))
-        out = [(key[0], t, s["tasks"].get(t) or s["nodes"][t]["status"], s["leases"].get(t), t in s["failed"], (s["nodes"].get(t) or {}).get("kind")) for t in ids]
-        return pd.DataFrame(out, columns=["log_id", "id", "status", "lease", "is_failed", "node_kind"])
-
-    return some.groupBy("log_id").applyInPandas(run, "log_id string, id string, status string, lease string, is_failed boolean, node_kind string")
-
-
-def status_at(log: DataFrame, index: int) -> DataFrame:
+def operations(log: DataFrame) -> DataFrame:
+    """Each event as operations on entities, in order: log_id, id, seq (event, part), op, status, kind, lease, events' index.
+
+    A projection's tasks and graph nodes come before the verb of their event. Operations: ``task`` (of a projection),
+    ``node`` (of a projection's graph), ``create``, ``claim``, ``run``, ``fail``, ``pass`` and ``remove``.
+    """
+    payload = lambda c: F.nullif(F.get_json_object("payload", f"$.{c}"), F.lit(""))
+    shape = "tasks array<struct<id:string,status:string,lease:string>>, graph struct<nodes:array<struct<id:string,status:string,kind:string>>, edges:array<struct<source:string,target:string>>>"
+    e = log.select("log_id", "event_index", F.col("kind").alias("verb"), "actor", "payload", F.from_json(F.coalesce("projection", F.lit("{}")), shape).alias("p"))
+    given = lambda c: F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("pending")))
+    same = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    status = lambda c: F.coalesce(F.try_element_at(same, given(c)), given(c))
+    part = lambda op, id_, s, kind, lease, nth, step: F.struct(F.lit(nth).alias("part"), step.alias("step"), F.lit(op).alias("op"), id_.alias("id"), s.alias("status"), kind.alias("kind"), lease.alias("lease"))
+    none = F.lit(None).cast("string")
+    no_step = F.lit(None).cast("int")
+    tasks = F.transform("p.tasks", lambda t, i: part("task", t["id"], status(t["status"]), none, F.nullif(t["lease"], F.lit("")), 0, i + 1))
+    nodes = F.transform("p.graph.nodes", lambda n, i: part("node", n["id"], status(n["status"]), F.coalesce(n["kind"], F.lit("agent")), none, 1, i))
+    passes = (F.col("verb") != "review-recorded") | ~F.coalesce(F.lower(F.get_json_object("payload", "$.passed")), F.lit("false")).isin("false", "null", "0", "")
+    verb = F.when(F.col("verb").isin(*CREATE), "create").when(F.col("verb").isin(*CLAIM), "claim").when(F.col("verb").isin(*RUN), "run").when(F.col("verb").isin(*FAIL), "fail").when(F.col("verb").isin(*PASS) & passes, "pass").when(F.col("verb").isin(*REMOVE), "remove")
+    becomes = F.when(verb == "create", "pending").when(verb.isin("claim", "run"), "running").when(verb == "fail", "error").when(verb == "pass", "success")
+    lease = F.when(verb == "claim", F.coalesce(F.nullif("actor", F.lit("")), payload("agent"), F.lit("")))
+    own = F.struct(F.lit(2).alias("part"), no_step.alias("step"), verb.alias("op"), F.coalesce(payload("task_id"), payload("id")).alias("id"), becomes.alias("status"), none.alias("kind"), lease.alias("lease"))
+    empty = F.array().cast("array<struct<part:int,step:int,op:string,id:string,status:string,kind:string,lease:string>>")
+    every = F.concat(F.coalesce(tasks, empty), F.coalesce(nodes, empty), F.array(own))
+    out = e.select("log_id", "event_index", F.posexplode(every).alias("nth", "o")).filter("o.op is not null and nullif(o.id, '') is not null")
+    return out.select("log_id", "o.id", F.struct("event_index", "nth").alias("seq"), "event_index", "o.op", "o.status", "o.kind", "o.lease", "o.step")
+
+
+def _present(ops: DataFrame, block: int) -> DataFrame:
+    """Whether an operation's entity is a task, and a node, before it.
+
+    The last operation before that founds or removes it decides. It is looked for in the operation's own block of events, and
+    else in the last of the blocks before that has one, so an entity of many events is spread over many tasks.
+    """
+    o = ops.withColumn("block", F.floor(F.col("event_index") / block))
+    task = F.when(F.col("op").isin("task", "create", "claim"), True).when(F.col("op") == "remove", False)
+    node = F.when(F.col("op").isin("task", "node", "create"), True).when(F.col("op") == "remove", False)
+    o = o.withColumns({"task_set": task, "node_set": node})
+    key = ["log_id", "id", "block"]
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    ends = o.groupBy(*key).agg(last("task_set"), last("node_set"))
+    ahead = Window.partitionBy("log_id", "id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*key, *[F.last(f"{c}_set", ignorenulls=True).over(ahead).alias(f"{c}_before") for c in ("task", "node")])
+    inside = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    was = lambda c: F.coalesce(F.last(f"{c}_set", ignorenulls=True).over(inside), f"{c}_before", F.lit(False)).alias(f"was_{c}")
+    return o.join(ends, key).select(*ops.columns, was("task"), was("node"))
+
+
+def state_at(log: DataFrame, index: int | Column, block: int = 10_000) -> DataFrame:
+    """Tasks and nodes (log_id, id, status, lease, is_failed, node_kind) after the events up to ``index``.
+
+    Each operation sets or clears one entity's fields, some only where the entity is a task or a node already. Once that is
+    known, a field is what the last operation that touches it made of it: a maximum by order, which any parts of a log give in
+    any grouping. No log, and no entity, is folded in one task.
+    """
+    o = _present(operations(log.filter(F.col("event_index") <= index)), block)
+    op, task, node = F.col("op"), F.col("was_task"), F.col("was_node")
+    later = op.isin("run", "fail", "pass")
+    removed = op == "remove"
+    touches = {
+        "task": op.isin("task", "create", "claim", "remove") | later & task,
+        "node": op.isin("task", "create", "remove") | (op == "node") & ~node | (op == "claim") & node | later & task & node,
+        "kind": op.isin("create", "remove") | op.isin("task", "node") & ~node,
+        "lease": op.isin("claim", "pass", "remove") | (op == "task") & (F.col("lease").isNotNull() | F.col("status").isin("success", "cached")),
+        "failed": op.isin("fail", "pass", "remove") | (op == "task") & F.col("status").isin("error", "success"),
+    }
+    values = {
+        "task": F.when(~removed, F.col("status")), "node": F.when(~removed, F.col("status")), "kind": F.when(~removed, F.coalesce("kind", F.lit("agent"))),
+        "lease": F.when(op.isin("claim", "task"), F.col("lease")), "failed": (op == "fail") | (op == "task") & (F.col("status") == "error"),
+    }
+    # A value may be null (cleared), so it is kept in a struct beside its order.
+    last = [F.max(F.when(touches[c], F.struct("seq", values[c].cast("string").alias("value"))))["value"].alias(c) for c in touches]
+    s = o.groupBy("log_id", "id").agg(*last).filter("task is not null or node is not null")
+    return s.select("log_id", "id", F.coalesce("task", "node").alias("status"), "lease", F.coalesce(F.col("failed") == "true", F.lit(False)).alias("is_failed"), F.when(F.col("node").isNotNull(), F.col("kind")).alias("node_kind"))
+
+
+def edges_at(log: DataFrame, index: int | Column) -> DataFrame:
+    """Edges (log_id, source, target) after the events up to ``index``: added since their removal and that of their ends."""
+    e = log.filter(F.col("event_index") <= index)
+    shape = "graph struct<edges:array<struct<source:string,target:string>>>"
+    added = e.select("log_id", "event_index", F.explode(F.from_json("projection", shape)["graph"]["edges"]).alias("x"))
+    added = added.groupBy("log_id", "x.source", "x.target").agg(F.max("event_index").alias("added"))
+    own = lambda c: F.nullif(F.get_json_object("payload", f"$.{c}"), F.lit(""))
+    gone = e.filter(F.col("kind").isin(*EDGE_REMOVE)).groupBy("log_id", F.coalesce(own("edge_id"), own("id")).alias("edge")).agg(F.max("event_index").alias("gone"))
+    ends = e.filter(F.col("kind").isin(*REMOVE)).groupBy("log_id", F.coalesce(own("task_id"), own("id")).alias("end")).agg(F.max("event_index").alias("gone"))
+    a = added.withColumn("edge", F.concat("source", F.lit("->"), "target")).join(gone.withColumnRenamed("gone", "edge_gone"), ["log_id", "edge"], "left")
+    for c in ("source", "target"):
+        a = a.join(ends.select("log_id", F.col("end").alias(c), F.col("gone").alias(f"{c}_gone")), ["log_id", c], "left")
+    # Within an event the projection comes first, so a removal of the same event holds.
+    stays = F.col("added") > F.coalesce(F.greatest("edge_gone", "source_gone", "target_gone"), F.lit(-1))
+    return a.filter(stays).select("log_id", "source", "target")
+
+
+def status_at(log: DataFrame, index: int | Column) -> DataFrame:
     """Statuses alone, in SQL: the last verb that sets one, after the entity's last creation, unless it was removed since."""
     e = log.filter(F.col("event_index") <= index)
     task = F.coalesce(F.get_json_object("payload", "$.task_id"), F.get_json_object("payload", "$.id"))
@@ -115,7 +123,7 @@ def status_at(log: DataFrame, index: int) -> DataFrame:
     return last.filter("status <> 'removed'")
 
 
-def state_diff(log: DataFrame, before: int, after: int) -> DataFrame:
+def state_diff(log: DataFrame, before: int | Column, after: int | Column) -> DataFrame:
     """What events ``before`` (exclusive) to ``after`` changed."""
     return full_diff(state_at(log, before), state_at(log, after), ["log_id", "id"], {"status": 0, "lease": 0, "is_failed": 0}).withColumnsRenamed({"base_status": "status_before", "comp_status": "status_after"})
 

@@ -87,32 +87,33 @@ def span_agents(spark, sf_dir):
 # ---- replay: events as verbs on tasks
 
 _VERB = "CASE event_type WHEN 'signup' THEN 'task-added' WHEN 'click' THEN 'task-claimed' WHEN 'view' THEN 'task-submitted' WHEN 'error' THEN 'task-rejected' ELSE 'task-finished' END"
-_LOG = f"""SELECT CAST(user_id % 10 AS STRING) AS log_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS BIGINT) AS event_index, {_VERB} AS kind, 'agent' AS actor,
+_LOG = f"""SELECT CAST(user_id % 10 AS STRING) AS log_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS BIGINT) AS event_index, count(*) OVER (PARTITION BY user_id % 10) AS n, {_VERB} AS kind, 'agent' AS actor,
     '{{{{"task_id": "u' || user_id || '"}}}}' AS payload, CAST(NULL AS STRING) AS projection FROM {{events}}""".replace("{{{{", "{{").replace("}}}}", "}}")
+_HALF = F.expr("n div 2")  # in the middle of each log
 _LOG_SPARK, _LOG_DUCK = _LOG, duck(_LOG).replace("{{", "{").replace("}}", "}")
 
 
-@query(f"""WITH log AS ({_LOG_DUCK}), e AS (SELECT *, json_extract_string(payload, '$.task_id') AS id, kind IN ('task-added', 'task-claimed') AS founds FROM log WHERE event_index <= 500),
+@query(f"""WITH log AS ({_LOG_DUCK}), e AS (SELECT *, json_extract_string(payload, '$.task_id') AS id, kind IN ('task-added', 'task-claimed') AS founds FROM log WHERE event_index <= n // 2),
     b AS (SELECT *, bool_or(founds) OVER (PARTITION BY log_id, id ORDER BY event_index) AS begun FROM e)
     SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status FROM b WHERE begun GROUP BY 1, 2""")
 def replay_status(spark, sf_dir):
-    return replay.status_at(spark_sql(spark, sf_dir, _LOG_SPARK), 500)
+    return replay.status_at(spark_sql(spark, sf_dir, _LOG_SPARK), _HALF)
 
 
-@query(f"""WITH log AS ({_LOG_DUCK}), e AS (SELECT *, json_extract_string(payload, '$.task_id') AS id, kind IN ('task-added', 'task-claimed') AS founds FROM log WHERE event_index <= 500),
+@query(f"""WITH log AS ({_LOG_DUCK}), e AS (SELECT *, json_extract_string(payload, '$.task_id') AS id, kind IN ('task-added', 'task-claimed') AS founds FROM log WHERE event_index <= n // 2),
     b AS (SELECT *, bool_or(founds) OVER (PARTITION BY log_id, id ORDER BY event_index) AS begun FROM e)
     SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status FROM b WHERE begun GROUP BY 1, 2""")
 def replay_fold(spark, sf_dir):
-    return replay.state_at(spark_sql(spark, sf_dir, _LOG_SPARK), 500).select("log_id", "id", "status")
+    return replay.state_at(spark_sql(spark, sf_dir, _LOG_SPARK), _HALF).select("log_id", "id", "status")
 
 
 _STATE = """(SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status
     FROM (SELECT *, bool_or(kind IN ('task-added', 'task-claimed')) OVER (PARTITION BY log_id, id ORDER BY event_index) AS begun FROM (SELECT *, json_extract_string(payload, '$.task_id') AS id FROM log WHERE event_index <= {0})) WHERE begun GROUP BY 1, 2)"""
 
 
-@query(f"""WITH log AS ({_LOG_DUCK}), a AS {_STATE.format(300)}, b AS {_STATE.format(500)} SELECT coalesce(a.log_id, b.log_id) AS log_id, coalesce(a.id, b.id) AS id, a.status AS status_before, b.status AS status_after FROM a FULL JOIN b ON a.log_id = b.log_id AND a.id = b.id""")
+@query(f"""WITH log AS ({_LOG_DUCK}), a AS {_STATE.format('n // 4')}, b AS {_STATE.format('n // 2')} SELECT coalesce(a.log_id, b.log_id) AS log_id, coalesce(a.id, b.id) AS id, a.status AS status_before, b.status AS status_after FROM a FULL JOIN b ON a.log_id = b.log_id AND a.id = b.id""")
 def replay_state_diff(spark, sf_dir):
-    return replay.state_diff(spark_sql(spark, sf_dir, _LOG_SPARK), 300, 500).select("log_id", "id", "status_before", "status_after")
+    return replay.state_diff(spark_sql(spark, sf_dir, _LOG_SPARK), F.floor(F.col("n") / 4), _HALF).select("log_id", "id", "status_before", "status_after")
 
 
 @query(f"""WITH log AS ({_LOG_DUCK}) SELECT log_id, event_index, kind, CASE WHEN kind = 'task-rejected' THEN 'failure' ELSE 'milestone' END AS bookmark FROM log WHERE kind IN ('task-rejected', 'task-finished')""")
@@ -196,10 +197,19 @@ def circuit_breakers(spark, sf_dir):
     return healing.circuit_breakers(spark_sql(spark, sf_dir, _CALLS))
 
 
-@query("""WITH l AS (SELECT user_id AS node_id, max(event_id) AS last, count(*) AS beats FROM events GROUP BY 1) SELECT node_id, last, beats, 20000 - last AS age_ms, CASE WHEN 20000 - last >= 5000 THEN 'dead' WHEN 20000 - last >= 2500 THEN 'degraded' ELSE 'healthy' END AS health FROM l""")
+_BEATS = "SELECT user_id, event_type, CAST(floor(event_id * {gap} / users) AS BIGINT) AS ts, CAST(floor(latest * {gap} / users) AS BIGINT) AS now FROM {{events}}, (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) AS users, max(event_id) AS latest FROM {{events}}) u"
+
+
+def _beats(gap: int) -> str:
+    """Events as heartbeats that are ``gap`` ms apart for a user on average, at any size, and the time of the last one of all."""
+    return _BEATS.format(gap=f"{gap}.0")
+
+
+@query(f"""WITH b AS ({duck(_beats(3000))}), l AS (SELECT user_id AS node_id, max(ts) AS last, count(*) AS beats, max(now) AS now FROM b GROUP BY 1)
+    SELECT node_id, last, beats, now - last AS age_ms, CASE WHEN now - last >= 5000 THEN 'dead' WHEN now - last >= 2500 THEN 'degraded' ELSE 'healthy' END AS health FROM l""")
 def node_health(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("node_id"), F.col("event_id").alias("ts"))
-    return healing.node_health(e, F.lit(20000))
+    b = spark_sql(spark, sf_dir, _beats(3000)).withColumnRenamed("user_id", "node_id")
+    return healing.node_health(b.select("node_id", "ts"), F.lit(b.agg(F.max("now")).first()[0]))
 
 
 _LOCKS = "SELECT 'r' || (event_id % 100) AS resource, 'a' || user_id AS agent_id, CASE user_id % 4 WHEN 0 THEN 'orchestrator' WHEN 1 THEN 'critic' WHEN 2 THEN 'implementer' ELSE 'guest' END AS role, event_id AS at FROM {events}"
@@ -210,10 +220,12 @@ def lock_arbitration(spark, sf_dir):
     return collab.arbitrate(spark_sql(spark, sf_dir, _LOCKS))
 
 
-@query("""WITH a AS (SELECT user_id AS agent_id, max(event_id) AS last_seen, bool_or(event_type = 'error') AS is_busy FROM events GROUP BY 1), g AS (SELECT *, 70000 - last_seen AS age_ms FROM a) SELECT *, CASE WHEN age_ms >= 60000 THEN 'removed' WHEN age_ms >= 30000 THEN 'disconnected' WHEN age_ms >= 15000 AND NOT is_busy THEN 'idle' ELSE 'online' END AS presence FROM g""")
+@query(f"""WITH b AS ({duck(_beats(30000))}), a AS (SELECT user_id AS agent_id, max(ts) AS last_seen, arg_max(event_type, ts) = 'error' AS is_busy, max(now) AS now FROM b GROUP BY 1), g AS (SELECT agent_id, last_seen, is_busy, now - last_seen AS age_ms FROM a)
+    SELECT *, CASE WHEN age_ms >= 60000 THEN 'removed' WHEN age_ms >= 30000 THEN 'disconnected' WHEN age_ms >= 15000 AND NOT is_busy THEN 'idle' ELSE 'online' END AS presence FROM g""")
 def presence_expiry(spark, sf_dir):
-    a = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("agent_id")).agg(F.max("event_id").alias("last_seen"), F.bool_or(F.col("event_type") == "error").alias("is_busy"))
-    return collab.presence(a, F.lit(70000))
+    b = spark_sql(spark, sf_dir, _beats(30000))
+    a = b.groupBy(F.col("user_id").alias("agent_id")).agg(F.max("ts").alias("last_seen"), (F.max_by("event_type", "ts") == "error").alias("is_busy"))
+    return collab.presence(a, F.lit(b.agg(F.max("now")).first()[0]))
 
 
 # ---- text

