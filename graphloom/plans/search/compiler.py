@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import metrics as M
 from graphloom.functions.scalars import js_round, similarity
+from graphloom.plans.search.dictionary import FIELDS, completions
 from graphloom.plans.search.parser import Node, parse
 from graphloom.schema import GraphFrames
 
@@ -263,13 +264,19 @@ def search(g: GraphFrames, query: str, nodes: bool = True, edges: bool = True, h
 OPERATOR_HINTS = (":", "=", "!=", ">", ">=", "<", "<=", "~", ":in(")
 
 
-def suggest(g: GraphFrames, text: str, limit: int = 10) -> list[tuple[str, str]]:
-    """Completions (kind, text) at the end of a query: fields, operators after a field, values seen in the data."""
+def suggest(g: GraphFrames, text: str, limit: int = 10, dictionary: DataFrame | None = None) -> list[tuple[str, str]]:
+    """Completions (kind, text) at the end of a query: fields, operators after a field, values seen in the data.
+
+    With a stored ``dictionary`` the values of its fields come from a range of it, the most frequent first; without one, and
+    for other fields, the graphs are read.
+    """
     word = text.split()[-1] if text and not text[-1].isspace() else ""
     fields = sorted({names[0] for names in node_fields()} | {names[0] for names in edge_fields()})
     for op in (":", "=", "~", ">", "<"):
         name, sep, begun = word.partition(op)
         if sep:
+            if dictionary is not None and name.lower().replace("-", "").replace("_", "") in FIELDS:
+                return [("value", r.value) for r in completions(dictionary, name, begun, limit).collect()]
             field, kind = Compiler("node").resolve(name)
             values = g.nodes.select((F.explode(field) if kind == "array" else field.cast("string")).alias("v")).filter(F.col("v").isNotNull() & F.startswith(F.lower("v"), F.lit(begun.lower())))
             return [("value", r.v) for r in values.distinct().orderBy("v").limit(limit).collect()]

@@ -86,3 +86,18 @@ def test_suggestions(graphs):
     from graphloom.plans.search.compiler import suggest
 
     assert ("value", "gate") in suggest(graphs, "kind:ga") and ("field", "status") in suggest(graphs, "sta")
+
+
+def test_dictionary(graphs):
+    """Suggestions from a stored dictionary are ranges of its keys, most frequent first."""
+    from graphloom.plans.search import dictionary
+    from graphloom.plans.search.compiler import suggest
+
+    counts = dictionary.value_counts(graphs)
+    d = dictionary.store(counts)
+    assert ("value", "gate") in suggest(graphs, "kind:GA", dictionary=d)
+    assert dictionary.completions(d, "no-such-field", "x").count() == 0
+    twice = {(r["field"], r.value): r.n for r in dictionary.merge(counts, counts).collect()}
+    assert twice == {(r["field"], r.value): 2 * r.n for r in counts.collect()}
+    plan = dictionary.completions(d, "status", "er")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(field), " in plan and "StartsWith(key" in plan
