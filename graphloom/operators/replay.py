@@ -146,7 +146,7 @@ def as_of(events: DataFrame, probes: DataFrame, key: str, ts: str, value: str) -
 
 def incident_checks(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Violations of a recorded incident: positions, time order, node ids, edge ends (incident_id, step, problem)."""
-    w = Window.partitionBy("incident_id").orderBy("step")
+    w = Window.partitionBy("incident_id").orderBy("step", "ts")
     place = steps.withColumn("n", F.row_number().over(w) - 1).filter("n <> step").select("incident_id", "step", F.lit("step out of place").alias("problem"))
     back = steps.withColumn("before", F.lag("ts").over(w)).filter("ts < before").select("incident_id", "step", F.lit("time runs back").alias("problem"))
     twice = nodes.groupBy("incident_id", "step", "id").count().filter("count > 1 or coalesce(id, '') = ''").select("incident_id", "step", F.lit("node id not unique").alias("problem"))

@@ -177,9 +177,9 @@ def subgraph_edges(spark, sf_dir):
     return traverse.subgraph(g, g.nodes.filter(F.col("kind").isin("agent", "task")), "keep")[1].select("graph_id", "id", "source", "target", "role")
 
 
-@query(f"""{SUPPLY} SELECT graph_id, id FROM nodes WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges)""")
+@query(f"""{RELAY} SELECT graph_id, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND n.id IN (e.source, e.target))""")
 def orphan_nodes(spark, sf_dir):
-    return traverse.orphans(graph(spark, sf_dir, "supply"))
+    return traverse.orphans(graph(spark, sf_dir, "relay"))
 
 
 @query(f"""{SUPPLY}, c AS (SELECT * FROM nodes WHERE kind <> 'artifact') SELECT e.graph_id, e.id, e.source, e.target, 'target' AS missing FROM edges e WHERE e.target NOT IN (SELECT id FROM c)""")

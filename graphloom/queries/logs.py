@@ -7,34 +7,34 @@ from pyspark.sql import functions as F
 from graphloom.functions import scalars
 from graphloom.operators import collab, diff, replay, spans, textops
 from graphloom.queries.registry import query, rounded
-from graphloom.runtime import scratch_path
+from graphloom.runtime import numbered, scratch_path
 from graphloom.sources import feeds
 from graphloom.sources.adapters import duck, duck_functions, spark_functions, spark_sql
 from graphloom.streaming import healing, telemetry
 
-# ---- diff: what each part shipped in two months
+# ---- diff: what each part shipped in odd and in even months
 
 
-def _month(lo: str, hi: str) -> str:
-    return f"SELECT l_partkey, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price, count(*) AS n FROM {{lineitem}} WHERE l_shipdate >= TIMESTAMP '{lo}' AND l_shipdate < TIMESTAMP '{hi}' GROUP BY 1"
+def _months(odd: int) -> str:
+    return f"SELECT l_partkey, l_linenumber, sum(l_quantity) AS qty, round(sum(l_extendedprice), 2) AS price, count(*) AS n FROM {{lineitem}} WHERE month(l_shipdate) % 2 = {odd} GROUP BY 1, 2"
 
 
-_BASE, _COMP = _month("1997-01-01 00:00:00", "1997-02-01 00:00:00"), _month("1997-02-01 00:00:00", "1997-03-01 00:00:00")
+_BASE, _COMP = _months(1), _months(0)
 
 
-@query(f"""WITH b AS ({duck(_BASE)}), c AS ({duck(_COMP)}) SELECT coalesce(b.l_partkey, c.l_partkey) AS l_partkey, b.qty AS base_qty, c.qty AS comp_qty, b.price AS base_price, c.price AS comp_price, b.n AS base_n, c.n AS comp_n,
-    CASE WHEN b.l_partkey IS NULL THEN 'added' WHEN c.l_partkey IS NULL THEN 'removed' WHEN b.qty <> c.qty OR b.price <> c.price OR b.n <> c.n THEN 'modified' ELSE 'unchanged' END AS status FROM b FULL OUTER JOIN c ON b.l_partkey = c.l_partkey""")
+@query(f"""WITH b AS ({duck(_BASE)}), c AS ({duck(_COMP)}) SELECT coalesce(b.l_partkey, c.l_partkey) AS l_partkey, coalesce(b.l_linenumber, c.l_linenumber) AS l_linenumber, b.qty AS base_qty, c.qty AS comp_qty, b.price AS base_price, c.price AS comp_price, b.n AS base_n, c.n AS comp_n,
+    CASE WHEN b.l_partkey IS NULL THEN 'added' WHEN c.l_partkey IS NULL THEN 'removed' WHEN b.qty <> c.qty OR b.price <> c.price OR b.n <> c.n THEN 'modified' ELSE 'unchanged' END AS status FROM b FULL OUTER JOIN c ON b.l_partkey = c.l_partkey AND b.l_linenumber = c.l_linenumber""")
 def run_diff(spark, sf_dir):
     b, c = spark_sql(spark, sf_dir, _BASE), spark_sql(spark, sf_dir, _COMP)
-    return diff.full_diff(b, c, ["l_partkey"], {"qty": 0, "price": 0, "n": 0}).drop("changed")
+    return diff.full_diff(b, c, ["l_partkey", "l_linenumber"], {"qty": 0, "price": 0, "n": 0}).drop("changed")
 
 
-@query(f"""WITH b AS ({duck(_BASE)}), c AS ({duck(_COMP)}), j AS (SELECT b.l_partkey, b.qty AS bq, c.qty AS cq FROM b JOIN c USING (l_partkey))
-    SELECT l_partkey, round(floor((cq - bq) * 100 + 0.5) / 100, 4) AS delta, round(floor(CASE WHEN bq = 0 THEN sign(cq - bq) * 100.0 ELSE (cq - bq) / abs(bq) * 100 END * 100 + 0.5) / 100, 4) AS percent FROM j""")
+@query(f"""WITH b AS ({duck(_BASE)}), c AS ({duck(_COMP)}), j AS (SELECT l_partkey, l_linenumber, b.qty AS bq, c.qty AS cq FROM b JOIN c USING (l_partkey, l_linenumber))
+    SELECT l_partkey, l_linenumber, round(floor((cq - bq) * 100 + 0.5) / 100, 4) AS delta, round(floor(CASE WHEN bq = 0 THEN sign(cq - bq) * 100.0 ELSE (cq - bq) / abs(bq) * 100 END * 100 + 0.5) / 100, 4) AS percent FROM j""")
 def metric_deltas(spark, sf_dir):
     b, c = spark_sql(spark, sf_dir, _BASE), spark_sql(spark, sf_dir, _COMP).withColumnRenamed("qty", "cq")
-    d = b.join(c, "l_partkey").select("l_partkey", scalars.metric_delta(F.col("qty"), F.col("cq")).alias("d"))
-    return rounded(d.select("l_partkey", "d.delta", "d.percent"))
+    d = b.join(c, ["l_partkey", "l_linenumber"]).select("l_partkey", "l_linenumber", scalars.metric_delta(F.col("qty"), F.col("cq")).alias("d"))
+    return rounded(d.select("l_partkey", "l_linenumber", "d.delta", "d.percent"))
 
 
 # ---- spans: an event lasts until the user's next
@@ -233,27 +233,37 @@ def presence_expiry(spark, sf_dir):
 _NAMES = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, p_name AS line FROM {part}"
 
 
+def _names(spark, sf_dir):
+    """The parts' names as numbered lines, counted by ranges of the key."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("line"))
+    return numbered(p, [F.col("p_partkey")], "ord").select("ord", "line")
+
+
 @query(f"WITH l AS ({duck(_NAMES)}) SELECT ord, line FROM l WHERE regexp_matches(lower(line), 'an')")
 def text_grep(spark, sf_dir):
-    return textops.grep(spark_sql(spark, sf_dir, _NAMES), "an", i=True)
+    return textops.grep(_names(spark, sf_dir), "an", i=True)
 
 
 @query(f"WITH l AS ({duck(_NAMES)}) SELECT 0::BIGINT AS ord, count(*) || ' ' || sum(len(string_split(line, ' '))) || ' ' || sum(strlen(line) + 1) AS line FROM l")
 def text_wc(spark, sf_dir):
-    return textops.wc(spark_sql(spark, sf_dir, _NAMES))
+    return textops.wc(_names(spark, sf_dir))
 
 
 @query(f"WITH l AS ({duck(_NAMES)}), s AS (SELECT line, row_number() OVER (ORDER BY line, ord) - 1 AS o FROM (SELECT string_split(line, ' ')[1] AS line, ord FROM l)) SELECT line, count(*) AS n FROM s GROUP BY 1")
 def text_sort_uniq(spark, sf_dir):
-    lines = spark_sql(spark, sf_dir, _NAMES).withColumn("line", F.split("line", " ")[0])
+    lines = _names(spark, sf_dir).withColumn("line", F.split("line", " ")[0])
     out = textops.uniq(textops.sort(lines), c=True)
     return out.select(F.regexp_extract("line", r"^\s*\d+ (.*)$", 1).alias("line"), F.trim(F.regexp_extract("line", r"^\s*(\d+) ", 1)).cast("long").alias("n"))
 
 
-@query("""SELECT p_partkey, round(CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 ELSE 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE END, 6) AS similarity FROM part""")
+_LIKE = "SELECT p_partkey, p_name AS a, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'e', '') WHEN 2 THEN left(p_name, CAST(p_size % 9 AS INTEGER)) ELSE concat(p_type, ' ', p_name) END AS b FROM {part}"
+
+
+@query(f"""WITH x AS ({duck(_LIKE)}) SELECT p_partkey, levenshtein(a, b) AS distance, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE END, 6) AS similarity FROM x""")
 def text_similarity(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return rounded(p.select("p_partkey", scalars.similarity(F.col("p_name"), F.col("p_type")).alias("similarity")), 6)
+    """Names against the same, without a letter, cut short, or with words before them."""
+    p = spark_sql(spark, sf_dir, _LIKE)
+    return rounded(p.select("p_partkey", F.levenshtein("a", "b").cast("long").alias("distance"), scalars.similarity(F.col("a"), F.col("b")).alias("similarity")), 6)
 
 
 _LETTERS = """a AS (SELECT *, trim(name) AS t, lower(trim(name)) AS low, length(trim(name)) AS n FROM items),
@@ -296,7 +306,14 @@ def _error_case(column: str) -> str:
     return "CASE " + " ".join(f"WHEN {hit(n, w)} THEN '{n}'" for n, w in scalars.ERROR_WORDS.items()) + " ELSE 'runtime_unhandled' END"
 
 
-@query(f"SELECT conv_id, turn, coalesce({_error_case('text')}, 'runtime_unhandled') AS error_class FROM conversations")
+def _complaints() -> str:
+    """Turns with words of all classes in turn, or none."""
+    words = [w for some in scalars.ERROR_WORDS.values() for w in some]
+    cases = " ".join(f"WHEN {k} THEN ' {w.upper() if k % 2 else w} '" for k, w in enumerate([*words, "TS2304", "retype", "fine"]))
+    return f"SELECT conv_id, turn, concat(coalesce(text, ''), CASE (conv_id * 7 + turn) % {len(words) + 3} {cases} END) AS message FROM {{conversations}}"
+
+
+@query(f"WITH m AS ({duck(_complaints())}) SELECT conv_id, turn, {_error_case('message')} AS error_class FROM m")
 def text_error_class(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", scalars.error_class(F.col("text")).alias("error_class"))
+    m = spark_sql(spark, sf_dir, _complaints())
+    return m.select("conv_id", "turn", scalars.error_class(F.col("message")).alias("error_class"))

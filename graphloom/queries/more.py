@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import drawing, layout, lenses, macros, replay, textops, traverse
+from graphloom.queries.logs import _names
 from graphloom.queries.registry import query, rounded
 from graphloom.sources import export, graph_json
 from graphloom.sources.adapters import ctes, duck, duck_functions, graph, spark_functions, spark_sql
@@ -140,18 +141,18 @@ def metric_history(spark, sf_dir):
 
 @query("""WITH l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, p_name AS line FROM part) SELECT ord, line FROM l WHERE ord < 10""")
 def text_head(spark, sf_dir):
-    return textops.head(spark_sql(spark, sf_dir, "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, p_name AS line FROM {part}"))
+    return textops.head(_names(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {ctes("loyal")}, w AS (SELECT graph_id, source AS a, target AS b FROM edges UNION SELECT graph_id, target, source FROM edges), r(graph_id, id, far) AS (SELECT graph_id, id, id FROM nodes UNION SELECT r.graph_id, r.id, w.b FROM r JOIN w ON w.graph_id = r.graph_id AND w.a = r.far),
+@query(f"""WITH RECURSIVE {ctes("relay")}, w AS (SELECT graph_id, source AS a, target AS b FROM edges UNION SELECT graph_id, target, source FROM edges), r(graph_id, id, far) AS (SELECT graph_id, id, id FROM nodes UNION SELECT r.graph_id, r.id, w.b FROM r JOIN w ON w.graph_id = r.graph_id AND w.a = r.far),
     c AS (SELECT graph_id, component, ceil(sqrt(count(*))) * 160.0 AS width, ceil(sqrt(count(*))) * 140.0 AS height FROM (SELECT graph_id, id, min(far) AS component FROM r GROUP BY 1, 2) GROUP BY 1, 2),
-    e AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY height DESC, component) - 1 AS nth, greatest(1, floor(2400 / (max(width) OVER (PARTITION BY graph_id) + 60))) AS per FROM c), f AS (SELECT *, floor(nth / per) AS shelf FROM e),
+    e AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY height DESC, component) - 1 AS nth, greatest(1, floor(1200 / (max(width) OVER (PARTITION BY graph_id) + 60))) AS per FROM c), f AS (SELECT *, floor(nth / per) AS shelf FROM e),
     t AS (SELECT graph_id, shelf, sum(max(height) + 60) OVER (PARTITION BY graph_id ORDER BY shelf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dy FROM f GROUP BY 1, 2)
     SELECT f.graph_id, component, coalesce(sum(width + 60) OVER (PARTITION BY f.graph_id, f.shelf ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS dx, coalesce(dy, 0)::DOUBLE AS dy FROM f JOIN t ON t.graph_id = f.graph_id AND t.shelf = f.shelf""")
 def component_packing(spark, sf_dir):
-    """Shelf offsets of the weak components of the customer graph, sized by their nodes."""
-    c = traverse.components(graph(spark, sf_dir, "loyal")).groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("n"))
-    return layout.pack_components(c.select("graph_id", "component", (F.ceil(F.sqrt("n")) * 160.0).alias("width"), (F.ceil(F.sqrt("n")) * 140.0).alias("height")))
+    """Shelf offsets of the weak components of the acyclic customer graphs, sized by their nodes."""
+    c = traverse.components(graph(spark, sf_dir, "relay")).groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("n"))
+    return layout.pack_components(c.select("graph_id", "component", (F.ceil(F.sqrt("n")) * 160.0).alias("width"), (F.ceil(F.sqrt("n")) * 140.0).alias("height")), width=1200)
 
 
 @query()

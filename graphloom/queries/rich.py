@@ -95,13 +95,17 @@ def anomaly_leases(spark, sf_dir):
     return _plain(anomaly.stranded_locks(run(spark, sf_dir), anomaly.Limits(), F.to_timestamp(F.lit("2025-01-01 00:00:00"))))
 
 
-@query(f"""{R}, c AS (SELECT *, (k * 101 % 80000)::DOUBLE AS slow FROM n WHERE k % 2 = 0)
+@query(f"""{R}, c AS (SELECT *, (k * 101 % 80000)::DOUBLE AS slow FROM n WHERE k % 2 = 0),
+    h AS (SELECT *, ms >= 10000 AND 100 * ms / total >= 2.00003 AS is_hog, samples >= 3 AND ms > mean + 1.2 * dev AND ms >= 30000 AS is_odd FROM (
+        SELECT *, sum(ms) OVER g AS total, avg(ms) FILTER (ms > 0) OVER g AS mean, stddev_pop(ms) FILTER (ms > 0) OVER g AS dev, count(*) FILTER (ms > 0) OVER g AS samples FROM n WINDOW g AS (PARTITION BY graph_id)))
     {_find("latency_bottleneck", "CASE WHEN think >= 45000 THEN 'critical' ELSE 'warning' END", "think", 15000, "think > 15000 AND ms > 0 AND think / ms >= 0.75")}
     UNION ALL {_find("latency_bottleneck", "CASE WHEN slow >= 60000 THEN 'critical' ELSE 'error' END", "slow", 30000, "slow >= 30000", of="c")}
-    UNION ALL {_find("latency_bottleneck", "CASE WHEN latency >= 10000 THEN 'error' ELSE 'warning' END", "latency", 5000, "latency >= 5000", nodes="''", edges="id", of="e")}""")
+    UNION ALL {_find("latency_bottleneck", "CASE WHEN latency >= 10000 THEN 'error' ELSE 'warning' END", "latency", 5000, "latency >= 5000", nodes="''", edges="id", of="e")}
+    UNION ALL {_find("latency_bottleneck", "CASE WHEN ms >= 60000 OR ms / total >= 0.6 THEN 'critical' ELSE 'error' END", "ms", "floor(total * 0.0200003 + 0.5)", "is_hog", of="h")}
+    UNION ALL {_find("latency_bottleneck", "CASE WHEN ms >= 60000 THEN 'critical' ELSE 'error' END", "ms", "floor(mean + 1.2 * dev + 0.5)", "is_odd AND NOT (is_hog OR think > 15000 AND ms > 0 AND think / ms >= 0.75 OR k % 2 = 0 AND k * 101 % 80000 >= 30000)", of="h")}""")
 def anomaly_latency(spark, sf_dir):
-    """Stalls, hanging commands and slow edges; no duration here is an outlier."""
-    return _plain(anomaly.latency(run(spark, sf_dir), anomaly.Limits(sigma=100.0), with_path=False))
+    """Stalls, hanging commands, slow edges, hogs of the critical path (2 % of it: a session is a chain) and other outliers."""
+    return _plain(anomaly.latency(run(spark, sf_dir), anomaly.Limits(sigma=1.2, path_share=0.0200003)))
 
 
 @query(f"""{R} {_find("contract_violation", "'critical'", 1, 0, "status = 'success' AND k % 2 = 0 AND k % 3 <> 0")}
@@ -279,18 +283,21 @@ _STEP_NODES = "SELECT CAST(user_id AS STRING) AS incident_id, event_id % 5 AS st
 _STEP_EDGES = "SELECT CAST(user_id AS STRING) AS incident_id, event_id % 5 AS step, 'n' || (event_id % 9) AS source, 'n' || (event_id % 11) AS target FROM {events}"
 
 
-@query(f"""WITH s AS ({duck(_STEPS)}), n AS ({duck(_STEP_NODES)}), e AS ({duck(_STEP_EDGES)}), w AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY step) - 1 AS place FROM s),
+@query(f"""WITH s AS ({duck(_STEPS)}), n AS ({duck(_STEP_NODES)}), e AS ({duck(_STEP_EDGES)}), w AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY step, ts) - 1 AS place FROM s),
     p AS (SELECT incident_id, count(*) AS c FROM (SELECT incident_id, step, id FROM n GROUP BY ALL HAVING count(*) > 1) GROUP BY 1), d AS (SELECT incident_id, count(*) AS c FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.incident_id = e.incident_id AND n.step = e.step AND n.id = e.target) GROUP BY 1)
-    SELECT incident_id, 'node id not unique' AS problem, c AS places FROM p UNION ALL SELECT incident_id, 'dangling edge', c FROM d""")
+    SELECT incident_id, 'node id not unique' AS problem, c AS places FROM p UNION ALL SELECT incident_id, 'dangling edge', c FROM d
+    UNION ALL SELECT incident_id, 'step out of place', count(*) FROM w WHERE place <> step GROUP BY 1
+    UNION ALL SELECT incident_id, 'time runs back', count(*) FROM (SELECT incident_id, ts < lag(ts) OVER (PARTITION BY incident_id ORDER BY step, ts) AS back FROM s) WHERE back GROUP BY 1""")
 def incident_problems(spark, sf_dir):
     out = replay.incident_checks(spark_sql(spark, sf_dir, _STEPS), spark_sql(spark, sf_dir, _STEP_NODES), spark_sql(spark, sf_dir, _STEP_EDGES))
-    return out.filter("problem in ('node id not unique', 'dangling edge')").groupBy("incident_id", "problem").agg(F.count(F.lit(1)).alias("places"))
+    return out.groupBy("incident_id", "problem").agg(F.count(F.lit(1)).alias("places"))
 
 
-@query(f"""WITH c AS (SELECT CAST(user_id AS STRING) AS session_id, event_id AS ts, event_type || ';' AS text FROM events WHERE event_id <= 5000) SELECT session_id, string_agg(text, '' ORDER BY ts) AS text FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT CAST(user_id AS STRING) AS session_id, event_id AS ts, event_type || ';' AS text FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events)) SELECT session_id, string_agg(text, '' ORDER BY ts) AS text FROM c GROUP BY 1""")
 def terminal_text(spark, sf_dir):
-    """What each session's terminal shows at time 5000."""
-    return replay.buffer_at(spark_sql(spark, sf_dir, "SELECT CAST(user_id AS STRING) AS session_id, event_id AS ts, event_id AS ord, event_type || ';' AS text FROM {events}"), 5000)
+    """What each session's terminal shows half-way."""
+    half = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] // 2
+    return replay.buffer_at(spark_sql(spark, sf_dir, "SELECT CAST(user_id AS STRING) AS session_id, event_id AS ts, event_id AS ord, event_type || ';' AS text FROM {events}"), half)
 
 
 @query(f"""WITH log AS (SELECT CAST(user_id AS STRING) AS incident_id, event_id % 5 AS step, event_type AS status FROM events) SELECT incident_id, step, count(*) FILTER (status IN ('success', 'running', 'pending')) / count(*)::DOUBLE AS healthy FROM (SELECT incident_id, step, CASE status WHEN 'click' THEN 'running' WHEN 'view' THEN 'success' ELSE status END AS status FROM log) GROUP BY 1, 2""")

@@ -199,15 +199,15 @@ def search_edges(spark, sf_dir):
     return search(session(spark, sf_dir), "tokens>=50", nodes=False)
 
 
-@query("""SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'steel' THEN 10.0 WHEN contains(lower(p_name), 'steel') THEN 8.0
-    ELSE floor(list_filter(list_transform(list_filter(string_split_regex(lower(p_name), '[\\s\\-_.,/]+'), lambda w: length(w) > 1), lambda w: 1 - levenshtein(w, 'steel') / greatest(length(w), 5)::DOUBLE), lambda s: s >= 0.75)[1] * 6 + 0.5) END AS score
-    FROM part WHERE contains(lower(p_name), 'steel') OR len(list_filter(list_transform(list_filter(string_split_regex(lower(p_name), '[\\s\\-_.,/]+'), lambda w: length(w) > 1), lambda w: 1 - levenshtein(w, 'steel') / greatest(length(w), 5)::DOUBLE), lambda s: s >= 0.75)) > 0""")
+@query("""SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'gizma' THEN 10.0 WHEN contains(lower(p_name), 'gizma') THEN 8.0
+    ELSE floor(list_filter(list_transform(list_filter(string_split_regex(lower(p_name), '[\\s\\-_.,/]+'), lambda w: length(w) > 1), lambda w: 1 - levenshtein(w, 'gizma') / greatest(length(w), 5)::DOUBLE), lambda s: s >= 0.75)[1] * 6 + 0.5) END AS score
+    FROM part WHERE contains(lower(p_name), 'gizma') OR len(list_filter(list_transform(list_filter(string_split_regex(lower(p_name), '[\\s\\-_.,/]+'), lambda w: length(w) > 1), lambda w: 1 - levenshtein(w, 'gizma') / greatest(length(w), 5)::DOUBLE), lambda s: s >= 0.75)) > 0""")
 def search_fuzzy_words(spark, sf_dir):
     from graphloom.plans.search.compiler import Compiler
     from graphloom.plans.search.parser import Node
 
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    match, score = Compiler("node", custom={}).predicate(F.col("p_name"), "string", Node("field", value="steel"))
+    match, score = Compiler("node", custom={}).predicate(F.col("p_name"), "string", Node("field", value="gizma"))
     return part.filter(match).select("p_partkey", "p_name", score.alias("score"))
 
 
