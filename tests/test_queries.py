@@ -11,6 +11,8 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SKIP = {"pipeline"}
+#: What the smallest tables may have none of.
+RARE = {"anomaly_token_spikes"}
 NAMES = [n for n in entry.queries() if n not in SKIP and not n.startswith("op")]
 
 
@@ -46,6 +48,7 @@ def test_query(spark, duck, name):
         return
     want = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert len(want) or name in RARE, "a query without rows proves nothing"
     assert plain(got) == plain(want)
 
 
