@@ -1,6 +1,6 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a table of segments, each over some 2 MiB of whole texts (a longer text goes on in the next segments, with an
+The index is a table of segments, each over some 1 MB of whole texts (a longer text goes on in the next segments, with an
 overlap): the segment's words, and for each word the places where it stands, compressed. Segments are made and searched where
 they are, so nothing shuffles but a short row a document, no word is hot, and a lost executor costs its own segments. Test
 phrases come in blocks of bounded size, each sent to all segments. Within a segment a phrase starts from the places of its
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.rolling import mixed, prefix_hash, range_hash
 from graphloom.runtime import prepare_python, stage
 
-#: Bytes of text in a segment, and words by which the pieces of a longer text overlap: no phrase may be longer than that and one.
-SEGMENT, OVERLAP = 2 << 20, 63
+#: Bytes of text in a segment (within what ``rolling`` remembers powers for), and words by which the pieces of a longer text overlap: no phrase may be longer than that and one.
+SEGMENT, OVERLAP = 1_000_000, 63
 #: Bytes of test texts that are sent to the segments at once, and candidate places that are intersected at once.
 BLOCK, CANDIDATES = 2 << 20, 1 << 19
 
