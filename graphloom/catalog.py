@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.queries import documents, drawings, edits, graphs, large, logs, more, rich, runs  # noqa: F401
+from graphloom.queries import documents, drawings, edits, graphs, large, logs, more, rich, runs, values  # noqa: F401
 from graphloom.queries.registry import QUERIES, SQL
 
 FLAGSHIP = "kpi_scorecard"

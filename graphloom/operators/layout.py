@@ -534,3 +534,11 @@ def convex_hulls(points: DataFrame) -> DataFrame:
         return pd.DataFrame([(*key, [p[0] for p in hull], [p[1] for p in hull])], columns=["graph_id", "cluster", "xs", "ys"])
 
     return points.groupBy("graph_id", "cluster").applyInPandas(f, "graph_id string, cluster string, xs array<double>, ys array<double>")
+
+
+def bundles(g: GraphFrames) -> DataFrame:
+    """Edges between the same two nodes, whatever their direction (a before b), self-loops and lost ends left out: their number,
+    how many run each way, their weights together and the first of them."""
+    e = g.valid_edges().filter("source <> target").withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")})
+    ahead = F.col("source") == F.col("a")
+    return e.groupBy("graph_id", "a", "b").agg(F.count(F.lit(1)).alias("edges"), F.count_if(ahead).alias("forward"), F.count_if(~ahead).alias("backward"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"), F.min_by("id", "ord").alias("first"))
