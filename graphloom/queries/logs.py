@@ -89,7 +89,6 @@ def span_agents(spark, sf_dir):
 _VERB = "CASE event_type WHEN 'signup' THEN 'task-added' WHEN 'click' THEN 'task-claimed' WHEN 'view' THEN 'task-submitted' WHEN 'error' THEN 'task-rejected' ELSE 'task-finished' END"
 _LOG = f"""SELECT CAST(user_id % 10 AS STRING) AS log_id, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) - 1 AS BIGINT) AS event_index, count(*) OVER (PARTITION BY user_id % 10) AS n, {_VERB} AS kind, 'agent' AS actor,
     '{{{{"task_id": "u' || user_id || '"}}}}' AS payload, CAST(NULL AS STRING) AS projection FROM {{events}}""".replace("{{{{", "{{").replace("}}}}", "}}")
-_HALF = F.expr("n div 2")  # in the middle of each log
 _LOG_SPARK, _LOG_DUCK = _LOG, duck(_LOG).replace("{{", "{").replace("}}", "}")
 
 
@@ -97,14 +96,14 @@ _LOG_SPARK, _LOG_DUCK = _LOG, duck(_LOG).replace("{{", "{").replace("}}", "}")
     b AS (SELECT *, bool_or(founds) OVER (PARTITION BY log_id, id ORDER BY event_index) AS begun FROM e)
     SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status FROM b WHERE begun GROUP BY 1, 2""")
 def replay_status(spark, sf_dir):
-    return replay.status_at(spark_sql(spark, sf_dir, _LOG_SPARK), _HALF)
+    return replay.status_at(spark_sql(spark, sf_dir, _LOG_SPARK), F.expr("n div 2"))
 
 
 @query(f"""WITH log AS ({_LOG_DUCK}), e AS (SELECT *, json_extract_string(payload, '$.task_id') AS id, kind IN ('task-added', 'task-claimed') AS founds FROM log WHERE event_index <= n // 2),
     b AS (SELECT *, bool_or(founds) OVER (PARTITION BY log_id, id ORDER BY event_index) AS begun FROM e)
     SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status FROM b WHERE begun GROUP BY 1, 2""")
 def replay_fold(spark, sf_dir):
-    return replay.state_at(spark_sql(spark, sf_dir, _LOG_SPARK), _HALF).select("log_id", "id", "status")
+    return replay.state_at(spark_sql(spark, sf_dir, _LOG_SPARK), F.expr("n div 2")).select("log_id", "id", "status")
 
 
 _STATE = """(SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pending' WHEN 'task-claimed' THEN 'running' WHEN 'task-submitted' THEN 'running' WHEN 'task-rejected' THEN 'error' ELSE 'success' END, event_index) AS status
@@ -113,7 +112,7 @@ _STATE = """(SELECT log_id, id, arg_max(CASE kind WHEN 'task-added' THEN 'pendin
 
 @query(f"""WITH log AS ({_LOG_DUCK}), a AS {_STATE.format('n // 4')}, b AS {_STATE.format('n // 2')} SELECT coalesce(a.log_id, b.log_id) AS log_id, coalesce(a.id, b.id) AS id, a.status AS status_before, b.status AS status_after FROM a FULL JOIN b ON a.log_id = b.log_id AND a.id = b.id""")
 def replay_state_diff(spark, sf_dir):
-    return replay.state_diff(spark_sql(spark, sf_dir, _LOG_SPARK), F.floor(F.col("n") / 4), _HALF).select("log_id", "id", "status_before", "status_after")
+    return replay.state_diff(spark_sql(spark, sf_dir, _LOG_SPARK), F.floor(F.col("n") / 4), F.expr("n div 2")).select("log_id", "id", "status_before", "status_after")
 
 
 @query(f"""WITH log AS ({_LOG_DUCK}) SELECT log_id, event_index, kind, CASE WHEN kind = 'task-rejected' THEN 'failure' ELSE 'milestone' END AS bookmark FROM log WHERE kind IN ('task-rejected', 'task-finished')""")
