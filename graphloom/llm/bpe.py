@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding with overlapping chunks.
 
-A long text is cut into chunks that overlap. Chunks are pre-tokenised in parallel, each from its own start. A pre-token
+A text is cut into chunks that overlap. Chunks are pre-tokenised, in parallel if they are many, each from its own start. A pre-token
 is found from its start onwards alone, so once two neighbours share a boundary they agree from there on: the chunks are
 stitched at the first boundary that both have in their overlap, where the right one has resynchronised. Then the pieces
 are encoded. Where an overlap has no shared boundary (it is one long run of letters, say) the two chunks are joined and
-pre-tokenised anew. Texts of one chunk need no stitching. Decoding concatenates the tokens' bytes.
+pre-tokenised anew. Decoding concatenates the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,49 +24,58 @@ from pyspark.sql import functions as F
 from graphloom.llm.text import or_empty
 from graphloom.runtime import prepare_python
 
-#: Characters of a chunk, and of its overlap with the next.
-CHUNK = 32_768
-OVERLAP = 512
+#: Characters of a chunk, and of its overlap with the next; texts of up to SPREAD characters are chunked within one task.
+CHUNK, OVERLAP = 4_096, 256
+SPREAD = 32_768
 #: Distinct pre-tokens that a worker remembers.
 REMEMBERED = 200_000
 
 
 @functools.lru_cache(4)
 def _codec(path: str, pattern: str):
-    """A tiktoken encoding for a rank file, the compiled pattern, and decimal strings of the ids."""
+    """A tiktoken encoding for a rank file, the compiled pattern, decimal strings of the ids, remembered pieces, and tokens' bytes."""
     import regex
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return encoding, regex.compile(pattern), [str(i) for i in range(max(ranks.values()) + 1)], {}
+    most = max(ranks.values()) + 1
+    tokens = dict(zip(ranks.values(), ranks))
+    return encoding, regex.compile(pattern), [str(i) for i in range(most)], {}, [tokens.get(i, b"") for i in range(most)]
+
+
+def decoded(ids: list[int], codec) -> bytes:
+    """The ids' bytes, one after the other."""
+    tokens = codec[4]
+    return b"".join([tokens[i] for i in ids])
 
 
 def digests(ids: list[int], codec) -> tuple[int, str, str]:
     """Count of the ids, SHA-256 of their decimals joined by commas, and of the bytes they decode to."""
     names = codec[2]
     joined = ",".join([names[i] for i in ids]).encode()
-    return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(codec[0].decode_bytes(ids)).hexdigest()
+    return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded(ids, codec)).hexdigest()
 
 
-def pretokenise(text: str, codec) -> tuple[list[int], list[int], list[int]]:
+def pretokenise(text: str, codec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the text's pre-tokens, for each the index of its first id, and all ids."""
     encode, known = codec[0]._core_bpe.encode_single_piece, codec[3]
-    starts, firsts, ids = [], [], []
-    for m in codec[1].finditer(text):
-        piece = m[0]
-        starts.append(m.start())
-        firsts.append(len(ids))
-        got = known.get(piece)
-        if got is None:
-            got = encode(piece.encode())
-            if len(piece) <= 64:
+    pieces = codec[1].findall(text) if not codec[1].groups else [m[0] for m in codec[1].finditer(text)]
+    sizes = np.fromiter(map(len, pieces), "int64", len(pieces))
+    starts = np.cumsum(sizes) - sizes
+    if sizes.sum() != len(text):  # the pattern passes over some characters
+        starts = np.fromiter((m.start() for m in codec[1].finditer(text)), "int64", len(pieces))
+    got = [known.get(p) for p in pieces]
+    for k, ids in enumerate(got):
+        if ids is None:
+            got[k] = ids = encode(pieces[k].encode())
+            if len(pieces[k]) <= 64:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                known[piece] = got
-        ids += got
-    return starts, firsts, ids
+                known[pieces[k]] = ids
+    counts = np.fromiter(map(len, got), "int64", len(got))
+    return starts, np.cumsum(counts) - counts, np.fromiter(itertools.chain.from_iterable(got), "int32", int(counts.sum()))
 
 
 def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
@@ -80,13 +90,12 @@ def _resyncs(text: str) -> bool:
 
 def encode_chunk(start: int, text: str, last: bool, codec, overlap: int = OVERLAP) -> dict:
     """A chunk's ids, with the boundaries in its overlaps; its text where an overlap may not resynchronise."""
-    starts, firsts, ids = pretokenise(text, codec)
-    s, f = np.array(starts, "int64"), np.array(firsts, "int64")
+    s, f, ids = pretokenise(text, codec)
     head = s < overlap
     tail = (s >= len(text) - overlap) & (s < len(text)) & (not last)
     sure = (start == 0 or _resyncs(text[:overlap])) and (last or _resyncs(text[-overlap:]))
     return {
-        "start": start, "last": last, "ids": np.array(ids, "int32"), "text": None if sure else text,
+        "start": start, "last": last, "ids": ids, "text": None if sure else text,
         "head": np.stack([s[head] + start, f[head]]), "tail": np.stack([s[tail] + start, f[tail]]),
     }
 
@@ -111,20 +120,26 @@ def stitch(chunks: list[dict], codec, overlap: int = OVERLAP) -> list[int]:
     return out + here["ids"][begin:].tolist()
 
 
+def encode_text(text: str, codec, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """A text's ids by its chunks."""
+    parts = cut(text, chunk, overlap)
+    return stitch([encode_chunk(b, t, b == parts[-1][0], codec, overlap) for b, t in parts], codec, overlap)
+
+
 def _results(schema: str, want_ids: bool):
     return schema + (", ids array<int>" if want_ids else ", n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(
     docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", want_ids: bool = False,
-    chunk: int = CHUNK, overlap: int = OVERLAP,
+    chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD,
 ) -> DataFrame:
     """One row per input row: ``key`` and either the token ids or n_tokens, ids_sha256 and decoded_sha256.
 
     ``vocabulary`` is the path of a tiktoken rank file, at the same place on every machine. Null text counts as empty;
     an empty text has no tokens, and digests of nothing. Repeated rows, and rows of equal or null ids, each give a row.
-    An empty table gives no rows. Other columns of ``docs`` are not read. No text is too long: one of more than
-    ``chunk`` characters is spread over tasks in chunks, and only its ids meet again.
+    An empty table gives no rows. Other columns of ``docs`` are not read. All texts are encoded by chunks; those of a text of more
+    than ``spread`` characters go to several tasks, and only its ids meet again.
     """
     prepare_python(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
@@ -140,7 +155,7 @@ def encode_documents(
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows = [
-                    result(k, codec[0].encode_ordinary(t), codec)
+                    result(k, encode_text(t, codec, chunk, overlap), codec)
                     for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
                 ]
                 yield _batch(rows, want_ids, part.schema.field(0).type)
@@ -180,7 +195,7 @@ def encode_documents(
         row = result(rows["key"].iloc[0], stitch(chunks, codec, overlap), codec)
         return pd.DataFrame([row], columns=[c.split()[0] for c in kinds.split(", ")])
 
-    is_long = F.char_length("text") > chunk
+    is_long = F.char_length("text") > spread
     long = d.filter(is_long).withColumn("row", F.monotonically_increasing_id())
     long = long.mapInArrow(pieces, f"row long, key {kind}, start long, last boolean, text string").repartition("row", "start")
     long = long.mapInArrow(encode, f"row long, key {kind}, start long, last boolean, ids binary, head binary, tail binary, text string")
@@ -203,7 +218,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str, ids: str
         codec = _codec(vocabulary, pattern)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            got = [None if x is None else codec[0].decode_bytes(x) for x in column]
+            got = [None if x is None else decoded(x, codec) for x in column]
             yield batch.append_column("bytes", pa.array(got, "binary"))
 
     from pyspark.sql import types as T

@@ -136,8 +136,8 @@ def test_bpe(docs):
     voc, pat = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     codec = bpe._codec(voc, pat)
     want = Counter((i, *bpe.digests(codec[0].encode_ordinary(t or ""), codec)) for i, t, *_ in ROWS)
-    for chunk, overlap in ((32_768, 512), (100, 20), (40, 5)):
-        assert Counter(map(tuple, bpe.encode_documents(docs, voc, pat, chunk=chunk, overlap=overlap).collect())) == want
+    for chunk, overlap, spread in ((4_096, 256, 32_768), (100, 20, 100), (40, 5, 40), (40, 5, 32_768), (100, 20, 5_000)):
+        assert Counter(map(tuple, bpe.encode_documents(docs, voc, pat, chunk=chunk, overlap=overlap, spread=spread).collect())) == want
     back = bpe.decode_documents(bpe.encode_documents(docs, voc, pat, want_ids=True), voc, pat)
     assert Counter(bytes(r.bytes) for r in back.collect()) == Counter((t or "").encode() for _, t, *_ in ROWS)
 
@@ -149,7 +149,8 @@ def test_bpe_stitching_random():
         t = "".join(r.choice(["a", "b", " ", "  ", "\n", "'s", "é", "日", "1", "!", "'", "\t", "abc "]) for _ in range(r.randint(0, 200)))
         parts = bpe.cut(t, 20, 8)
         got = bpe.stitch([bpe.encode_chunk(b, x, k == len(parts) - 1, codec, 8) for k, (b, x) in enumerate(parts)], codec, 8)
-        assert got == codec[0].encode_ordinary(t)
+        assert got == codec[0].encode_ordinary(t) == bpe.encode_text(t, codec, 20, 8)
+        assert bpe.decoded(got, codec) == t.encode()
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
