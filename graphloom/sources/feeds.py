@@ -79,35 +79,40 @@ class _LiveReader(SimpleDataSourceStreamReader):
         return iter(self._collect(start, end)[0])
 
     def _collect(self, start: dict, until: dict | None) -> tuple[list[tuple], dict]:
-        rows, at, failed, last = [], dict(start), 0, None
+        """What comes after an offset, up to another one if that is given, and the offset after it."""
+        rows, at, failed = [], dict(start), 0
         deadline = time.monotonic() + self.wait
-        while at != until and (until is not None or len(rows) < self.most and (time.monotonic() < deadline)):
+
+        def is_done() -> bool:
+            return at == until if until is not None else len(rows) >= self.most or time.monotonic() >= deadline
+
+        while not is_done():
+            before, error = dict(at), None
             try:
                 for row, at in self._events(at, deadline if until is None else None):
-                    failed = 0
                     if row is not None:
                         rows.append(row)
-                    if at == until or until is None and (len(rows) >= self.most or time.monotonic() >= deadline):
+                    if is_done():
                         break
                 else:
                     if until is None:
                         break  # the server closed an exhausted feed
-            except TimeoutError:
+            except TimeoutError as e:
                 if until is None:
                     break
-            except (OSError, urllib.error.URLError, ConnectionError) as error:
-                failed, last = failed + 1, error
-                if failed >= self.attempts:
-                    if rows and until is None:
-                        break
-                    raise ConnectionError(f"{self.url}: {error}") from error
-                time.sleep(min(0.05 * 2**failed, 5))
+                error = e
+            except (OSError, urllib.error.URLError) as e:
+                error = e
+            if is_done():
+                break
+            failed = 0 if at != before else failed + 1
+            if failed >= self.attempts:
+                if until is None and rows:
+                    break
+                raise ConnectionError(f"{self.url} gives no events after {at}: {error}") from error
+            time.sleep(min(0.05 * 2**failed, 5))
+            if error is not None:  # what was waited for the connection is not the feed's silence
                 deadline = max(deadline, time.monotonic() + self.wait / 2)
-            if until is not None and at != until and last is None:
-                failed += 1
-                if failed >= self.attempts:
-                    raise ConnectionError(f"{self.url} doesn't replay events up to {until}")
-                time.sleep(min(0.05 * 2**failed, 5))
         return rows, at
 
     def _events(self, start: dict, deadline: float | None) -> Iterator[tuple[tuple | None, dict]]:

@@ -169,3 +169,12 @@ def test_recorded_feed(spark, tmp_path):
         q = feeds.packets(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination(60)
     assert Counter(spark.read.parquet(str(tmp_path / "out")).select("id").toPandas()["id"].fillna("")) == Counter([*(f"p{i}" for i in range(40)), "90", "", ""])
+
+
+def test_feed_that_cannot_replay(feed):
+    """A batch that must be read again, from a server that no longer has its end, is an error, not a shorter batch."""
+    reader = feeds.EventStreamReader({"url": feed, "maxattempts": "2"})
+    with pytest.raises(ConnectionError):
+        reader.readBetweenOffsets({"id": "118", "skip": 0}, {"id": "500", "skip": 0})
+    with pytest.raises(ConnectionError):
+        feeds.EventStreamReader({"url": "http://127.0.0.1:9/none", "maxattempts": "2"}).read({"id": "", "skip": 0})
