@@ -304,9 +304,13 @@ def parse_blocks(blocks: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_feed(packets: DataFrame, path: str) -> None:
-    """Record packets as a feed: the arrival as id, the type as event, the packet as JSON."""
+    """Record packets as a feed: the arrival as id, the type as event, the packet as JSON.
+
+    Times are in whole milliseconds, the nearest ones; halves go away from 1970.
+    """
     names = {"ts": "timestamp", "node_id": "nodeId", "agent_id": "agentId"}
-    kept = [F.unix_millis("ts").alias("timestamp") if c == "ts" else F.col(c).alias(names.get(c, c)) for c in packets.columns if c not in ("arrival", "payload")]
+    nearest = F.expr("(unix_micros(ts) div 500 + if(unix_micros(ts) < 0, -1, 1)) div 2")
+    kept = [nearest.alias("timestamp") if c == "ts" else F.col(c).alias(names.get(c, c)) for c in packets.columns if c not in ("arrival", "payload")]
     body = F.to_json(F.struct(*kept))
     body = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(', "payload": '), F.coalesce("payload", F.lit("null")), F.lit("}"))
     block = F.concat(F.lit("id: "), F.col("arrival").cast("string"), F.lit("\nevent: "), F.col("type"), F.lit("\ndata: "), body)

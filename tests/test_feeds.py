@@ -10,8 +10,10 @@ import time
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from graphloom.sources import feeds
 
 TOTAL = 120
@@ -171,6 +173,26 @@ def test_recorded_feed(spark, tmp_path):
     assert Counter(spark.read.parquet(str(tmp_path / "out")).select("id").toPandas()["id"].fillna("")) == Counter([*(f"p{i}" for i in range(40)), "90", "", ""])
 
 
+def test_recorded_times_are_the_nearest_milliseconds(spark, tmp_path):
+    """Microseconds are rounded as DuckDB's epoch_ms does, on both sides of 1970; absent times stay absent."""
+    micros = [None, 0, 499, 500, 1499, 1500, -1, -499, -500, -1499, -1500, 1704067207179499, 1704067207179500, 1704067207179999]
+    table = spark.createDataFrame([(i, m) for i, m in enumerate(micros)], "arrival long, m long")
+    table = table.selectExpr("'p' || arrival AS id", "'log' AS type", "timestamp_micros(m) AS ts", "'{}' AS payload", "arrival")
+    feeds.write_feed(table, str(tmp_path / "feed"))
+    got = feeds.packets(feeds.read_feed(spark, str(tmp_path / "feed"))).selectExpr("arrival", "unix_micros(ts) AS m").collect()
+    want = duckdb.connect().execute("SELECT i, epoch_ms(make_timestamp(m)) * 1000 FROM (SELECT unnest(?::BIGINT[]) AS m, unnest(range(?)) AS i)", [micros, len(micros)]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_feed_packets_times_exactly(spark):
+    """The query's milliseconds against its SQL, digit by digit."""
+    duck = duckdb.connect()
+    duck.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.001/events.parquet'")
+    want = dict(duck.execute(f"SELECT arrival, ms FROM ({entry.oracle_sql()['feed_packets']})").fetchall())
+    got = entry.queries()["feed_packets"](spark, "/root/testdata/sf0.001").select("arrival", "ms").collect()
+    assert {r.arrival: r.ms for r in got} == want
+
+
 def test_feed_that_cannot_replay(feed):
     """A batch that must be read again, from a server that no longer has its end, is an error, not a shorter batch."""
     reader = feeds.EventStreamReader({"url": feed, "maxattempts": "2"})
