@@ -11,13 +11,17 @@ and tested by joins. For scoring, the logarithm of a token's probability is writ
 weight for each n-gram met: one for each retained context (its scale), one for each kept next token. So scores are sums
 over n-grams, whatever their order. Weights of n-grams with OFTEN_GRAMS of all tokens (at most 1/OFTEN_GRAMS of a length)
 are broadcast; a bounded filter tells which of the others may have a weight, and those, none of them hot, meet the tables by
-a shuffle, packed in arrays. The filter only saves work: what it lets through wrongly finds no weight. A context is looked
-up only where its suffix was let through, as it can't be retained otherwise.
+a shuffle. The filter only saves work: what it lets through wrongly finds no weight. A context is looked up only where its
+suffix was let through, as it can't be retained otherwise.
+
+What is shuffled is parted by ranges of the keys and packed in sorted lists: of keys the differences, of all numbers only
+the bytes that the list's largest one needs, compressed by byte place. Nothing is rounded or shortened.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -75,6 +79,43 @@ def state(key: np.ndarray) -> np.ndarray:
     return key ^ _STATE
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Ranges of keys, equal in width; keys are hashes, so they hold about as many each."""
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype("int64")
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as the bytes that the largest one needs, ordered by byte place; each place is compressed if that helps."""
+    if not len(x):
+        return b""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    own = np.ascontiguousarray(x, "<u8").view("uint8").reshape(-1, 8)
+    raw = [own[:, k].tobytes() for k in range(width)]
+    small = [min(r, pa.compress(r, codec="zstd", asbytes=True), key=len) for r in raw]
+    return b"".join([struct.pack(f"<IB{width}I", len(x), width, *map(len, small)), *small])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, "uint64")
+    n, width = struct.unpack_from("<IB", data)
+    out, at = np.zeros((n, 8), "uint8"), 5 + 4 * width
+    for k, size in enumerate(struct.unpack_from(f"<{width}I", data, 5)):
+        own = data[at : at + size]
+        out[:, k] = np.frombuffer(own if size == n else pa.decompress(own, n, codec="zstd"), "uint8")
+        at += size
+    return out.view("<u8").ravel()
+
+
+def packed_sorted(x: np.ndarray) -> bytes:
+    """Ascending numbers, by their differences."""
+    return packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype="uint64")
+
+
 def find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of ``x`` in a sorted array, and whether it is there."""
     if not len(sorted_):
@@ -161,41 +202,41 @@ def _token_counts(docs: DataFrame, text: str) -> DataFrame:
     return some.groupBy("key").agg(F.first("token").alias("token"), F.sum("n").alias("n"), F.first("is_end").alias("is_end"))
 
 
-def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context: Filter, hot: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """(key, ctx, suffix, n, is_end) of n-grams seen SUPPORT times after contexts of ``depth`` tokens that the filter knows.
+def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context: Filter, hot: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, ctx, token, n, is_end) of n-grams seen SUPPORT times after contexts of ``depth`` tokens that the filter knows.
 
-    ``key`` is that of context and next token, ``suffix`` that of both without the first token. Tasks send their counts in
-    arrays, by context, or for ``hot`` contexts by n-gram, so that none is held by one task; ``frequent`` tokens go as their
-    places in that sorted array.
+    ``key`` is that of context and next token. Tasks send their counts in packed lists, by context, or for ``hot`` contexts by
+    n-gram, so that none is held by one task; ``frequent`` tokens (a sorted array, and the ranks by count) go as their ranks.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((known, context, hot, frequent))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = PARTS * tasks
-    names = ["part", "ctx", "suf", "runs", "code", "token", "n"]
+    names = ["part", "ctx", "runs", "code", "token", "n"]
 
-    def sent(key, ctx, suf, token, n) -> pa.RecordBatch:
-        part = (np.where(find(shared.value[2], ctx)[1], key, rolling.mixed(ctx)) % np.uint64(parts)).astype("int64")
+    def sent(key, ctx, token, n) -> pa.RecordBatch:
+        part = part_of(np.where(find(shared.value[2], ctx)[1], key, ctx), parts)
         o = np.lexsort((ctx, part))
-        part, ctx, suf, token, n = part[o], ctx[o], suf[o], token[o], n[o]
+        part, ctx, token, n = part[o], ctx[o], token[o], n[o]
         run = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1]))))
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        lists = lambda at, x: pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype("int32")), x)
-        of_run = np.searchsorted(run, first)
-        code, often = find(shared.value[3], token)
-        code, rest = np.where(often, code, -1).astype("int32"), np.flatnonzero(~often)
-        length = pa.array(np.diff(np.append(run, len(ctx))).astype("int32"))
+        frequent, ranks = shared.value[3]
+        code, often = find(frequent, token)
+        code = np.where(often, ranks[code] + 1, 0) if len(ranks) else np.zeros(len(token), "int64")
+        length, ctx, rest = np.diff(np.append(run, len(ctx))), ctx[run], np.flatnonzero(~often)
+        ends = [[*at, size] for at, size in ((first, len(n)), (np.searchsorted(run, first), len(run)), (np.searchsorted(rest, first), len(rest)))]
+        lists = lambda at, x, pack=packed: pa.array([pack(x[i:j]) for i, j in zip(at, at[1:])], "binary")
         return pa.RecordBatch.from_arrays([
-            pa.array(part[first].astype("int32")), lists(of_run, _signed(ctx[run])), lists(of_run, _signed(suf[run])), lists(of_run, length),
-            lists(first, pa.array(code)), lists(np.searchsorted(rest, first), _signed(token[rest])), lists(first, pa.array(n.astype("int32"))),
+            pa.array(part[first].astype("int32")), lists(ends[1], ctx, packed_sorted), lists(ends[1], length), lists(ends[0], code),
+            lists(ends[2], token[rest]), lists(ends[0], n),
         ], names)
 
-    def grouped(key, ctx, suf, token, n=None):
+    def grouped(key, ctx, token, n=None):
         o = np.argsort(key)
         key, n = key[o], np.ones(len(o), "int64") if n is None else n[o]
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         o = o[new]
-        return key[new], ctx[o], suf[o], token[o], np.add.reduceat(n, new)
+        return key[new], ctx[o], token[o], np.add.reduceat(n, new)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, context, _, _ = shared.value
@@ -210,8 +251,7 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
                 at, ctx = at[some], ctx[some]
                 some = known.has(gram(toks, at, 1))
                 at, ctx = at[some], ctx[some]
-                suf = gram(toks, at - 1, depth - 1)
-                held.append((longer(ctx, toks[at]), ctx, suf, toks[at]))
+                held.append((longer(ctx, toks[at]), ctx, toks[at]))
                 rows += len(at)
                 if rows > HELD:
                     yield sent(*grouped(*(np.concatenate(c) for c in zip(*held))))
@@ -219,30 +259,32 @@ def _successors(docs: DataFrame, text: str, depth: int, known: Filter, context:
         if rows:
             yield sent(*grouped(*(np.concatenate(c) for c in zip(*held))))
 
-    def merged(rows: list[tuple]) -> pa.RecordBatch:
-        ctx, suf, runs, code, rest, n = (np.concatenate(c) for c in zip(*rows))
-        ctx, suf, token = np.repeat(ctx.view("uint64"), runs), np.repeat(suf.view("uint64"), runs), np.zeros(len(code), "uint64")
-        token[code >= 0], token[code < 0] = shared.value[3][code[code >= 0]], rest.view("uint64")
-        key, ctx, suf, token, n = grouped(longer(ctx, token), ctx, suf, token, n.astype("int64"))
+    def merged(rows: list[tuple], by_rank: np.ndarray) -> pa.RecordBatch:
+        ctx, runs, code, rest, n = (np.concatenate(c) for c in zip(*rows))
+        ctx, token = np.repeat(ctx, runs.astype("int64")), np.zeros(len(code), "uint64")
+        token[code > 0], token[code == 0] = by_rank[code[code > 0].astype("int64") - 1], rest
+        key, ctx, token, n = grouped(longer(ctx, token), ctx, token, n.astype("int64"))
         keep = n >= SUPPORT
-        key, ctx, suf, token, n = key[keep], ctx[keep], suf[keep], token[keep], n[keep]
-        return pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), _signed(longer(suf, token)), pa.array(n), pa.array(token == END)], ["key", "ctx", "suffix", "n", "is_end"])
+        key, ctx, token, n = key[keep], ctx[keep], token[keep], n[keep]
+        return pa.RecordBatch.from_arrays([_signed(key), _signed(ctx), _signed(token), pa.array(n), pa.array(token == END)], ["key", "ctx", "token", "n", "is_end"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
+        frequent, ranks = shared.value[3]
+        by_rank = frequent[np.argsort(ranks)]
         for batch in batches:
             for k in range(batch.num_rows):
                 own = batch.column(0)[k].as_py()
                 if rows and own != part:
-                    yield merged(rows)
+                    yield merged(rows, by_rank)
                     rows = []
                 part = own
-                rows.append(tuple(batch.column(c)[k].values.to_numpy() for c in range(1, 7)))
+                rows.append(tuple((unpacked_sorted if c == 1 else unpacked)(batch.column(c)[k].as_py()) for c in range(1, 6)))
         if rows:
-            yield merged(rows)
+            yield merged(rows, by_rank)
 
-    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "part int, ctx array<long>, suf array<long>, runs array<int>, code array<int>, token array<long>, n array<int>")
-    return some.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "key long, ctx long, suffix long, n long, is_end boolean")
+    some = docs.select(or_empty(text).alias("t")).mapInArrow(count, "part int, ctx binary, runs binary, code binary, token binary, n binary")
+    return some.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(merge, "key long, ctx long, token long, n long, is_end boolean")
 
 
 class Model:
@@ -262,16 +304,20 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, divergence: f
     model = Model(counts, total, distinct)
     often = counts.filter(F.col("n") >= SUPPORT)
     known = key_filter(often, "key")
-    frequent = np.sort(counts.filter(F.col("n") >= max(1.0, OFTEN * total)).select("token").toPandas()["token"].to_numpy("int64").view("uint64"))
-    candidates = often.filter(~F.col("is_end")).select(F.col("key").alias("ctx"), F.col("n").alias("c"))
-    before = often.select(F.col("key").alias("suffix"), ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("q"))
+    common = counts.filter(F.col("n") >= max(1.0, OFTEN * total)).select("token", "n").toPandas()
+    frequent, n = common["token"].to_numpy("int64").view("uint64"), common["n"].to_numpy("int64")
+    order = np.lexsort((frequent, -n))
+    frequent, ranks = frequent[order], np.argsort(frequent[order])
+    frequent = frequent[ranks], ranks
+    candidates = often.filter(~F.col("is_end")).select(F.col("key").alias("ctx"), F.col("n").alias("c"), F.lit(0).cast("long").alias("suf"))
+    before = often.select(F.col("key").alias("suffix"), F.lit(0).cast("long").alias("suf"), "token", ((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("q"))
     for d in range(1, depth + 1):
         if candidates.isEmpty():
             break
         hot = candidates.filter(F.col("c") >= HOT * total).select("ctx").toPandas()["ctx"].to_numpy("int64").view("uint64")
         found = _successors(docs, text, d, known, key_filter(candidates, "ctx"), np.sort(hot), frequent)
-        after = found.join(candidates, "ctx").join(before, "suffix")
-        after = stage(after.select("key", "ctx", "suffix", "n", "is_end", "c", "q", (F.col("n") / (F.col("c") + DISCOUNT)).alias("p")), "after")
+        after = found.join(candidates, "ctx").join(before, ["suf", "token"])
+        after = stage(after.select("key", "ctx", "suffix", "token", "n", "is_end", "c", "q", (F.col("n") / (F.col("c") + DISCOUNT)).alias("p")), "after")
         rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
         tested = after.groupBy("ctx").agg(F.first("c").alias("c"), rest("p").alias("rest_p"), rest("q").alias("rest_q"), F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))).alias("kl"))
         gain = F.col("kl") + F.col("rest_p") * F.log(F.col("rest_p") / F.col("rest_q"))
@@ -283,8 +329,8 @@ def train(docs: DataFrame, text: str = "text", depth: int = DEPTH, divergence: f
         states = retained.select(F.col("ctx").bitwiseXOR(F.lit(int(_STATE.astype("int64")))).alias("key"), "n", F.col("scale").alias("w"))
         model.weights += [edges, states]
         candidates = after.filter(~F.col("is_end")).join(retained.select(F.col("ctx").alias("suffix")), "suffix", "left_semi")
-        candidates = stage(candidates.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "candidates")
-        before = after.select(F.col("key").alias("suffix"), F.col("p").alias("q"))
+        candidates = stage(candidates.select(F.col("key").alias("ctx"), F.col("n").alias("c"), F.col("suffix").alias("suf")), "candidates")
+        before = after.select(F.col("key").alias("suffix"), F.col("ctx").alias("suf"), "token", F.col("p").alias("q"))
     return model
 
 
@@ -310,16 +356,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     names = ["part", "kind", "chunk", "keys", "vals", "own", "docs"]
     document = pa.struct([("id", to_arrow_type(d.schema["id"].dataType)), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bonus", pa.float64())])
     of_docs = f"docs array<struct<id {kind}, n long, known long, base double, bonus double>>"
-    schema = f"part int, kind int, chunk long, keys array<long>, vals array<double>, own array<int>, {of_docs}"
+    schema = f"part int, kind int, chunk long, keys binary, vals array<double>, own binary, {of_docs}"
 
     def by_part(what: int, keys: np.ndarray, vals=None, own=None, chunk: int = 0) -> pa.RecordBatch:
-        part = (rolling.mixed(keys) % np.uint64(parts)).astype("uint16" if parts < 1 << 16 else "uint32")
-        o = np.argsort(part, kind="stable")
-        part = part[o]
+        o = np.argsort(keys)
+        keys = keys[o]
+        part = part_of(keys, parts)
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
-        at, n = pa.array(np.append(first, len(part)).astype("int32")), len(first)
-        arrays = [pa.nulls(n, pa.list_(t)) if x is None else pa.ListArray.from_arrays(at, pa.array(x[o])) for x, t in ((keys.view("int64"), None), (vals, pa.float64()), (own, pa.int32()))]
-        return pa.RecordBatch.from_arrays([pa.array(part[first].astype("int32")), pa.array(np.full(n, what, "int32")), pa.array(np.full(n, chunk, "int64")), *arrays, pa.nulls(n, pa.list_(document))], names)
+        at, n = np.append(first, len(part)), len(first)
+        lists = lambda x, pack: pa.array([pack(x[i:j]) for i, j in zip(at, at[1:])], "binary")
+        values = pa.nulls(n, pa.list_(pa.float64())) if vals is None else pa.ListArray.from_arrays(pa.array(at.astype("int32")), pa.array(vals[o]))
+        owners = pa.nulls(n, pa.binary()) if own is None else lists(own[o], packed)
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype("int32")), pa.array(np.full(n, what, "int32")), pa.array(np.full(n, chunk, "int64")), lists(keys, packed_sorted), values, owners, pa.nulls(n, pa.list_(document))], names)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, log_n, heavy, weight, any_weight = shared.value
@@ -333,7 +381,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 base, bonus = np.full(len(toks), -scale), np.zeros(j - i)
                 base[known] += log_n[at[known]]
                 rare = np.flatnonzero(~known)
-                yield by_part(_OF_TOKENS, gram(toks, rare, 1), own=owner[rare].astype("int32"), chunk=chunk)
+                yield by_part(_OF_TOKENS, gram(toks, rare, 1), own=owner[rare], chunk=chunk)
                 inside, lone = np.arange(len(toks)), []
                 for k in range(1, levels + 1):
                     inside = inside[place[inside] > k]
@@ -345,14 +393,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     for x, own in ((state(ctx), owner[inside]), (longer_[some], owner[inside[some]])):
                         at, hit = find(heavy, x)
                         bonus += np.bincount(own[hit], weight[at[hit]], j - i)
-                        lone.append((x[~hit], own[~hit]))
+                        lone.append((x[~hit], own[~hit].astype("int32")))
                 if lone:
                     x, own = (np.concatenate(c) for c in zip(*lone))
-                    yield by_part(_OF_GRAMS, x, own=own.astype("int32"), chunk=chunk)
+                    yield by_part(_OF_GRAMS, x, own=own, chunk=chunk)
                 sums = [np.bincount(owner, x, j - i) for x in (np.ones(len(toks)), known, base)]
                 doc = pa.StructArray.from_arrays([batch.column("id")[i:j], pa.array(sums[0].astype("int64")), pa.array(sums[1].astype("int64")), pa.array(sums[2]), pa.array(bonus)], fields=list(document))
                 head = [pa.array([chunk % parts], "int32"), pa.array([_DOCUMENTS], "int32"), pa.array([chunk], "int64")]
-                yield pa.RecordBatch.from_arrays([*head, *(pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.float64(), pa.int32())), pa.ListArray.from_arrays(pa.array([0, j - i], "int32"), doc)], names)
+                yield pa.RecordBatch.from_arrays([*head, *(pa.nulls(1, t) for t in (pa.binary(), pa.list_(pa.float64()), pa.binary())), pa.ListArray.from_arrays(pa.array([0, j - i], "int32"), doc)], names)
 
     def table(what: int):
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +412,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def answered(what: int, chunk: int, keys: np.ndarray, own: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         at, hit = find(table[0], keys)
         who, back = np.unique(own[hit], return_inverse=True)
-        sums, n = np.bincount(back, table[1][at[hit]], len(who)).astype("float64"), np.bincount(back, minlength=len(who)).astype("int32")
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], "int32"), pa.array(x))
-        return pa.RecordBatch.from_arrays([pa.array([chunk], "int64"), pa.array([what], "int32"), one(who), one(n if what == _OF_TOKENS else n[:0]), one(sums), pa.nulls(1, pa.list_(document))], answers)
+        sums, n = np.bincount(back, table[1][at[hit]], len(who)).astype("float64"), np.bincount(back, minlength=len(who))
+        hits, sums = packed(n if what == _OF_TOKENS else n[:0]), pa.ListArray.from_arrays(pa.array([0, len(sums)], "int32"), pa.array(sums))
+        return pa.RecordBatch.from_arrays([pa.array([chunk], "int64"), pa.array([what], "int32"), pa.array([packed_sorted(who)], "binary"), pa.array([hits], "binary"), sums, pa.nulls(1, pa.list_(document))], answers)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, tables, held = None, {}, {}
@@ -377,12 +425,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     part, tables, held = own_part[k], {}, {_COUNTS: [], _WEIGHTS: []}
                 what = own_kind[k]
                 if what == _DOCUMENTS:
-                    blank = [pa.nulls(1, pa.list_(t)) for t in (pa.int32(), pa.int32(), pa.float64())]
+                    blank = [pa.nulls(1, t) for t in (pa.binary(), pa.binary(), pa.list_(pa.float64()))]
                     docs_ = batch.column(6)[k].values
                     again = pa.StructArray.from_arrays(docs_.flatten(), fields=list(document))
                     yield pa.RecordBatch.from_arrays([pa.array([chunks[k]], "int64"), pa.array([what], "int32"), *blank, pa.ListArray.from_arrays(pa.array([0, len(again)], "int32"), again)], answers)
                     continue
-                keys = batch.column(3)[k].values.to_numpy().view("uint64")
+                keys = unpacked_sorted(batch.column(3)[k].as_py())
                 if what in held:
                     held[what].append((keys, batch.column(4)[k].values.to_numpy()))
                     continue
@@ -391,7 +439,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     x, v = (np.concatenate(c) for c in zip(*held[of])) if held[of] else (np.zeros(0, "uint64"), np.zeros(0))
                     o = np.argsort(x)
                     tables[of] = x[o], v[o]
-                yield answered(what, chunks[k], keys, batch.column(5)[k].values.to_numpy(), tables[of])
+                yield answered(what, chunks[k], keys, unpacked(batch.column(5)[k].as_py()).astype("int64"), tables[of])
 
     def summed(docs_: pa.StructArray, told: list[tuple]) -> pa.RecordBatch:
         ids, n, known, base, bonus = docs_.flatten()
@@ -416,15 +464,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 if what == _DOCUMENTS:
                     docs_ = batch.column(5)[k].values
                 else:
-                    told.append((what, *(batch.column(c)[k].values.to_numpy() for c in (2, 3, 4))))
+                    own_rows, hits = unpacked_sorted(batch.column(2)[k].as_py()), unpacked(batch.column(3)[k].as_py())
+                    told.append((what, own_rows.astype("int64"), hits.astype("int64"), batch.column(4)[k].values.to_numpy()))
         if docs_ is not None:
             yield summed(docs_, told)
 
     answers = ["chunk", "kind", "own", "hits", "sums", "docs"]
-    packed = d.mapInArrow(measure, schema)
-    packed = packed.unionByName(model.counts.filter(F.col("n") < least).select("key", F.log10(F.col("n") + 1).alias("v")).mapInArrow(table(_COUNTS), schema))
-    packed = packed.unionByName(weights.filter(F.col("n") < least_gram).select("key", F.col("w").alias("v")).mapInArrow(table(_WEIGHTS), schema))
-    met = packed.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, f"chunk long, kind int, own array<int>, hits array<int>, sums array<double>, {of_docs}")
+    asked = d.mapInArrow(measure, schema)
+    asked = asked.unionByName(model.counts.filter(F.col("n") < least).select("key", F.log10(F.col("n") + 1).alias("v")).mapInArrow(table(_COUNTS), schema))
+    asked = asked.unionByName(weights.filter(F.col("n") < least_gram).select("key", F.col("w").alias("v")).mapInArrow(table(_WEIGHTS), schema))
+    met = asked.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(answer, f"chunk long, kind int, own binary, hits binary, sums array<double>, {of_docs}")
     # Each chunk's documents and the answers about them, which its rows' order alone would not bring together, meet again.
     out = met.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(gather, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.withColumnRenamed("id", key)

@@ -678,6 +678,22 @@ def test_suffix_tree_against_brute_force(spark, monkeypatch, often, hot, held):
     assert sum(x.score for x in held_out) > 0.85 * sum(x.base_score for x in held_out)
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 10_000])
+def test_packed_lists_keep_every_bit(n):
+    """Packed numbers come back whole, and sorted keys of a part, counts and owners take fewer bytes than as they are."""
+    r = np.random.default_rng(n)
+    for most in (1, 2, 255, 256, 70_000, 1 << 63):
+        x = r.integers(0, most, n, dtype="uint64", endpoint=True)
+        assert (suffix_tree_lm.unpacked(suffix_tree_lm.packed(x)) == x).all()
+        assert (suffix_tree_lm.unpacked_sorted(suffix_tree_lm.packed_sorted(np.sort(x))) == np.sort(x)).all()
+    keys = np.sort(r.integers(0, 1 << 64, n * 50, dtype="uint64"))
+    part = suffix_tree_lm.part_of(keys, 50)
+    assert (np.diff(part) >= 0).all() and (not n or (part.min(), part.max()) >= (0, 0) and part.max() < 50)
+    if n == 10_000:
+        assert len(suffix_tree_lm.packed_sorted(keys[part == 7])) < 6 * (part == 7).sum()
+        assert len(suffix_tree_lm.packed(r.integers(0, 2000, n))) < 1.5 * n and len(suffix_tree_lm.packed(np.ones(n, "int64"))) < 100
+
+
 def test_filters_know_all_their_keys(spark):
     keys = np.random.default_rng(3).integers(-(2**63), 2**63, 5000)
     f = suffix_tree_lm.key_filter(spark.createDataFrame([(int(k),) for k in keys[:2500]], "k long"), "k")
