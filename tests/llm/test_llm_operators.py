@@ -694,6 +694,50 @@ def test_packed_lists_keep_every_bit(n):
         assert len(suffix_tree_lm.packed(r.integers(0, 2000, n))) < 1.5 * n and len(suffix_tree_lm.packed(np.ones(n, "int64"))) < 100
 
 
+def test_tokens_are_hashed_in_buffers_of_remembered_powers(monkeypatch):
+    """Texts of 3 MB need no powers beyond those that are remembered, and have the tokens of each text alone."""
+    texts = [b"", *(b"w%d x " % k * 70_000 for k in range(6)), b" last"]
+    alone = [suffix_tree_lm.tokens([t])[0] for t in texts]
+    asked, powers = [], rolling.powers
+    monkeypatch.setattr(rolling, "powers", lambda n: asked.append(n) or powers(n))
+    toks, ends = suffix_tree_lm.tokens(texts)
+    assert sum(map(len, texts)) > 2 << 20 and max(asked) <= rolling.BUFFER + 1
+    assert (toks == np.concatenate(alone)).all() and list(ends) == list(np.cumsum([len(t) for t in alone]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 20_000])
+def test_look_ups_find_what_is_there(n):
+    most = (1 << 64) - 1
+    keys = np.unique(np.random.default_rng(n).integers(0, most, n, dtype="uint64", endpoint=True))
+    x = np.concatenate((keys, keys + np.uint64(1), np.array([0, 1, most], "uint64")))
+    for own in (keys, np.union1d(keys, np.array([0, most], "uint64")), keys >> np.uint64(20)):
+        at, hit = suffix_tree_lm.Lookup(np.unique(own)).find(x)
+        assert (hit == np.isin(x, own)).all() and (np.unique(own)[at[hit]] == x[hit]).all()
+
+
+def test_suffix_tree_shuffles_no_hopeless_or_repeated_keys(spark, monkeypatch):
+    """An n-gram goes to be counted only if its suffix is frequent; tokens go in packed lists, and each question once."""
+    sent, kind = [], type(spark.range(0))
+    monkeypatch.setattr(kind, "repartition", lambda self, *a, was=kind.repartition: sent.append(self) or was(self, *a))
+    often = [f"c{k}" for k in range(10)]
+    texts = [f"p q {often[k % 10]}" for k in range(20)] + ["x q z"] * 20 + [" ".join(often)] * 10
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = suffix_tree_lm.train(d)
+    counted = [f for f in sent if "ctx" in f.columns]
+    p_q, x_q = (suffix_tree_lm.gram(suffix_tree_lm.tokens([t])[0], np.array([1]), 2)[0] for t in (b"p q", b"x q"))
+    contexts = [{int(c) for r in f.collect() for c in suffix_tree_lm.unpacked_sorted(bytes(r.ctx))} for f in counted]
+    assert int(x_q) in contexts[1] and int(p_q) not in contexts[1]  # z follows q 20 times, each c twice
+    [tokens] = [f for f in sent if "tokens" in f.columns]
+    assert sum(int(suffix_tree_lm.unpacked(bytes(r.n)).sum()) for r in tokens.collect()) == model.total
+    copies = spark.createDataFrame([(k, "p q z new") for k in range(30)], "doc_id long, text string").coalesce(1)
+    got = suffix_tree_lm.score(copies, model).collect()
+    assert len(got) == 30 and {(r.n_tokens, r.n_known) for r in got} == {(5, 4)} and len({r.score for r in got}) == 1
+    [asked] = [f for f in sent if "runs" in f.columns and "kind" in f.columns]
+    new = [r for r in asked.filter(F.col("kind") == suffix_tree_lm._OF_TOKENS).collect()]
+    assert sum(len(suffix_tree_lm.unpacked_sorted(bytes(r["keys"]))) for r in new) == 1
+    assert sum(int(suffix_tree_lm.unpacked(bytes(r.runs)).sum()) for r in new) == 29
+
+
 def test_filters_know_all_their_keys(spark):
     keys = np.random.default_rng(3).integers(-(2**63), 2**63, 5000)
     f = suffix_tree_lm.key_filter(spark.createDataFrame([(int(k),) for k in keys[:2500]], "k long"), "k")
