@@ -44,7 +44,8 @@ def presence(agents: DataFrame, now: Column, heartbeat_ms: int = 5000, disconnec
 def near_pairs(points: DataFrame, radius: float, group: str = "graph_id") -> DataFrame:
     """Pairs of points (group, id, x, y) within ``radius``; under half of it they are critical.
 
-    Points meet only in their own and adjoining cells of a grid as wide as the radius.
+    Points meet only in their own and adjoining cells of a grid as wide as the radius. Both sides shuffle: compressed files
+    of points are many times smaller than what a broadcast of them holds on the driver.
     """
     p = points.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -52,7 +53,7 @@ def near_pairs(points: DataFrame, radius: float, group: str = "graph_id") -> Dat
     a = a.select(group, "a", "ax", "ay", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     b = p.select(group, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    out = a.join(b, [group, "cx", "cy"]).filter("a < b").withColumn("distance", d).filter(F.col("distance") <= radius)
+    out = a.join(b.hint("merge"), [group, "cx", "cy"]).filter("a < b").withColumn("distance", d).filter(F.col("distance") <= radius)
     return out.select(group, "a", "b", "distance", (F.col("distance") < 0.5 * radius).alias("is_critical"))
 
 
