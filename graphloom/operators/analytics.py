@@ -197,10 +197,10 @@ def bottleneck_ranking(g: GraphFrames) -> DataFrame:
     return out.withColumn("running_ms", F.sum("ms").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("ord")
 
 
-def outliers(g: GraphFrames, sigma: float = 2.5, least: int = 3) -> DataFrame:
+def outliers(g: GraphFrames, sigma: float = 2.5, least: int = 3, duration: str = "dur_anomaly") -> DataFrame:
     """Nodes whose duration exceeds the mean of the positive ones by ``sigma`` population deviations, given ``least`` of them."""
     w = Window.partitionBy("graph_id")
-    n = g.nodes.select("graph_id", "id", _ms("dur_anomaly").alias("ms")).filter("ms > 0")
+    n = g.nodes.select("graph_id", "id", _ms(duration).alias("ms")).filter("ms > 0")
     n = n.withColumns({"mean": F.avg("ms").over(w), "deviation": F.stddev_pop("ms").over(w), "samples": F.count("ms").over(w)})
     return n.filter((F.col("samples") >= least) & (F.col("deviation") > 0) & (F.col("ms") > F.col("mean") + sigma * F.col("deviation")))
 

@@ -164,22 +164,22 @@ def structure(g: GraphFrames, x: Limits) -> DataFrame:
     return reduce(DataFrame.unionByName, (rule(g, x) for rule in (lost_edges, deadlocked_rings, deadlocked_joins, orphaned_subgraphs)))
 
 
-def latency(g: GraphFrames, x: Limits, with_path: bool = True) -> DataFrame:
+def latency(g: GraphFrames, x: Limits, with_path: bool = True, duration: str = "dur_anomaly") -> DataFrame:
     """Hogs of the critical path (10 s and 35 % of it), stalls in thought (15 s and 75 %), hanging commands, slow edges,
-    and outliers among the nodes that none of these names."""
+    and outliers among the nodes that none of these names. ``duration``: which of the named durations counts."""
     t = F.coalesce(M.m["timing_breakdown"], M.m["timing"])
-    n = g.nodes.select("graph_id", "id", M.DURATIONS["dur_anomaly"].alias("ms"), F.coalesce(t["think"], t["cognitive"]).alias("think"), "commands")
+    n = g.nodes.select("graph_id", "id", M.DURATIONS[duration].alias("ms"), F.coalesce(t["think"], t["cognitive"]).alias("think"), "commands")
     kind = "latency_bottleneck"
     stall = n.filter("think > 15000 and try_divide(think, ms) >= 0.75")
     out = _finding(stall, kind, "performance", F.when(F.col("think") >= 45_000, "critical").otherwise("warning"), F.col("think"), F.lit(15_000), _me())
     hang = n.withColumn("slow", F.array_max(F.transform("commands", lambda c: c["duration_ms"]))).filter(f"slow >= {x.latency_ms}")
     out = out.unionByName(_finding(hang, kind, "performance", F.when(F.col("slow") >= 60_000, "critical").otherwise("error"), F.col("slow"), F.lit(x.latency_ms), _me()))
     if with_path:
-        hog = paths.critical_path(g, "anomaly").filter((F.col("share") >= 100 * x.path_share) & (F.col("ms") >= 10_000))
+        hog = paths.critical_path(g, "anomaly", duration).filter((F.col("share") >= 100 * x.path_share) & (F.col("ms") >= 10_000))
         severe = (F.col("ms") >= 60_000) | (F.col("share") >= 60)
         out = out.unionByName(_finding(hog, kind, "performance", F.when(severe, "critical").otherwise("error"), F.col("ms"), js_round(F.col("ms") / F.col("share") * 100 * x.path_share), _me()))
     named = out.select("graph_id", F.explode("node_ids").alias("id")).distinct()
-    odd = outliers(g, x.sigma, x.samples).filter(F.col("ms") >= x.latency_ms).join(named, ["graph_id", "id"], "left_anti")
+    odd = outliers(g, x.sigma, x.samples, duration).filter(F.col("ms") >= x.latency_ms).join(named, ["graph_id", "id"], "left_anti")
     out = out.unionByName(_finding(odd, kind, "performance", F.when(F.col("ms") >= 2 * x.latency_ms, "critical").otherwise("error"), F.col("ms"), js_round(F.col("mean") + x.sigma * F.col("deviation")), _me()))
     slow = g.edges.select("graph_id", "id", F.col("traffic.avg_latency_ms").alias("ms")).filter(F.col("ms") >= x.edge_latency_ms)
     return out.unionByName(_finding(slow, kind, "performance", F.when(F.col("ms") >= 2 * x.edge_latency_ms, "error").otherwise("warning"), F.col("ms"), F.lit(x.edge_latency_ms), None, _me()))

@@ -154,8 +154,8 @@ def _from_roots(nodes: list[dict], next_: dict[str, list[str]]) -> list[str]:
     return path
 
 
-def critical_path(g: GraphFrames, variant: str = "analytics") -> DataFrame:
-    """Nodes of the critical path with position, duration, running sum and share.
+def critical_path(g: GraphFrames, variant: str = "analytics", duration: str | None = None) -> DataFrame:
+    """Nodes of the critical path with position, duration (the variant's own unless named), running sum and share.
 
     ``anomaly``: all edges, the first of equals. ``report``: from roots, without self-loops. ``analytics``: without edges
     marked as cycles; of equals more hops, then the later.
@@ -176,7 +176,7 @@ def critical_path(g: GraphFrames, variant: str = "analytics") -> DataFrame:
         return out
 
     kind = {"anomaly": "dur_anomaly", "report": "dur_report", "analytics": "dur_analytics"}[variant]
-    return per_graph(g, f, "position int, id string, ms double, running_ms double, share double", kind)
+    return per_graph(g, f, "position int, id string, ms double, running_ms double, share double", duration or kind)
 
 
 def critical_ms(g: GraphFrames, variant: str = "analytics") -> DataFrame:

@@ -2,6 +2,9 @@
 
 import random
 
+import duckdb
+
+import __spark_entry__ as entry
 from graphloom.operators import collab
 
 
@@ -18,3 +21,13 @@ def test_near_points_are_never_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan(got)
     want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 <= 60}
     assert {(x.a, x.b) for x in got.collect()} == want
+
+
+def test_latency_of_a_node_that_took_no_time(spark, tmp_path):
+    """Event 90,000 takes 0 ms and has a command of 50 s; the SQL counts recorded durations."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE events AS SELECT 89980 + i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM range(40) t(i)")
+    con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.sql(entry.oracle_sql()["anomaly_latency"])
+    got = entry.queries()["anomaly_latency"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
