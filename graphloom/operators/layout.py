@@ -401,11 +401,11 @@ def lane_demand(intervals: DataFrame) -> DataFrame:
     return p.withColumn("open", run).groupBy("graph_id", "channel").agg(F.max("open").alias("lanes"))
 
 
-def segments_of(paths: DataFrame) -> DataFrame:
-    """Segments of routes (graph_id, id, xs, ys), without repeated points."""
-    s = paths.select("graph_id", "id", F.posexplode(F.arrays_zip("xs", "ys")).alias("pos", "p"))
-    w = Window.partitionBy("graph_id", "id").orderBy("pos")
-    s = s.select("graph_id", "id", "pos", F.col("p.xs").alias("ax"), F.col("p.ys").alias("ay"), F.lead("p.xs").over(w).alias("bx"), F.lead("p.ys").over(w).alias("by"))
+def segments_of(paths: DataFrame, *more: str) -> DataFrame:
+    """Segments of routes (graph_id, id, xs, ys), without repeated points; ``more`` columns of the routes are kept. Nothing is shuffled."""
+    after = lambda c: F.slice(c, 2, F.size(c)).alias(f"{c}_after")
+    s = paths.select("graph_id", "id", *more, F.posexplode(F.arrays_zip("xs", "ys", after("xs"), after("ys"))).alias("pos", "p"))
+    s = s.select("graph_id", "id", *more, "pos", F.col("p")["xs"].alias("ax"), F.col("p")["ys"].alias("ay"), F.col("p")["xs_after"].alias("bx"), F.col("p")["ys_after"].alias("by"))
     return s.filter("bx is not null and (ax <> bx or ay <> by)")
 
 
@@ -440,15 +440,16 @@ def gate_scan(g: GraphFrames, placed: DataFrame, paths: DataFrame, cell: float =
 
     Overlapping boxes; routes through boxes of other nodes; boxes or points that aren't finite; nodes without a box; edges
     between nodes without a route; slanted segments; routes that don't begin and end on the rims of their ends' boxes; routes
-    that run along the same line as another's between other ends.
+    that run along the same line as another's between other ends. All tables are of the size of the graphs: their joins
+    shuffle, as files of drawings are many times smaller than what a broadcast of them holds on the driver.
     """
+    g, placed, paths = GraphFrames(g.nodes.hint("merge"), g.edges.hint("merge")), placed.hint("merge"), paths.hint("merge")
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < 1e300), F.lit(False))
     count = lambda df, name: df.groupBy("graph_id").agg(F.count(F.lit(1)).alias(name))
-    bad_box = placed.filter(~(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("width")) & finite(F.col("height"))))
-    bad_path = paths.filter(F.exists("xs", lambda v: ~finite(v)) | F.exists("ys", lambda v: ~finite(v)))
-    infinite = count(bad_box.select("graph_id").unionAll(bad_path.select("graph_id")), "not_finite")
-    good = paths.join(bad_path.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
-    boxes = placed.join(bad_box.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+    bad_box = ~(finite(F.col("x")) & finite(F.col("y")) & finite(F.col("width")) & finite(F.col("height")))
+    bad_path = F.coalesce(F.exists("xs", lambda v: ~finite(v)) | F.exists("ys", lambda v: ~finite(v)), F.lit(False))
+    infinite = count(placed.filter(bad_box).select("graph_id").unionAll(paths.filter(bad_path).select("graph_id")), "not_finite")
+    good, boxes = paths.filter(~bad_path), placed.filter(~bad_box)
     unplaced = count(g.nodes.select("graph_id", "id").join(placed, ["graph_id", "id"], "left_anti"), "unplaced_nodes")
     unrouted = count(g.valid_edges().select("graph_id", "id").join(paths, ["graph_id", "id"], "left_anti"), "unrouted_edges")
     s = segments_of(good)
@@ -457,17 +458,18 @@ def gate_scan(g: GraphFrames, placed: DataFrame, paths: DataFrame, cell: float =
     loose = None
     for end, nth in (("source", 1), ("target", -1)):
         box = boxes.select("graph_id", F.col("id").alias(end), F.col("x").alias("l"), F.col("y").alias("t"), (F.col("x") + F.col("width")).alias("r"), (F.col("y") + F.col("height")).alias("b"))
-        j = ends.join(box, ["graph_id", end]).select("graph_id", "id", F.element_at("xs", nth).alias("px"), F.element_at("ys", nth).alias("py"), "l", "t", "r", "b")
+        j = ends.select("graph_id", "id", end, F.element_at("xs", nth).alias("px"), F.element_at("ys", nth).alias("py")).join(box, ["graph_id", end])
         near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-6
         inside = F.col("px").between(F.col("l") - 1e-6, F.col("r") + 1e-6) & F.col("py").between(F.col("t") - 1e-6, F.col("b") + 1e-6)
         off = j.filter(~(inside & (near("px", "l") | near("px", "r") | near("py", "t") | near("py", "b")))).select("graph_id", "id")
         loose = off if loose is None else loose.unionByName(off)
     loose = count(loose.distinct(), "loose_routes")
-    lines = s.filter("ax = bx and ay <> by").select("graph_id", "id", F.lit("v").alias("way"), F.col("ax").alias("at"), F.least("ay", "by").alias("lo"), F.greatest("ay", "by").alias("hi"))
-    lines = lines.unionByName(s.filter("ay = by and ax <> bx").select("graph_id", "id", F.lit("h").alias("way"), F.col("ay").alias("at"), F.least("ax", "bx").alias("lo"), F.greatest("ax", "bx").alias("hi")))
-    lines = lines.join(g.edges.select("graph_id", "id", "source", "target"), ["graph_id", "id"])
+    level = F.col("ay") == F.col("by")
+    of = lambda f, a, b: F.when(level, f(f"{a}x", f"{b}x")).otherwise(f(f"{a}y", f"{b}y"))
+    lines = segments_of(ends, "source", "target").filter("ax = bx or ay = by")
+    lines = lines.select("graph_id", "id", "source", "target", level.alias("is_level"), F.when(level, F.col("ay")).otherwise(F.col("ax")).alias("at"), of(F.least, "a", "b").alias("lo"), of(F.greatest, "a", "b").alias("hi"))
     # In order of their beginnings, a segment shares its line with one before it if that reaches beyond its beginning.
-    before = Window.partitionBy("graph_id", "way", "at").orderBy("lo", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("graph_id", "is_level", "at").orderBy("lo", "id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.struct("hi", "source", "target", F.col("id").alias("of"))).over(before)
     met = lines.withColumn("last", last).filter("last.hi > lo + 1e-6 and last.of <> id and last.source <> source and last.target <> target")
     shared = count(met.select("graph_id", "id").distinct(), "shared_lines")

@@ -121,15 +121,19 @@ _GRAPHS = {"session": _session, "supply": _supply, "transition": _transition, "l
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL whose tables are named in braces over the Parquet tables of a folder."""
+#: By graph, tables that grow and are joined with larger ones: both sides shuffle, as the size of compressed files says little.
+_SHUFFLED = dict.fromkeys(("loyal", "relay", "trade"), ("customer",))
+
+
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str, shuffled: tuple[str, ...] = ()) -> DataFrame:
+    """Run SQL whose tables are named in braces over the Parquet tables of a folder; joins of ``shuffled`` ones broadcast nothing."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    return spark.sql(sql, **{t: df.hint("merge") if t in shuffled else df for t, df in used.items()})
 
 
 def flat(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _GRAPHS[name](_SPARK)
-    return spark_sql(spark, sf_dir, nodes), spark_sql(spark, sf_dir, edges)
+    return tuple(spark_sql(spark, sf_dir, sql, _SHUFFLED.get(name, ())) for sql in (nodes, edges))
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str) -> GraphFrames:

@@ -1,11 +1,15 @@
 """What only shows on tables larger than those of the other tests: broadcasts, exchanges, rounds."""
 
 import random
+import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphloom.operators import collab
+from graphloom.operators import collab, drawing, layout
+from graphloom.schema import GraphFrames
+from graphloom.sources.adapters import flat
 
 
 def plan(df) -> str:
@@ -31,3 +35,37 @@ def test_latency_of_a_node_that_took_no_time(spark, tmp_path):
     want = con.sql(entry.oracle_sql()["anomaly_latency"])
     got = entry.queries()["anomaly_latency"](spark, str(tmp_path)).select(*want.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_gates_broadcast_no_nodes_or_edges(spark, tmp_path):
+    """Files with many empty columns are small whatever their rows; only counts by graph may be broadcast."""
+    g = GraphFrames.of(
+        spark.createDataFrame([("g", i, v) for i, v in enumerate("abcd")], "graph_id string, ord long, id string"),
+        spark.createDataFrame([("g", i, v + w, v, w) for i, (v, w) in enumerate(("ab", "bd", "ac", "cd", "ad", "da"))], "graph_id string, ord long, id string, source string, target string"),
+    )
+    kept = lambda df, name: (df.write.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / name)))[1]
+    g = GraphFrames(kept(g.nodes, "nodes"), kept(g.edges, "edges"))
+    placed, routes = kept(drawing.layered_layout(g), "placed"), kept(drawing.routes(g), "routes")
+    scan = layout.gate_scan(g, placed, routes)
+    assert not re.search(r"HashedRelationBroadcastMode\(List\([^)]*input\[1", plan(scan))
+    assert [sum(r[1:]) for r in scan.collect()] == [0]
+
+
+def test_one_drawing_gives_boxes_and_routes(spark):
+    """Each graph is drawn once for both tables, and no customer is broadcast for the graphs of their orders."""
+    g = GraphFrames.of(
+        spark.createDataFrame([("g", i, v) for i, v in enumerate("abc")] + [("h", 0, "x")], "graph_id string, ord long, id string"),
+        spark.createDataFrame([("g", i, v + w, v, w) for i, (v, w) in enumerate(("ab", "bc", "ac", "ca", "bb"))], "graph_id string, ord long, id string, source string, target string"),
+    )
+    placed, routes = drawing.layered_drawing(g)
+    for one, other in ((placed, drawing.layered_layout(g)), (routes, drawing.routes(g))):
+        assert one.schema.simpleString() == other.schema.simpleString() and sorted(one.collect()) == sorted(other.collect())
+    assert not any("Broadcast" in plan(df) for df in flat(spark, "/root/testdata/sf0.001", "loyal"))
+
+
+def test_segments_are_cut_from_each_route(spark):
+    """Repeated points make no segment; routes of one point, or none, have no segments."""
+    df = spark.createDataFrame([("g", "e", [0.0, 0.0, 0.0, 5.0], [0.0, 3.0, 3.0, 3.0]), ("g", "f", [1.0], [1.0]), ("g", "h", [], [])], "graph_id string, id string, xs array<double>, ys array<double>")
+    got = layout.segments_of(df.withColumn("source", F.lit("s")), "source")
+    assert "Exchange" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == [("g", "e", "s", 0, 0.0, 0.0, 0.0, 3.0), ("g", "e", "s", 2, 0.0, 3.0, 5.0, 3.0)]
