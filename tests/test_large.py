@@ -2,12 +2,14 @@
 
 import random
 import re
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from graphloom.operators import collab, drawing, layout
+from graphloom.operators import collab, drawing, layout, levels
+from graphloom.runtime import FREED, scratch_root
 from graphloom.schema import GraphFrames
 from graphloom.sources.adapters import flat
 
@@ -69,3 +71,14 @@ def test_segments_are_cut_from_each_route(spark):
     got = layout.segments_of(df.withColumn("source", F.lit("s")), "source")
     assert "Exchange" not in plan(got)
     assert sorted(map(tuple, got.collect())) == [("g", "e", "s", 0, 0.0, 0.0, 0.0, 3.0), ("g", "e", "s", 2, 0.0, 3.0, 5.0, 3.0)]
+
+
+def test_rounds_leave_no_tables_behind(spark):
+    """A ladder takes a round for each rung; of the tables of all rounds none is left, and the session's settings stay."""
+    held = lambda: len(list(Path(scratch_root(spark).removeprefix("file:")).glob("graphloom/*/told")))
+    nodes = spark.createDataFrame([("g", f"{s}{i}", 0.0) for i in range(4) for s in "ab"], "graph_id string, id string, start double")
+    links = spark.createDataFrame([("g", f"{s}{i}", f"{t}{i + 1}", 1.0) for i in range(3) for s in "ab" for t in "ab"], "graph_id string, src string, dst string, w double")
+    before = held()
+    got = {r.id: r.value for r in levels.longest(nodes, links).collect()}
+    assert got == {f"{s}{i}": float(i) for i in range(4) for s in "ab"}
+    assert held() == before and spark.conf.get(FREED, None) is None
