@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from graphloom.operators import collab, drawing, layout, levels
 from graphloom.runtime import FREED, scratch_root
 from graphloom.schema import GraphFrames
+from graphloom.sources import capsules
 from graphloom.sources.adapters import flat
 
 
@@ -82,3 +83,12 @@ def test_rounds_leave_no_tables_behind(spark):
     got = {r.id: r.value for r in levels.longest(nodes, links).collect()}
     assert got == {f"{s}{i}": float(i) for i in range(4) for s in "ab"}
     assert held() == before and spark.conf.get(FREED, None) is None
+
+
+def test_documents_are_taken_apart_once(spark):
+    """No rule makes the documents again; keys as values, and blank ones, don't mislead the search for entries."""
+    text = '{"nodes": [{"id": "evidence_class", "model": "m"}, {"id": "b", "x": [{"evidence_class": "guess"}]}, {"id": "c", "note": "telemetry"}], "edges": [{"id": "e", "evidence_class": 3}]}'
+    got = capsules.contract_issues(spark.range(3).select(F.col("id").cast("string").alias("graph_id"), F.lit(text).alias("text")))
+    assert "Range" not in plan(got)
+    assert sorted((r.graph_id, r.rule, r.path) for r in got.collect()) == sorted((str(i), *x) for i in range(3) for x in (
+        ("retired", "dataset.nodes[0] (evidence_class).model"), ("evidence", "dataset.nodes[1] (b).x[0].evidence_class"), ("evidence", "dataset.edges[0] (e).evidence_class")))
